@@ -1,0 +1 @@
+"""Sources of the engine; see README.md."""
