@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontamination import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality import quality_rules
 
@@ -19,12 +25,28 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("host").alias("source"), "n_shout_words", "host_docs", "host_failed", F.round("host_rate", 9).alias("host_rate"), "host_blocked")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.sharding import shard_rows
 
     return shard_rows(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.secrets import scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
+    return found.select("doc_id", *(count(k) for k in ("assign", "access", "hex", "inefficient")), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
