@@ -8,6 +8,7 @@ the occurrences, and no task holds more than one chunk.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from graphloom.llm.common import materialize, split_words
 CHUNK_BYTES, RUN_WORDS = 24 << 20, 1 << 18
 #: Stands for the end of a text where one is asked for; no word has white space in it.
 END = "\n"
+WORD_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def pack(codes: np.ndarray) -> bytes:
