@@ -25,6 +25,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("host").alias("source"), "n_shout_words", "host_docs", "host_failed", F.round("host_rate", 9).alias("host_rate"), "host_blocked")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), window=400, with_kept=False)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.bpe import encode_documents
 
@@ -53,6 +59,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in ("assign", "access", "hex", "inefficient")), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.recompression import remove_repeated_words
+
+    return remove_repeated_words(table(spark, sf_dir, "documents"), window=35, with_kept=False)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.lm import score_documents
 
