@@ -71,6 +71,12 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "class_id", "n_links", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
