@@ -110,3 +110,24 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vo
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, span), pa.array(clean, pa.string())], ["doc_id", "spans", "redacted"])
 
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, spans array<struct<kind string, start long, end long, chars_per_token double>>, redacted string")
+
+
+def redacted_documents(docs: DataFrame, text: str = "text", length: str = "n_chars", vocabulary: str | None = None) -> DataFrame:
+    """docs with the secrets of each text replaced, and `length`, where there is such a column, set to the code points of each text that changed."""
+    vocabulary = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                texts = part.column(text).to_pylist()
+                spans = [find_spans(x, vocabulary) for x in texts]
+                if any(spans):
+                    clean = [redact(x, y) if y else x for x, y in zip(texts, spans, strict=True)]
+                    at = part.schema.get_field_index(text)
+                    part = part.set_column(at, part.schema.field(at), pa.array(clean, part.schema.field(at).type))
+                    if (at := part.schema.get_field_index(length)) >= 0:
+                        sizes = [len(x) if y else n for x, y, n in zip(clean, spans, part.column(at).to_pylist(), strict=True)]
+                        part = part.set_column(at, part.schema.field(at), pa.array(sizes, part.schema.field(at).type))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
