@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import encode_documents
-from graphloom.llm.common import materialize, row_key
+from graphloom.llm.common import materialize, row_key, unused
 from graphloom.llm.decontamination import contained_items
 from graphloom.llm.ngram_join import near_duplicates
 from graphloom.llm.secrets import redacted_documents
@@ -20,23 +20,26 @@ from graphloom.llm.toxicity import fit_toxicity, scored
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the ordinal model, fitted on the labelled ones, finds toxic. Null texts aren't toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return scored(docs, fit_toxicity(docs, labels)).filter("not _toxic").select(*docs.columns)
+    score = unused(docs, "_score")
+    return scored(docs, fit_toxicity(docs, labels), out=score).filter(~F.col(score)["toxic"]).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of linked documents, the one with the least id; of rows that agree in id and text, one."""
     found = near_duplicates(docs).filter("kept").groupBy("k1", "k2").agg(F.count("*").alias("_copies"))
     kept = materialize(found, "lz4")
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), row_key("doc_id", "text"), strict=True)))
-    one = keyed.join(kept, (keyed["_k1"] == kept["k1"]) & (keyed["_k2"] == kept["k2"]))
+    a, b = unused(docs, "_k1"), unused(docs, "_k2")
+    keyed = docs.withColumns(dict(zip((a, b), row_key("doc_id", "text"), strict=True)))
+    one = keyed.join(kept.select(F.col("k1").alias(a), F.col("k2").alias(b)), [a, b], "left_semi")
     if not kept.filter("_copies > 1").isEmpty():
-        one = one.dropDuplicates(["_k1", "_k2"])
-    return one.select(*(keyed[c] for c in docs.columns))
+        one = one.dropDuplicates([a, b])
+    return one.drop(a, b)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("size(_items) = 0").select(*docs.columns)
+    items = unused(docs, "_items")
+    return contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=items).filter(F.size(items) == 0).drop(items)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

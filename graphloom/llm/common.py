@@ -44,6 +44,14 @@ def row_key(*cols: Column | str) -> list[Column]:
     return [F.xxhash64(F.lit(1), *marked).alias("k1"), F.xxhash64(*marked, F.lit(2)).alias("k2")]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, behind as many underscores as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES):
     """Cuts a batch into runs of rows of at most limit bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

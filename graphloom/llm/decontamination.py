@@ -123,8 +123,8 @@ def candidates(h: np.ndarray, starts: np.ndarray, classes: list[SizeClass], a: n
     return out
 
 
-def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", containment: float = 0.8) -> DataFrame:
-    """All of docs' columns for each row, and `_items`: array of struct (item_id, n_shingles, n_shared, containment) of the items it contains.
+def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", containment: float = 0.8, out: str = "_items") -> DataFrame:
+    """All of docs' columns for each row, and `out`, a name that docs doesn't have: array of struct (item_id, n_shingles, n_shared, containment) of the items it contains.
 
     An item is contained if at least `containment` of its distinct shingles (five lower-cased words; all words of a shorter text) are among the
     document's. Rows stay as they are, repeated ones too. Null or empty documents contain nothing, null or empty items are in nothing. Empty
@@ -132,16 +132,18 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     ITEMS_PER_PASS, each searched in one pass over all documents.
     """
     queries = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).toLocalIterator()
-    out = docs.withColumn("_items", F.expr("cast(array() as array<struct<item_id long, n_shingles long, n_shared long, containment double>>)"))
+    if out in docs.columns:
+        raise ValueError(f"{out} is a column already")
+    found = docs.withColumn(out, F.expr("cast(array() as array<struct<item_id long, n_shingles long, n_shared long, containment double>>)"))
     block: list[tuple[int, str]] = []
     for row in queries:
         block.append((row.item_id, row.text))
         if len(block) == ITEMS_PER_PASS:
-            out, block = _one_pass(out, block, text, containment), []
-    return _one_pass(out, block, text, containment) if block else out
+            found, block = _one_pass(found, block, text, containment, out), []
+    return _one_pass(found, block, text, containment, out) if block else found
 
 
-def _one_pass(docs: DataFrame, block: list[tuple[int, str]], text: str, containment: float) -> DataFrame:
+def _one_pass(docs: DataFrame, block: list[tuple[int, str]], text: str, containment: float, out: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
     schema = docs.schema
 
@@ -161,7 +163,7 @@ def _one_pass(docs: DataFrame, block: list[tuple[int, str]], text: str, containm
                 if not found:
                     yield part
                     continue
-                place = part.schema.get_field_index("_items")
+                place = part.schema.get_field_index(out)
                 lists = part.column(place).to_pylist()
                 for row, ks in found.items():
                     own = grams(tokens(part.column(text)[row].as_py()))
@@ -177,5 +179,5 @@ def _one_pass(docs: DataFrame, block: list[tuple[int, str]], text: str, containm
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", containment: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment for each row of docs and item that it contains; see contained_items."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = contained_items(narrow, items, "doc_id", item_id, text if text == "text" else "text", containment)
+    found = contained_items(narrow, items.withColumnRenamed(text, "text"), "doc_id", item_id, "text", containment)
     return found.select("doc_id", F.explode("_items").alias("i")).select("doc_id", "i.*")

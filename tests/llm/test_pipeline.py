@@ -1,0 +1,39 @@
+from collections import Counter
+
+import pytest
+
+
+@pytest.fixture(scope="module")
+def folder(spark, rows, tmp_path_factory, texts):
+    path = str(tmp_path_factory.mktemp("tables"))
+    docs = spark.createDataFrame([r[:5] for r in rows] + [(900, "password=abcdef12345 " + texts[20], "en", "src0", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(texts[-1].split(" ")[40 * k : 40 * k + 30])) for k in range(3)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_stages(spark, folder):
+    import corpus_pipeline as p
+
+    assert [k for k, _ in p.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "bpe"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    seen = [docs.count()]
+    for name, stage in p.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, folder)
+        assert docs.columns == before.columns, name
+        seen.append(docs.count())
+    assert seen[0] == seen[1] > seen[2] > seen[3] == seen[4]  # no label is toxic
+    texts = [r.text for r in docs.collect()]
+    assert not any("password=" in (x or "") for x in texts) and max(Counter(texts).values()) == 1
+    out = p.run(spark, folder).collect()
+    assert len(out) == seen[-1] and all(r.n_tokens == len(r.ids) for r in out)
+
+
+def test_empty_tables(spark, folder):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, folder)
+        assert docs.count() == 0
