@@ -38,6 +38,11 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions. Given to repartition() where few bytes take long, as AQE would otherwise merge them into few tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def row_key(*cols: Column | str) -> list[Column]:
     """Two 64-bit hashes that identify a row by its contents; nulls are told apart from other values."""
     marked = [y for x in cols for y in (F.isnull(x), F.col(x) if isinstance(x, str) else x)]

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, materialize, mix, row_key, slices
+from graphloom.llm.common import U64, materialize, mix, partitions, row_key, slices
 
-#: Bytes of contexts that a kernel compares at once, which also bounds a single anchor's group.
-BLOCK_BYTES = 4 << 20
+#: Bytes of contexts of one anchor that a kernel compares at most, and of smaller groups that it takes together.
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 256 << 10
 STEP = U64(0x9E3779B97F4A7C15)
 BACK = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -122,7 +122,7 @@ def repeated_starts(docs: DataFrame, method: Method) -> DataFrame:
             for akey, ckey, n, m, body in zip(*(batch.column(x).to_pylist() for x in ("akey", "ckey", "n", "m", "body")), strict=True):
                 if last == (akey, ckey):
                     continue
-                if size >= BLOCK_BYTES and akey != last[0]:
+                if size >= BATCH_BYTES and akey != last[0]:
                     yield _compared(method, held)
                     held, size = [], 0
                 held.append((akey, ckey, n, m, body))
@@ -130,7 +130,7 @@ def repeated_starts(docs: DataFrame, method: Method) -> DataFrame:
         if held:
             yield _compared(method, held)
 
-    small = fetched.filter("wkey is null").select("akey", "ckey", "n", "m", "body").repartition("akey").sortWithinPartitions("akey", "ckey")
+    small = fetched.filter("wkey is null").select("akey", "ckey", "n", "m", "body").repartition(partitions(docs), "akey").sortWithinPartitions("akey", "ckey")
     compared = small.mapInArrow(compare, "akey long, ckey long, runs array<int>")
     verdicts = materialize(reduce(DataFrame.unionByName, [alone, compared, split]).filter("size(runs) > 0"))
     return seen.join(verdicts, ["akey", "ckey"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "runs")).alias("hits"))

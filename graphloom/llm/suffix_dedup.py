@@ -42,14 +42,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     ends = np.flatnonzero(text == 0)
     rank = text.astype(np.int64) + len(ends)
     rank[ends] = np.arange(len(ends))
-    step = 1
-    if len(ends) + 257 < 1 << 20:  # three characters fill one key
-        wide = np.zeros(size + 2, np.int64)
-        wide[:size] = rank + 1
-        key = (wide[:size] << 42) | (wide[1 : size + 1] << 21) | wide[2:]
-        step = 3
-    else:
-        key = rank
+    bits = (len(ends) + 258).bit_length()
+    step = 62 // bits  # characters that fill one key
+    wide = np.zeros(size + step, np.int64)
+    wide[:size] = rank + 1
+    key = np.zeros(size, np.int64)
+    for k in range(step):
+        key = key << bits | wide[k : size + k]
     while True:
         order = np.argsort(key)
         high = key[order]
@@ -72,9 +71,11 @@ def prefix_boundaries(order: np.ndarray, text: np.ndarray, length: int) -> np.nd
     by_left = np.argsort(left, kind="stable")
     same = np.full(size, -1)  # the place before with the same character
     same[by_left[1:]] = np.where(left[by_left[1:]] == left[by_left[:-1]], by_left[:-1], -1)
-    heads = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
-    run = np.cumsum(np.concatenate(([False], left[1:] != left[:-1])))
-    after = np.append(heads, size)[run + 1]  # where the run of equal characters ends
+    real = np.flatnonzero(left)
+    at_or_after = np.append(real, size)[np.cumsum(left != 0) - (left != 0)]  # the next place with a character, not an end, before it
+    changes = np.concatenate(([True], left[real][1:] != left[real][:-1])) if len(real) else np.zeros(0, bool)
+    heads = real[changes]  # runs of equal characters, over the ends between them
+    after = np.append(heads, size)[np.searchsorted(heads, np.arange(size), "right")]
 
     head = text[order]
     bound = np.concatenate(([True], head[1:] != head[:-1])) | (head == 0)
@@ -85,10 +86,10 @@ def prefix_boundaries(order: np.ndarray, text: np.ndarray, length: int) -> np.nd
         if not len(new):
             break
         found = None
-        if len(new) * 50 < size:
+        if len(new) * 20 < size:
             if stale is None or level % 16 == 0:
                 stale = np.cumsum(bound)
-            found = _near(new, same, after, stale, size)
+            found = _near(new, same, at_or_after, after, stale, size)
         if found is None:
             active = active[~bound[back[active]]]
             mark = np.zeros(size, np.int32)
@@ -103,21 +104,22 @@ def prefix_boundaries(order: np.ndarray, text: np.ndarray, length: int) -> np.nd
     return bound
 
 
-def _near(new: np.ndarray, same: np.ndarray, after: np.ndarray, stale: np.ndarray, size: int, most: int = 48) -> np.ndarray | None:
+def _near(new: np.ndarray, same: np.ndarray, at_or_after: np.ndarray, after: np.ndarray, stale: np.ndarray, size: int) -> np.ndarray | None:
     """Places whose last equal character lies before a new boundary at or before them, up to the next older boundary. Goes from run to run of
-    equal characters; None if some stretch has too many runs."""
-    found, b, p = [], new, new
-    for _ in range(most):
-        hit = same[p] < b
-        found.append(p[hit])
-        p = after[p]
+    equal characters; None if the stretches have too many runs, so that a pass over all places is faster."""
+    found, b, p, work = [], new, at_or_after[new], 0
+    while True:
         on = p < size
         b, p = b[on], p[on]
         on = stale[p] == stale[b]
         b, p = b[on], p[on]
         if not len(p):
-            return np.concatenate(found)
-    return None
+            return np.concatenate(found) if found else np.zeros(0, np.int64)
+        work += len(p) + 200
+        if work > size // 2 + 2000:
+            return None
+        found.append(p[same[p] < b])
+        p = after[p]
 
 
 class ByteRepeats:
