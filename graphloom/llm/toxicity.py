@@ -15,8 +15,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm.common import slices, split_words
+from graphloom.llm.common import materialize, slices, split_words
 
 DIMENSIONS = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -59,64 +60,76 @@ def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return features, pairs // max(1, len(features)), pairs % max(1, len(features))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, grade: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grades of the sample, and the pairs (row, feature) of its texts, exact words first in each row's order; features hashed on the executors."""
-    sample = labels.filter(F.col(grade).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(grade).cast("int").alias("_grade"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, text and _label of the labelled rows that the model is fitted on."""
+    sample = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # SAMPLE_ROWS narrow rows at most
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "_label")  # SAMPLE_ROWS narrow rows at most
+
+
+def screened(sample: DataFrame) -> dict[int, float]:
+    """Features that tell toxic texts from others, with the standard errors between their shares of the two. Counted on the executors; a row for each feature at most, and only those kept reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                toxic = part.column("_label").to_numpy() > 0
+                features, row, word = distinct_words(part.column("text"))
+                rows, flat = np.repeat(row, features.shape[1]), features[word].ravel()
+                pairs = np.unique((rows * DIMENSIONS + flat)[flat >= 0])
+                r, f = pairs // DIMENSIONS, pairs % DIMENSIONS
+                yes, every = np.bincount(f[toxic[r]], minlength=DIMENSIONS), np.bincount(f, minlength=DIMENSIONS)
+                there = np.flatnonzero(every)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(yes[there], toxic.sum())), pa.array(np.append(every[there], len(toxic)))], ["feature", "yes", "every"])
+
+    counts = sample.mapInArrow(run, "feature long, yes long, every long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("every").alias("every"))
+    totals = materialize(counts)
+    whole = totals.filter("feature = -1").collect()
+    if not whole or not 0 < whole[0].yes < whole[0].every:
+        return {}
+    n1, n = whole[0].yes, whole[0].every
+    p = (F.col("every") + 1) / (n + 2)
+    z = (F.col("yes") / n1 - (F.col("every") - F.col("yes")) / (n - n1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
+    kept = totals.filter(f"feature >= 0 and every >= {LEAST_TEXTS}").select("feature", z.alias("z")).filter(f"abs(z) >= {LEAST_Z}")
+    return {r.feature: r.z for r in kept.collect()}  # DIMENSIONS rows at most, in practice some thousands
+
+
+def sample_rows(sample: DataFrame, kept: dict[int, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, numbers of marker words, and the pairs (row, number of the feature among those kept, one for each distinct word) of the sample's texts."""
+    names = np.array(sorted(kept), np.int64)
+    marker = np.array([kept[int(x)] >= 2 * LEAST_Z for x in names], bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.full(DIMENSIONS + 1, -1)
+        at[names] = np.arange(len(names))
         for batch in batches:
             for part in slices(batch):
                 features, row, word = distinct_words(part.column("text"))
-                cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                found = [np.where(features[word[a:b]] < 0, -1, features[word[a:b]]).astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("_grade"), pa.array(found, pa.binary())], ["doc_id", "grade", "features"])
-
-    got = texts.select("doc_id", "text", "_grade").mapInArrow(run, "doc_id string, grade int, features binary").dropDuplicates(["doc_id"]).toArrow()
-    order = np.argsort(np.array(got.column("doc_id").to_pylist(), object).astype(str), kind="stable") if got.num_rows else np.zeros(0, int)
-    features = [np.frombuffer(got.column("features")[int(k)].as_py(), "<i4").reshape(-1, 1 + len(PREFIXES)) for k in order]
-    grades = got.column("grade").to_numpy()[order] if got.num_rows else np.zeros(0, int)
-    row = np.repeat(np.arange(len(features)), [len(x) for x in features]) if features else np.zeros(0, int)
-    return grades, row, np.concatenate(features) if features else np.zeros((0, 1 + len(PREFIXES)), np.int32)
-
-
-def screen(toxic: np.ndarray, row: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Standard errors between the shares of toxic and of other texts that have each feature; 0 for those in too few texts."""
-    rows = np.repeat(row, features.shape[1])
-    flat = features.ravel().astype(np.int64)
-    pairs = np.unique((rows * DIMENSIONS + flat)[flat >= 0])
-    r, f = pairs // DIMENSIONS, pairs % DIMENSIONS
-    yes, all_ = np.bincount(f[toxic[r]], minlength=DIMENSIONS), np.bincount(f, minlength=DIMENSIONS)
-    n1, n = max(1, toxic.sum()), max(1, len(toxic))
-    n0 = max(1, n - n1)
-    p = (all_ + 1) / (n + 2)
-    z = (yes / n1 - (all_ - yes) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    return np.where(all_ >= LEAST_TEXTS, z, 0.0)
-
-
-def severity_grades(toxic: np.ndarray, row: np.ndarray, features: np.ndarray) -> np.ndarray:
+                own = np.where(features < 0, -1, at[features])
+                marks = np.bincount(row[np.append(marker, False)[own[word, 0]]], minlength=part.num_rows)
+                rows, flat = np.repeat(row, own.shape[1]), own[word].ravel()
+                rows, flat = rows[flat >= 0], flat[flat >= 0]
+                cuts = np.searchsorted(rows, np.arange(part.num_rows + 1))
+                found = [flat[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array(marks.astype(np.int64)), pa.array(found, pa.binary())], ["label", "marks", "features"])
+
+    got = sample.mapInArrow(run, "label int, marks long, features binary").toArrow()
+    features = [np.frombuffer(x.as_py(), "<i4") for x in got.column("features")]
+    row = np.repeat(np.arange(len(features)), [len(x) for x in features]) if features else np.zeros(0, np.int64)
+    return got.column("label").to_numpy(), got.column("marks").to_numpy(), row, np.concatenate(features) if features else np.zeros(0, np.int32)
+
+
+def severity_grades(toxic: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Grades 0 to 3 from yes-or-no labels: a toxic text is graded by its number of marker words, those that are far more frequent in toxic texts."""
-    z = screen(toxic, row, features)
-    marker = (z[features[:, 0]] >= 2 * LEAST_Z) & (features[:, 0] >= 0)
-    count = np.bincount(row[marker], minlength=len(toxic))
-    return np.where(toxic, 1 + sum((count >= k).astype(int) for k in GRADE_STEPS), 0)
+    return np.where(toxic, 1 + sum((marks >= k).astype(int) for k in GRADE_STEPS), 0)
 
 
-def fit(grades: np.ndarray, row: np.ndarray, features: np.ndarray, l2: float = 1e-4, steps: int = 150) -> OrdinalModel:
-    """Fits weights and thresholds by Adam on the whole sample. Without both a toxic and another text, all texts get severity 0."""
+def fit(grades: np.ndarray, rows: np.ndarray, flat: np.ndarray, names: np.ndarray, l2: float = 1e-4, steps: int = 150) -> OrdinalModel:
+    """Fits weights of the features `names` and thresholds by Adam on the whole sample. Without both a toxic and another text, all texts get severity 0."""
     weights = np.zeros(DIMENSIONS)
     levels = int(grades.max()) if len(grades) else 0
     if levels < 1 or not (grades == 0).any():
         return OrdinalModel(weights, np.full(max(1, levels), 40.0))
-    keep = np.abs(screen(grades > 0, row, features)) >= LEAST_Z
-    names = np.flatnonzero(keep)
-    at = np.full(DIMENSIONS + 1, -1)
-    at[names] = np.arange(len(names))
-    flat = at[features.ravel()]
-    flat[features.ravel() < 0] = -1
-    rows = np.repeat(row, features.shape[1])[flat >= 0]
-    flat = flat[flat >= 0]
     n, k = len(grades), np.arange(levels)
     reached = (grades[:, None] > k).mean(0).clip(1e-4, 1 - 1e-4)
     x = np.concatenate([np.zeros(len(names)), [-np.log(reached[0] / (1 - reached[0]))], np.full(levels - 1, np.log(0.5))])  # first threshold, logs of the gaps
@@ -143,17 +156,21 @@ def fit(grades: np.ndarray, row: np.ndarray, features: np.ndarray, l2: float = 1
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", ordered: bool = False) -> OrdinalModel:
     """A model from labelled rows. `label` holds ordered grades from 0, or, unless `ordered`, 0 and 1, from which severity_grades makes grades."""
-    grades, row, features = labelled_features(docs, labels, label)
-    return fit(grades if ordered else severity_grades(grades > 0, row, features), row, features)
+    sample = labelled_sample(docs, labels, label)
+    kept = screened(sample)
+    labelled, marks, rows, flat = sample_rows(sample, kept)
+    return fit(labelled if ordered else severity_grades(labelled > 0, marks), rows, flat, np.array(sorted(kept), np.int64))
 
 
-def scored(docs: DataFrame, model: OrdinalModel, text: str = "text", limit: float = LIMIT) -> DataFrame:
-    """All of docs' columns, and `_severity` (expected grade), `_p_toxic` (probability of any grade above 0) and `_toxic` (whether that reaches limit).
+def scored(docs: DataFrame, model: OrdinalModel, text: str = "text", limit: float = LIMIT, out: str = "_score") -> DataFrame:
+    """All of docs' columns, and the struct `out`, a name that docs doesn't have: severity (expected grade), p_toxic (probability of any grade above 0) and toxic (whether that reaches limit).
 
     Null and empty texts have no features: they get the model's severity of an empty text. Repeated rows are scored each. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _severity double, _p_toxic double, _toxic boolean"
+    if out in docs.columns:
+        raise ValueError(f"{out} is a column already")
+    schema = T.StructType([*docs.schema, T.StructField(out, T.StructType.fromDDL("severity double, p_toxic double, toxic boolean"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -164,7 +181,7 @@ def scored(docs: DataFrame, model: OrdinalModel, text: str = "text", limit: floa
                 value = weights[features].sum(1)
                 above = m.above(np.bincount(row, value[word], part.num_rows) if len(word) else np.zeros(part.num_rows))
                 new = [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= limit)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "_severity", "_p_toxic", "_toxic"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(new, ["severity", "p_toxic", "toxic"])], [*part.schema.names, out])
 
     return docs.mapInArrow(run, schema)
 
@@ -172,4 +189,4 @@ def scored(docs: DataFrame, model: OrdinalModel, text: str = "text", limit: floa
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: float = LIMIT) -> DataFrame:
     """doc_id, severity, p_toxic and toxic for each row of docs, by a model fitted on the labelled ones."""
     found = scored(docs.select("doc_id", "text"), fit_toxicity(docs, labels, label), limit=limit)
-    return found.select("doc_id", F.round("_severity", 6).alias("severity"), F.round("_p_toxic", 6).alias("p_toxic"), F.col("_toxic").alias("toxic"))
+    return found.select("doc_id", F.round("_score.severity", 6).alias("severity"), F.round("_score.p_toxic", 6).alias("p_toxic"), "_score.toxic")
