@@ -1,15 +1,577 @@
-"""The registered queries of the knowledge engine."""
+"""The registered queries of the knowledge engine, each beside the SQL that gives the same rows, where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.functions import rules, text, vectors
+from graphloom.operators import cluster, paths, search
+from graphloom.operators.chunk import chunked
+from graphloom.plans import api
+from graphloom.sources import tables
+from graphloom.sources.tables import table
+from graphloom.streaming import cache, uploads
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+#: Thresholds for the test vectors, which are nearly orthogonal: links, hierarchies and searches.
+LINK, FIND = 0.3, 0.2
+CLUSTERING = cluster.ClusterConfig(threshold=LINK)
+
+NODES = """nodes AS (SELECT CAST(d.doc_id AS VARCHAR) AS node_id, d.doc_id, d.text AS content, d.source, d.lang, CAST(e.embedding AS DOUBLE[]) AS v,
+  CASE WHEN d.lang = 'en' THEN 'global_knowledge' ELSE 'user_' || d.lang END AS namespace,
+  CASE WHEN l.toxic = 1 THEN 'deprecated' WHEN l.quality = 0 THEN 'incomplete' WHEN l.quality IS NULL THEN 'pending' ELSE 'complete' END AS status
+  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+EDGES = f"""{NODES}, pairs AS (SELECT a.node_id AS src, b.node_id AS dst, a.namespace, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
+  FROM nodes a JOIN nodes b ON a.namespace = b.namespace AND a.node_id < b.node_id), edges AS (SELECT * FROM pairs WHERE similarity >= {LINK})"""
+MODEL_NODES = """model_nodes AS (SELECT 'r' || r_regionkey AS id, 'fractal_models:' || r_regionkey AS model_id, NULL AS parent_id, 2 AS level, NULL AS v FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'fractal_models:' || n_regionkey, 'r' || n_regionkey, 1, NULL FROM nation
+  UNION ALL SELECT 's' || s_suppkey, 'fractal_models:' || n_regionkey, 'n' || n_nationkey, 0, CAST(embedding AS DOUBLE[]) FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN embeddings ON vec_id = s_suppkey)"""
+ACCESS = "access AS (SELECT user_id AS doc_id, count(*) AS access_count, max(ts) AS last_accessed_at FROM events GROUP BY 1)"
+SESSIONS = """sessions AS (SELECT o_orderkey AS upload_id, 7 AS total_chunks, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'uploading' ELSE 'converting' END AS status, o_orderdate AS created_at FROM orders),
+  got AS (SELECT l_orderkey AS upload_id, count(DISTINCT l_linenumber) AS n, list_sort(list_distinct(list(l_linenumber - 1))) AS chunks FROM lineitem GROUP BY 1)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).first().embedding
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.similarity_edges(tables.nodes(spark, sf_dir), LINK)
+
+
+def _stated(nodes: DataFrame) -> DataFrame:
+    """The stated query set: nodes whose id divides by 20."""
+    return nodes.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector", "namespace")
+
+
+# --- vector search ---------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {NODES}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) SELECT node_id, namespace, round(list_cosine_similarity(v, q), 6) AS similarity FROM nodes, q WHERE namespace = 'global_knowledge' ORDER BY similarity DESC, node_id LIMIT 10")
+def vec_topk(spark, d):
+    rows = tables.nodes(spark, d).filter(F.col("namespace") == rules.GLOBAL)
+    return search.top_k(rows, _vector(spark, d), 10).select("node_id", "namespace", "similarity")
+
+
+@query(f"WITH {NODES}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) SELECT node_id, round(list_cosine_similarity(v, q), 6) AS similarity FROM nodes, q WHERE round(list_cosine_similarity(v, q), 6) >= {FIND} ORDER BY similarity DESC, node_id LIMIT 20")
+def vec_topk_threshold(spark, d):
+    return search.top_k(tables.nodes(spark, d), _vector(spark, d), 20, least=FIND).select("node_id", "similarity")
+
+
+@query(f"""WITH {NODES}, r AS (SELECT q.doc_id AS query_id, n.node_id, round(list_cosine_similarity(q.v, n.v), 6) AS similarity FROM nodes q JOIN nodes n ON q.namespace = n.namespace WHERE q.doc_id % 20 = 0),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, node_id) AS rank FROM r) SELECT query_id, node_id, similarity, rank FROM k WHERE rank <= 10""")
+def vec_topk_per_query(spark, d):
+    nodes = tables.nodes(spark, d)
+    return search.top_k_each(nodes, _stated(nodes), 10, group="namespace").select("query_id", "node_id", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {MODEL_NODES}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) SELECT id, round(list_cosine_similarity(v, q), 6) AS similarity FROM model_nodes, q WHERE model_id = 'fractal_models:1' AND v IS NOT NULL ORDER BY similarity DESC, id LIMIT 5")
+def model_node_topk(spark, d):
+    rows = tables.model_nodes(spark, d).filter("model_id = 'fractal_models:1' and vector is not null")
+    return search.top_k(rows, _vector(spark, d), 5, "id").select("id", "similarity")
+
+
+@query(f"WITH {NODES}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 1) SELECT node_id, round(list_cosine_similarity(v, q), 6) AS similarity FROM nodes, q WHERE doc_id <> 1 ORDER BY similarity DESC, node_id LIMIT 1")
+def most_similar_one(spark, d):
+    return search.top_k(tables.nodes(spark, d).filter("doc_id != 1"), _vector(spark, d, 1), 1).select("node_id", "similarity")
+
+
+@query(f"WITH {NODES}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) SELECT node_id, round(list_distance(v, q), 6) AS distance FROM nodes, q ORDER BY distance, node_id LIMIT 10")
+def euclid_topk(spark, d):
+    return search.nearest(tables.nodes(spark, d), _vector(spark, d), 10).select("node_id", "distance")
+
+
+@query(f"WITH {EDGES} SELECT src, dst, namespace, similarity, round(1 / similarity, 6) AS weight FROM edges")
+def pairwise_sim_edges(spark, d):
+    return _edges(spark, d).select("src", "dst", "namespace", "similarity", "weight")
+
+
+@query(f"WITH {NODES}, p AS (SELECT a.namespace, list_cosine_similarity(a.v, b.v) AS s FROM nodes a JOIN nodes b ON a.namespace = b.namespace AND a.node_id < b.node_id) SELECT n.namespace, n.members, round(coalesce(p.s, 1.0), 6) AS average_similarity FROM (SELECT namespace, count(*) AS members FROM nodes GROUP BY 1) n LEFT JOIN (SELECT namespace, avg(s) AS s FROM p GROUP BY 1) p USING (namespace)")
+def avg_pairwise_by_ns(spark, d):
+    return search.average_pairwise(tables.nodes(spark, d), "namespace").withColumn("average_similarity", F.round("average_similarity", 6))
+
+
+CENTROIDS = f"{NODES}, parts AS (SELECT namespace, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM nodes), c AS (SELECT namespace, place, avg(x) AS x FROM parts GROUP BY 1, 2)"
+
+
+@query(f"WITH {CENTROIDS} SELECT namespace, CAST(place - 1 AS INTEGER) AS place, round(x, 6) AS x FROM c")
+def centroid_by_ns(spark, d):
+    return search.centroids(tables.nodes(spark, d), "namespace").select("namespace", F.posexplode("centroid").alias("place", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH {CENTROIDS}, m AS (SELECT namespace, list(x ORDER BY place) AS m FROM c GROUP BY 1) SELECT node_id, round(list_cosine_similarity(v, m), 6) AS similarity FROM nodes JOIN m USING (namespace)")
+def sim_to_centroid(spark, d):
+    nodes = tables.nodes(spark, d)
+    return nodes.join(search.centroids(nodes, "namespace"), "namespace").select("node_id", F.round(vectors.cosine(F.col("vector"), F.col("centroid")), 6).alias("similarity"))
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm, abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) < 1e-6 AS unit FROM embeddings")
+def normalize_check(spark, d):
+    v = F.col("embedding")
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(v), 5).alias("norm"), vectors.is_normalized(v).alias("unit"))
+
+
+@query("SELECT o_orderkey, CASE WHEN s <= 0 THEN 3.4028234663852886e38 ELSE 1 / s END AS distance, CASE WHEN s <= 0 THEN 0.0 ELSE round(s, 6) END AS back FROM (SELECT o_orderkey, (o_orderkey % 7 - 1) / 5.0::DOUBLE AS s FROM orders)")
+def sim_dist_roundtrip(spark, d):
+    s = (F.col("o_orderkey") % 7 - 1) / 5.0
+    distance = vectors.to_distance(s)
+    return table(spark, d, "orders").select("o_orderkey", distance.alias("distance"), F.round(vectors.to_similarity(distance), 6).alias("back"))
+
+
+# --- repository ------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {NODES} SELECT node_id, status FROM nodes WHERE namespace = 'user_fr'")
+def nodes_by_namespace(spark, d):
+    return tables.nodes(spark, d).filter("namespace = 'user_fr'").select("node_id", "status")
+
+
+@query(f"WITH {NODES} SELECT node_id, namespace FROM nodes WHERE status = 'incomplete'")
+def nodes_by_status(spark, d):
+    return tables.nodes(spark, d).filter("status = 'incomplete'").select("node_id", "namespace")
+
+
+@query(f"WITH {NODES} SELECT node_id, namespace FROM nodes WHERE namespace = 'global_knowledge'")
+def leaf_nodes(spark, d):
+    return tables.nodes(spark, d).filter("namespace = 'global_knowledge' and node_type = 'leaf' and depth_level = 0").select("node_id", "namespace")
+
+
+@query(f"WITH {NODES}, {ACCESS} SELECT node_id, access_count FROM nodes JOIN access USING (doc_id) WHERE access_count > 10 ORDER BY access_count DESC, node_id LIMIT 20")
+def hot_nodes(spark, d):
+    used = tables.nodes(spark, d).join(tables.access(spark, d), "doc_id").filter(rules.is_hot(F.col("access_count")))
+    return used.orderBy(F.desc("access_count"), "node_id").limit(20).select("node_id", "access_count")
+
+
+@query(f"WITH {EDGES} SELECT src, count(*) AS outgoing FROM edges GROUP BY 1")
+def edges_out(spark, d):
+    return _edges(spark, d).groupBy("src").agg(F.count("*").alias("outgoing"))
+
+
+@query(f"WITH {EDGES} SELECT dst, count(*) AS incoming FROM edges GROUP BY 1")
+def edges_in(spark, d):
+    return _edges(spark, d).groupBy("dst").agg(F.count("*").alias("incoming"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN s <= 0 THEN 3.4028234663852886e38 ELSE 1 / s END AS weight, s BETWEEN 0 AND 1 AND c BETWEEN 0 AND 1 AS valid FROM (SELECT l_orderkey, l_linenumber, l_discount * 12 - 0.1 AS s, l_tax * 13 AS c FROM lineitem)")
+def edge_validity(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 12 - 0.1).alias("s"), (F.col("l_tax") * 13).alias("c"))
+    weight = rules.edge_weight(F.col("s"))
+    return rows.select("l_orderkey", "l_linenumber", weight.alias("weight"), rules.edge_valid(weight, F.col("s"), F.col("c")).alias("valid"))
+
+
+@query(f"WITH {NODES} SELECT node_id, round(list_cosine_similarity(v, v) * 0.85, 6) AS relevance FROM nodes")
+def relevance(spark, d):
+    v = F.col("vector")
+    return tables.nodes(spark, d).select("node_id", F.round(vectors.cosine(v, v) * 0.85, 6).alias("relevance"))
+
+
+@query(f"WITH {EDGES}, n AS (SELECT namespace, count(*) AS node_count FROM nodes GROUP BY 1), e AS (SELECT namespace, count(*) AS edge_count FROM edges GROUP BY 1) SELECT namespace, node_count, coalesce(edge_count, 0) AS edge_count FROM n LEFT JOIN e USING (namespace)")
+def namespace_stats(spark, d):
+    return api.namespace_stats(tables.nodes(spark, d), _edges(spark, d))
+
+
+@query(f"WITH {MODEL_NODES} SELECT model_id, level, count(*) AS nodes FROM model_nodes GROUP BY 1, 2")
+def count_by_level(spark, d):
+    return tables.model_nodes(spark, d).groupBy("model_id", "level").agg(F.count("*").alias("nodes"))
+
+
+@query("SELECT 'fractal_models:' || r_regionkey AS id, r_name AS name, TIMESTAMP '2024-01-01' + to_days(CAST(r_regionkey * 7 % 5 AS INTEGER)) AS created_at FROM region WHERE r_regionkey % 3 = 0 ORDER BY created_at DESC")
+def models_by_status_newest(spark, d):
+    return tables.models(spark, d).filter("status = 'ready'").orderBy(F.desc("created_at"), "id").select("id", "name", "created_at")
+
+
+@query(f"WITH {MODEL_NODES} SELECT r.model_id, r.id AS root_id, c.id AS child_id FROM model_nodes r JOIN model_nodes c ON c.parent_id = r.id WHERE r.parent_id IS NULL")
+def root_and_children(spark, d):
+    nodes = tables.model_nodes(spark, d)
+    roots = nodes.filter("parent_id is null").select("model_id", F.col("id").alias("root_id"))
+    return roots.join(nodes.select(F.col("id").alias("child_id"), F.col("parent_id").alias("root_id")), "root_id").select("model_id", "root_id", "child_id")
+
+
+@query("SELECT 'fractal_models:' || r_regionkey AS id, CAST(r_regionkey AS VARCHAR) AS short_id, r_regionkey % 3 = 1 OR r_regionkey % 3 = 0 AS refused FROM region")
+def convert_guard(spark, d):
+    return tables.models(spark, d).select("id", rules.thing_id(F.col("id")).alias("short_id"), F.col("status").isin("converting", "ready").alias("refused"))
+
+
+@query("SELECT r_regionkey, CASE WHEN p >= 1000000000 THEN printf('%.1fB', p / 1e9) WHEN p >= 1000000 THEN printf('%.1fM', p / 1e6) WHEN p >= 1000 THEN printf('%.1fK', p / 1e3) ELSE CAST(p AS VARCHAR) END AS parameters FROM (SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 500 WHEN 1 THEN 1500 WHEN 2 THEN 7000000 ELSE CAST(r_regionkey AS BIGINT) * 1500000007 END AS p FROM region)")
+def format_params(spark, d):
+    k = F.col("r_regionkey").cast("long")
+    p = F.when(k == 0, 500).when(k == 1, 1500).when(k == 2, 7000000).otherwise(k * 1500000007)
+    return table(spark, d, "region").select("r_regionkey", rules.format_params(p).alias("parameters"))
+
+
+# --- uploads, progress, caches ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SESSIONS} SELECT upload_id, coalesce(n, 0) AS n_received, CAST(7 - coalesce(n, 0) AS BIGINT) AS n_missing, coalesce((SELECT min(x) FROM range(0, 7) t(x) WHERE NOT list_contains(chunks, x)), CASE WHEN n IS NULL THEN 0 ELSE -1 END) AS first_missing FROM sessions LEFT JOIN got USING (upload_id)")
+def missing_chunks(spark, d):
+    rows = uploads.received(tables.sessions(spark, d), tables.chunk_arrivals(spark, d))
+    return rows.select("upload_id", "n_received", F.size("missing").cast("long").alias("n_missing"), F.coalesce(F.try_element_at("missing", F.lit(1)), F.lit(-1)).alias("first_missing"))
+
+
+@query(f"WITH {SESSIONS} SELECT upload_id, status, round(coalesce(n, 0) / 7.0::DOUBLE * 100, 6) AS upload_progress FROM sessions LEFT JOIN got USING (upload_id) WHERE status IN ('uploading', 'finalizing', 'converting')")
+def upload_progress(spark, d):
+    rows = uploads.active(uploads.received(tables.sessions(spark, d), tables.chunk_arrivals(spark, d)))
+    return rows.select("upload_id", "status", "upload_progress")
+
+
+@query(f"WITH {SESSIONS} SELECT upload_id, 'cancelled' AS status FROM sessions WHERE status = 'uploading' AND created_at < (SELECT max(created_at) FROM sessions) - INTERVAL 24 HOURS")
+def expired_sessions(spark, d):
+    rows = tables.sessions(spark, d)
+    now = rows.agg(F.max("created_at").alias("now"))  # one row
+    late = uploads.expired(rows.crossJoin(F.broadcast(now)), F.col("now"))
+    return late.select("upload_id", "status")
+
+
+@query("SELECT upload_id, CASE WHEN n = 7 AND status = 'uploading' THEN 'finalizing' ELSE status END AS status FROM (SELECT o_orderkey AS upload_id, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'uploading' ELSE 'converting' END AS status FROM orders) s LEFT JOIN (SELECT l_orderkey AS upload_id, count(DISTINCT l_linenumber) AS n FROM lineitem WHERE l_linenumber <= 7 GROUP BY 1) g USING (upload_id)")
+def finalize_uploads(spark, d):
+    rows = uploads.received(tables.sessions(spark, d), tables.chunk_arrivals(spark, d))
+    done = uploads.may_finalize(rows).select("upload_id", F.col("status").alias("new"))
+    return rows.join(done, "upload_id", "left").select("upload_id", F.coalesce("new", "status").alias("status"))
+
+
+@query("SELECT l_orderkey AS upload_id, count(*) AS arrivals, sum(CAST(sha256(CAST(l_linenumber AS VARCHAR)) = sha256(CAST(l_linenumber % 5 AS VARCHAR)) AS BIGINT))::BIGINT AS valid FROM lineitem GROUP BY 1")
+def chunk_checksums(spark, d):
+    n = F.col("l_linenumber")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("upload_id"), n.cast("string").cast("binary").alias("data"), F.sha2((n % 5).cast("string").cast("binary"), 256).alias("checksum"))
+    return uploads.verified(rows).groupBy("upload_id").agg(F.count("*").alias("arrivals"), F.sum(F.col("valid").cast("long")).alias("valid"))
+
+
+@query("SELECT l_orderkey AS upload_id, strlen(string_agg(c, '' ORDER BY k)) AS size, sha256(string_agg(c, '' ORDER BY k)) AS sha256 FROM (SELECT DISTINCT l_orderkey, l_linenumber AS k, 'chunk-' || l_linenumber AS c FROM lineitem) GROUP BY 1")
+def reassemble_uploads(spark, d):
+    rows = tables.chunk_arrivals(spark, d).select("upload_id", "chunk", F.concat(F.lit("chunk-"), (F.col("chunk") + 1).cast("string")).cast("binary").alias("data"))
+    return uploads.reassembled(rows).select("upload_id", F.col("size").cast("long").alias("size"), "sha256")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE stage WHEN 0 THEN 10.0 WHEN 1 THEN 20.0 WHEN 2 THEN 20 + 0.5 * p WHEN 3 THEN 70 + 0.25 * p WHEN 4 THEN 100.0 ELSE 0.0 END AS progress FROM (SELECT l_orderkey, l_linenumber, l_linenumber - 1 AS stage, round(l_quantity / 50 * 100, 6) AS p FROM lineitem)")
+def overall_progress(spark, d):
+    names = F.array(*(F.lit(x) for x in ("extracting", "chunking", "embedding", "persisting", "complete", "failed", "unknown")))
+    stage = F.get(names, F.col("l_linenumber") - 1)
+    done = F.round(F.col("l_quantity") / 50 * 100, 6) / 100
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rules.overall_progress(stage, done, done, F.lit(1)).alias("progress"))
+
+
+@query("SELECT event_id, hour(ts) >= 22 OR hour(ts) < 6 AS night, hour(ts) >= 9 AND hour(ts) < 17 AS office, true AS always FROM events")
+def is_rem_time(spark, d):
+    hour = F.hour("ts")
+    return table(spark, d, "events").select("event_id", rules.is_rem_time(hour, 22, 6).alias("night"), rules.is_rem_time(hour, 9, 17).alias("office"), rules.is_rem_time(hour, 3, 3).alias("always"))
+
+
+def _cache_ops(spark: SparkSession, d: str) -> DataFrame:
+    op = F.when(F.col("event_id") % 3 == 0, "put").otherwise("get")
+    key = (F.col("user_id") % 40).cast("string")
+    return table(spark, d, "events").select(F.col("event_type").alias("cache"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), op.alias("op"), key.alias("key"), F.lit("v").alias("value"), F.lit(None).cast("double").alias("ttl_seconds"))
+
+
+@query()
+def lru_metrics(spark, d):
+    return cache.replay(_cache_ops(spark, d), capacity=20, ttl=6 * 3600.0)
+
+
+@query("SELECT event_type AS cache, count(DISTINCT user_id % 40) AS keys, count(*) FILTER (WHERE event_id % 3 = 0) AS puts, count(*) FILTER (WHERE event_id % 3 <> 0) AS gets FROM events GROUP BY 1")
+def cache_traffic(spark, d):
+    ops = _cache_ops(spark, d)
+    return ops.groupBy("cache").agg(F.countDistinct("key").alias("keys"), F.count_if(F.col("op") == "put").alias("puts"), F.count_if(F.col("op") == "get").alias("gets"))
+
+
+@query(f"WITH {NODES} SELECT DISTINCT CAST(d.doc_id AS VARCHAR) AS node_id FROM documents d LEFT JOIN nodes n ON n.doc_id = d.doc_id WHERE n.doc_id IS NULL")
+def cache_unseen(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("node_id"))
+    return cache.unseen(docs, tables.nodes(spark, d), "node_id")
+
+
+# --- text ------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[^\S\n]+', ' ', 'g'), '\n\s*', chr(10), 'g'), '^\s+', '', 'g'), '\s+$', '', 'g')) AS digest FROM pages")
+def squeeze_whitespace(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(text.squeeze(F.col("html"))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(text, ' ', chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents")
+def line_endings(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.unix_lines(F.replace("text", F.lit(" "), F.lit("\r\n")))).alias("digest"))
+
+
+@query("SELECT page_id, CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'pdf' WHEN 2 THEN 'image' ELSE 'unknown' END AS file_type, CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'pdf' WHEN 2 THEN 'image' ELSE 'unknown' END AS by_mime FROM (SELECT page_id, page_id % 4 AS k FROM pages)")
+def file_type_detect(spark, d):
+    k = F.col("page_id") % 4
+    name = F.concat(F.lit("a.b/file"), F.col("page_id").cast("string"), F.when(k == 0, ".MD").when(k == 1, ".pdf").when(k == 2, ".JpEg").otherwise(".zip"))
+    mime = F.when(k == 0, "text/markdown").when(k == 1, "application/pdf").when(k == 2, "image/png").otherwise("application/zip")
+    return table(spark, d, "pages").select("page_id", text.file_type(name).alias("file_type"), text.mime_type(mime).alias("by_mime"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS domain FROM pages")
+def domain_extract(spark, d):
+    return table(spark, d, "pages").select("page_id", text.domain(F.col("url")).alias("domain"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(substring(text, 1, 100), '\s+'), lambda x: x <> ''), 1, 10), ' ') AS query FROM documents")
+def search_query_build(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.search_query(F.col("text")).alias("query"))
+
+
+RESULTS = "results AS (SELECT page_id, page_id // 10 AS query_id, CAST(page_id % 10 AS INTEGER) AS position, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, round(0.95 - 0.05 * (page_id % 10), 6) AS score FROM pages)"
+
+
+@query(f"WITH {RESULTS} SELECT query_id, md5(string_agg('• ' || title || ' (' || url || ')' || chr(10) || 'page ' || page_id, chr(10) || chr(10) ORDER BY position)) AS digest FROM results GROUP BY 1")
+def combined_snippets(spark, d):
+    line = text.snippet_line(F.col("title"), F.col("url"), F.concat(F.lit("page "), F.col("page_id").cast("string")))
+    return tables.search_results(spark, d).groupBy("query_id").agg(F.md5(text.ordered_text(F.col("position"), line, text.PART_BREAK)).alias("digest"))
+
+
+@query(f"WITH {RESULTS} SELECT page_id, score FROM results WHERE score >= 0.7")
+def results_above_score(spark, d):
+    return tables.search_results(spark, d).filter("score >= 0.7").select("page_id", "score")
+
+
+@query("SELECT item_id AS query_id, p AS position, round(0.9 - 0.1 * p, 6) AS score, s || ' - ' || q AS title FROM (SELECT item_id, replace(substring(text, 1, 20), chr(10), ' ') AS q FROM benchmark), (SELECT unnest(['Wikipedia', 'Stack Overflow', 'GitHub', 'Documentation', 'Blog Post']) AS s, unnest([0, 1, 2, 3, 4]) AS p) WHERE trim(q) <> ''")
+def mock_search(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.replace(F.substring("text", 1, 20), F.lit("\n"), F.lit(" ")).alias("query"))
+    return api.mock_search(asked).select("query_id", "position", "score", "title")
+
+
+@query("SELECT user_id, sum(event_id)::BIGINT AS n, 'chunk:' || min(event_id) || '/' || max(event_id) AS tag FROM events GROUP BY 1")
+def tag_format(spark, d):
+    tag = F.concat(F.lit("chunk:"), F.min("event_id").cast("string"), F.lit("/"), F.max("event_id").cast("string"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.sum("event_id").alias("n"), tag.alias("tag"))
+
+
+@query("SELECT item_id, CAST(list_reduce(list_prepend(5381::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS HUGEINT))), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT) AS VARCHAR) AS hash FROM benchmark")
+def text_hash(spark, d):
+    return table(spark, d, "benchmark").select("item_id", vectors.text_hash(F.col("text")).cast("string").alias("hash"))
+
+
+@query("SELECT item_id, CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS VARCHAR) AS hash FROM benchmark")
+def fnv_hash(spark, d):
+    return table(spark, d, "benchmark").select("item_id", vectors.fnv1a(F.col("text")).cast("string").alias("hash"))
+
+
+@query("""WITH h AS (SELECT item_id, list_reduce(list_prepend(5381::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS HUGEINT))), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT) AS h FROM benchmark),
+  raw AS (SELECT item_id, i, CAST((((h + i) % 18446744073709551616::HUGEINT) * 2654435761 % 18446744073709551616::HUGEINT) % 10000 AS DOUBLE) / 10000 - 0.5 AS x FROM h, range(0, 16) t(i))
+  SELECT item_id, CAST(i AS INTEGER) AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS x FROM raw""")
+def mock_embed(spark, d):
+    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(vectors.mock_embedding(F.col("text"), 16)).alias("place", "x"))
+    return rows.withColumn("x", F.round("x", 6))
+
+
+@query("SELECT doc_id, CAST(0 AS INTEGER) AS chunk_index, trim(text, ' ' || chr(9) || chr(10)) AS content, CAST(strlen(trim(text, ' ' || chr(9) || chr(10))) AS INTEGER) AS end_offset FROM documents WHERE strlen(trim(text, ' ' || chr(9) || chr(10))) BETWEEN 1 AND 1000")
+def chunk_short_documents(spark, d):
+    return chunked(table(spark, d, "documents")).filter("total = 1 and start_offset = 0").filter(F.octet_length("content") <= 1000).select("doc_id", "chunk_index", "content", "end_offset")
+
+
+@query()
+def chunk_documents(spark, d):
+    return chunked(table(spark, d, "documents"))
+
+
+@query()
+def chunk_by_sentences(spark, d):
+    return chunked(table(spark, d, "documents"), by_sentence=True)
+
+
+@query("SELECT lang, count(*) AS n, CAST(sum(strlen(text)) // count(*) AS BIGINT) AS average_size FROM documents WHERE trim(text) <> '' GROUP BY 1")
+def average_sizes(spark, d):
+    full = table(spark, d, "documents").filter(F.trim("text") != "")
+    return full.groupBy("lang").agg(F.count("*").alias("n"), F.floor(F.sum(F.octet_length("text").cast("long")) / F.count("*")).alias("average_size"))
+
+
+# --- clusters and paths ----------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def cluster_flat(spark, d):
+    return cluster.clusters(tables.nodes(spark, d), CLUSTERING)
+
+
+@query()
+def cluster_summary(spark, d):
+    nodes = tables.nodes(spark, d)
+    found = cluster.clusters(nodes, CLUSTERING)
+    sizes = found.groupBy("group").agg(F.countDistinct("cluster").alias("clusters"), F.count("*").alias("placed"))
+    total = nodes.groupBy(F.col("namespace").alias("group")).agg(F.count("*").alias("nodes"))
+    return total.join(sizes, "group", "left").select("group", "nodes", "clusters", F.round(F.col("placed") / F.col("clusters"), 6).alias("average_size"), (F.col("nodes") - F.col("placed")).alias("orphans"))
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.hierarchy(tables.nodes(spark, d), CLUSTERING)
+
+
+@query()
+def hierarchy_levels(spark, d):
+    return _tree(spark, d).select("group", "cluster_id", "depth", F.size("members").alias("members"), F.size("children").alias("children"), "parent_id", F.round("internal_similarity", 6).alias("internal_similarity"), "is_root", F.md5("text").alias("content_digest"))
+
+
+@query()
+def hierarchy_stats(spark, d):
+    return cluster.tree_stats(_tree(spark, d))
+
+
+@query()
+def sibling_edges(spark, d):
+    return cluster.sibling_edges(_tree(spark, d), 0.1)
+
+
+@query()
+def path_to_root(spark, d):
+    return cluster.path_to_root(_tree(spark, d))
+
+
+@query()
+def traverse_from_roots(spark, d):
+    return cluster.traverse(_tree(spark, d), _vector(spark, d), 0.05)
+
+
+@query(f"""WITH RECURSIVE {MODEL_NODES}, walk AS (SELECT id, id AS top, parent_id, 0 AS steps FROM model_nodes UNION ALL SELECT w.id, m.id, m.parent_id, w.steps + 1 FROM walk w JOIN model_nodes m ON m.id = w.parent_id)
+  SELECT id AS cluster_id, top AS root_id, steps FROM walk WHERE parent_id IS NULL""")
+def model_path_to_root(spark, d):
+    walked = cluster.path_to_root(tables.model_nodes(spark, d).select(F.col("id").alias("cluster_id"), "parent_id"))
+    return walked.select("cluster_id", F.element_at("path", -1).alias("root_id"), (F.size("path") - 1).alias("steps"))
+
+
+@query()
+def sssp_capped(spark, d):
+    nodes = tables.nodes(spark, d)
+    edges = paths.clean_edges(_edges(spark, d), both_ways=True)
+    return paths.settle(edges, nodes.filter("doc_id % 20 = 0").select(F.col("node_id").alias("source")), 10).withColumns({"distance": F.round("distance", 6), "path_similarity": F.round("path_similarity", 6)})
+
+
+BOTH = f"{EDGES}, both_ways AS (SELECT src, dst, similarity FROM edges UNION ALL SELECT dst, src, similarity FROM edges)"
+
+
+@query(f"""WITH RECURSIVE {BOTH}, walk AS (SELECT node_id AS source, node_id AS node, 0.0::DOUBLE AS distance, 0 AS hops FROM nodes WHERE doc_id % 20 = 0
+  UNION ALL SELECT w.source, e.dst, w.distance + 1 / e.similarity, w.hops + 1 FROM walk w JOIN both_ways e ON e.src = w.node WHERE w.hops < 3)
+  SELECT source, node, round(min(distance), 6) AS distance FROM walk GROUP BY 1, 2""")
+def sssp_three_hops(spark, d):
+    edges = paths.clean_edges(_edges(spark, d), both_ways=True)
+    sources = tables.nodes(spark, d).filter("doc_id % 20 = 0").select(F.col("node_id").alias("source"))
+    return paths.relax(edges, sources, 3).select("source", "node", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def sssp_full(spark, d):
+    edges = paths.clean_edges(_edges(spark, d), both_ways=True)
+    sources = tables.nodes(spark, d).filter("doc_id % 20 = 0").select(F.col("node_id").alias("source"))
+    return paths.relax(edges, sources).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def hopset(spark, d):
+    return paths.hopset(paths.clean_edges(_edges(spark, d), both_ways=True), 0.2).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def k_nearest_graph(spark, d):
+    edges = paths.clean_edges(_edges(spark, d), both_ways=True)
+    sources = tables.nodes(spark, d).filter("doc_id % 20 = 0").select(F.col("node_id").alias("source"))
+    return paths.k_nearest(paths.relax(edges, sources), 5).select("source", "node", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query()
+def path_measures(spark, d):
+    edges = paths.clean_edges(_edges(spark, d), both_ways=True)
+    sources = tables.nodes(spark, d).filter("doc_id % 20 = 0").select(F.col("node_id").alias("source"))
+    found = paths.path_product(edges, paths.relax(edges, sources, 4))
+    return found.select("source", "node", *(F.round(c, 6).alias(c) for c in ("cost", "average_similarity", "product")))
+
+
+# --- pipelines -------------------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def search_fused(spark, d):
+    nodes = tables.nodes(spark, d)
+    edges = _edges(spark, d)
+    both = edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
+    found = api.search(nodes, both, _stated(nodes), limit=10, least=0.15)
+    return found.select("query_id", "rank", "node_id", "namespace", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"), "path")
+
+
+ASKED = f"""{NODES}, hits AS (SELECT q.doc_id AS query_id, n.node_id, n.content, n.source, round(list_cosine_similarity(q.v, n.v), 6) AS similarity FROM nodes q JOIN nodes n ON q.namespace = n.namespace WHERE q.doc_id % 20 = 0),
+  best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, node_id) AS rank FROM hits), kept AS (SELECT * FROM best WHERE rank <= 5 AND similarity >= {FIND})"""
+
+
+@query(f"WITH {ASKED} SELECT query_id, count(*) AS n_sources, md5(string_agg('[Source ' || rank || '] (from: ' || source || ', relevance: ' || printf('%.1f', similarity * 100) || '%)' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_digest FROM kept GROUP BY 1")
+def ask_context(spark, d):
+    nodes = tables.nodes(spark, d)
+    return api.ask(nodes, _stated(nodes), least=FIND).select("query_id", "n_sources", F.md5("context").alias("context_digest"))
+
+
+@query("SELECT 'turn_' || conv_id || '_' || turn AS node_id, 'user_' || conv_id AS namespace FROM conversations WHERE trim(text) <> ''")
+def remember_episodes(spark, d):
+    return api.remember(tables.episodes(spark, d))[0].select("node_id", "namespace")
+
+
+@query("SELECT * FROM (SELECT 'turn_' || conv_id || '_' || turn AS src, lead('turn_' || conv_id || '_' || turn) OVER (PARTITION BY conv_id ORDER BY turn, 'turn_' || conv_id || '_' || turn) AS dst, 'temporal' AS edge_type FROM conversations) WHERE dst IS NOT NULL")
+def temporal_edges(spark, d):
+    return tables.temporal_edges(tables.episodes(spark, d))
+
+
+@query(f"WITH {NODES} SELECT a.node_id AS src, b.node_id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS similarity, 'crossnamespace' AS edge_type FROM nodes a JOIN nodes b ON a.namespace <> b.namespace AND a.node_id < b.node_id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= {LINK}")
+def cross_namespace_links(spark, d):
+    return api.cross_links(tables.nodes(spark, d), LINK).select("src", "dst", "similarity", "edge_type")
+
+
+@query(f"WITH {NODES} SELECT node_id, CASE WHEN doc_id % 10 = 0 THEN 'deprecated' WHEN doc_id % 10 = 1 THEN 'complete' ELSE status END AS status, CASE WHEN doc_id % 10 = 0 THEN 'deprecated' WHEN doc_id % 10 = 1 THEN 'content,status' ELSE '' END AS updated FROM nodes")
+def memory_update(spark, d):
+    nodes = tables.nodes(spark, d)
+    k = F.col("doc_id") % 10
+    changes = nodes.filter(k < 2).select("node_id", F.when(k == 1, "new").alias("content"), F.when(k == 1, "complete").alias("status"), F.lit(None).cast("array<string>").alias("tags"), F.when(k == 0, F.lit(True)).alias("deprecated"))
+    return api.update_nodes(nodes, changes).select("node_id", "status", F.array_join("updated_fields", ",").alias("updated"))
+
+
+@query("SELECT CAST(count(DISTINCT text) AS BIGINT) AS nodes, CAST(count(DISTINCT text) AS BIGINT) AS complete FROM documents WHERE trim(text) <> ''")
+def ingest_nodes(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    found = api.ingest_documents(docs, lambda c: F.array(F.length(c).cast("double")), chunk=False)
+    return found.agg(F.count_distinct("node_id").alias("nodes"), F.count_if(F.col("status") == "complete").alias("complete"))
+
+
+@query()
+def ingest_chunked(spark, d):
+    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("benchmark").alias("source"))
+    return api.ingest_documents(docs, api.default_embedder(16), size=200, overlap=40, least=20).select("node_id", "doc_id", "tags", F.size("vector").alias("dimension"), F.md5("content").alias("digest"))
+
+
+@query(f"WITH {NODES} SELECT node_id AS related_to, CAST(5 AS BIGINT) AS n_sources FROM nodes WHERE status = 'incomplete' AND trim(content) <> ''")
+def synthesize(spark, d):
+    rows = tables.nodes(spark, d).filter("status = 'incomplete'").select("node_id", "content")
+    return api.synthesize(rows).select("related_to", "n_sources")
+
+
+@query()
+def consolidate(spark, d):
+    return api.consolidate(tables.nodes(spark, d), CLUSTERING, link_least=LINK)["report"]
+
+
+@query()
+def build_hierarchy(spark, d):
+    return api.build_hierarchy(tables.nodes(spark, d), CLUSTERING)[1]
+
+
+@query("SELECT 'healthy' AS status, true AS database, true AS llm, true AS cache")
+def health_stats(spark, d):
+    return api.system_health(tables.nodes(spark, d))
