@@ -120,6 +120,9 @@ class WordRepeats:
     def window_keys(self, body: bytes, n: int) -> np.ndarray:
         return gram_hashes(hash_strings(pa.array(body.split(), pa.binary()).cast(pa.string())), self.window)[:n]
 
+    def part_keys(self, bodies: list[bytes], n: np.ndarray) -> None:
+        return None
+
     def compare(self, group: np.ndarray, bodies: list[bytes], n: np.ndarray, m: np.ndarray) -> np.ndarray:
         h, starts = word_hashes(pa.array(bodies, pa.binary()).cast(pa.string()))
         ends = np.cumsum(n)

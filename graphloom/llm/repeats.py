@@ -3,8 +3,8 @@
 A method picks an anchor inside every window by a rule that looks at the window alone, so equal windows have equal anchors at equal places. Consecutive
 windows with one anchor form an occurrence: one row with the anchor's key and a hash of its context, the text that its windows span.
 Anchors seen once are dropped by a count; equal contexts collapse to one row with their number before any text moves. Where all contexts
-of a repeated anchor are equal, all their windows repeat. The others' texts are fetched, and the method's kernel compares the windows of each
-anchor. An anchor with more contexts than a task should hold is split by window, counted by key, so no group is ever gathered whole.
+of a repeated anchor are equal, all their windows repeat, and so do those of any context seen twice. The texts of anchors with several contexts are fetched; contexts
+that have no coarse key in common with another are left out, and the method's kernel compares the windows of the rest. An anchor with more contexts than a task should hold is split by window, counted by key, so no group is ever gathered whole.
 """
 
 from __future__ import annotations
@@ -41,6 +41,9 @@ class Method(Protocol):
     def window_keys(self, body: bytes, n: int) -> np.ndarray:
         """A hash of each of a context's n windows."""
 
+    def part_keys(self, bodies: list[bytes], n: np.ndarray) -> list[np.ndarray] | None:
+        """Distinct keys of the windows of each context, coarser than the windows: contexts without a key in common have no window in common. None if there is nothing coarser."""
+
     def compare(self, group: np.ndarray, bodies: list[bytes], n: np.ndarray, m: np.ndarray) -> np.ndarray:
         """For the starts of all contexts in order, whether their window occurs twice or more, counting each context m times."""
 
@@ -87,7 +90,7 @@ def repeated_starts(docs: DataFrame, method: Method) -> DataFrame:
     sizes = contexts.groupBy("akey").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     several = contexts.join(materialize(sizes, "lz4"), "akey", "left").withColumn("large", F.col("contexts") > BLOCK_BYTES // method.body_bytes)
     several = materialize(several, "lz4")
-    alone = several.filter("contexts is null").select("akey", "ckey", F.array(F.lit(0), F.col("r.n")).alias("runs"))
+    alone = several.filter("contexts is null or m > 1").select("akey", "ckey", F.array(F.lit(0), F.col("r.n")).alias("runs"))
 
     wanted = several.filter("contexts is not null").select("r.k1", "r.k2", F.struct("akey", "ckey", "large", "m", "r.s", "r.n").alias("c")).groupBy("k1", "k2").agg(F.collect_list("c").alias("cs"))
 
@@ -96,24 +99,25 @@ def repeated_starts(docs: DataFrame, method: Method) -> DataFrame:
             for text, cs in zip(batch.column("text"), batch.column("cs"), strict=True):
                 c = {k: cs.values.field(k).to_numpy(zero_copy_only=False) for k in ("akey", "ckey", "large", "m", "s", "n")}
                 bodies = method.bodies(text.as_py(), c["s"].astype(np.int64), c["n"].astype(np.int64))
-                columns = [[], [], [], [], [], []]
+                columns = [[], [], [], [], [], [], []]
+                parts = method.part_keys(bodies, c["n"].astype(np.int64))
                 for k, body in enumerate(bodies):
                     if c["large"][k]:  # a row for each window, and no text
                         keys = method.window_keys(body, int(c["n"][k])).view(np.int64).tolist()
-                        rows = zip(*((c["akey"][k], c["ckey"][k], w, j, c["m"][k], None) for j, w in enumerate(keys)), strict=True)
+                        rows = zip(*((c["akey"][k], c["ckey"][k], w, j, c["m"][k], None, None) for j, w in enumerate(keys)), strict=True)
                     else:
-                        rows = ([c["akey"][k]], [c["ckey"][k]], [None], [c["n"][k]], [c["m"][k]], [body])
+                        rows = ([c["akey"][k]], [c["ckey"][k]], [None], [c["n"][k]], [c["m"][k]], [body], [None if parts is None else parts[k].view(np.int64)])
                     for column, values in zip(columns, rows, strict=True):
                         column.extend(values)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["akey", "ckey", "wkey", "n", "m", "body"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["akey", "ckey", "wkey", "n", "m", "body", "parts"])
 
     # repeated rows with one id and text fetch a context more than once: the copies go
-    fetched = docs.select("text", "k1", "k2").join(wanted, ["k1", "k2"]).select("text", "cs").mapInArrow(fetch, "akey long, ckey long, wkey long, n int, m long, body binary")
+    fetched = docs.select("text", "k1", "k2").join(wanted, ["k1", "k2"]).select("text", "cs").mapInArrow(fetch, "akey long, ckey long, wkey long, n int, m long, body binary, parts array<long>")
     fetched = materialize(fetched)
     by_window = fetched.filter("wkey is not null").groupBy("akey", "ckey", "wkey", F.col("n").alias("j")).agg(F.first("m").alias("m"))
     twice = by_window.groupBy("akey", "wkey").agg(F.sum("m").alias("t")).filter("t > 1").select("akey", "wkey")
-    split = by_window.join(twice, ["akey", "wkey"]).groupBy("akey", "ckey").agg(F.flatten(F.collect_list(F.array(F.col("j"), F.col("j") + 1))).alias("runs"))
+    split = by_window.filter("m = 1").join(twice, ["akey", "wkey"]).groupBy("akey", "ckey").agg(F.flatten(F.collect_list(F.array(F.col("j"), F.col("j") + 1))).alias("runs"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -130,7 +134,12 @@ def repeated_starts(docs: DataFrame, method: Method) -> DataFrame:
         if held:
             yield _compared(method, held)
 
-    small = fetched.filter("wkey is null").select("akey", "ckey", "n", "m", "body").repartition(partitions(docs), "akey").sortWithinPartitions("akey", "ckey")
+    small = fetched.filter("wkey is null")
+    part = small.select("akey", "ckey", F.explode("parts").alias("part"))
+    shared = materialize(part.groupBy("akey", "part").count().filter("count > 1").select("akey", "part"), "lz4")
+    alike = part.join(shared, ["akey", "part"]).select("akey", "ckey").distinct()
+    small = small.filter("parts is null").unionByName(small.filter("parts is not null").join(alike, ["akey", "ckey"], "left_semi"))
+    small = small.select("akey", "ckey", "n", "m", "body").repartition(partitions(docs), "akey").sortWithinPartitions("akey", "ckey")
     compared = small.mapInArrow(compare, "akey long, ckey long, runs array<int>")
     verdicts = materialize(reduce(DataFrame.unionByName, [alone, compared, split]).filter("size(runs) > 0"))
     return seen.join(verdicts, ["akey", "ckey"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "runs")).alias("hits"))
@@ -142,8 +151,8 @@ def _compared(method: Method, held: list[tuple]) -> pa.RecordBatch:
     twice = method.compare(np.unique(akey, return_inverse=True)[1], [x[4] for x in held], n, np.array([x[3] for x in held], np.int64))
     ends = np.cumsum(n)
     runs = []
-    for a, b in zip(ends - n, ends, strict=True):
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], twice[a:b].astype(np.int8), [0]))))
+    for a, b, m in zip(ends - n, ends, (x[3] for x in held), strict=True):
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], twice[a:b].astype(np.int8), [0])))) if m == 1 else np.zeros(0, np.int64)  # the others repeat whole
         runs.append(edge.tolist())
     return pa.RecordBatch.from_arrays([pa.array(akey), pa.array([x[1] for x in held], pa.int64()), pa.array(runs, pa.list_(pa.int32()))], ["akey", "ckey", "runs"])
 

@@ -68,58 +68,60 @@ def prefix_boundaries(order: np.ndarray, text: np.ndarray, length: int) -> np.nd
     place[order] = np.arange(size)
     left = text[order - 1]  # the transform
     back = place[order - 1]
-    by_left = np.argsort(left, kind="stable")
+    by_left = np.argsort(left.astype(np.int16), kind="stable")
     same = np.full(size, -1)  # the place before with the same character
     same[by_left[1:]] = np.where(left[by_left[1:]] == left[by_left[:-1]], by_left[:-1], -1)
     real = np.flatnonzero(left)
     at_or_after = np.append(real, size)[np.cumsum(left != 0) - (left != 0)]  # the next place with a character, not an end, before it
     changes = np.concatenate(([True], left[real][1:] != left[real][:-1])) if len(real) else np.zeros(0, bool)
-    heads = real[changes]  # runs of equal characters, over the ends between them
-    after = np.append(heads, size)[np.searchsorted(heads, np.arange(size), "right")]
+    starts = np.zeros(size, np.int64)  # runs of equal characters, over the ends between them
+    starts[real[changes]] = 1
+    after = np.append(real[changes], size)[np.cumsum(starts)]
 
     head = text[order]
     bound = np.concatenate(([True], head[1:] != head[:-1])) | (head == 0)
     new = np.flatnonzero(bound)
     active = np.flatnonzero(~bound[back])
+    scratch = np.empty(size, np.int64)
     stale = None
     for level in range(1, length):
         if not len(new):
             break
         found = None
         if len(new) * 20 < size:
-            if stale is None or level % 16 == 0:
-                stale = np.cumsum(bound)
+            if stale is None or level % 24 == 0:
+                stale = np.append(np.cumsum(bound, dtype=np.int32), np.int32(-1))  # boundaries up to a place; the last stands behind all
             found = _near(new, same, at_or_after, after, stale, size)
         if found is None:
             active = active[~bound[back[active]]]
-            mark = np.zeros(size, np.int32)
-            mark[new] = 1
-            mark = np.cumsum(mark)
-            before = same[active]
-            found = active[mark[active] > np.where(before >= 0, mark[before], 0)]
-        to = back[found]
-        to = to[~bound[to]]
+            mark = np.zeros(size + 1, np.int32)
+            mark[new + 1] = 1
+            mark = np.cumsum(mark, dtype=np.int32)  # boundaries before a place
+            found = active[mark.take(active + 1) > mark.take(same.take(active) + 1)]
+        to = back.take(found)
+        to = to.compress(~bound.take(to))
         bound[to] = True
-        new = np.unique(to)
+        turn = np.arange(len(to))
+        scratch[to] = turn
+        new = to.compress(scratch.take(to) == turn)  # each once
     return bound
 
 
 def _near(new: np.ndarray, same: np.ndarray, at_or_after: np.ndarray, after: np.ndarray, stale: np.ndarray, size: int) -> np.ndarray | None:
     """Places whose last equal character lies before a new boundary at or before them, up to the next older boundary. Goes from run to run of
     equal characters; None if the stretches have too many runs, so that a pass over all places is faster."""
-    found, b, p, work = [], new, at_or_after[new], 0
+    found, b, p, own, work = [], new, at_or_after.take(new), stale.take(new), 0
     while True:
-        on = p < size
-        b, p = b[on], p[on]
-        on = stale[p] == stale[b]
-        b, p = b[on], p[on]
+        on = (stale.take(p) == own).nonzero()[0]
+        if len(on) < len(p):
+            b, p, own = b.take(on), p.take(on), own.take(on)
         if not len(p):
             return np.concatenate(found) if found else np.zeros(0, np.int64)
         work += len(p) + 200
         if work > size // 2 + 2000:
             return None
-        found.append(p[same[p] < b])
-        p = after[p]
+        found.append(p.compress(same.take(p) < b))
+        p = after.take(p)
 
 
 class ByteRepeats:
@@ -175,6 +177,23 @@ class ByteRepeats:
         at = np.arange(n)
         return PowerSums(self.codes[np.frombuffer(body, np.uint8)]).of(at, at + self.window)
 
+    def part_keys(self, bodies: list[bytes], n: np.ndarray) -> list[np.ndarray]:
+        """A window's halves have least strings as well; a key is the pair of them."""
+        half = self.window // 2
+        sizes = np.array([len(x) for x in bodies])
+        sums = PowerSums(self.codes[np.frombuffer(b"".join(bodies), np.uint8)])
+        at = np.arange(sizes.sum() - GRAM + 1)
+        least = sliding_min(sums.of(at, at + GRAM), half - GRAM + 1)
+        ends = np.cumsum(n)
+        start = np.repeat(np.cumsum(sizes) - sizes - ends + n, n) + np.arange(ends[-1])
+        keys = mix(least[start] * U64(0x9E3779B97F4A7C15) + least[start + self.window - half])
+        first = np.ones(len(keys), bool)  # runs of equal keys; a key may come twice in a context
+        first[1:] = keys[1:] != keys[:-1]
+        first[ends[:-1]] = True
+        cuts = np.concatenate(([0], np.cumsum(first)))[np.concatenate(([0], ends))]
+        keys = keys[first]
+        return [np.unique(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def compare(self, group: np.ndarray, bodies: list[bytes], n: np.ndarray, m: np.ndarray) -> np.ndarray:
         sizes = np.array([len(x) + 1 for x in bodies])
         text = np.zeros(int(sizes.sum()), np.int32)
@@ -205,10 +224,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         for batch in batches:
             rows = []
             for doc_id, body, hits in zip(*(batch.column(x) for x in ("doc_id", "text", "hits")), strict=True):
-                raw = (body.as_py() or "").encode()
-                gone = cover(len(raw), hits.as_py(), window)
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if len(edge) else raw
+                raw, edge = (body.as_py() or "").encode(), np.zeros(0, np.int64)
+                kept = raw
+                if hits.is_valid:
+                    gone = cover(len(raw), hits.as_py(), window)
+                    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
+                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 row = {"doc_id": doc_id.as_py(), "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": len(edge) // 2, "kept_sha256": hashlib.sha256(kept).hexdigest()}
                 rows.append(row | ({"kept": kept, "spans": [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]} if with_kept else {}))
             names = list(rows[0]) if rows else []
