@@ -161,7 +161,7 @@ def layer_groups(tensors: DataFrame) -> DataFrame:
     layers, number = F.col("architecture.n_layers"), layer_number(F.col("tensor"))
     width = F.greatest(F.lit(1), F.floor(layers / 6))
     start = F.floor(number / width) * width
-    placed = tensors.filter("error is null").withColumn("layer", number).withColumn("start", start.cast("int")).withColumn("end", F.least(start + width - 1, layers - 1).cast("int")).filter((F.col("layer") < layers) | F.col("layer").isNull())
+    placed = tensors.filter("error is null").withColumn("layer", number).withColumn("start", start.cast("int")).withColumn("end", F.when(number.isNotNull(), F.least(start + width - 1, layers - 1)).cast("int")).filter((F.col("layer") < layers) | F.col("layer").isNull())
     has = lambda *parts: F.bool_or(F.reduce(F.array(*(F.contains("tensor", F.lit(p)) for p in parts)), F.lit(False), lambda a, b: a | b))
     size = F.aggregate("dimensions", F.lit(1).cast("long"), lambda a, x: a * x)
     grouped = placed.groupBy("path", "start", "end").agg(

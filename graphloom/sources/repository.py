@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.sources.tables import SCHEMAS
+from graphloom.sources.tables import DDL, schema
 
 
 class Repository:
@@ -34,22 +34,21 @@ class Repository:
 
     def initialise(self) -> None:
         """Empty tables where there are none, and the global namespace, once."""
-        for name, schema in SCHEMAS.items():
+        for name in DDL:
             if self._current(name) is None:
-                self.replace(name, self.spark.createDataFrame([], schema))
+                self.replace(name, self.spark.createDataFrame([], schema(name)))
         seed = self.spark.createDataFrame([("global_knowledge", "global", "Shared knowledge")], "name string, namespace_type string, description string").withColumn("created_at", F.current_timestamp())
-        self.append("namespaces", seed.join(self.read("namespaces").select("name"), "name", "left_anti").select(*SCHEMAS["namespaces"].names))
+        self.append("namespaces", seed.join(self.read("namespaces").select("name"), "name", "left_anti").select(*schema("namespaces").names))
 
     def read(self, name: str) -> DataFrame:
         version = self._current(name)
         if version is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.base}/{name}/{version}")
+            return self.spark.createDataFrame([], schema(name))
+        return self.spark.read.schema(schema(name)).parquet(f"{self.base}/{name}/{version}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
         version, fs = f"v-{uuid.uuid4().hex}", self._fs()
-        schema = SCHEMAS[name]
-        full = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+        full = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(name)))
         full.write.parquet(f"{self.base}/{name}/{version}")
         before, at = self._current(name), self._path(name, "CURRENT")
         stream = fs.create(at, True)
@@ -59,13 +58,13 @@ class Repository:
             fs.delete(self._path(name, before), True)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        missing = [f for f in SCHEMAS[name] if f.name not in rows.columns]
-        self.replace(name, self.read(name).unionByName(rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(*SCHEMAS[name].names)))
+        missing = [f for f in schema(name) if f.name not in rows.columns]
+        self.replace(name, self.read(name).unionByName(rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(*schema(name).names)))
 
     def upsert(self, name: str, rows: DataFrame, key: str) -> None:
-        kept = self.read(name).join(rows.select(key), key, "left_anti").select(*SCHEMAS[name].names)
-        missing = [f for f in SCHEMAS[name] if f.name not in rows.columns]
-        self.replace(name, kept.unionByName(rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(*SCHEMAS[name].names)))
+        kept = self.read(name).join(rows.select(key), key, "left_anti").select(*schema(name).names)
+        missing = [f for f in schema(name) if f.name not in rows.columns]
+        self.replace(name, kept.unionByName(rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(*schema(name).names)))
 
     def delete(self, name: str, where) -> int:
         """Deletes the rows for which a condition is true, and returns their number."""

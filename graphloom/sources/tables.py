@@ -11,17 +11,22 @@ from graphloom.functions.rules import GLOBAL
 
 EMBEDDING = "struct<vector:array<float>,model:string,dimension:int>"
 METADATA = "struct<source:string,source_type:string,source_url:string,author:string,tags:array<string>,language:string,access_count:bigint>"
-SCHEMAS = {
-    "nodes": T.StructType.fromDDL(f"node_id string, uuid string, node_type string, status string, content string, summary string, embedding {EMBEDDING}, depth_level int, confidence float, namespace string, scope string, metadata {METADATA}, created_at timestamp, updated_at timestamp, last_accessed_at timestamp"),
-    "edges": T.StructType.fromDDL("src string, dst string, edge_type string, weight float, similarity float, confidence float, created_at timestamp, updated_at timestamp"),
-    "namespaces": T.StructType.fromDDL("name string, namespace_type string, description string, created_at timestamp"),
-    "scopes": T.StructType.fromDDL("user_id string, namespace string, permissions struct<read:boolean,write:boolean,delete:boolean,access_global:boolean>, created_at timestamp, expires_at timestamp"),
-    "models": T.StructType.fromDDL("id string, name string, architecture struct<model_type:string,n_layers:int,embedding_dim:int,vocab_size:int,n_heads:int,ffn_dim:int>, root_node_id string, status string, file_path string, file_size bigint, conversion_progress float, conversion_phase string, created_at timestamp, updated_at timestamp, metadata string"),
-    "model_nodes": T.StructType.fromDDL("id string, model_id string, embedding array<float>, layer_info struct<layer_start:int,layer_end:int,layer_type:string,summary:string,metadata:string>, parent_id string, children_ids array<string>, level int"),
-    "upload_sessions": T.StructType.fromDDL("upload_id string, filename string, total_size bigint, chunk_size bigint, total_chunks bigint, chunks_received array<bigint>, status string, temp_path string, model_id string, upload_progress float, conversion_progress float, current_phase string, upload_speed_mbps float, last_chunk_at timestamp, created_at timestamp, updated_at timestamp"),
+DDL = {
+    "nodes": f"node_id string, uuid string, node_type string, status string, content string, summary string, embedding {EMBEDDING}, depth_level int, confidence float, namespace string, scope string, metadata {METADATA}, created_at timestamp, updated_at timestamp, last_accessed_at timestamp",
+    "edges": "src string, dst string, edge_type string, weight float, similarity float, confidence float, created_at timestamp, updated_at timestamp",
+    "namespaces": "name string, namespace_type string, description string, created_at timestamp",
+    "scopes": "user_id string, namespace string, permissions struct<read:boolean,write:boolean,delete:boolean,access_global:boolean>, created_at timestamp, expires_at timestamp",
+    "models": "id string, name string, architecture struct<model_type:string,n_layers:int,embedding_dim:int,vocab_size:int,n_heads:int,ffn_dim:int>, root_node_id string, status string, file_path string, file_size bigint, conversion_progress float, conversion_phase string, created_at timestamp, updated_at timestamp, metadata string",
+    "model_nodes": "id string, model_id string, embedding array<float>, layer_info struct<layer_start:int,layer_end:int,layer_type:string,summary:string,metadata:string>, parent_id string, children_ids array<string>, level int",
+    "upload_sessions": "upload_id string, filename string, total_size bigint, chunk_size bigint, total_chunks bigint, chunks_received array<bigint>, status string, temp_path string, model_id string, upload_progress float, conversion_progress float, current_phase string, upload_speed_mbps float, last_chunk_at timestamp, created_at timestamp, updated_at timestamp",
 }
 
 
+def schema(name: str) -> T.StructType:
+    """A table's schema; needs a running session."""
+    return T.StructType.fromDDL(DDL[name])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
