@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from graphloom.llm.worddict import code_documents, fill_positions
+from graphloom.llm.common import partitions
+from graphloom.llm.worddict import code_documents, fill_positions, pack, unpack, unpack_words
 
 
 @functools.cache
@@ -44,31 +46,45 @@ def default_vocabulary() -> str:
 
 
 def word_table(coded: DataFrame, path: str) -> DataFrame:
-    """chunk, item and ids (little-endian 32-bit integers) of each dictionary word; equal words meet in one task, in order, and are encoded once."""
-    words = coded.filter("kind = 0").select("chunk", "item", "word").repartition("word").sortWithinPartitions("word")
+    """chunk, items and value (numbers of ids, then ids, of each word) of all dictionary rows; equal words meet in one bucket and are encoded once. coded is dealt by key."""
+    words = coded.sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, last, known = tokenizer(path), None, b""
+        t, bucket, known = tokenizer(path), None, {}
         for batch in batches:
-            kinds = batch.column("word").dictionary_encode()
-            distinct = kinds.dictionary.to_pylist()
-            new = distinct[1:] if distinct and distinct[0] == last else distinct
-            ids = [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(new, add_special_tokens=False)]
-            ids = [known, *ids] if len(new) < len(distinct) else ids
-            last, known = distinct[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("item"), pa.array(ids, pa.binary()).take(kinds.indices)], ["chunk", "item", "ids_of"])
-
-    return words.mapInArrow(run, "chunk long, item int, ids_of binary")
+            values = []
+            batch = batch.filter(pc.equal(batch.column("kind"), 0))
+            for at, data in zip(batch.column("key").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if at != bucket:
+                    bucket, known = at, {}
+                words = unpack_words(data)
+                new = [w for w in words if w not in known]
+                for begin in range(0, len(new), 4096):
+                    part = new[begin : begin + 4096]
+                    known.update(zip(part, (x.ids for x in t.encode_batch(part, add_special_tokens=False)), strict=True))
+                ids = [known[w] for w in words]
+                flat = np.fromiter((y for x in ids for y in x), np.int64)
+                values.append(len(words).to_bytes(4, "little") + pack(np.concatenate((np.fromiter(map(len, ids), np.int64, len(ids)), flat))))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("items"), pa.array(values, pa.binary())], ["chunk", "items", "value"])
+
+    return words.mapInArrow(run, "chunk long, items binary, value binary")
 
 
 class _Ids:
-    def __init__(self, path: str, with_ids: bool, id_type: pa.DataType | None = None):
+    def __init__(self, path: str, with_ids: bool):
         self.path, self.with_ids = path, with_ids
 
-    def prepare(self, columns):
-        lengths = np.array([len(x) // 4 for x in (v.as_py() for v in columns["ids_of"])], np.int64)
-        flat = np.frombuffer(b"".join(v.as_py() for v in columns["ids_of"]), "<u4")
-        return lengths, np.concatenate(([0], np.cumsum(lengths)))[:-1], flat
+    def prepare(self, items, values):
+        """Number of ids and first place among all ids of each code, and the ids."""
+        size = sum(map(len, items))
+        lengths, begins, flat, at = np.zeros(size, np.int64), np.zeros(size, np.int64), [], 0
+        for codes, value in zip(items, values, strict=True):
+            n, numbers = int.from_bytes(value[:4], "little"), unpack(value[4:])
+            lengths[codes] = numbers[:n]
+            begins[codes] = at + np.cumsum(numbers[:n]) - numbers[:n]
+            flat.append(numbers[n:].astype("<u4"))
+            at += len(flat[-1])
+        return lengths, begins, np.concatenate(flat) if flat else np.zeros(0, "<u4")
 
     def __call__(self, columns, doc_ids, sizes, codes):
         lengths, begins, flat = columns
@@ -97,7 +113,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     each; their words are not. An empty table gives an empty result. Other columns aren't read.
     """
     path = path or default_vocabulary()
-    coded = code_documents(docs, id_col, text)
+    # one exchange deals word buckets and documents; its files serve both the encoding and the filling in (ReusedExchange)
+    coded = code_documents(docs, id_col, text).repartition(partitions(docs), "key")
     id_type = dict(coded.dtypes)["ids"].removeprefix("array<")[:-1]
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return fill_positions(coded, word_table(coded, path), {"ids_of": "binary"}, schema, _Ids(path, with_ids))
+    return fill_positions(coded, word_table(coded, path), _Ids(path, with_ids), schema)

@@ -9,33 +9,49 @@ the occurrences, and no task holds more than one chunk.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from graphloom.llm.common import materialize, split_words
+from graphloom.llm.common import partitions, split_words
 
 #: Bytes of text in a chunk, and words in a packed run of documents; a longer document forms one of its own.
 CHUNK_BYTES, RUN_WORDS = 24 << 20, 1 << 18
-#: Stands for the end of a text where one is asked for; no word has white space in it.
-END = "\n"
+#: Stands for the end of a text where one is asked for; no word is empty.
+END = ""
 WORD_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def pack(codes: np.ndarray) -> bytes:
-    planes = np.frombuffer(codes.astype("<u4").tobytes(), np.uint8).reshape(-1, 4)[:, :3].T
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+def pack(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers below 2^32, compressed by planes of bytes."""
+    return zstandard.ZstdCompressor(level=3).compress(np.frombuffer(numbers.astype("<u4").tobytes(), np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(3, -1).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def pack_words(words: list[str]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(words).encode())
+
+
+def unpack_words(data: bytes) -> list[str]:
+    return zstandard.ZstdDecompressor().decompress(data).decode().split("\n")
+
+
+def word_buckets(df: DataFrame) -> int:
+    """Buckets of words: one for each shuffle partition, whose number grows with the input; a bucket's distinct words are held by one task."""
+    return max(64, partitions(df))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
@@ -61,84 +77,76 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
 
 
 def code_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fold: bool = False, end: bool = False, counted: str | None = None) -> DataFrame:
-    """The written table of chunk dictionaries and packed documents.
+    """Chunk dictionaries and packed documents.
 
-    Rows of kind 0 are dictionary words: chunk, item (code), word, n (occurrences in rows for which the boolean column `counted` is true). Rows of kind 1 are
-    runs of documents: chunk, ids, sizes (words of each), data. fold lower-cases A to Z; end adds END to every text.
+    Rows of kind 0 are the words of a chunk that fall into one bucket by their hash: key (-1 - bucket), chunk, items (their codes, ascending, as differences), words, and, with
+    `counted`, n (occurrences in rows for which that boolean column is true). Rows of kind 1 are runs of documents: key (the chunk), chunk, ids, sizes (words of each), data (codes).
+    Codes ascend with falling frequency. fold lower-cases A to Z; end adds END to every text.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), (F.col(counted) if counted else F.lit(True)).alias("counted"))
     id_type = dict(source.dtypes)["doc_id"]
-    schema = f"chunk long, kind int, item int, word string, n long, ids array<{id_type}>, sizes array<long>, data binary"
+    buckets = word_buckets(docs)
+    schema = f"key long, chunk long, kind int, items binary, words binary, n binary, ids array<{id_type}>, sizes array<long>, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 24
         for k, held in enumerate(chunks(batches)):
-            texts = held.column("text").combine_chunks()
-            texts = pc.fill_null(texts, "")
+            texts = pc.fill_null(held.column("text").combine_chunks(), "")
             codes, words, starts = split_words(pc.ascii_lower(texts) if fold else texts)
             size = np.diff(starts)
             counting = held.column("counted").to_numpy().astype(bool)
             n = np.bincount(codes[np.repeat(counting, size)], minlength=len(words))
             total = np.bincount(codes, minlength=len(words))
+            names = words.to_pylist()
             if end:
-                words = pa.concat_arrays([words, pa.array([END], words.type)])
-                ended = np.full(len(codes) + len(size), len(words) - 1, np.int64)
+                ended = np.full(len(codes) + len(size), len(names), np.int64)
                 ended[np.arange(len(codes)) + np.repeat(np.arange(len(size)), size)] = codes
                 codes, size, starts = ended, size + 1, starts + np.arange(len(starts))
-                n, total = np.append(n, counting.sum()), np.append(total, len(size))
+                n, total, names = np.append(n, counting.sum()), np.append(total, len(size)), [*names, END]
             order = np.argsort(-total, kind="stable")
             order = order[total[order] > 0]
-            rank = np.zeros(len(words), np.int64)
+            rank = np.zeros(len(names), np.int64)
             rank[order] = np.arange(len(order))
-            rows = len(order)
-            none = lambda kind, m=rows: pa.nulls(m, kind)
-            ids, longs = pa.list_(held.schema.field("doc_id").type), pa.list_(pa.int64())
-            names = ["chunk", "kind", "item", "word", "n", "ids", "sizes", "data"]
-            for at in range(0, rows, 100_000):
-                part = order[at : at + 100_000]
-                m = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, first + k)), pa.array(np.zeros(m, np.int32)), pa.array(np.arange(at, at + m, dtype=np.int32)), words.take(pa.array(part)).cast(pa.string()), pa.array(n[part].astype(np.int64)), none(ids, m), none(longs, m), none(pa.binary(), m)], names)
+            h = xxhash.xxh64_intdigest
+            ranked = [names[x] for x in order]
+            bucket = np.fromiter((h(w) % buckets for w in ranked), np.int64, len(ranked))
+            by = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            rows = []
+            for at in range(buckets):
+                items = by[edges[at] : edges[at + 1]]
+                if len(items):
+                    rows.append((-1 - at, first + k, 0, pack(np.diff(items, prepend=0)), pack_words([ranked[x] for x in items]), pack(n[order[items]]) if counted else None, None, None, None))
             at = 0
             while at < len(size):
                 to = max(at + 1, int(np.searchsorted(starts, starts[at] + RUN_WORDS, "right")) - 1)
-                data = pack(rank[codes[starts[at] : starts[to]]])
-                own = held.column("doc_id").slice(at, to - at).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([1], pa.int32()), none(pa.int32(), 1), none(pa.string(), 1), none(pa.int64(), 1), pa.array([own], ids), pa.array([size[at:to].tolist()], longs), pa.array([data], pa.binary())], names)
+                rows.append((first + k, first + k, 1, None, None, None, held.column("doc_id").slice(at, to - at).to_pylist(), size[at:to].tolist(), pack(rank[codes[starts[at] : starts[to]]])))
                 at = to
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(held.schema.field("doc_id").type), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "chunk", "kind", "items", "words", "n", "ids", "sizes", "data"])
 
-    return materialize(source.mapInArrow(run, schema))
+    return source.mapInArrow(run, schema)
 
 
-def fill_positions(coded: DataFrame, words: DataFrame, values: dict[str, str], schema: str, finish: Callable) -> DataFrame:
-    """Brings dictionary rows (chunk, item and the columns `values`) back to the documents of their chunk.
+def fill_positions(coded: DataFrame, words: DataFrame, finish, schema: str) -> DataFrame:
+    """Brings the values of dictionary words, rows of (chunk, items, value binary), back to the documents of their chunk.
 
-    finish(columns, ids, sizes, codes) is called for each run of documents: columns has a numpy array or list for each value by code; it
-    yields record batches of `schema`.
+    finish.prepare(items, values) gets a chunk's lists of code arrays and values and returns what finish(prepared, ids, sizes, codes), called for each run of documents, uses
+    to yield record batches of `schema`. Rows of kind 0 in coded are passed over.
     """
-    names = list(values)
-    id_type, sizes_type = dict(coded.dtypes)["ids"], "array<long>"
-    left = words.select("chunk", F.lit(0).alias("kind"), "item", *names, F.lit(None).cast(id_type).alias("ids"), F.lit(None).cast(sizes_type).alias("sizes"), F.lit(None).cast("binary").alias("data"))
-    right = coded.filter("kind = 1").select("chunk", "kind", "item", *(F.lit(None).cast(values[x]).alias(x) for x in names), "ids", "sizes", "data")
-    both = left.unionByName(right).repartition("chunk").sortWithinPartitions("chunk", "kind", "item")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, columns = None, [], None
-        for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            kind = batch.column("kind").to_numpy()
-            edges = np.flatnonzero(np.concatenate(([True], (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1]))))
-            for a, b in zip(edges, [*edges[1:], len(chunk)], strict=True):
-                if chunk[a] != now:
-                    now, held, columns = chunk[a], [], None
-                part = batch.slice(a, b - a)
-                if kind[a] == 0:
-                    held.append(part)
-                    continue
-                if columns is None:
-                    whole = pa.Table.from_batches(held) if held else batch.slice(0, 0)
-                    columns, held = {x: whole.column(x) for x in names}, []
-                    columns = finish.prepare(columns)
-                for ids, sizes, data in zip(part.column("ids"), part.column("sizes"), part.column("data"), strict=True):
-                    yield from finish(columns, ids.values, sizes.values.to_numpy(), unpack(data.as_py()))
-
-    return both.mapInArrow(run, schema)
+    def run(docs: pa.Table, own: pa.Table) -> pa.Table:
+        if not docs.num_rows or docs.column("kind")[0].as_py() == 0:
+            return empty
+        items = [np.cumsum(unpack(x.as_py())) for x in own.column("items")]
+        prepared = finish.prepare(items, own.column("value").to_pylist())
+        out = []
+        for k in range(docs.num_rows):
+            ids, sizes = docs.column("ids")[k].values, docs.column("sizes")[k].values.to_numpy()
+            out += finish(prepared, ids, sizes, unpack(docs.column("data")[k].as_py()))
+        return pa.Table.from_batches(out)
+
+    empty = pa.Table.from_batches([], to_arrow_schema(T.StructType.fromDDL(schema)))
+    n = partitions(coded)
+    left = coded.groupBy("key")
+    return left.cogroup(words.withColumnRenamed("chunk", "key").repartition(n, "key").groupBy("key")).applyInArrow(run, schema)
