@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.common import partitions, scratch
+
 #: A word of every contract: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at once; a longer document forms a slice of its own.
@@ -21,16 +18,6 @@ SLICE_BYTES = 4 << 20
 U64 = np.uint64
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="graphloom-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/graphloom/{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: it cuts lineage, survives lost executors and fixes row order-dependent values."""
     path = scratch(df.sparkSession)
@@ -38,11 +25,6 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(df: DataFrame) -> int:
-    """The session's number of shuffle partitions. Given to repartition() where few bytes take long, as AQE would otherwise merge them into few tasks."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def row_key(*cols: Column | str) -> list[Column]:
     """Two 64-bit hashes that identify a row by its contents; nulls are told apart from other values."""
     marked = [y for x in cols for y in (F.isnull(x), F.col(x) if isinstance(x, str) else x)]

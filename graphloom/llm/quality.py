@@ -88,14 +88,14 @@ def host_verdicts(rows: DataFrame, limit: float = 0.5) -> DataFrame:
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("rule_failed").cast("long")).alias("host_failed"))
     n, k = F.col("host_docs"), F.col("host_failed")
-    prior = hosts.agg(F.sum(n).alias("n"), F.sum(k).alias("k"), F.count("*").alias("h"), F.sum(k * k / n).alias("q"))
-    m = F.col("k") / F.col("n")
-    between = F.col("q") / F.col("n") - m * m
-    v = between - m * (1 - m) * F.col("h") / F.col("n")
-    s = F.when(v > 0, F.greatest(F.lit(1.0), F.least(F.lit(1e6), m * (1 - m) / v - 1))).otherwise(F.lit(1e6))
-    prior = prior.select((m * s).alias("alpha"), ((1 - m) * s).alias("beta"))
-    rate = (k + F.col("alpha")) / (n + F.col("alpha") + F.col("beta"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "host_docs", "host_failed", rate.alias("host_rate"), (rate >= limit).alias("host_blocked"))  # prior: one row
+    p = hosts.agg(F.sum(n).alias("n"), F.sum(k).alias("k"), F.count("*").alias("h"), F.sum(k * k / n).alias("q")).first()  # one row
+    if not p.n:
+        return hosts.select("host", "host_docs", "host_failed", F.lit(0.0).alias("host_rate"), F.lit(False).alias("host_blocked"))
+    m = p.k / p.n
+    between = p.q / p.n - m * m - m * (1 - m) * p.h / p.n
+    s = max(1.0, min(1e6, m * (1 - m) / between - 1)) if between > 0 else 1e6
+    rate = (k + m * s) / (n + s)
+    return hosts.select("host", "host_docs", "host_failed", rate.alias("host_rate"), (rate >= limit).alias("host_blocked"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", limit: float = 0.5) -> DataFrame:

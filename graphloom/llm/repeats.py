@@ -121,14 +121,18 @@ def repeated_starts(docs: DataFrame, method: Method) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, last = 0, None
+        size, last, begin = 0, (None, None), 0
         for batch in batches:
             for akey, ckey, n, m, body in zip(*(batch.column(x).to_pylist() for x in ("akey", "ckey", "n", "m", "body")), strict=True):
                 if last == (akey, ckey):
                     continue
-                if size >= BATCH_BYTES and akey != last[0]:
-                    yield _compared(method, held)
-                    held, size = [], 0
+                if akey != last[0]:
+                    if all(x[3] > 1 for x in held[begin:]):  # each of them repeats whole
+                        del held[begin:]
+                    if size >= BATCH_BYTES and held:
+                        yield _compared(method, held)
+                        held, size = [], 0
+                    begin = len(held)
                 held.append((akey, ckey, n, m, body))
                 size, last = size + len(body), (akey, ckey)
         if held:

@@ -1,5 +1,80 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express. The others are held against brute force in tests/llm."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("lower(text)")} AS w FROM documents),
+b AS (SELECT item_id, {WORDS.format("lower(text)")} AS w FROM benchmark),
+dg AS (SELECT DISTINCT r, doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda k: w[k : k + 4]) END) AS g FROM d),
+bg AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda k: w[k : k + 4]) END) AS g FROM b),
+n AS (SELECT item_id, count(*) AS n_shingles FROM bg GROUP BY 1),
+s AS (SELECT r, doc_id, item_id, count(*) AS n_shared FROM dg JOIN bg USING (g) GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM s JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles
+"""
+
+QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, {WORDS.format("text")} AS w FROM documents),
+windows AS (SELECT r, unnest(range(1, len(w) - 6)) AS k, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k : k + 7], ' '))) AS g FROM d WHERE len(w) >= 8),
+twice AS (SELECT r, k FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+repeated AS (SELECT r, count(DISTINCT k + o) AS n FROM twice, range(0, 8) x(o) GROUP BY 1),
+m AS (SELECT r, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words, CAST(len(list_filter(w, lambda x: upper(x) = x AND regexp_matches(x, '\p{{Lu}}\P{{Lu}}*\p{{Lu}}'))) AS BIGINT) AS n_shout_words FROM d LEFT JOIN repeated USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+g AS (SELECT *, base_failed OR 10 * n_symbols >= n_words OR 30 * n_dup_lines > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_shout_words >= 3 * n_words AS failed FROM f),
+h AS (SELECT source, count(*) AS host_docs, CAST(sum(CAST(failed AS BIGINT)) AS BIGINT) AS host_failed FROM g GROUP BY 1),
+p AS (SELECT sum(host_failed) / sum(host_docs) AS mean, sum(host_failed * host_failed / host_docs) / sum(host_docs) - power(sum(host_failed) / sum(host_docs), 2) AS between_hosts, count(*) / sum(host_docs) AS spread FROM h),
+q AS (SELECT mean, CASE WHEN between_hosts - mean * (1 - mean) * spread > 0 THEN greatest(1.0, least(1e6, mean * (1 - mean) / (between_hosts - mean * (1 - mean) * spread) - 1)) ELSE 1e6 END AS strength FROM p),
+v AS (SELECT source, host_docs, host_failed, (host_failed + mean * strength) / (host_docs + strength) AS rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND rate < 0.5 AS kept, g.source, n_shout_words, host_docs, host_failed, round(rate, 9) AS host_rate, rate >= 0.5 AS host_blocked
+FROM g JOIN v ON g.source IS NOT DISTINCT FROM v.source
+"""
+
+JUMP = """
+list_reduce(list_prepend({{'key': CAST(doc_id AS HUGEINT), 'shard': 0::BIGINT, 'next': 0::BIGINT}}, list_transform(range(0, {n}), lambda i: {{'key': 0::HUGEINT, 'shard': 0::BIGINT, 'next': 0::BIGINT}})), lambda s, x:
+  CASE WHEN s.next < {n} THEN {{'key': ((s.key * 2862933555777941757 + 1) % 18446744073709551616::HUGEINT), 'shard': s.next,
+    'next': CAST(floor((s.next + 1)::DOUBLE * (2147483648.0::DOUBLE / ((((s.key * 2862933555777941757 + 1) % 18446744073709551616::HUGEINT) // 8589934592::HUGEINT) + 1)::DOUBLE)) AS BIGINT)}} ELSE s END).shard
+"""
+
+#: crc32 from its polynomial: a table entry for each byte by eight halvings, then a fold over the bytes. Ids are not negative and ascend in the file.
+SHARDING = f"""
+WITH t AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size,
+  CAST(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, t.t[(xor(c, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32,
+  CAST({JUMP.format(n=8)} AS INTEGER) AS shard, CAST({JUMP.format(n=9)} AS INTEGER) AS grown_shard FROM d, t)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM s
+"""
+
+RECOMPRESSION = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("text")} AS w FROM documents),
+windows AS (SELECT r, unnest(range(1, len(w) - 33)) AS k, unnest(list_transform(range(1, len(w) - 33), lambda k: md5(array_to_string(w[k : k + 34], ' ')))) AS g FROM d WHERE len(w) >= 35),
+twice AS (SELECT r, k FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS x FROM d),
+marked AS (SELECT r, words.k, x, max(twice.k) OVER (PARTITION BY r ORDER BY words.k) AS last FROM words LEFT JOIN twice USING (r, k)),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS rest FROM marked WHERE last IS NULL OR k > last + 34 GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("text")} AS w FROM documents),
+grams AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda k: w[k : k + 4]) END) AS g FROM d),
+size AS (SELECT r, count(*) AS n FROM grams GROUP BY 1),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN size x ON x.r = a JOIN size y ON y.r = b WHERE 5 * shared.n >= 4 * (x.n + y.n - shared.n)
+  UNION ALL SELECT x.r, y.r FROM d x JOIN d y ON len(x.w) = 0 AND len(y.w) = 0 AND x.r <> y.r),
+reached AS (SELECT r AS a, r AS b FROM d UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b),
+classes AS (SELECT reached.a AS r, min(d.doc_id) AS class_id FROM reached JOIN d ON d.r = reached.b GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links, doc_id = class_id AS kept FROM d JOIN classes USING (r) LEFT JOIN (SELECT a AS r, count(*) AS n FROM links GROUP BY 1) USING (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": DECONTAMINATION,
+    "op2_quality_rules": QUALITY,
+    "op5_sharding": SHARDING,
+    "op8_recompression": RECOMPRESSION,
+    "op10_ngram_join": NGRAM_JOIN,
+}
