@@ -241,9 +241,8 @@ def upload_progress(spark, d):
 @query(f"WITH {SESSIONS} SELECT upload_id, 'cancelled' AS status FROM sessions WHERE status = 'uploading' AND created_at < (SELECT max(created_at) FROM sessions) - INTERVAL 24 HOURS")
 def expired_sessions(spark, d):
     rows = tables.sessions(spark, d)
-    now = rows.agg(F.max("created_at").alias("now"))  # one row
-    late = uploads.expired(rows.crossJoin(F.broadcast(now)), F.col("now"))
-    return late.select("upload_id", "status")
+    now = rows.agg(F.max("created_at")).first()[0]  # one row
+    return uploads.expired(rows, F.lit(now)).select("upload_id", "status")
 
 
 @query("SELECT upload_id, CASE WHEN n = 7 AND status = 'uploading' THEN 'finalizing' ELSE status END AS status FROM (SELECT o_orderkey AS upload_id, CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'uploading' ELSE 'converting' END AS status FROM orders) s LEFT JOIN (SELECT l_orderkey AS upload_id, count(DISTINCT l_linenumber) AS n FROM lineitem WHERE l_linenumber <= 7 GROUP BY 1) g USING (upload_id)")
