@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import partitions, scratch
+from graphloom.common import scratch
 
 #: A word of every contract: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
