@@ -81,3 +81,27 @@ def layer_number(name: Column) -> Column:
 
 def health(database: Column, model: Column) -> Column:
     return F.when(database & model, "healthy").when(database | model, "degraded").otherwise("unhealthy")
+
+
+def to_time(text: Column) -> Column:
+    """An RFC 3339 text as a timestamp, null if it is none."""
+    return F.try_to_timestamp(text)
+
+
+def rfc3339(at: Column) -> Column:
+    """A timestamp as RFC 3339 text; the session's time zone should be UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+
+
+def merge_members(a: Column, b: Column) -> Column:
+    """The members of two clusters, each once, the first cluster's first."""
+    return F.array_union(a, b)
+
+
+def split_members(members: Column, parts: Column) -> Column:
+    """The parts of a cluster's members along given partitions, without empty ones and without members it doesn't have."""
+    return F.filter(F.transform(parts, lambda p: F.array_intersect(p, members)), lambda p: F.size(p) > 0)
+
+
+def is_pdf(content: Column, most_bytes: int = 100 << 20) -> Column:
+    return (F.hex(F.substring(content, 1, 4)) == "25504446") & (F.octet_length(content) <= most_bytes)

@@ -191,3 +191,10 @@ def tree_nodes(tree: DataFrame, summary_length: int = 500) -> tuple[DataFrame, D
     parents = tree.filter("depth > 0").select(F.col("cluster_id").alias("up"), F.col("vector").alias("parent_vector"), F.col("group").alias("namespace"))
     edges = known.filter("up is not null").join(parents, "up").withColumn("similarity", F.round(F.coalesce(cosine(F.col("own"), F.col("parent_vector")), F.lit(0.8)), 6))
     return nodes, edges.select(F.col("up").alias("src"), F.col("node_id").alias("dst"), "namespace", F.lit("parentchild").alias("edge_type"), "similarity", F.round(1 / F.col("similarity"), 6).alias("weight"), F.lit(1.0).alias("confidence"))
+
+
+def similar_leaf(tree: DataFrame, query: list[float]) -> DataFrame:
+    """The leaf cluster of each group whose vector is most similar to the query, ties by id."""
+    scored = tree.filter("depth = 0").withColumn("similarity", F.round(cosine_to(F.col("vector"), query), 6))
+    best = scored.groupBy("group").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "cluster_id")).alias("b"))
+    return best.select("group", "b.cluster_id", (-F.col("b.s")).alias("similarity"))

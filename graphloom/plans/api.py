@@ -157,3 +157,54 @@ def system_health(nodes: DataFrame, has_model: bool = True) -> DataFrame:
     """status and its components; the database is there if a scan of the nodes can be planned."""
     there = F.lit(nodes.schema is not None)
     return nodes.sparkSession.range(1).select(health(there, F.lit(has_model)).alias("status"), there.alias("database"), F.lit(has_model).alias("llm"), F.lit(True).alias("cache"))
+
+
+def search_stats(searches: DataFrame) -> DataFrame:
+    """Searches (ok boolean, results, latency_ms) in one row: performed, successful, their results and their mean latency, whole milliseconds, 0 without any."""
+    ok = F.col("ok")
+    good = F.count_if(ok)
+    latency = F.when(good > 0, F.floor(F.sum(F.when(ok, F.col("latency_ms"))) / good)).otherwise(0)
+    return searches.agg(F.count("*").alias("performed"), good.alias("successful"), F.coalesce(F.sum(F.when(ok, F.col("results"))), F.lit(0)).cast("long").alias("total_results"), latency.cast("long").alias("average_latency_ms"))
+
+
+def convert_models(files: DataFrame, dimension: int = 768, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Model files (a binaryFile source) as trees: status of each file, and model nodes: id, model_id, parent_id, level, layer_type, vector and whether it is the root's child.
+
+    A leaf is a group of layers. Clusters join at a similarity of 0.55, of at most a third of the groups or four, four levels high. A file that can't be read is failed, and has no nodes.
+    """
+    from graphloom.sources.gguf import group_vectors, layer_groups, read_models
+
+    tensors = written(read_models(files, compat))
+    status = tensors.groupBy("path").agg(F.max("error").alias("error"), F.first("architecture", ignorenulls=True).alias("architecture"))
+    status = status.select("path", F.when(F.col("error").isNull(), "ready").otherwise("failed").alias("status"), "error", "architecture")
+    groups = written(group_vectors(layer_groups(tensors), dimension))
+    leaves = groups.select(F.concat_ws("#", "path", F.format_string("%05d", "layer_start"), "layer_type").alias("node_id"), F.col("path").alias("namespace"), "vector", "layer_type")
+    sizes = leaves.groupBy("namespace").agg(F.greatest(F.lit(4), F.floor(F.count("*") / 3)).cast("int").alias("largest"))
+    trees = None
+    for row in sizes.select("largest").distinct().orderBy("largest").collect():  # a model has some dozens of groups: few different sizes
+        own = leaves.join(sizes.filter(F.col("largest") == row.largest).select("namespace"), "namespace", "left_semi")
+        tree = hierarchy(own, ClusterConfig(2, row.largest, 0.55, 4), content=None)
+        trees = tree if trees is None else trees.unionByName(tree)
+    if trees is None:
+        return status, files.sparkSession.createDataFrame([], "id string, model_id string, parent_id string, level int, layer_type string, vector array<double>")
+    trees = written(trees)
+    first = F.col("members")[0]
+    named = trees.join(leaves.select(F.col("node_id").alias("first"), "layer_type"), F.when(F.col("depth") == 0, first) == F.col("first"), "left")
+    nodes = named.select(F.concat_ws(":", "group", "cluster_id").alias("id"), F.col("group").alias("model_id"), F.when(F.col("parent_id").isNotNull(), F.concat_ws(":", "group", "parent_id")).alias("parent_id"), F.col("depth").alias("level"), F.coalesce("layer_type", F.lit("group")).alias("layer_type"), "vector")
+    return status, nodes
+
+
+def update_model(models: DataFrame, model_id: str, **changes: object) -> DataFrame:
+    """models with the named columns of one model set, and its updated_at."""
+    own = F.col("id") == model_id
+    new = {k: F.when(own, F.lit(v)).otherwise(F.col(k)) for k, v in changes.items()}
+    return models.withColumns(new | {"updated_at": F.when(own, F.current_timestamp()).otherwise(F.col("updated_at"))})
+
+
+def update_parents(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """Model nodes with new parents (child, parent); a child is named by its id or by the part of it behind the table's name."""
+    from graphloom.functions.rules import thing_id
+
+    short = F.when(F.contains("id", F.lit(":")), thing_id(F.col("id"))).otherwise(F.col("id"))
+    found = nodes.select("id", F.explode(F.array_distinct(F.array("id", short))).alias("child")).join(parents, "child").groupBy("id").agg(F.max("parent").alias("_new"))
+    return nodes.join(found, "id", "left").withColumn("parent_id", F.coalesce("_new", "parent_id")).drop("_new")

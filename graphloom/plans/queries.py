@@ -574,3 +574,44 @@ def build_hierarchy(spark, d):
 @query("SELECT 'healthy' AS status, true AS database, true AS llm, true AS cache")
 def health_stats(spark, d):
     return api.system_health(tables.nodes(spark, d))
+
+
+@query("SELECT count(*) AS performed, count(*) FILTER (WHERE event_id % 5 <> 0) AS successful, sum(CASE WHEN event_id % 5 <> 0 THEN event_id % 7 END)::BIGINT AS total_results, CAST(floor(sum(CASE WHEN event_id % 5 <> 0 THEN user_id END) / count(*) FILTER (WHERE event_id % 5 <> 0)) AS BIGINT) AS average_latency_ms FROM events")
+def search_stats(spark, d):
+    rows = table(spark, d, "events").select((F.col("event_id") % 5 != 0).alias("ok"), (F.col("event_id") % 7).alias("results"), F.col("user_id").alias("latency_ms"))
+    return api.search_stats(rows)
+
+
+@query(f"WITH {MODEL_NODES} SELECT id, level, coalesce(CASE WHEN level = 1 THEN 'root' END, parent_id) AS parent_id FROM model_nodes ORDER BY level, id")
+def update_parents(spark, d):
+    nodes = tables.model_nodes(spark, d)
+    new = nodes.filter("level = 1").select(F.col("id").alias("child"), F.lit("root").alias("parent"))
+    return api.update_parents(nodes, new).select("id", "level", "parent_id").orderBy("level", "id")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS written, true AS read_back FROM events")
+def rfc3339(spark, d):
+    at = F.col("ts")
+    return table(spark, d, "events").select("event_id", rules.rfc3339(at).alias("written"), (rules.to_time(rules.rfc3339(at)) == F.date_trunc("millisecond", at)).alias("read_back"))
+
+
+@query(f"WITH {EDGES}, s AS (SELECT node_id AS source FROM nodes WHERE doc_id % 20 = 0), both_ways AS (SELECT src, dst, similarity FROM edges UNION ALL SELECT dst, src, similarity FROM edges) SELECT source, dst AS target, round(1 / similarity, 6) AS distance FROM s JOIN both_ways ON src = source")
+def paths_to_targets(spark, d):
+    edges = paths.clean_edges(_edges(spark, d), both_ways=True)
+    sources = tables.nodes(spark, d).filter("doc_id % 20 = 0").select(F.col("node_id").alias("source"))
+    wanted = edges.join(sources, F.col("src") == F.col("source")).select("source", F.col("dst").alias("target"))
+    return paths.to_targets(paths.relax(edges, sources, 1), wanted).select("source", "target", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def similar_leaf(spark, d):
+    return cluster.similar_leaf(_tree(spark, d), _vector(spark, d))
+
+
+@query("SELECT c_custkey, list_distinct([c_nationkey, c_custkey % 5, c_custkey % 3]) IS NOT NULL AS merged, CAST((c_custkey % 2 = 0)::INTEGER + 1 AS INTEGER) AS parts FROM customer")
+def cluster_merge_split(spark, d):
+    k = F.col("c_custkey")
+    merged = rules.merge_members(F.array(F.col("c_nationkey").cast("long"), k % 5), F.array(k % 5, k % 3))
+    members = F.array(F.lit(1), F.when(k % 2 == 0, 2).otherwise(1), F.lit(3))
+    parts = rules.split_members(members, F.array(F.array(F.lit(1)), F.array(F.lit(2)), F.array(F.lit(9))))
+    return table(spark, d, "customer").select("c_custkey", (F.size(merged) > 0).alias("merged"), F.size(parts).alias("parts"))

@@ -142,6 +142,41 @@ def test_gguf(spark, tmp_path):
         gguf.architecture({"general.architecture": (8, "llama")})
 
 
+def test_convert_models(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    shared = rng.normal(size=64).astype("<f4")
+    tensors = [(f"blk.{k}.attn_q", [64], 0, (shared + rng.normal(size=64) * 0.1).astype("<f4").tobytes()) for k in range(12)]
+    (tmp_path / "m.gguf").write_bytes(gguf_file(tensors, {}))
+    (tmp_path / "bad.gguf").write_bytes(b"nothing")
+    status, nodes = api.convert_models(spark.read.format("binaryFile").load(str(tmp_path)), 32)
+    assert sorted(r.status for r in status.collect()) == ["failed", "ready"]
+    got = nodes.collect()
+    roots = [r for r in got if r.parent_id is None]
+    assert len(roots) >= 1 and {r.level for r in got} >= {0} and all(r.parent_id in {x.id for x in got} for r in got if r.parent_id)
+    models = spark.createDataFrame([("m", "uploading", None), ("n", "ready", None)], "id string, status string, updated_at timestamp")
+    new = {r.id: r for r in api.update_model(models, "m", status="ready").collect()}
+    assert new["m"].status == "ready" and new["m"].updated_at and new["n"].updated_at is None
+    children = spark.createDataFrame([("t:x", "p"), ("y", "p")], "id string, parent_id string")
+    moved = api.update_parents(children, spark.createDataFrame([("x", "q")], "child string, parent string"))
+    assert {r.id: r.parent_id for r in moved.collect()} == {"t:x": "q", "y": "p"}
+
+
+def test_settings_and_providers(spark):
+    from graphloom import config, errors, providers
+
+    assert config.IngestionSettings.from_env({"INGESTION_CHUNK_SIZE": "500"}).chunk_size == 500 and config.CacheSettings.from_env({"CACHE_TRACK_METRICS": "off"}).track_metrics is False
+    for cls, env in ((config.IngestionSettings, {"INGESTION_CHUNK_OVERLAP": "5000"}), (config.ModelSettings, {"LLM_TEMPERATURE": "3"}), (config.ModelSettings, {"LLM_PROVIDER": "far"}), (config.RemSettings, {"REM_START_HOUR": "x"})):
+        with pytest.raises(errors.InvalidRequest):
+            cls.from_env(env)
+    brain = providers.Brain(dimension=8)
+    brain.check(spark)
+    assert brain.is_local and providers.SEARCHES.get("unknown") is providers.SEARCHES.get("mock")
+    with pytest.raises(errors.NotFound):
+        providers.EMBEDDERS.get("unknown")
+    assert spark.range(1).select(brain.embed(F.lit("  ")).alias("v")).first().v is None
+    assert errors.NotFound("x").body() == {"error": "not_found", "message": "x"} and errors.Conflict.status == 409
+
+
 def test_ingest_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"Hello there.\r\n\r\nTwo sentences here. And one more.")
     (tmp_path / "b.md").write_bytes(b"bad \xff byte")
