@@ -96,22 +96,20 @@ def repeated_starts(docs: DataFrame, method: Method) -> DataFrame:
     wanted = several.filter("contexts is not null").select("r.k1", "r.k2", F.struct("akey", "ckey", "large", "m", "r.s", "r.n").alias("c")).groupBy("k1", "k2").agg(F.collect_list("c").alias("cs"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = ("akey", "ckey", "large", "m", "s", "n")
         for batch in batches:
+            held, bodies, size = [], [], 0
             for text, cs in zip(batch.column("text"), batch.column("cs"), strict=True):
-                c = {k: cs.values.field(k).to_numpy(zero_copy_only=False) for k in ("akey", "ckey", "large", "m", "s", "n")}
-                bodies = method.bodies(text.as_py(), c["s"].astype(np.int64), c["n"].astype(np.int64))
-                columns = [[], [], [], [], [], [], []]
-                parts = method.part_keys(bodies, c["n"].astype(np.int64))
-                for k, body in enumerate(bodies):
-                    if c["large"][k]:  # a row for each window, and no text
-                        keys = method.window_keys(body, int(c["n"][k])).view(np.int64).tolist()
-                        rows = zip(*((c["akey"][k], c["ckey"][k], w, j, c["m"][k], None, None) for j, w in enumerate(keys)), strict=True)
-                    else:
-                        rows = ([c["akey"][k]], [c["ckey"][k]], [None], [c["n"][k]], [c["m"][k]], [body], [None if parts is None else parts[k].view(np.int64)])
-                    for column, values in zip(columns, rows, strict=True):
-                        column.extend(values)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["akey", "ckey", "wkey", "n", "m", "body", "parts"])
+                c = {k: cs.values.field(k).to_numpy(zero_copy_only=False) for k in fields}
+                own = method.bodies(text.as_py(), c["s"].astype(np.int64), c["n"].astype(np.int64))
+                held.append(c)
+                bodies += own
+                size += sum(map(len, own))
+                if size >= BATCH_BYTES:
+                    yield from _fetched(method, {k: np.concatenate([c[k] for c in held]) for k in fields}, bodies)
+                    held, bodies, size = [], [], 0
+            if held:
+                yield from _fetched(method, {k: np.concatenate([c[k] for c in held]) for k in fields}, bodies)
 
     # repeated rows with one id and text fetch a context more than once: the copies go
     fetched = docs.select("text", "k1", "k2").join(wanted, ["k1", "k2"]).select("text", "cs").mapInArrow(fetch, "akey long, ckey long, wkey long, n int, m long, body binary, parts array<long>")
@@ -150,6 +148,24 @@ def repeated_starts(docs: DataFrame, method: Method) -> DataFrame:
     return seen.join(verdicts, ["akey", "ckey"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "runs")).alias("hits"))
 
 
+def _fetched(method: Method, c: dict[str, np.ndarray], bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Rows of contexts: those of large groups as a row for each window, without text; the others with their text and coarse keys."""
+    names = ["akey", "ckey", "wkey", "n", "m", "body", "parts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    large = c["large"].astype(bool)
+    for k in np.flatnonzero(large).tolist():
+        n = int(c["n"][k])
+        keys = method.window_keys(bodies[k], n).view(np.int64)
+        same = lambda x, n=n: np.full(n, x)
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip([same(c["akey"][k]), same(c["ckey"][k]), keys, np.arange(n), same(c["m"][k]), [None] * n, [None] * n], kinds, strict=True)], names)
+    small = np.flatnonzero(~large)
+    if len(small):
+        own = [bodies[k] for k in small.tolist()]
+        parts = method.part_keys(own, c["n"][small].astype(np.int64))
+        parts = [None] * len(small) if parts is None else [x.view(np.int64) for x in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip([c["akey"][small], c["ckey"][small], [None] * len(small), c["n"][small], c["m"][small], own, parts], kinds, strict=True)], names)
+
+
 def _compared(method: Method, held: list[tuple]) -> pa.RecordBatch:
     akey = np.array([x[0] for x in held])
     n = np.array([x[2] for x in held], np.int64)
