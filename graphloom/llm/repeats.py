@@ -22,7 +22,7 @@ from graphloom.common import partitions
 from graphloom.llm.common import U64, materialize, mix, row_key, slices
 
 #: Bytes of contexts of one anchor that a kernel compares at most, and of smaller groups that it takes together.
-BLOCK_BYTES, BATCH_BYTES = 4 << 20, 256 << 10
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 128 << 10
 STEP = U64(0x9E3779B97F4A7C15)
 BACK = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 

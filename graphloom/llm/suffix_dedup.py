@@ -74,24 +74,26 @@ def prefix_boundaries(order: np.ndarray, text: np.ndarray, length: int) -> np.nd
     real = np.flatnonzero(left)
     at_or_after = np.append(real, size)[np.cumsum(left != 0) - (left != 0)]  # the next place with a character, not an end, before it
     changes = np.concatenate(([True], left[real][1:] != left[real][:-1])) if len(real) else np.zeros(0, bool)
-    starts = np.zeros(size, np.int64)  # runs of equal characters, over the ends between them
-    starts[real[changes]] = 1
-    after = np.append(real[changes], size)[np.cumsum(starts)]
+    heads = real[changes]  # where runs of equal characters begin, over the ends between them
+    begun = np.zeros(size + 1, np.int64)
+    begun[heads + 1] = 1
+    begun = np.cumsum(begun)  # heads before a place
 
     head = text[order]
     bound = np.concatenate(([True], head[1:] != head[:-1])) | (head == 0)
     new = np.flatnonzero(bound)
     active = np.flatnonzero(~bound[back])
     scratch = np.empty(size, np.int64)
-    stale = None
+    older = ahead = None
     for level in range(1, length):
         if not len(new):
             break
         found = None
-        if len(new) * 20 < size:
-            if stale is None or level % 24 == 0:
-                stale = np.append(np.cumsum(bound, dtype=np.int32), np.int32(-1))  # boundaries up to a place; the last stands behind all
-            found = _near(new, same, at_or_after, after, stale, size)
+        if len(new) * 6 < size:
+            if older is None or level % 24 == 0:
+                older = np.append(np.flatnonzero(bound), size)
+                ahead = np.cumsum(bound)
+            found = _near(new, older.take(ahead.take(new)), same, at_or_after, heads, begun, size)
         if found is None:
             active = active[~bound[back[active]]]
             mark = np.zeros(size + 1, np.int32)
@@ -107,21 +109,20 @@ def prefix_boundaries(order: np.ndarray, text: np.ndarray, length: int) -> np.nd
     return bound
 
 
-def _near(new: np.ndarray, same: np.ndarray, at_or_after: np.ndarray, after: np.ndarray, stale: np.ndarray, size: int) -> np.ndarray | None:
-    """Places whose last equal character lies before a new boundary at or before them, up to the next older boundary. Goes from run to run of
-    equal characters; None if the stretches have too many runs, so that a pass over all places is faster."""
-    found, b, p, own, work = [], new, at_or_after.take(new), stale.take(new), 0
-    while True:
-        on = (stale.take(p) == own).nonzero()[0]
-        if len(on) < len(p):
-            b, p, own = b.take(on), p.take(on), own.take(on)
-        if not len(p):
-            return np.concatenate(found) if found else np.zeros(0, np.int64)
-        work += len(p) + 200
-        if work > size // 2 + 2000:
-            return None
-        found.append(p.compress(same.take(p) < b))
-        p = after.take(p)
+def _near(new: np.ndarray, end: np.ndarray, same: np.ndarray, at_or_after: np.ndarray, heads: np.ndarray, begun: np.ndarray, size: int) -> np.ndarray | None:
+    """Places whose last equal character lies before a new boundary at or before them, up to the next older boundary `end`. These are among the first
+    place and the heads of runs of equal characters behind it; None if there are so many that a pass over all places is faster."""
+    p = at_or_after.take(new)
+    inside = (p < end).nonzero()[0]
+    new, p, end = new.take(inside), p.take(inside), end.take(inside)
+    low = begun.take(p + 1)
+    count = begun.take(end) - low
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    if total > size // 2 + 2000:
+        return None
+    behind = heads.take(np.repeat(low - ends + count, count) + np.arange(total))
+    return np.concatenate((p.compress(same.take(p) < new), behind.compress(same.take(behind) < np.repeat(new, count))))
 
 
 class ByteRepeats:
