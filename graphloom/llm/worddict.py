@@ -26,7 +26,7 @@ from graphloom.common import partitions
 from graphloom.llm.common import split_words
 
 #: Bytes of text in a chunk, and words in a packed run of documents; a longer document forms one of its own.
-CHUNK_BYTES, RUN_WORDS = 24 << 20, 1 << 18
+CHUNK_BYTES, RUN_WORDS = 16 << 20, 1 << 18
 #: Stands for the end of a text where one is asked for; no word is empty.
 END = ""
 WORD_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
