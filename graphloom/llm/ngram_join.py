@@ -5,7 +5,8 @@ share a token with the probability of their Jaccard similarity. Each run walks d
 and a set goes to the child of its token, so that after `depth` steps those together share all the chosen tokens. Runs are repeated until a
 pair at the threshold meets in one with the target recall.
 
-Sets of a bucket are linked to its least and greatest one where their sketches allow it, which gathers everything similar into components. Within a
+Sets of a bucket are linked to its least and greatest one where their sketches allow it, which gathers most of what is similar into components. In buckets
+that still hold several components, the sketches of all sets of different components are compared, block by block, so meeting in a bucket is enough. Within a
 component all pairs are compared exactly, block by block, by a product of incidence matrices; only counts and spanning links leave a block, never its pairs.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import U64, distinct_per_row, materialize, mix, row_key, shingles, slices, word_hashes
 from graphloom.llm.graph import components
 
-#: MinHash coordinates, those in a sketch, steps of a path, and the wanted chance that a pair at the threshold meets.
+#: MinHash coordinates, those in a sketch, steps of a path, and the wanted chance that a pair at the threshold meets in a bucket.
 COORDINATES, SKETCH, DEPTH, RECALL = 128, 64, 6, 1 - 1e-6
 #: Sets in a block of exact comparison, and tokens in a slab of its matrix.
 BLOCK_SETS, SLAB = 512, 4096
@@ -32,7 +33,13 @@ SKETCH_ERRORS = 5
 
 
 def runs_for(threshold: float, depth: int = DEPTH, recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log1p(-(threshold**depth)))
+    """Runs after which a pair has met with that chance. All runs draw from the same coordinates, of which a binomial number agrees."""
+    agree = [math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
+    miss = lambda runs: math.fsum(p * (1 - (k / COORDINATES) ** depth) ** runs for k, p in enumerate(agree))
+    runs = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**depth)))
+    while miss(runs) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def coordinates(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -99,6 +106,87 @@ def similar_sketches(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def spanning_pairs(sketch: np.ndarray, comp: np.ndarray, left: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components that join all those of which two sets' sketches agree by at least that share: sets of the first `left` with the others, or all if left is 0."""
+    x, y = (sketch[:left], sketch[left:]) if left else (sketch, sketch)
+    agree = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(SKETCH):
+        agree += x[:, k, None] == y[None, :, k]
+    i, j = np.nonzero(agree >= least * SKETCH)
+    kinds, of = np.unique(comp, return_inverse=True)
+    i, j = of[i], of[j + left]
+    i, j = np.divmod(np.unique((np.minimum(i, j) * len(kinds) + np.maximum(i, j))[i != j]), len(kinds))
+    root = np.arange(len(kinds))
+    while len(i):
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        if (before == root).all():
+            break
+    child = np.flatnonzero(root != np.arange(len(kinds)))
+    return kinds[child], kinds[root[child]]
+
+
+def compare_sketches(groups: DataFrame, least: float) -> DataFrame:
+    """groups: path, pair, side, comp, sketch. Links (a, b) of components, see spanning_pairs: between sides 0 and 1 of a (path, pair), or within the side if it has one.
+    A group is one task's, and holds two blocks at most."""
+    dealt = groups.repartition("path", "pair").sortWithinPartitions("path", "pair", "side")
+
+    def links(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        """Links of all groups that are complete, and the rows of the one that isn't."""
+        path, pair, side, comp = (table.column(c).to_numpy() for c in ("path", "pair", "side", "comp"))
+        begins = np.flatnonzero(np.concatenate(([True], (path[1:] != path[:-1]) | (pair[1:] != pair[:-1]))))
+        ends = np.append(begins[1:], table.num_rows)
+        done = table.num_rows if last else int(begins[-1])
+        sketch = np.frombuffer(b"".join(table.column("sketch").slice(0, done).to_pylist()), "<u2").reshape(-1, SKETCH)
+        found = [np.zeros((2, 0), np.int64)]
+        for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+            left = int(np.searchsorted(side[a:b], 1)) % (b - a)  # 0 with one side
+            if b <= done:
+                found.append(np.stack(spanning_pairs(sketch[a:b], comp[a:b], left, least)))
+        out = np.concatenate(found, 1)
+        return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], ["a", "b"]), table.slice(done)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+            if held.num_rows:
+                out, held = links(held, False)
+                yield out
+        if held is not None and held.num_rows:
+            yield links(held, True)[0]
+
+    return dealt.select("path", "pair", "side", "comp", "sketch").mapInArrow(run, "a long, b long")
+
+
+def bucket_links(held: DataFrame, gathered: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between components of gathered (v, root) that meet in a bucket of held (path, s), as far as their sets' sketches agree.
+
+    A bucket of at most BLOCK_SETS sets is one group. A larger one is cut into blocks: a component of more sets than that has blocks of its own, which needn't be compared
+    with each other, and the remaining sets share blocks; each pair of blocks is a group."""
+    rows = materialize(held.join(gathered.withColumnRenamed("v", "s"), "s", "left").select("path", "s", F.coalesce("root", "s").alias("comp")), "lz4")
+    kinds = rows.groupBy("path", "comp").agg(F.count("*").alias("c"))
+    mixed = kinds.groupBy("path").agg(F.sum("c").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high and n > 2").select("path", "n")
+    mixed = materialize(mixed, "lz4")
+    rows = materialize(rows.join(mixed, "path"), "lz4")
+    whole = rows.filter(F.col("n") <= BLOCK_SETS).select("path", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), "s", "comp")
+
+    large = rows.filter(F.col("n") > BLOCK_SETS)
+    kinds = large.groupBy("path", "comp").agg(F.count("*").alias("c")).withColumn("own", F.when(F.col("c") > BLOCK_SETS, F.col("comp")).otherwise(F.lit(0)))
+    kinds = materialize(kinds, "lz4")  # keys of sets are odd, so 0 is no component
+    number = materialize(kinds.groupBy("path", "own").agg(F.ceil(F.sum("c") / BLOCK_SETS).cast("int").alias("blocks")), "lz4")
+    blocks = number.select("path", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    first, second = F.struct("own", "block"), F.struct(F.col("own2").alias("own"), F.col("block2").alias("block"))
+    both = blocks.join(blocks.select("path", F.col("own").alias("own2"), F.col("block").alias("block2")), "path").filter((first <= second) & ((F.col("own") != F.col("own2")) | (F.col("own") == 0)))
+    both = both.select("path", F.array(first, second).alias("of"), F.xxhash64(first, second).alias("pair"))
+    sides = materialize(both.select("path", "pair", F.posexplode(F.array_distinct("of")).alias("side", "at")).select("path", "pair", "side", "at.own", "at.block"), "lz4")
+    placed = large.select("path", "s", "comp").join(kinds.select("path", "comp", "own"), ["path", "comp"]).join(number, ["path", "own"]).withColumn("block", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int"))
+    cut = placed.join(sides, ["path", "own", "block"]).select("path", "pair", "side", "s", "comp")
+    return compare_sketches(whole.unionByName(cut).join(sketches.select("s", "sketch"), "s"), least)
+
+
 def exact_links(sizes: np.ndarray, tokens: np.ndarray, left: int, threshold: float) -> np.ndarray:
     """Which sets, given one after another, reach the threshold: the first `left` by the others, or all by all if left is 0."""
     m = len(sizes)
@@ -195,14 +283,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     reached = sig.select("s", F.explode("paths").alias("path"))
     buckets = materialize(reached.groupBy("path").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low != high"), "lz4")
+    held = materialize(reached.join(buckets, "path").distinct(), "lz4")
     ends = F.explode(F.array("low", "high")).alias("b")
-    pairs = materialize(reached.join(buckets, "path").select(F.col("s").alias("a"), ends).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lz4")
+    pairs = materialize(held.select(F.col("s").alias("a"), ends).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lz4")
 
     members = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "s")
     sketches = materialize(sig.select("s", "n", "sketch").join(materialize(members, "lz4"), "s").dropDuplicates(["s"]), "lz4")
     x, y = sketches.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), sketches.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
     least = threshold - SKETCH_ERRORS * math.sqrt(threshold * (1 - threshold) / SKETCH)
-    gathered = components(similar_sketches(pairs.join(x, "a").join(y, "b"), least))
+    gathered = materialize(components(similar_sketches(pairs.join(x, "a").join(y, "b"), least)), "lz4")
+    more = bucket_links(held.select("path", "s"), gathered, sketches, least)
+    gathered = components(gathered.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     placed = gathered.select(F.col("v").alias("s"), F.col("root").alias("comp")).unionByName(gathered.select(F.col("root").alias("s"), F.col("root").alias("comp")).distinct())
     placed = materialize(placed, "lz4")

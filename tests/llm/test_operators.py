@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on texts of all odd kinds."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -236,6 +237,36 @@ def test_ngram_join(docs, rows, none, monkeypatch):
     assert j.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_ngram_join_finds_pairs_between_dissimilar_ends(spark, monkeypatch, block):
+    """A family of J about 0.3, of which many meet in each bucket: planted pairs are found though a bucket's ends are others."""
+    from functools import partial
+
+    from graphloom.llm import ngram_join as j
+
+    rng = random.Random(8)
+    texts = [" ".join(f"p{k} a b c d e f g h i" for k in range(150) if rng.random() < 0.55) for _ in range(200)]
+    for text in texts[:25]:
+        words = text.split(" ")
+        for at in rng.sample(range(len(words)), 10):
+            words[at] = "edited"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(j, "paths", partial(j.paths, depth=1))  # fewer steps, larger buckets
+    monkeypatch.setattr(j, "runs_for", partial(j.runs_for, depth=1))
+    monkeypatch.setattr(j, "BLOCK_SETS", block)
+    got = j.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    links, members = jaccard_classes(list(enumerate(texts)))
+    same([key(r, "doc_id", "class_id", "n_links") for r in got], [(k, min(members[k]), links[k]) for k in range(len(texts))])
+    assert sum(r.n_links for r in got) == 50
+
+
+def test_runs_count_the_coordinates_that_agree():
+    from graphloom.llm.ngram_join import COORDINATES, DEPTH, RECALL, runs_for
+
+    agree = np.random.default_rng(1).binomial(COORDINATES, 0.8, 1_000_000) / COORDINATES
+    assert ((1 - agree**DEPTH) ** runs_for(0.8)).mean() <= 2 * (1 - RECALL)
+
+
 def test_toxicity(spark, texts, none):
     from graphloom.llm.toxicity import fit, toxicity
 
