@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import math
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +30,10 @@ KINDS = ("assign", "access", "hex", "inefficient")
 #: Runs that the test looks at, and the most characters per token of a random one.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MOST_CHARS_PER_TOKEN = 2.0
+#: Characters per token, at least, of the pieces of an identifier, each encoded by itself.
+WORD_CHARS_PER_TOKEN = 2.5
+#: Most that the mean logarithm of the places of its pairs of letters is in a word of an unknown language; 9.1 in random letters.
+WORD_PAIR_RANK = 8.25
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -43,13 +49,38 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(run: str) -> bool:
-    """Whether a run is a number, a digest of a known length, a UUID, or an identifier: pieces of letters of three on average, with few digits."""
+@functools.cache
+def pair_ranks(vocabulary: str) -> dict[str, float]:
+    """Logarithm of the place in the vocabulary of each pair of letters, and under "" that of a pair it lacks."""
+    enc = encoding(vocabulary)
+    pairs = {a + b: enc._mergeable_ranks.get((a + b).encode()) for a in string.ascii_lowercase for b in string.ascii_lowercase}
+    return {"": math.log(enc.n_vocab)} | {x: math.log(n + 1) for x, n in pairs.items() if n is not None}
+
+
+def chars_per_token(run: str, vocabulary: str) -> float:
+    return len(run) / len(encoding(vocabulary).encode_ordinary(run))
+
+
+def is_identifier(run: str, vocabulary: str) -> bool:
+    """Whether a run consists of words by the vocabulary: pieces of letters of three on average, cheap in tokens taken one by one, or made of
+    pairs of letters that the vocabulary has early (words it doesn't know), with few digits."""
+    pieces = PIECE.findall(run)
+    letters = [x for x in pieces if not x[0].isdigit()]
+    size = sum(map(len, letters))
+    if not size or size < 3 * len(letters) or 5 * (sum(map(len, pieces)) - size) > size:
+        return False
+    if size >= WORD_CHARS_PER_TOKEN * sum(len(encoding(vocabulary).encode_ordinary(x)) for x in letters):
+        return True
+    rank = pair_ranks(vocabulary)
+    pairs = [rank.get(x[k : k + 2], rank[""]) for x in map(str.lower, letters) for k in range(len(x) - 1)]
+    return bool(pairs) and sum(pairs) <= WORD_PAIR_RANK * len(pairs)
+
+
+def is_known(run: str, vocabulary: str) -> bool:
+    """Whether a run is a number, a digest of a known length, a UUID, or an identifier."""
     if not re.search("[A-Za-z]", run) or UUID.fullmatch(run) or (len(run) in DIGEST_LENGTHS and re.fullmatch(r"(?i)[0-9a-f]+", run)):
         return True
-    pieces = PIECE.findall(run)
-    letters = [len(x) for x in pieces if not x[0].isdigit()]
-    return sum(letters) >= 3 * len(letters) and 5 * (sum(map(len, pieces)) - sum(letters)) <= sum(letters)
+    return is_identifier(run, vocabulary)
 
 
 def find_spans(text: str | None, vocabulary: str, ratio: float = MOST_CHARS_PER_TOKEN) -> list[tuple[int, int, int, float | None]]:
@@ -66,9 +97,9 @@ def find_spans(text: str | None, vocabulary: str, ratio: float = MOST_CHARS_PER_
         spans += [(m.start(), 2, m.end(), None) for m in HEX.finditer(text) if len(m[0]) >= HEX_LEAST]
     base = list(spans)
     for m in runs:
-        if any(a < m.end() and m.start() < b for a, _, b, _ in base) or is_known(m[0]):
+        if any(a < m.end() and m.start() < b for a, _, b, _ in base) or is_known(m[0], vocabulary):
             continue
-        per_token = len(m[0]) / len(encoding(vocabulary).encode_ordinary(m[0]))
+        per_token = chars_per_token(m[0], vocabulary)
         if per_token <= ratio:
             spans.append((m.start(), 3, m.end(), per_token))
     return sorted(spans, key=lambda x: x[:2])

@@ -175,6 +175,21 @@ def test_secrets(docs, rows, none, spark):
     assert redacted_documents(docs).columns == docs.columns and redacted_documents(docs).count() == len(rows)
 
 
+ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_secrets_of_few_kinds_of_characters_are_no_identifiers(alphabet):
+    from graphloom.llm.secrets import default_vocabulary, find_spans
+
+    rng, v = random.Random(3), default_vocabulary()
+    for size in (20, 32, 40):
+        keys = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(50)]
+        assert sum([x[:3] for x in find_spans(f"see {k} end", v)] == [(4, 3, 4 + size)] for k in keys) >= 45
+    for clean in ("parseHTTPRequestHeaders", "MAXIMUM_CONNECTION_TIMEOUT_SECONDS", "internationalization", "release-candidate-version-2", "dieeinkeitgekeit", "ononwhshthheesou"):
+        assert find_spans(clean, v) == [], clean
+
+
 def test_decontamination(spark, docs, rows, texts, none):
     from graphloom.llm.decontamination import contamination, grams, tokens
 
