@@ -1,8 +1,8 @@
 """Secret scans: three base patterns and a token-efficiency test.
 
 The test encodes each long run of key-like characters with a tiktoken vocabulary. Words and names of any language that the vocabulary has seen take
-few tokens; random strings take a token for every one or two characters. Runs that are known digests, UUIDs, numbers or identifiers built
-from words are left out first.
+few tokens; random strings take a token for every one or two characters. Known digests, UUIDs, numbers and identifiers built from words are left out
+first, whether they are whole runs or parts of one.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "inefficient")
 
 #: Runs that the test looks at, and the most characters per token of a random one.
+RUN_LEAST = 16
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MOST_CHARS_PER_TOKEN = 2.0
 #: Characters per token, at least, of the pieces of an identifier, each encoded by itself.
@@ -36,6 +37,9 @@ WORD_CHARS_PER_TOKEN = 2.5
 WORD_PAIR_RANK = 8.25
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
+WITHIN_UUID = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern.removeprefix('(?i)')}(?![A-Za-z0-9])", re.IGNORECASE)
+#: Parts of a run between separators, and the least length of one that is taken for a word.
+PART, WORD_LEAST = re.compile(r"[A-Za-z0-9+]+"), 4
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -83,6 +87,39 @@ def is_known(run: str, vocabulary: str) -> bool:
     return is_identifier(run, vocabulary)
 
 
+def random_stretches(run: str, vocabulary: str, ratio: float) -> list[tuple[int, int, float]]:
+    """(start, end, characters per token) of what is random in a run without base spans.
+
+    Words, digests and UUIDs in it are cut off at separators; what lies between them is tested together, as keys hold separators too, and if that isn't random,
+    each of its parts. If nothing is found so, the run is tested as a whole."""
+
+    def test(a: int, b: int) -> list[tuple[int, int, float]]:
+        part = run[a:b]
+        if b - a < RUN_LEAST or is_known(part, vocabulary):
+            return []
+        per_token = chars_per_token(part, vocabulary)
+        return [(a, b, per_token)] if per_token <= ratio else []
+
+    def is_cut(part: str) -> bool:
+        if len(part) in DIGEST_LENGTHS and re.fullmatch("(?i)[0-9a-f]+", part):
+            return True
+        return len(part) >= WORD_LEAST and is_identifier(part, vocabulary)
+
+    whole = [(m.start(), m.end()) for m in WITHIN_UUID.finditer(run)]
+    parts = [(m.start(), m.end()) for m in PART.finditer(run) if not any(a <= m.start() < b for a, b in whole)]
+    stretches: list[list[tuple[int, int]]] = [[]]
+    for a, b in parts:
+        if is_cut(run[a:b]) or (stretches[-1] and any(stretches[-1][-1][1] <= x < a for x, _ in whole)):
+            stretches.append([])
+        if not is_cut(run[a:b]):
+            stretches[-1].append((a, b))
+    found = []
+    for x in filter(None, stretches):
+        end = x[-1][1] + len(re.match("=*", run[x[-1][1] :])[0])  # padding
+        found += test(x[0][0], end) or [y for a, b in x for y in test(a, b)]
+    return found or (test(0, len(run)) if not whole else [])
+
+
 def find_spans(text: str | None, vocabulary: str, ratio: float = MOST_CHARS_PER_TOKEN) -> list[tuple[int, int, int, float | None]]:
     """(start, place in KINDS, end, characters per token) of every secret, sorted; offsets in code points. Null and empty texts have none."""
     if not text:
@@ -97,11 +134,11 @@ def find_spans(text: str | None, vocabulary: str, ratio: float = MOST_CHARS_PER_
         spans += [(m.start(), 2, m.end(), None) for m in HEX.finditer(text) if len(m[0]) >= HEX_LEAST]
     base = list(spans)
     for m in runs:
-        if any(a < m.end() and m.start() < b for a, _, b, _ in base) or is_known(m[0], vocabulary):
-            continue
-        per_token = chars_per_token(m[0], vocabulary)
-        if per_token <= ratio:
-            spans.append((m.start(), 3, m.end(), per_token))
+        at = m.start()
+        for a, b in [*sorted((a, b) for a, _, b, _ in base if a < m.end() and m.start() < b), (m.end(), m.end())]:
+            if a - at >= RUN_LEAST:
+                spans += [(at + x, 3, at + y, r) for x, y, r in random_stretches(text[at:a], vocabulary, ratio)]
+            at = max(at, b)
     return sorted(spans, key=lambda x: x[:2])
 
 
