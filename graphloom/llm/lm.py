@@ -5,7 +5,8 @@ the TOP most frequent training tokens and CLASSES classes of the others, by thei
 share in it, (c + 1) / (N_class + V_class + 1), which leaves one share for all unseen tokens; the whole is normalised over tokens.
 As contexts are pairs of symbols, the normalisers of all contexts are computed once, by batched matrix products in Spark tasks.
 
-Counts cover every training document; they are joined to tokens by distinct words (see worddict). Embeddings are fitted to a bounded sample.
+Counts cover every training document; they are joined to tokens by distinct words (see worddict). Embeddings are fitted to a bounded sample first; from there
+each task goes once through its part of all training documents, and the tasks' changes are averaged by tokens.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from graphloom.llm.common import materialize
 from graphloom.llm.worddict import END, WORD_SPLIT, code_documents, fill_positions, pack, pack_words, unpack, unpack_words
 
 TOP, CLASSES, WIDTH, NOISE = 720, 48, 32, 24
-#: Training documents that the embeddings are fitted to at most, and tokens of them; the counts cover all documents.
+#: Training documents that the embeddings are first fitted to at most, and tokens of them; all documents follow, as many tokens at once.
 SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 1_500, 400_000
 EPOCHS, BATCH, RATE = 4, 512, 0.1
+#: Parts of the embeddings that are summed by a task each.
+SLABS = 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -48,6 +51,7 @@ class LogBilinear:
     far: np.ndarray
     target: np.ndarray
     bias: np.ndarray
+    sums: list[np.ndarray] | None = None
 
     @property
     def symbols(self) -> int:
@@ -76,8 +80,8 @@ def contexts_of(symbols: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return far.astype(np.int64) * (n + 1) + near
 
 
-def train(symbols: np.ndarray, first: np.ndarray, unigram: np.ndarray, seed: int = 5) -> LogBilinear:
-    """Noise-contrastive estimation: tells each token from NOISE draws of the unigram distribution. Updates by Adagrad."""
+def train(symbols: np.ndarray, first: np.ndarray, unigram: np.ndarray, seed: int = 5, model: LogBilinear | None = None, epochs: int = EPOCHS) -> LogBilinear:
+    """Noise-contrastive estimation: tells each token from NOISE draws of the unigram distribution. Updates by Adagrad. Goes on from a model, which stays as it is."""
     n = len(unigram)
     rng = np.random.default_rng(seed)
     start = lambda rows: rng.normal(0, 0.05, (rows, WIDTH)).astype(np.float32)
@@ -85,6 +89,9 @@ def train(symbols: np.ndarray, first: np.ndarray, unigram: np.ndarray, seed: int
     log_p = np.log(unigram).astype(np.float32)
     bias = log_p.copy()
     sums = [np.full((len(x), 1), 1e-3, np.float32) for x in (near, far, target, bias)]
+    if model is not None:
+        near, far, target, bias = (x.copy() for x in (model.near, model.far, model.target, model.bias))
+        sums = [x.copy() for x in model.sums]
     c = contexts_of(symbols, first, n)
     a, b = c // (n + 1), c % (n + 1)
     wheel = np.cumsum(unigram)
@@ -102,7 +109,7 @@ def train(symbols: np.ndarray, first: np.ndarray, unigram: np.ndarray, seed: int
         total[kinds] += (g * g).mean(1, keepdims=True)
         table[kinds] += RATE * g / np.sqrt(total[kinds])
 
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(symbols))
         for at in range(0, len(order), BATCH):
             t = order[at : at + BATCH]
@@ -123,7 +130,7 @@ def train(symbols: np.ndarray, first: np.ndarray, unigram: np.ndarray, seed: int
             target[kinds] += RATE * g[:, :-1] / np.sqrt(sums[2][kinds])
             sums[3][kinds] += g[:, -1:] ** 2
             bias[kinds] += RATE * g[:, -1] / np.sqrt(sums[3][kinds, 0])
-    return LogBilinear(near, far, target, bias)
+    return LogBilinear(near, far, target, bias, sums)
 
 
 @dataclass
@@ -253,7 +260,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     unigram = np.concatenate([np.array([c for _, c in top], float), n]) + 0.5
     unigram /= unigram.sum()
     symbols, first = _symbols(_sample(narrow), symbol_of)
-    model = _trained(spark, symbols, first, unigram)
+    model = _refined(narrow, _trained(spark, symbols, first, unigram), symbol_of, unigram)
     shared = spark.sparkContext.broadcast(model)
     contexts = (model.symbols + 1) ** 2
 
@@ -282,6 +289,60 @@ def _trained(spark: SparkSession, symbols: np.ndarray, first: np.ndarray, unigra
     return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "model binary").first().model)
 
 
+def _refined(docs: DataFrame, model: LogBilinear, symbol_of: dict[str, int], unigram: np.ndarray) -> LogBilinear:
+    """The model after one pass over all training texts: each task goes on from it, and the changes are averaged by the tasks' tokens, SLABS rows of each."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, symbol_of, unigram))
+    flat = lambda m: np.concatenate([x.ravel() for x in (m.near, m.far, m.target, m.bias)]).astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, top, unigram = shared.value
+        now, held, tokens, seen = begin, [], 0, 0
+
+        def fit(now: LogBilinear) -> LogBilinear:
+            first = np.zeros(sum(map(len, held)), bool)
+            first[np.cumsum([0, *map(len, held[:-1])])] = True
+            return train(np.concatenate(held), first, unigram, seed=seen, model=now, epochs=1)
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(symbols_of(text, top))
+                tokens += len(held[-1])
+                if tokens >= SAMPLE_TOKENS:
+                    now, seen = fit(now), seen + tokens
+                    held, tokens = [], 0
+        if held:
+            now, seen = fit(now), seen + tokens
+        if seen:
+            slabs = np.array_split((flat(now) - flat(begin)) * seen, SLABS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLABS), pa.int32()), pa.array([float(seen)] * SLABS), pa.array([x.tobytes() for x in slabs], pa.binary())], ["slab", "n", "change"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            for slab, n, change in zip(*(batch.column(c).to_pylist() for c in ("slab", "n", "change")), strict=True):
+                x = total.setdefault(slab, [0.0, 0.0])
+                x[0] += n
+                x[1] = x[1] + np.frombuffer(change)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(x / n).tobytes() for n, x in total.values()], pa.binary())], ["slab", "change"])
+
+    texts = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("text")
+    parts = texts.mapInArrow(run, "slab int, n double, change binary").repartition(SLABS, "slab").sortWithinPartitions("slab", "n", F.xxhash64("change"))
+    changes = sorted(parts.mapInArrow(add, "slab int, change binary").collect())  # SLABS rows
+    if not changes:
+        return model
+    new, at, tables = flat(model) + np.concatenate([np.frombuffer(x.change) for x in changes]), 0, []
+    for x in (model.near, model.far, model.target, model.bias):
+        tables.append(new[at : at + x.size].reshape(x.shape).astype(np.float32))
+        at += x.size
+    return LogBilinear(*tables)
+
+
+def symbols_of(text: str, top: dict[str, int]) -> np.ndarray:
+    """Symbols of a text's tokens and its end."""
+    words = [w for w in WORD_SPLIT.split(text.translate(LOWER)) if w] + [END]
+    return np.array([top[w] if w in top else len(top) + word_class(w) for w in words], "<i4")
+
+
 def _sample(docs: DataFrame) -> DataFrame:
     """_h and text of the SAMPLE_DOCUMENTS training rows with the least hashes. Only hashes are sorted; texts stay where they are until the cut is known."""
     hashed = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("_h"), "text")
@@ -296,10 +357,7 @@ def _symbols(sample: DataFrame, symbol_of: dict[str, int]) -> tuple[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = shared.value
         for batch in batches:
-            rows = []
-            for x in batch.column("text").to_pylist():
-                words = [w for w in WORD_SPLIT.split(x.translate(LOWER)) if w] + [END]
-                rows.append(np.array([top.get(w, -1) if w in top else len(top) + word_class(w) for w in words], "<i4").tobytes())
+            rows = [symbols_of(x, top).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array(rows, pa.binary())], ["h", "symbols"])
 
     got, total = [], 0

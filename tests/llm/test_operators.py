@@ -341,6 +341,23 @@ def test_lm(docs, rows, none):
     assert held_out is not None
 
 
+def test_lm_learns_from_documents_outside_the_sample(spark, monkeypatch):
+    from graphloom.llm import lm
+
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    step = dict(zip(words, rng.sample(words, 40), strict=True))
+    texts = []
+    for _ in range(1500):
+        text = [rng.choice(words)]
+        while len(text) < 100:
+            text.append(step[text[-1]] if rng.random() < 0.9 else rng.choice(words))
+        texts.append(" ".join(text))
+    monkeypatch.setattr(lm, "SAMPLE_DOCUMENTS", 1)
+    got = [r for r in lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.held_out]
+    assert sum(r.score for r in got) > 0.4 * sum(r.base_score for r in got)
+
+
 def test_lm_is_normalised_and_learns():
     from graphloom.llm.lm import LogBilinear, contexts_of, train
 
