@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import math
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
+#: Compressed bytes of input for each shuffle partition at most.
+TASK_BYTES = 64 << 20
+
 
 def scratch(spark) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; only where it is unset, as in tests, a temporary one."""
+    """A new folder below spark.checkpoint.dir, which all executors share; only where it is unset and all runs in one process, as in tests, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -27,6 +34,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(df: DataFrame) -> int:
-    """The session's number of shuffle partitions. Given to repartition() where few bytes take long, as AQE would otherwise merge them into few tasks."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes of all files that df's plan reads; rows made in Python, whose bytes are unknown, count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 62)
+
+
+def partitions(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """The session's number of shuffle partitions, or more where the scanned files ask for it, so that a task's share doesn't grow with the input.
+    Given to repartition() where few bytes take long, as AQE would otherwise merge them into few tasks."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(scanned_bytes(df) / task_bytes))
