@@ -1,17 +1,18 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation in numpy.
 
 The model predicts a token's symbol from the two symbols before it: q = sum of position matrices' rows, s(w) = q . r_w + b_w, normalised over all symbols. Symbols are
-the TOP most frequent training tokens and CLASSES classes of the others, by their last two letters. A token of a class has the class's probability times the token's
-share in it, (c + 1) / (N_class + V_class + 1), which leaves one share for all unseen tokens; the whole is normalised over tokens.
+the most frequent training tokens and classes of the others, by their last two letters; their numbers grow with the cube root of the vocabulary (see symbol_numbers). A token of a
+class has the class's probability times the token's share in it, (c + 1) / (N_class + V_class + 1), which leaves one share for all unseen tokens; the whole is normalised over tokens.
 As contexts are pairs of symbols, the normalisers of all contexts are computed once, by batched matrix products in Spark tasks.
 
-Counts cover every training document; they are joined to tokens by distinct words (see worddict). Embeddings are fitted to a bounded sample first; from there
-each task goes once through its part of all training documents, and the tasks' changes are averaged by tokens.
+Counts cover every training document; they are joined to tokens by distinct words (see worddict). Embeddings are trained in passes over the training documents, the last of
+which takes all of them: each task goes through its part from the common model, and the tasks' results are averaged by tokens.
 """
 
 from __future__ import annotations
 
-import pickle
+import heapq
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,19 +20,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import partitions
-from graphloom.llm.common import materialize
-from graphloom.llm.worddict import END, WORD_SPLIT, code_documents, fill_positions, pack, pack_words, unpack, unpack_words
+from graphloom.llm.common import materialize, slices, split_words
+from graphloom.llm.worddict import END, code_documents, fill_positions, pack, pack_words, unpack, unpack_words
 
-TOP, CLASSES, WIDTH, NOISE = 720, 48, 32, 24
-#: Training documents that the embeddings are first fitted to at most, and tokens of them; all documents follow, as many tokens at once.
-SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 1_500, 400_000
-EPOCHS, BATCH, RATE = 4, 512, 0.1
-#: Parts of the embeddings that are summed by a task each.
-SLABS = 16
+#: Frequent tokens and classes for each unit of the vocabulary's cube root, and symbols at most: their pairs, which are broadcast, take 64 MB then.
+TOP_ROOT, CLASS_ROOT, LEAST_CLASSES, MOST_SYMBOLS = 12.0, 0.8, 8, 4000
+#: Classes are folded from so many bins, which are counted before their number is known.
+CLASS_BINS = 4096
+WIDTH, NOISE, BATCH, RATE = 32, 24, 512, 0.1
+#: Parts of all training documents, by hash, that each pass takes; the last takes all.
+PASSES = (0.25, 1.0)
+#: Tokens that a task shuffles and trains on at once, and how often it goes through fewer.
+FIT_TOKENS, MOST_EPOCHS = 400_000, 8
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,8 +44,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 7 == 2
 
 
-def word_class(word: str) -> int:
-    return zlib.crc32(word[-2:].encode()) % CLASSES
+def symbol_numbers(kinds: int) -> tuple[int, int]:
+    """Frequent tokens and classes for a vocabulary of so many distinct tokens."""
+    root = kinds ** (1 / 3)
+    classes = min(MOST_SYMBOLS // 10, max(LEAST_CLASSES, math.ceil(CLASS_ROOT * root)))
+    return min(MOST_SYMBOLS - classes, math.ceil(TOP_ROOT * root)), classes
+
+
+def word_bin(word: str) -> int:
+    return zlib.crc32(word[-2:].encode()) % CLASS_BINS
 
 
 @dataclass
@@ -51,12 +63,24 @@ class LogBilinear:
     far: np.ndarray
     target: np.ndarray
     bias: np.ndarray
-    sums: list[np.ndarray] | None = None
+    sums: list[np.ndarray]  # Adagrad's, by row
 
     @property
     def symbols(self) -> int:
         return len(self.bias)
 
+    def tables(self) -> tuple[np.ndarray, ...]:
+        return self.near, self.far, self.target, self.bias
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (*self.tables(), *self.sums)])
+
+    def filled(self, flat: np.ndarray) -> LogBilinear:
+        """A model of the same shape with other numbers."""
+        ends = np.cumsum([x.size for x in (*self.tables(), *self.sums)])
+        parts = [x.reshape(y.shape).astype(np.float32) for x, y in zip(np.split(flat, ends[:-1]), (*self.tables(), *self.sums), strict=True)]
+        return LogBilinear(*parts[:4], parts[4:])
+
     def normalisers(self, contexts: np.ndarray) -> np.ndarray:
         """log of the sum of exp(s) over all symbols, for contexts far * (symbols + 1) + near."""
         out = np.empty(len(contexts), np.float32)
@@ -80,18 +104,20 @@ def contexts_of(symbols: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return far.astype(np.int64) * (n + 1) + near
 
 
-def train(symbols: np.ndarray, first: np.ndarray, unigram: np.ndarray, seed: int = 5, model: LogBilinear | None = None, epochs: int = EPOCHS) -> LogBilinear:
+def untrained(unigram: np.ndarray, seed: int = 5) -> LogBilinear:
+    rng = np.random.default_rng(seed)
+    n = len(unigram)
+    near, far, target = (rng.normal(0, 0.05, (rows, WIDTH)).astype(np.float32) for rows in (n + 1, n + 1, n))
+    return LogBilinear(near, far, target, np.log(unigram).astype(np.float32), [np.full((rows, 1), 1e-3, np.float32) for rows in (n + 1, n + 1, n, n)])
+
+
+def train(symbols: np.ndarray, first: np.ndarray, unigram: np.ndarray, model: LogBilinear, seed: int = 5, epochs: int = 1) -> LogBilinear:
     """Noise-contrastive estimation: tells each token from NOISE draws of the unigram distribution. Updates by Adagrad. Goes on from a model, which stays as it is."""
     n = len(unigram)
     rng = np.random.default_rng(seed)
-    start = lambda rows: rng.normal(0, 0.05, (rows, WIDTH)).astype(np.float32)
-    near, far, target = start(n + 1), start(n + 1), start(n)
     log_p = np.log(unigram).astype(np.float32)
-    bias = log_p.copy()
-    sums = [np.full((len(x), 1), 1e-3, np.float32) for x in (near, far, target, bias)]
-    if model is not None:
-        near, far, target, bias = (x.copy() for x in (model.near, model.far, model.target, model.bias))
-        sums = [x.copy() for x in model.sums]
+    near, far, target, bias = (x.copy() for x in model.tables())
+    sums = [x.copy() for x in model.sums]
     c = contexts_of(symbols, first, n)
     a, b = c // (n + 1), c % (n + 1)
     wheel = np.cumsum(unigram)
@@ -133,6 +159,41 @@ def train(symbols: np.ndarray, first: np.ndarray, unigram: np.ndarray, seed: int
     return LogBilinear(near, far, target, bias, sums)
 
 
+@dataclass
+class Symbols:
+    """place: the frequent tokens' symbols; the classes follow."""
+
+    place: dict[str, int]
+    classes: int
+
+    def of(self, word: str) -> int:
+        at = self.place.get(word)
+        return len(self.place) + word_bin(word) % self.classes if at is None else at
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all texts' tokens, each text followed by its end, and which are the first of a text."""
+        codes, words, starts = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
+        own = np.fromiter((self.of(w) for w in words.to_pylist()), np.int64, len(words))
+        size = np.diff(starts)
+        out = np.full(len(codes) + len(size), self.of(END), np.int64)
+        out[np.arange(len(codes)) + np.repeat(np.arange(len(size)), size)] = own[codes] if len(codes) else codes
+        first = np.zeros(len(out), bool)
+        first[starts[:-1] + np.arange(len(size))] = True
+        return out, first
+
+
+@dataclass
+class Learnt:
+    """What is learnt of a corpus: the model, its symbols, counts by bucket, the classes' mass, training tokens and distinct ones."""
+
+    model: LogBilinear
+    symbols: Symbols
+    counts: DataFrame
+    mass: np.ndarray
+    tokens: int
+    kinds: int
+
+
 @dataclass
 class _Score:
     """Finishes runs of documents; see fill_positions."""
@@ -144,7 +205,7 @@ class _Score:
 
     def prepare(self, items, values):
         """Symbol, log10 of the share in the symbol, and count of each code."""
-        size, top = sum(map(len, items)), self.model.value.symbols - CLASSES
+        size, top = sum(map(len, items)), self.model.value.symbols - len(self.class_mass)
         symbol, count = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for codes, value in zip(items, values, strict=True):
             low, high, symbol[codes] = unpack(value).reshape(3, -1)
@@ -177,24 +238,20 @@ def by_bucket(words: DataFrame, *order: str) -> DataFrame:
 
 
 def word_counts(coded: DataFrame) -> DataFrame:
-    """A written row for each bucket: its distinct words with their counts over all training documents, packed; the TOP most frequent of them; and by class the counts' sum and number."""
+    """A written row for each bucket: its distinct words with their counts over all training documents, packed; and for each bin of classes with words there the counts' sum and number."""
     words = by_bucket(coded.filter("kind = 0").select((-1 - F.col("key")).cast("int").alias("bucket"), "words", "n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, Counter()
 
         def row() -> pa.RecordBatch:
-            known = {w: c for w, c in held.items() if c}
-            best = sorted(known.items(), key=lambda x: (-x[1], x[0]))[:TOP]
-            n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-            for w, c in known.items():
-                k = word_class(w)
-                n[k] += c
-                v[k] += 1
             c = np.fromiter(held.values(), np.int64, len(held))
-            data = [[bucket], [pack_words(list(held))], [pack(np.concatenate((c & 0xFFFFFFFF, c >> 32)))], [[{"word": w, "c": c} for w, c in best]], [[{"n": a, "v": b} for a, b in zip(n.tolist(), v.tolist(), strict=True)]]]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("word", pa.string()), ("c", pa.int64())])), pa.list_(pa.struct([("n", pa.int64()), ("v", pa.int64())]))]
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(data, kinds, strict=True)], ["bucket", "words", "counts", "top", "classes"])
+            bins = np.fromiter((word_bin(w) for w in held), np.int64, len(held))
+            n, v = np.bincount(bins, c, CLASS_BINS).astype(np.int64), np.bincount(bins[c > 0], minlength=CLASS_BINS)
+            found = [{"bin": k, "n": n[k], "v": v[k]} for k in np.flatnonzero(v).tolist()]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("bin", pa.int32()), ("n", pa.int64()), ("v", pa.int64())]))]
+            data = [[bucket], [pack_words(list(held))], [pack(np.concatenate((c & 0xFFFFFFFF, c >> 32)))], [found]]
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(data, kinds, strict=True)], ["bucket", "words", "counts", "bins"])
 
         for batch in batches:
             for at, words, n in zip(*(batch.column(x).to_pylist() for x in ("bucket", "words", "n")), strict=True):
@@ -207,12 +264,32 @@ def word_counts(coded: DataFrame) -> DataFrame:
         if bucket is not None:
             yield row()
 
-    return materialize(words.mapInArrow(run, "bucket int, words binary, counts binary, top array<struct<word string, c long>>, classes array<struct<n long, v long>>"), "lz4")
+    return materialize(words.mapInArrow(run, "bucket int, words binary, counts binary, bins array<struct<bin int, n long, v long>>"), "lz4")
 
 
-def word_values(coded: DataFrame, counts: DataFrame, symbol_of: dict[str, int]) -> DataFrame:
+def unpack_counts(words: bytes, counts: bytes) -> list[tuple[str, int]]:
+    low, high = unpack(counts).reshape(2, -1)
+    return list(zip(unpack_words(words), (low + (high << 32)).tolist(), strict=True))
+
+
+def most_frequent(counts: DataFrame, n: int) -> list[tuple[str, int]]:
+    """The n most frequent training tokens with their counts, ties by token: those of each bucket, then of all. n is bounded by MOST_SYMBOLS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, packed in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                best = heapq.nsmallest(n, ((-c, w) for w, c in unpack_counts(words, packed) if c))
+                yield pa.RecordBatch.from_arrays([pa.array([w for _, w in best], pa.string()), pa.array([-c for c, _ in best], pa.int64())], ["word", "c"])
+
+    if not n:
+        return []
+    found = counts.select("words", "counts").mapInArrow(run, "word string, c long").orderBy(F.desc("c"), "word").limit(n).agg(F.collect_list(F.struct("word", "c"))).first()[0]
+    return sorted(((r.word, r.c) for r in found), key=lambda x: (-x[1], x[0]))
+
+
+def word_values(coded: DataFrame, counts: DataFrame, symbols: Symbols) -> DataFrame:
     """chunk, items and value (counts' low and high halves, symbols) of all dictionary rows: each bucket's counts, then its rows of all chunks."""
-    shared = coded.sparkSession.sparkContext.broadcast(symbol_of)
+    shared = coded.sparkSession.sparkContext.broadcast(symbols)
     rows = coded.filter("kind = 0").select((-1 - F.col("key")).cast("int").alias("bucket"), F.lit(1).alias("part"), "chunk", "items", "words", F.lit(None).cast("binary").alias("counts"))
     first = counts.select("bucket", F.lit(0).alias("part"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("items"), "words", "counts")
 
@@ -221,12 +298,10 @@ def word_values(coded: DataFrame, counts: DataFrame, symbol_of: dict[str, int])
         for batch in batches:
             chunk, items, values = [], [], []
             for part, c, i, words, data in zip(*(batch.column(x).to_pylist() for x in ("part", "chunk", "items", "words", "counts")), strict=True):
-                words = unpack_words(words)
                 if part == 0:
-                    low, high = unpack(data).reshape(2, -1)
-                    known = {w: (n, top[w] if w in top else len(top) + word_class(w)) for w, n in zip(words, (low + (high << 32)).tolist(), strict=True)}
+                    known = {w: (n, top.of(w)) for w, n in unpack_counts(words, data)}
                     continue
-                found = np.array([known[w] for w in words], np.int64)
+                found = np.array([known[w] for w in unpack_words(words)], np.int64)
                 chunk.append(c)
                 items.append(i)
                 values.append(pack(np.concatenate((found[:, 0] & 0xFFFFFFFF, found[:, 0] >> 32, found[:, 1]))))
@@ -235,141 +310,97 @@ def word_values(coded: DataFrame, counts: DataFrame, symbol_of: dict[str, int])
     return by_bucket(first.unionByName(rows), "part").mapInArrow(run, "chunk long, items binary, value binary")
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10 of the text's probability.
-
-    A null or empty text is its end token alone. Repeated rows count each time. With no training document, every token is unseen: counts are 0
-    and symbols equally likely. An empty table gives an empty result. Other columns aren't read.
-    """
-    spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    coded = materialize(code_documents(narrow.withColumn("counted", ~held_out(F.col("doc_id"))), fold=True, end=True, counted="counted"), "lz4")
+def learn(narrow: DataFrame, coded: DataFrame) -> Learnt:
+    """Counts, symbols and a trained model of the rows (doc_id, text) that aren't held out; coded: their words and counts, see code_documents."""
     counts = word_counts(coded)
-    most = counts.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("c"), "word").limit(TOP).agg(F.collect_list(F.struct("word", "c"))).first()[0]  # TOP rows, gathered by a task
-    top = sorted(((r.word, r.c) for r in most), key=lambda x: (-x[1], x[0]))
-    symbol_of = {w: k for k, (w, _) in enumerate(top)}
-    totals = counts.select(F.posexplode("classes").alias("class", "s")).groupBy("class").agg(F.sum("s.n").alias("n"), F.sum("s.v").alias("v")).collect()  # CLASSES rows
-    n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in totals:
-        n[r["class"]], v[r["class"]] = r.n, r.v
+    n, v = np.zeros(CLASS_BINS, np.int64), np.zeros(CLASS_BINS, np.int64)
+    for r in counts.select(F.explode("bins").alias("b")).select("b.*").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # CLASS_BINS rows
+        n[r.bin], v[r.bin] = r.n, r.v
     tokens, kinds = int(n.sum()), int(v.sum())
+    wanted, classes = symbol_numbers(kinds)
+    top = most_frequent(counts, wanted)
     for w, c in top:  # frequent tokens are symbols of their own
-        n[word_class(w)] -= c
-        v[word_class(w)] -= 1
-
-    unigram = np.concatenate([np.array([c for _, c in top], float), n]) + 0.5
+        n[word_bin(w)] -= c
+        v[word_bin(w)] -= 1
+    fold = lambda x: np.bincount(np.arange(CLASS_BINS) % classes, x, classes)
+    symbols = Symbols({w: k for k, (w, _) in enumerate(top)}, classes)
+    unigram = np.concatenate([np.array([c for _, c in top], float), fold(n)]) + 0.5
     unigram /= unigram.sum()
-    symbols, first = _symbols(_sample(narrow), symbol_of)
-    model = _refined(narrow, _trained(spark, symbols, first, unigram), symbol_of, unigram)
-    shared = spark.sparkContext.broadcast(model)
-    contexts = (model.symbols + 1) ** 2
-
-    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.normalisers(batch.column(0).to_numpy()))], ["id", "z"])
-
-    z = spark.range(0, contexts, 1, 48).mapInArrow(normalise, "id long, z float").toArrow()  # (TOP + CLASSES + 1)^2 rows
-    table = np.zeros(contexts, np.float32)
-    table[z.column("id").to_numpy()] = z.column("z").to_numpy()
-
-    id_type = dict(coded.dtypes)["ids"].removeprefix("array<")[:-1]
-    score = _Score(shared, spark.sparkContext.broadcast(table), (tokens, kinds), n + v + 1.0)
-    out = fill_positions(coded.filter("kind = 1"), word_values(coded, counts, symbol_of), score, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _trained(spark: SparkSession, symbols: np.ndarray, first: np.ndarray, unigram: np.ndarray) -> LogBilinear:
-    """train() as a task: an executor's single-threaded numpy, run again if it is lost."""
-    shared = spark.sparkContext.broadcast((symbols, first, unigram))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(*shared.value))], pa.binary())], ["model"])
-
-    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "model binary").first().model)
+    model = untrained(unigram)
+    for k, share in enumerate(PASSES):
+        model = one_pass(narrow, model, symbols, unigram, share, k)
+    return Learnt(model, symbols, counts, fold(n) + fold(v) + 1.0, tokens, kinds)
 
 
-def _refined(docs: DataFrame, model: LogBilinear, symbol_of: dict[str, int], unigram: np.ndarray) -> LogBilinear:
-    """The model after one pass over all training texts: each task goes on from it, and the changes are averaged by the tasks' tokens, SLABS rows of each."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, symbol_of, unigram))
-    flat = lambda m: np.concatenate([x.ravel() for x in (m.near, m.far, m.target, m.bias)]).astype(float)
+def one_pass(docs: DataFrame, model: LogBilinear, symbols: Symbols, unigram: np.ndarray, share: float, number: int) -> LogBilinear:
+    """The model after a pass over a share of the training texts: each task goes on from it, and the tasks' numbers are averaged by their tokens, part by part."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, symbols, unigram))
+    slabs = min(4096, partitions(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin, top, unigram = shared.value
-        now, held, tokens, seen = begin, [], 0, 0
+        now, own, unigram = shared.value
+        held, tokens, seen = [], 0, 0
 
         def fit(now: LogBilinear) -> LogBilinear:
-            first = np.zeros(sum(map(len, held)), bool)
-            first[np.cumsum([0, *map(len, held[:-1])])] = True
-            return train(np.concatenate(held), first, unigram, seed=seen, model=now, epochs=1)
+            epochs = min(MOST_EPOCHS, math.ceil(FIT_TOKENS / tokens))
+            return train(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), unigram, now, seed=(number << 40) + seen, epochs=epochs)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(symbols_of(text, top))
-                tokens += len(held[-1])
-                if tokens >= SAMPLE_TOKENS:
+            for part in slices(batch):
+                held.append(own.texts(part.column("text")))
+                tokens += len(held[-1][0])
+                if tokens >= FIT_TOKENS:
                     now, seen = fit(now), seen + tokens
                     held, tokens = [], 0
-        if held:
+        if tokens:
             now, seen = fit(now), seen + tokens
         if seen:
-            slabs = np.array_split((flat(now) - flat(begin)) * seen, SLABS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLABS), pa.int32()), pa.array([float(seen)] * SLABS), pa.array([x.tobytes() for x in slabs], pa.binary())], ["slab", "n", "change"])
+            parts = np.array_split(now.flat().astype(float) * seen, slabs)
+            yield pa.RecordBatch.from_arrays([pa.array(range(slabs), pa.int32()), pa.array([float(seen)] * slabs), pa.array([x.tobytes() for x in parts], pa.binary())], ["slab", "n", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for batch in batches:
-            for slab, n, change in zip(*(batch.column(c).to_pylist() for c in ("slab", "n", "change")), strict=True):
+            for slab, n, part in zip(*(batch.column(c).to_pylist() for c in ("slab", "n", "part")), strict=True):
                 x = total.setdefault(slab, [0.0, 0.0])
                 x[0] += n
-                x[1] = x[1] + np.frombuffer(change)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(x / n).tobytes() for n, x in total.values()], pa.binary())], ["slab", "change"])
+                x[1] = x[1] + np.frombuffer(part)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(x / n).astype("<f4").tobytes() for n, x in total.values()], pa.binary())], ["slab", "part"])
 
-    texts = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("text")
-    parts = texts.mapInArrow(run, "slab int, n double, change binary").repartition(SLABS, "slab").sortWithinPartitions("slab", "n", F.xxhash64("change"))
-    changes = sorted(parts.mapInArrow(add, "slab int, change binary").collect())  # SLABS rows
-    if not changes:
-        return model
-    new, at, tables = flat(model) + np.concatenate([np.frombuffer(x.change) for x in changes]), 0, []
-    for x in (model.near, model.far, model.target, model.bias):
-        tables.append(new[at : at + x.size].reshape(x.shape).astype(np.float32))
-        at += x.size
-    return LogBilinear(*tables)
+    texts = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
+    if share < 1:
+        texts = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1000)) < round(1000 * share))
+    parts = texts.select("text").mapInArrow(run, "slab int, n double, part binary").repartition(slabs, "slab").sortWithinPartitions("slab", "n", F.xxhash64("part"))
+    averaged = sorted(parts.mapInArrow(add, "slab int, part binary").collect())  # the model, in `slabs` rows
+    return model.filled(np.concatenate([np.frombuffer(x.part, "<f4") for x in averaged])) if averaged else model
 
 
-def symbols_of(text: str, top: dict[str, int]) -> np.ndarray:
-    """Symbols of a text's tokens and its end."""
-    words = [w for w in WORD_SPLIT.split(text.translate(LOWER)) if w] + [END]
-    return np.array([top[w] if w in top else len(top) + word_class(w) for w in words], "<i4")
+def normaliser_table(spark: SparkSession, shared, contexts: int, tasks: int) -> np.ndarray:
+    """The normaliser of every context: (symbols + 1)^2 numbers, MOST_SYMBOLS^2 at most."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([shared.value.normalisers(ids).astype("<f4").tobytes()], pa.binary())], ["first", "z"])
 
-def _sample(docs: DataFrame) -> DataFrame:
-    """_h and text of the SAMPLE_DOCUMENTS training rows with the least hashes. Only hashes are sorted; texts stay where they are until the cut is known."""
-    hashed = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("_h"), "text")
-    cut = hashed.select("_h").orderBy("_h").limit(SAMPLE_DOCUMENTS).agg(F.max("_h")).first()[0]
-    return hashed.filter(F.col("_h") <= (cut if cut is not None else 0)).limit(SAMPLE_DOCUMENTS)
+    found = sorted(spark.range(0, contexts, 1, tasks).mapInArrow(run, "first long, z binary").collect())
+    return np.concatenate([np.frombuffer(x.z, "<f4") for x in found])
 
 
-def _symbols(sample: DataFrame, symbol_of: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the sample's texts, each with its end, up to SAMPLE_TOKENS; the texts become numbers on the executors."""
-    shared = sample.sparkSession.sparkContext.broadcast(symbol_of)
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10 of the text's probability.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = shared.value
-        for batch in batches:
-            rows = [symbols_of(x, top).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array(rows, pa.binary())], ["h", "symbols"])
-
-    got, total = [], 0
-    for x in sorted(sample.mapInArrow(run, "h long, symbols binary").collect()):  # SAMPLE_DOCUMENTS rows
-        if total < SAMPLE_TOKENS:
-            got.append(np.frombuffer(x.symbols, "<i4"))
-            total += len(got[-1])
-    if not got:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    first = np.zeros(total, bool)
-    first[np.concatenate(([0], np.cumsum([len(x) for x in got])[:-1]))] = True
-    return np.concatenate(got).astype(np.int64), first
-
-
-LOWER = {k: k + 32 for k in range(65, 91)}
+    A null or empty text is its end token alone. Repeated rows count each time. With no training document, every token is unseen: counts are 0
+    and symbols equally likely. An empty table gives an empty result. Other columns aren't read.
+    """
+    spark = docs.sparkSession
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    coded = materialize(code_documents(narrow.withColumn("counted", ~held_out(F.col("doc_id"))), fold=True, end=True, counted="counted"), "lz4")
+    learnt = learn(narrow, coded)
+    shared = spark.sparkContext.broadcast(learnt.model)
+    table = normaliser_table(spark, shared, (learnt.model.symbols + 1) ** 2, max(48, min(1024, learnt.model.symbols)))
+    id_type = dict(coded.dtypes)["ids"].removeprefix("array<")[:-1]
+    score = _Score(shared, spark.sparkContext.broadcast(table), (learnt.tokens, learnt.kinds), learnt.mass)
+    out = fill_positions(coded.filter("kind = 1"), word_values(coded, learnt.counts, learnt.symbols), score, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(learnt.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -8,7 +8,6 @@ the occurrences, and no task holds more than one chunk.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,6 @@ from graphloom.llm.common import split_words
 CHUNK_BYTES, RUN_WORDS = 16 << 20, 1 << 18
 #: Stands for the end of a text where one is asked for; no word is empty.
 END = ""
-WORD_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -51,7 +49,7 @@ def unpack_words(data: bytes) -> list[str]:
 
 
 def word_buckets(df: DataFrame) -> int:
-    """Buckets of words: one for each shuffle partition, whose number grows with the input; a bucket's distinct words are held by one task."""
+    """Buckets of words: one for each shuffle partition, whose number grows with the input (see partitions); a bucket's distinct words are held by one task."""
     return max(64, partitions(df))
 
 

@@ -341,7 +341,41 @@ def test_lm(docs, rows, none):
     assert held_out is not None
 
 
-def test_lm_learns_from_documents_outside_the_sample(spark, monkeypatch):
+def test_lm_scores_equal_a_plain_loop(docs, rows, monkeypatch):
+    from graphloom.llm import lm
+    from graphloom.llm.worddict import END
+
+    kept = {}
+    monkeypatch.setattr(lm, "learn", lambda *a, learn=lm.learn: kept.setdefault("learnt", learn(*a)))
+    got = lm.score_documents(docs).collect()
+    learnt, m = kept["learnt"], kept["learnt"].model
+    place, classes = learnt.symbols.place, learnt.symbols.classes
+    assert (len(place), classes) == lm.symbol_numbers(learnt.kinds)
+    lower = {k: k + 32 for k in range(65, 91)}
+    tokens = [[*WORD.findall((x or "").translate(lower)), END] for _, x, *_ in rows]
+    count = Counter(w for t, (i, *_) in zip(tokens, rows, strict=True) if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for w in t)
+    assert place == {w: k for k, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[: len(place)])}
+    of = lambda w: zlib.crc32(w[-2:].encode()) % 4096 % classes
+    rest = [(of(w), c) for w, c in count.items() if w not in place]
+    mass = [1 + sum(c + 1 for k, c in rest if k == x) for x in range(classes)]
+    wanted = []
+    for i, t in zip((r[0] for r in rows), tokens, strict=True):
+        far, near, total = m.symbols, m.symbols, 0.0
+        for w in t[:300]:
+            s = (m.far[far] + m.near[near]).astype(float) @ m.target.T.astype(float) + m.bias
+            here = place.get(w, len(place) + of(w))
+            total += (s[here] - np.log(np.exp(s).sum())) / np.log(10) + (0.0 if w in place else np.log10((count[w] + 1) / mass[of(w)]))
+            far, near = near, here
+        if len(t) <= 300:
+            wanted.append((i, len(t), total))
+    found = [(r.doc_id, r.n_tokens, r.score) for r in got if r.n_tokens <= 300]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+    assert len(found) == len(wanted)
+    for a, b in zip(sorted(found, key=order), sorted(wanted, key=order), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 * (1 + abs(b[2])), (a, b)
+
+
+def test_lm_learns_from_all_training_documents(spark):
     from graphloom.llm import lm
 
     rng = random.Random(6)
@@ -353,13 +387,20 @@ def test_lm_learns_from_documents_outside_the_sample(spark, monkeypatch):
         while len(text) < 100:
             text.append(step[text[-1]] if rng.random() < 0.9 else rng.choice(words))
         texts.append(" ".join(text))
-    monkeypatch.setattr(lm, "SAMPLE_DOCUMENTS", 1)
     got = [r for r in lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.held_out]
     assert sum(r.score for r in got) > 0.4 * sum(r.base_score for r in got)
 
 
+def test_lm_symbols_grow_with_the_vocabulary():
+    from graphloom.llm.lm import MOST_SYMBOLS, symbol_numbers
+
+    numbers = [symbol_numbers(10**k) for k in range(10)]
+    assert all(a[0] < b[0] and a[1] <= b[1] for a, b in zip(numbers[:7], numbers[1:8], strict=True))
+    assert all(sum(x) <= MOST_SYMBOLS for x in numbers) and symbol_numbers(0)[0] == 0
+
+
 def test_lm_is_normalised_and_learns():
-    from graphloom.llm.lm import LogBilinear, contexts_of, train
+    from graphloom.llm.lm import contexts_of, train, untrained
 
     rng = np.random.default_rng(0)
     first = np.arange(6000) % 20 == 0
@@ -367,14 +408,14 @@ def test_lm_is_normalised_and_learns():
     for k in range(6000):
         symbols[k] = rng.integers(10) if first[k] or rng.random() < 0.1 else (symbols[k - 1] + 1) % 10
     unigram = np.bincount(symbols, minlength=10) / 6000
-    model = train(symbols, first, unigram)
+    model = train(symbols, first, unigram, untrained(unigram), epochs=4)
     c = contexts_of(symbols, first, 10)
     z = model.normalisers(c)
     scores = (model.far[c // 11] + model.near[c % 11]) @ model.target.T + model.bias
     assert np.allclose(np.exp(scores - z[:, None]).sum(1), 1, atol=1e-4)
     own = scores[np.arange(6000), symbols] - z
     assert own.mean() > np.log(unigram)[symbols].mean() + 0.8
-    assert isinstance(model, LogBilinear)
+    assert (model.filled(model.flat()).near == model.near).all()
 
 
 def test_transform_boundaries_equal_brute_force():
