@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import rules, text, vectors
 from graphloom.operators import cluster, paths, search
 from graphloom.operators.chunk import chunked
-from graphloom.plans import api
+from graphloom.operators import chunk
+from graphloom.plans import api, oracles
 from graphloom.sources import tables
 from graphloom.sources.tables import table
 from graphloom.streaming import cache, uploads
@@ -37,6 +38,13 @@ SESSIONS = """sessions AS (SELECT o_orderkey AS upload_id, 7 AS total_chunks, CA
   got AS (SELECT l_orderkey AS upload_id, count(DISTINCT l_linenumber) AS n, list_sort(list_distinct(list(l_linenumber - 1))) AS chunks FROM lineitem GROUP BY 1)"""
 
 
+TREE = f"{NODES},\n{oracles.tree(LINK)}"
+BOTH = f"{EDGES}, both_ways AS (SELECT src, dst, similarity FROM edges UNION ALL SELECT dst, src, similarity FROM edges), lengths AS (SELECT src, dst, 1 / similarity AS length FROM both_ways), starts AS (SELECT node_id AS q, node_id AS node FROM nodes WHERE doc_id % 20 = 0)"
+#: Rounds after which no distance in the test graphs changes: more than any shortest path has edges.
+ROUNDS = 40
+REACHED = f"{BOTH}, {oracles.shortest('lengths', 'starts', 'found', ROUNDS)}"
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         _QUERIES[f.__name__] = f
@@ -285,7 +293,7 @@ def _cache_ops(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_type").alias("cache"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), op.alias("op"), key.alias("key"), F.lit("v").alias("value"), F.lit(None).cast("double").alias("ttl_seconds"))
 
 
-@query()
+@query("WITH RECURSIVE ops AS (SELECT event_type AS cache, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, CASE WHEN event_id % 3 = 0 THEN 'put' ELSE 'get' END AS op, CAST(user_id % 40 AS VARCHAR) AS key, epoch_us(ts) / 1e6 AS seen FROM events),\n" + oracles.lru("ops", 20, 6 * 3600.0))
 def lru_metrics(spark, d):
     return cache.replay(_cache_ops(spark, d), capacity=20, ttl=6 * 3600.0)
 
@@ -377,12 +385,7 @@ def mock_embed(spark, d):
     return rows.withColumn("x", F.round("x", 6))
 
 
-@query("SELECT doc_id, CAST(0 AS INTEGER) AS chunk_index, trim(text, ' ' || chr(9) || chr(10)) AS content, CAST(strlen(trim(text, ' ' || chr(9) || chr(10))) AS INTEGER) AS end_offset FROM documents WHERE strlen(trim(text, ' ' || chr(9) || chr(10))) BETWEEN 1 AND 1000")
-def chunk_short_documents(spark, d):
-    return chunked(table(spark, d, "documents")).filter("total = 1 and start_offset = 0").filter(F.octet_length("content") <= 1000).select("doc_id", "chunk_index", "content", "end_offset")
-
-
-@query()
+@query(oracles.chunks(1000, 200, 100, chunk.LOOK_BACK, chunk.LOOK_AHEAD, chunk.BREAKS))
 def chunk_documents(spark, d):
     return chunked(table(spark, d, "documents"))
 
@@ -401,12 +404,13 @@ def average_sizes(spark, d):
 # --- clusters and paths ----------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"WITH RECURSIVE {NODES}, rows AS (SELECT namespace AS grp, node_id AS id, v FROM nodes), {oracles.clusters('rows', 'c', LINK, 10, 2)} SELECT grp AS \"group\", id, first AS cluster FROM c_kept")
 def cluster_flat(spark, d):
     return cluster.clusters(tables.nodes(spark, d), CLUSTERING)
 
 
-@query()
+@query(f"""WITH RECURSIVE {NODES}, rows AS (SELECT namespace AS grp, node_id AS id, v FROM nodes), {oracles.clusters('rows', 'c', LINK, 10, 2)}, n AS (SELECT grp, count(*) AS nodes FROM rows GROUP BY 1)
+SELECT grp AS "group", any_value(nodes) AS nodes, count(DISTINCT first) AS clusters, round(count(*) / count(DISTINCT first), 6) AS average_size, any_value(nodes) - count(*) AS orphans FROM n JOIN c_kept USING (grp) GROUP BY grp""")
 def cluster_summary(spark, d):
     nodes = tables.nodes(spark, d)
     found = cluster.clusters(nodes, CLUSTERING)
@@ -419,27 +423,30 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
     return cluster.hierarchy(tables.nodes(spark, d), CLUSTERING)
 
 
-@query()
+@query(f"WITH RECURSIVE {TREE} SELECT grp AS \"group\", cluster_id, depth, CAST(len(members) AS INTEGER) AS members, CAST(len(children) AS INTEGER) AS children, parent_id, round(internal_similarity, 6) AS internal_similarity, is_root, md5(text) AS content_digest FROM tree")
 def hierarchy_levels(spark, d):
     return _tree(spark, d).select("group", "cluster_id", "depth", F.size("members").alias("members"), F.size("children").alias("children"), "parent_id", F.round("internal_similarity", 6).alias("internal_similarity"), "is_root", F.md5("text").alias("content_digest"))
 
 
-@query()
+@query(f"WITH RECURSIVE {TREE} SELECT grp AS \"group\", depth, count(*) AS clusters, round(avg(len(members) + len(children)), 6) AS average_size, round(avg(internal_similarity), 6) AS average_internal_similarity FROM tree GROUP BY 1, 2")
 def hierarchy_stats(spark, d):
     return cluster.tree_stats(_tree(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {TREE}, {oracles.SIBLINGS.format(least=0.1)} SELECT * FROM siblings")
 def sibling_edges(spark, d):
     return cluster.sibling_edges(_tree(spark, d), 0.1)
 
 
-@query()
+@query(f"""WITH RECURSIVE {TREE}, up AS (SELECT cluster_id, cluster_id AS path, parent_id FROM tree UNION ALL SELECT u.cluster_id, u.path || '>' || t.cluster_id, t.parent_id FROM up u JOIN tree t ON t.cluster_id = u.parent_id)
+SELECT cluster_id, path FROM up WHERE parent_id IS NULL""")
 def path_to_root(spark, d):
-    return cluster.path_to_root(_tree(spark, d))
+    return cluster.path_to_root(_tree(spark, d)).select("cluster_id", F.array_join("path", ">").alias("path"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TREE}, scored AS (SELECT *, round(list_cosine_similarity(v, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM tree),
+walk AS (SELECT cluster_id FROM scored WHERE is_root AND similarity >= 0.05 UNION SELECT s.cluster_id FROM walk w JOIN scored s ON s.parent_id = w.cluster_id WHERE s.similarity >= 0.05)
+SELECT grp AS "group", cluster_id, depth, similarity FROM scored JOIN walk USING (cluster_id)""")
 def traverse_from_roots(spark, d):
     return cluster.traverse(_tree(spark, d), _vector(spark, d), 0.05)
 
@@ -451,14 +458,19 @@ def model_path_to_root(spark, d):
     return walked.select("cluster_id", F.element_at("path", -1).alias("root_id"), (F.size("path") - 1).alias("steps"))
 
 
-@query()
-def sssp_capped(spark, d):
-    nodes = tables.nodes(spark, d)
-    edges = paths.clean_edges(_edges(spark, d), both_ways=True)
-    return paths.settle(edges, nodes.filter("doc_id % 20 = 0").select(F.col("node_id").alias("source")), 10).withColumns({"distance": F.round("distance", 6), "path_similarity": F.round("path_similarity", 6)})
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    return tables.nodes(spark, d).filter("doc_id % 20 = 0").select(F.col("node_id").alias("source"))
+
 
+def _told(found: DataFrame) -> DataFrame:
+    return found.withColumns({"distance": F.round("distance", 6), "path": F.array_join("path", ">")})
 
-BOTH = f"{EDGES}, both_ways AS (SELECT src, dst, similarity FROM edges UNION ALL SELECT dst, src, similarity FROM edges)"
+
+@query(f"""WITH RECURSIVE {BOTH}, own AS (SELECT q, src, dst, length FROM lengths, starts), {oracles.settled('own', 'starts', 'found', 10)}
+SELECT q AS source, node, round(distance, 6) AS distance, CAST(len(path) - 1 AS BIGINT) AS hops, array_to_string(path, '>') AS path, round(1 / greatest(distance, 0.001), 6) AS path_similarity FROM found""")
+def sssp_capped(spark, d):
+    edges = paths.clean_edges(_edges(spark, d), both_ways=True)
+    return _told(paths.settle(edges, _sources(spark, d), 10)).withColumn("path_similarity", F.round("path_similarity", 6))
 
 
 @query(f"""WITH RECURSIVE {BOTH}, walk AS (SELECT node_id AS source, node_id AS node, 0.0::DOUBLE AS distance, 0 AS hops FROM nodes WHERE doc_id % 20 = 0
@@ -470,31 +482,41 @@ def sssp_three_hops(spark, d):
     return paths.relax(edges, sources, 3).select("source", "node", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query(f"WITH RECURSIVE {REACHED} SELECT q AS source, node, round(distance, 6) AS distance, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM found")
 def sssp_full(spark, d):
     edges = paths.clean_edges(_edges(spark, d), both_ways=True)
-    sources = tables.nodes(spark, d).filter("doc_id % 20 = 0").select(F.col("node_id").alias("source"))
-    return paths.relax(edges, sources).withColumn("distance", F.round("distance", 6))
+    return _told(paths.relax(edges, _sources(spark, d)))
 
 
-@query()
+HOPSET = f"""{BOTH}, ends AS (SELECT DISTINCT src AS node FROM both_ways), chosen AS (SELECT node AS q, node FROM ends ORDER BY md5(node), node LIMIT (SELECT greatest(1, CAST(floor(count(*) * 0.2) AS BIGINT)) FROM ends)),
+  {oracles.shortest('lengths', 'chosen', 'near', 3)}, shortcuts AS (SELECT q AS src, node AS dst, distance, CAST(len(path) - 1 AS INTEGER) AS hops FROM near WHERE len(path) - 1 BETWEEN 2 AND 3)"""
+
+
+@query(f"WITH RECURSIVE {HOPSET} SELECT src, dst, round(distance, 6) AS distance, hops FROM shortcuts")
 def hopset(spark, d):
     return paths.hopset(paths.clean_edges(_edges(spark, d), both_ways=True), 0.2).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {HOPSET}, more AS (SELECT src, dst, min(length) AS length FROM (SELECT src, dst, length FROM lengths UNION ALL SELECT src, dst, distance FROM shortcuts) GROUP BY 1, 2), {oracles.shortest('more', 'starts', 'found', 2)}
+SELECT q AS source, node, round(distance, 6) AS distance FROM found""")
+def hopset_relaxation(spark, d):
+    edges = paths.clean_edges(_edges(spark, d), both_ways=True)
+    more = paths.with_shortcuts(edges, paths.hopset(edges, 0.2))
+    return paths.relax(more, _sources(spark, d), 2).select("source", "node", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH RECURSIVE {REACHED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, node) AS rank FROM found) SELECT q AS source, node, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
 def k_nearest_graph(spark, d):
     edges = paths.clean_edges(_edges(spark, d), both_ways=True)
-    sources = tables.nodes(spark, d).filter("doc_id % 20 = 0").select(F.col("node_id").alias("source"))
-    return paths.k_nearest(paths.relax(edges, sources), 5).select("source", "node", F.round("distance", 6).alias("distance"), "rank")
+    return paths.k_nearest(paths.relax(edges, _sources(spark, d)), 5).select("source", "node", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOTH}, {oracles.shortest('lengths', 'starts', 'found', 4)}, steps AS (SELECT q, node, unnest(path[:-2]) AS src, unnest(path[2:]) AS dst FROM found WHERE len(path) > 1)
+SELECT q AS source, node, round(sum(1 / similarity), 9) AS cost, round(avg(similarity), 9) AS average_similarity, round(product(similarity), 9) AS product FROM steps JOIN both_ways USING (src, dst) GROUP BY 1, 2""")
 def path_measures(spark, d):
     edges = paths.clean_edges(_edges(spark, d), both_ways=True)
-    sources = tables.nodes(spark, d).filter("doc_id % 20 = 0").select(F.col("node_id").alias("source"))
-    found = paths.path_product(edges, paths.relax(edges, sources, 4))
-    return found.select("source", "node", *(F.round(c, 6).alias(c) for c in ("cost", "average_similarity", "product")))
+    found = paths.path_product(edges, paths.relax(edges, _sources(spark, d), 4))
+    return found.select("source", "node", *(F.round(c, 9).alias(c) for c in ("cost", "average_similarity", "product")))
 
 
 # --- pipelines -------------------------------------------------------------------------------------------------------------------------
@@ -561,12 +583,18 @@ def synthesize(spark, d):
     return api.synthesize(rows).select("related_to", "n_sources")
 
 
-@query()
+def _built(least: int) -> str:
+    return f"""{NODES}, {oracles.tree(LINK, least_nodes=least)}, {oracles.DOWN}, {oracles.SIBLINGS.format(least=LINK)}, links AS (SELECT src, dst, namespace, edge_type, similarity, round(1 / similarity, 6) AS weight, 1.0::DOUBLE AS confidence FROM down
+  UNION ALL SELECT src, dst, NULL, edge_type, similarity, weight, 0.8 FROM siblings)"""
+
+
+@query(f"""WITH RECURSIVE {_built(3)}, p AS (SELECT grp AS namespace, count(*) AS parents FROM tree WHERE depth > 0 GROUP BY 1), e AS (SELECT namespace, count(*) AS made FROM links WHERE namespace IS NOT NULL GROUP BY 1)
+SELECT namespace, count(*) AS nodes_processed, coalesce(any_value(parents), 0) AS parents_created, coalesce(any_value(made), 0) AS edges_created FROM nodes LEFT JOIN p USING (namespace) LEFT JOIN e USING (namespace) GROUP BY namespace""")
 def consolidate(spark, d):
     return api.consolidate(tables.nodes(spark, d), CLUSTERING, link_least=LINK)["report"]
 
 
-@query()
+@query(f"WITH RECURSIVE {_built(5)} SELECT * FROM links")
 def build_hierarchy(spark, d):
     return api.build_hierarchy(tables.nodes(spark, d), CLUSTERING)[1]
 
@@ -595,15 +623,17 @@ def rfc3339(spark, d):
     return table(spark, d, "events").select("event_id", rules.rfc3339(at).alias("written"), (rules.to_time(rules.rfc3339(at)) == F.date_trunc("millisecond", at)).alias("read_back"))
 
 
-@query(f"WITH {EDGES}, s AS (SELECT node_id AS source FROM nodes WHERE doc_id % 20 = 0), both_ways AS (SELECT src, dst, similarity FROM edges UNION ALL SELECT dst, src, similarity FROM edges) SELECT source, dst AS target, round(1 / similarity, 6) AS distance FROM s JOIN both_ways ON src = source")
+@query(f"""WITH RECURSIVE {REACHED}, wanted AS (SELECT s.q, n.node_id AS node FROM starts s JOIN nodes n ON n.doc_id % 7 = 3)
+SELECT w.q AS source, w.node AS target, round(distance, 6) AS distance, array_to_string(path, '>') AS path FROM wanted w LEFT JOIN found f ON f.q = w.q AND f.node = w.node""")
 def paths_to_targets(spark, d):
     edges = paths.clean_edges(_edges(spark, d), both_ways=True)
-    sources = tables.nodes(spark, d).filter("doc_id % 20 = 0").select(F.col("node_id").alias("source"))
-    wanted = edges.join(sources, F.col("src") == F.col("source")).select("source", F.col("dst").alias("target"))
-    return paths.to_targets(paths.relax(edges, sources, 1), wanted).select("source", "target", F.round("distance", 6).alias("distance"))
+    sources = _sources(spark, d)
+    targets = tables.nodes(spark, d).filter("doc_id % 7 = 3").select(F.col("node_id").alias("target"))
+    return _told(paths.to_targets(paths.relax(edges, sources), sources.join(targets)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TREE}, scored AS (SELECT grp, cluster_id, round(list_cosine_similarity(v, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM tree WHERE depth = 0)
+SELECT grp AS "group", cluster_id, similarity FROM scored QUALIFY row_number() OVER (PARTITION BY grp ORDER BY similarity DESC, cluster_id) = 1""")
 def similar_leaf(spark, d):
     return cluster.similar_leaf(_tree(spark, d), _vector(spark, d))
 
