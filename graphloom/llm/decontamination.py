@@ -3,7 +3,10 @@
 Test items are short and documents long, so a MinHash of a whole document says nothing about an item inside it. Every document is cut into
 blocks of shingles; MinHash values merge by taking minima, so overlapping segments of any size come from the same block values. Items are partitioned
 by size, each size class is searched in segments of about its own size, and the number of hash functions follows from the lowest Jaccard
-similarity at which the wanted containment can appear in such a segment. What shares a value is verified by exact containment of word shingles.
+similarity at which the wanted containment can appear in such a segment. Where that asks for more functions than MOST_FUNCTIONS, every shingle of the item is looked
+up instead, which misses nothing. What shares a value is verified by exact containment of word shingles. Items of one to four words are found at any place by their word run.
+
+One function folds the case of items, documents and what is verified: code point by code point, as lower() of SQL does.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, shingles, slices, word_hashes
+from graphloom.llm.common import U64, gram_hashes, hash_strings, shingles, slices, word_hashes
 
-#: Shingles of the smallest block, and items that one pass over the documents searches for.
-BLOCK, ITEMS_PER_PASS = 16, 20_000
-#: Chance that a contained item shares no value with its segment, and hash functions at most.
+#: Shingles of the smallest block; items, and bytes of their texts, that one pass over the documents searches for.
+BLOCK, ITEMS_PER_PASS, BYTES_PER_PASS = 16, 20_000, 16 << 20
+#: Chance that a contained item shares no value with its segment, and hash functions at most; items that ask for more are looked up shingle by shingle.
 MISS, MOST_FUNCTIONS = 1e-7, 512
 SHINGLE_WORDS = 5
 
@@ -43,17 +46,21 @@ def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**63, n, dtype=U64) * U64(2) + U64(1), rng.integers(0, 2**63, n, dtype=U64)
 
 
-def grams(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[k : k + SHINGLE_WORDS]) for k in range(max(1, len(words) - SHINGLE_WORDS + 1))} if words else set()
+def folded(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(pc.fill_null(texts, ""))
+
+
+def tokens(folded_text: str) -> list[str]:
+    """Words; only ASCII white space parts them, as in split_words."""
+    return [w for w in folded_text.translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" ") if w]
 
 
-def tokens(text: str | None) -> list[str]:
-    """Lower-cased words; only ASCII white space parts them, as in split_words."""
-    return [w for w in (text or "").lower().translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" ") if w]
+def grams(words: list[str], n: int = SHINGLE_WORDS) -> set[tuple[str, ...]]:
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
 
 
 def size_classes(items: list[set[tuple[str, ...]]], hashes: list[np.ndarray], containment: float) -> tuple[list[SizeClass], np.ndarray, np.ndarray]:
-    """The classes of these items. Items of one or two shingles need no MinHash: each shingle is its own segment, in a class of merge 0."""
+    """The classes of these items. Items of one or two shingles, or of so low a similarity that MOST_FUNCTIONS don't do, need no MinHash: each shingle is its own segment, in a class of merge 0."""
     by: dict[tuple[int, int], list[int]] = {}
     for k, x in enumerate(hashes):
         q = len(x)
@@ -62,10 +69,16 @@ def size_classes(items: list[set[tuple[str, ...]]], hashes: list[np.ndarray], co
             key = (0, 1) if q <= 2 else (1, 2) if q <= BLOCK else (max(1, 1 << (power - 1)), 3)
             by.setdefault(key, []).append(k)
     needed = {}
-    for (merge, span), members in by.items():
+    for (merge, span), members in list(by.items()):
         segment = max(1, merge * span * BLOCK)
-        low = min(math.ceil(containment * len(hashes[k])) / (segment + len(hashes[k]) - math.ceil(containment * len(hashes[k]))) for k in members)
-        needed[merge, span] = 1 if merge == 0 or low >= 1 else min(MOST_FUNCTIONS, math.ceil(math.log(MISS) / math.log1p(-low)))
+        low = min(max(1, math.ceil(containment * len(hashes[k]))) / (segment + len(hashes[k]) - math.ceil(containment * len(hashes[k]))) for k in members)
+        functions = 1 if merge == 0 or low >= 1 else math.ceil(math.log(MISS) / math.log1p(-low))
+        if functions > MOST_FUNCTIONS:
+            by.setdefault((0, 1), []).extend(by.pop((merge, span)))
+        else:
+            needed[merge, span] = functions
+    if (0, 1) in by:
+        needed[0, 1] = 1
     a, b = multipliers(max(needed.values(), default=1))
     classes = []
     for (merge, span), members in sorted(by.items()):
@@ -123,42 +136,71 @@ def candidates(h: np.ndarray, starts: np.ndarray, classes: list[SizeClass], a: n
     return out
 
 
-def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", containment: float = 0.8, out: str = "_items") -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", containment: float = 0.8, out: str = "_items") -> DataFrame:
     """All of docs' columns for each row, and `out`, a name that docs doesn't have: array of struct (item_id, n_shingles, n_shared, containment) of the items it contains.
 
-    An item is contained if at least `containment` of its distinct shingles (five lower-cased words; all words of a shorter text) are among the
-    document's. Rows stay as they are, repeated ones too. Null or empty documents contain nothing, null or empty items are in nothing. Empty
-    tables of items give empty arrays. Nothing is shuffled; the items are the query set and are sent to the executors in blocks of
-    ITEMS_PER_PASS, each searched in one pass over all documents.
+    An item is contained if at least `containment` of its distinct shingles (five lower-cased words) are among the document's; one of one to four words, which is one
+    shingle, if its words follow each other somewhere in the document. Rows stay as they are, repeated ones too. Null or empty documents contain nothing, null or empty items are in
+    nothing; item ids keep their type, null ones too. Empty tables of items give empty arrays. Nothing is shuffled; the items are the query set and are sent to the executors in blocks of
+    ITEMS_PER_PASS rows and BYTES_PER_PASS bytes, or one longer item, each searched in one pass over all documents.
     """
-    queries = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).toLocalIterator()
     if out in docs.columns:
         raise ValueError(f"{out} is a column already")
-    found = docs.withColumn(out, F.expr("cast(array() as array<struct<item_id long, n_shingles long, n_shared long, containment double>>)"))
-    block: list[tuple[int, str]] = []
+    if not 0 < containment <= 1:
+        raise ValueError("containment lies above 0 and is at most 1")
+    kind = dict(items.dtypes)[item_id]
+    queries = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).toLocalIterator()
+    found = docs.withColumn(out, F.expr(f"cast(array() as array<struct<item_id {kind}, n_shingles long, n_shared long, containment double>>)"))
+    block: list[tuple] = []
+    size = 0
     for row in queries:
         block.append((row.item_id, row.text))
-        if len(block) == ITEMS_PER_PASS:
-            found, block = _one_pass(found, block, text, containment, out), []
+        size += len(row.text.encode())
+        if len(block) >= ITEMS_PER_PASS or size >= BYTES_PER_PASS:
+            found, block, size = _one_pass(found, block, text, containment, out), [], 0
     return _one_pass(found, block, text, containment, out) if block else found
 
 
-def _one_pass(docs: DataFrame, block: list[tuple[int, str]], text: str, containment: float, out: str) -> DataFrame:
+def short_runs(words: list[list[str]]) -> dict[int, tuple[np.ndarray, dict[int, list[int]]]]:
+    """By length, the hashes of items of fewer words than a shingle, and the items of each hash."""
+    out = {}
+    for n in range(1, SHINGLE_WORDS):
+        own = [k for k, x in enumerate(words) if len(x) == n]
+        if own:
+            h = gram_hashes(hash_strings(pa.array([w for k in own for w in words[k]])), n)[::n]
+            of: dict[int, list[int]] = {}
+            for k, x in zip(own, h.tolist(), strict=True):
+                of.setdefault(x, []).append(k)
+            out[n] = (np.unique(h), of)
+    return out
+
+
+def _one_pass(docs: DataFrame, block: list[tuple], text: str, containment: float, out: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = [x for x, _ in shared.value]
-        sets = [grams(tokens(x)) for _, x in shared.value]
-        h, starts = word_hashes(pa.array([" ".join(tokens(x)) for _, x in shared.value], pa.string()))
+        words = [tokens(x) for x in folded(pa.array([x for _, x in shared.value], pa.string())).to_pylist()]
+        sets = [grams(x, min(len(x), SHINGLE_WORDS)) if x else set() for x in words]
+        h, starts = word_hashes(pa.array([" ".join(x) if len(x) >= SHINGLE_WORDS else "" for x in words], pa.string()))
         sh, to = shingles(h, starts, SHINGLE_WORDS)
         classes, a, b = size_classes(sets, [np.unique(sh[to[k] : to[k + 1]]) for k in range(len(ids))], containment)
+        short = short_runs(words)
         for batch in batches:
             for part in slices(batch, text):
-                h, starts = word_hashes(pc.utf8_lower(pc.fill_null(part.column(text), "")))
+                texts = folded(part.column(text))
+                h, starts = word_hashes(texts)
                 sh, to = shingles(h, starts, SHINGLE_WORDS)
+                pairs = candidates(sh, to, classes, a, b)
+                for n, (wanted, of) in short.items():
+                    own = gram_hashes(h, n)
+                    for p in np.flatnonzero(np.isin(own, wanted)).tolist():
+                        row = int(np.searchsorted(starts, p, "right")) - 1
+                        if p + n <= starts[row + 1]:
+                            pairs.update((row, k) for k in of[int(own[p])])
                 found: dict[int, list[int]] = {}
-                for row, k in sorted(candidates(sh, to, classes, a, b)):
+                for row, k in sorted(pairs):
                     found.setdefault(row, []).append(k)
                 if not found:
                     yield part
@@ -166,9 +208,10 @@ def _one_pass(docs: DataFrame, block: list[tuple[int, str]], text: str, containm
                 place = part.schema.get_field_index(out)
                 lists = part.column(place).to_pylist()
                 for row, ks in found.items():
-                    own = grams(tokens(part.column(text)[row].as_py()))
+                    w = tokens(texts[row].as_py())
+                    own = {n: grams(w, n) for n in {min(len(words[k]), SHINGLE_WORDS) for k in ks}}
                     for k in ks:
-                        n = len(sets[k] & own)
+                        n = len(sets[k] & own[min(len(words[k]), SHINGLE_WORDS)])
                         if n and n >= containment * len(sets[k]):
                             lists[row].append({"item_id": ids[k], "n_shingles": len(sets[k]), "n_shared": n, "containment": n / len(sets[k])})
                 yield part.set_column(place, part.schema.field(place), pa.array(lists, part.schema.field(place).type))
@@ -179,5 +222,5 @@ def _one_pass(docs: DataFrame, block: list[tuple[int, str]], text: str, containm
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", containment: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment for each row of docs and item that it contains; see contained_items."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = contained_items(narrow, items.withColumnRenamed(text, "text"), "doc_id", item_id, "text", containment)
+    found = contained_items(narrow, items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")), containment=containment)
     return found.select("doc_id", F.explode("_items").alias("i")).select("doc_id", "i.*")

@@ -6,12 +6,14 @@ WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("lower(text)")} AS w FROM documents),
-b AS (SELECT item_id, {WORDS.format("lower(text)")} AS w FROM benchmark),
-dg AS (SELECT DISTINCT r, doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda k: w[k : k + 4]) END) AS g FROM d),
-bg AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda k: w[k : k + 4]) END) AS g FROM b),
-n AS (SELECT item_id, count(*) AS n_shingles FROM bg GROUP BY 1),
-s AS (SELECT r, doc_id, item_id, count(*) AS n_shared FROM dg JOIN bg USING (g) GROUP BY 1, 2, 3)
-SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM s JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles
+b AS (SELECT row_number() OVER () AS i, item_id, {WORDS.format("lower(text)")} AS w FROM benchmark),
+dg AS (SELECT DISTINCT r, doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: w[k : k + 4])) AS g FROM d),
+bg AS (SELECT DISTINCT i, item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: w[k : k + 4])) AS g FROM b),
+n AS (SELECT i, count(*) AS n_shingles FROM bg GROUP BY 1),
+s AS (SELECT r, doc_id, i, item_id, count(*) AS n_shared FROM dg JOIN bg USING (g) GROUP BY 1, 2, 3, 4),
+short AS (SELECT doc_id, item_id FROM d JOIN b ON len(b.w) BETWEEN 1 AND 4 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' '))
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM s JOIN n USING (i) WHERE n_shared >= 0.8 * n_shingles
+UNION ALL SELECT doc_id, item_id, 1, 1, 1.0 FROM short
 """
 
 QUALITY = rf"""
