@@ -5,8 +5,9 @@ share a token with the probability of their Jaccard similarity. Each run walks d
 and a set goes to the child of its token, so that after `depth` steps those together share all the chosen tokens. Runs are repeated until a
 pair at the threshold meets in one with the target recall.
 
-Sets of a bucket are linked to its least and greatest one where their sketches allow it, which gathers most of what is similar into components. In buckets
-that still hold several components, the sketches of all sets of different components are compared, block by block, so meeting in a bucket is enough. Within a
+Sets of a bucket are linked to its least and greatest one where their sketches allow it, which gathers most of what is similar into components. Buckets that hold one component
+then need no more. Of the others, those that are small are compared by brute force: the sketches of all sets of different components, block by block, so meeting in a bucket is enough.
+Large ones are split: each of their sets walks on for `depth` more steps, in as many runs within the bucket as the target recall asks for, until buckets are small. Within a
 component all pairs are compared exactly, block by block, by a product of incidence matrices; only counts and spanning links leave a block, never its pairs.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import U64, distinct_per_row, materialize, mix, row_key, shingles, slices, word_hashes
 from graphloom.llm.graph import components
 
-#: MinHash coordinates, those in a sketch, steps of a path, and the wanted chance that a pair at the threshold meets in a bucket.
-COORDINATES, SKETCH, DEPTH, RECALL = 128, 64, 6, 1 - 1e-6
+#: MinHash coordinates, steps of a path, and the wanted chance that a pair at the threshold meets in a bucket. A sketch is a byte of each coordinate.
+COORDINATES, DEPTH, RECALL = 128, 6, 1 - 1e-6
 #: Sets in a block of exact comparison, and tokens in a slab of its matrix.
 BLOCK_SETS, SLAB = 512, 4096
+#: A bucket is small up to the pairs of so many sets: comparing their sketches takes less time there than walking on in all runs does. Splits at most, after which blocks are compared whatever their number.
+SMALL_SETS, MOST_SPLITS = 32_768, 6
 #: Standard errors below the threshold at which a sketch still counts as similar.
 SKETCH_ERRORS = 5
 
@@ -54,12 +58,12 @@ def coordinates(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def paths(values: np.ndarray, runs: int, depth: int = DEPTH) -> np.ndarray:
-    """The node that each set reaches in each run; the coordinate that a node samples follows from the node alone."""
+def paths(values: np.ndarray, runs: int, depth: int = DEPTH, begin: np.ndarray | None = None) -> np.ndarray:
+    """The node that each set reaches in each run, from the root or a node of its own; the coordinate that a node samples follows from the node alone."""
     rows = np.arange(len(values))
     out = np.empty((len(values), runs), U64)
     for run in range(runs):
-        node = np.full(len(values), run + 1, U64)
+        node = np.full(len(values), run + 1, U64) if begin is None else mix(begin + U64(run + 1))
         for _ in range(depth):
             node = mix(node)
             node = node * U64(0x9E3779B97F4A7C15) + values[rows, (node % U64(COORDINATES)).astype(np.int64)]
@@ -84,7 +88,7 @@ def signatures(rows: DataFrame, threshold: float) -> DataFrame:
                     key[full] = mix(np.add.reduceat(mix(x), begins) + size[full].astype(U64)) | U64(1)
                     values = coordinates(x, np.append(begins, len(x)))
                     reached = paths(values, runs).view(np.int64)
-                    small = (values[:, :SKETCH] & U64(0xFFFF)).astype("<u2")
+                    small = (values & U64(0xFF)).astype(np.uint8)
                     for k, at in enumerate(full.tolist()):
                         sketch[at], path[at] = small[k].tobytes(), reached[k]
                 own = [part.column(c) for c in ("doc_id", "k1", "k2")]
@@ -99,7 +103,7 @@ def similar_sketches(pairs: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SKETCH) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("x", "y"))
             keep = pa.array((x == y).mean(1) >= least) if batch.num_rows else pa.array([], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
@@ -110,9 +114,9 @@ def spanning_pairs(sketch: np.ndarray, comp: np.ndarray, left: int, least: float
     """Pairs of components that join all those of which two sets' sketches agree by at least that share: sets of the first `left` with the others, or all if left is 0."""
     x, y = (sketch[:left], sketch[left:]) if left else (sketch, sketch)
     agree = np.zeros((len(x), len(y)), np.uint8)
-    for k in range(SKETCH):
+    for k in range(COORDINATES):
         agree += x[:, k, None] == y[None, :, k]
-    i, j = np.nonzero(agree >= least * SKETCH)
+    i, j = np.nonzero(agree >= least * COORDINATES)
     kinds, of = np.unique(comp, return_inverse=True)
     i, j = of[i], of[j + left]
     i, j = np.divmod(np.unique((np.minimum(i, j) * len(kinds) + np.maximum(i, j))[i != j]), len(kinds))
@@ -138,7 +142,7 @@ def compare_sketches(groups: DataFrame, least: float) -> DataFrame:
         begins = np.flatnonzero(np.concatenate(([True], (path[1:] != path[:-1]) | (pair[1:] != pair[:-1]))))
         ends = np.append(begins[1:], table.num_rows)
         done = table.num_rows if last else int(begins[-1])
-        sketch = np.frombuffer(b"".join(table.column("sketch").slice(0, done).to_pylist()), "<u2").reshape(-1, SKETCH)
+        sketch = np.frombuffer(b"".join(table.column("sketch").slice(0, done).to_pylist()), np.uint8).reshape(-1, COORDINATES)
         found = [np.zeros((2, 0), np.int64)]
         for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
             left = int(np.searchsorted(side[a:b], 1)) % (b - a)  # 0 with one side
@@ -161,16 +165,40 @@ def compare_sketches(groups: DataFrame, least: float) -> DataFrame:
     return dealt.select("path", "pair", "side", "comp", "sketch").mapInArrow(run, "a long, b long")
 
 
-def bucket_links(held: DataFrame, gathered: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+def walked_on(rows: DataFrame, sketches: DataFrame, runs: int) -> DataFrame:
+    """path, s and comp of the buckets below those of rows (path, s, comp): as many runs as given, each from the old bucket on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES).astype(U64)
+                s, comp = (np.repeat(batch.column(c).to_numpy(), runs) for c in ("s", "comp"))
+                reached = paths(values, runs, begin=batch.column("path").to_numpy().view(U64))
+                yield pa.RecordBatch.from_arrays([pa.array(reached.ravel().view(np.int64)), pa.array(s), pa.array(comp)], ["path", "s", "comp"])
+
+    return rows.select("path", "s", "comp").join(sketches.select("s", "sketch"), "s").mapInArrow(run, "path long, s long, comp long")
+
+
+def bucket_links(held: DataFrame, gathered: DataFrame, sketches: DataFrame, least: float, runs: int) -> DataFrame:
     """Links (a, b) between components of gathered (v, root) that meet in a bucket of held (path, s), as far as their sets' sketches agree.
 
-    A bucket of at most BLOCK_SETS sets is one group. A larger one is cut into blocks: a component of more sets than that has blocks of its own, which needn't be compared
-    with each other, and the remaining sets share blocks; each pair of blocks is a group."""
+    A component of more than BLOCK_SETS sets of a bucket needn't be compared with itself there. A bucket whose other pairs are more than those of SMALL_SETS sets is split.
+    A smaller one of at most BLOCK_SETS sets is one group; else it is cut into blocks: such a component has blocks of its own, the remaining sets share blocks; each pair of blocks is a group."""
     rows = materialize(held.join(gathered.withColumnRenamed("v", "s"), "s", "left").select("path", "s", F.coalesce("root", "s").alias("comp")), "lz4")
-    kinds = rows.groupBy("path", "comp").agg(F.count("*").alias("c"))
-    mixed = kinds.groupBy("path").agg(F.sum("c").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high and n > 2").select("path", "n")
-    mixed = materialize(mixed, "lz4")
-    rows = materialize(rows.join(mixed, "path"), "lz4")
+    found = []
+    for level in range(MOST_SPLITS + 1):
+        kinds = rows.groupBy("path", "comp").agg(F.count("*").alias("c"))
+        own = F.sum(F.when(F.col("c") > BLOCK_SETS, F.col("c").cast("double") * F.col("c")).otherwise(0.0))
+        sizes = kinds.groupBy("path").agg(F.sum("c").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), own.alias("own"))
+        large = (F.col("n").cast("double") * F.col("n") - F.col("own") > float(SMALL_SETS) ** 2) & F.lit(level < MOST_SPLITS)
+        mixed = sizes.filter("low != high" + " and n > 2" * (level == 0)).select("path", "n", large.alias("large"))  # two sets are their bucket's ends
+        rows = materialize(rows.join(materialize(mixed, "lz4"), "path"), "lz4")
+        found.append(rows.filter("not large").drop("large"))
+        if level == MOST_SPLITS or rows.filter("large").isEmpty():
+            break
+        rows = materialize(walked_on(rows.filter("large"), sketches, runs), "lz4")
+    rows = reduce(DataFrame.unionByName, found)
     whole = rows.filter(F.col("n") <= BLOCK_SETS).select("path", F.lit(0).cast("long").alias("pair"), F.lit(0).alias("side"), "s", "comp")
 
     large = rows.filter(F.col("n") > BLOCK_SETS)
@@ -290,9 +318,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     members = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "s")
     sketches = materialize(sig.select("s", "n", "sketch").join(materialize(members, "lz4"), "s").dropDuplicates(["s"]), "lz4")
     x, y = sketches.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), sketches.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-    least = threshold - SKETCH_ERRORS * math.sqrt(threshold * (1 - threshold) / SKETCH)
+    least = threshold - SKETCH_ERRORS * math.sqrt(threshold * (1 - threshold) / COORDINATES)
     gathered = materialize(components(similar_sketches(pairs.join(x, "a").join(y, "b"), least)), "lz4")
-    more = bucket_links(held.select("path", "s"), gathered, sketches, least)
+    more = bucket_links(held.select("path", "s"), gathered, sketches, least, runs_for(threshold))
     gathered = components(gathered.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     placed = gathered.select(F.col("v").alias("s"), F.col("root").alias("comp")).unionByName(gathered.select(F.col("root").alias("s"), F.col("root").alias("comp")).distinct())
