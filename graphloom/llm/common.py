@@ -116,11 +116,3 @@ def distinct_per_row(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     first = np.ones(len(x), bool)
     first[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
     return x[first], np.concatenate(([0], np.cumsum(np.bincount(row[first], minlength=len(starts) - 1))))
-
-
-def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 64) -> DataFrame:
-    """Left join of many rows to the small group table right, which has one row for each value of `on`. The rows of a value
-    are spread over `salts` keys, for which right is repeated, so no value meets in one task. Nulls match nulls. Needs k1 in left."""
-    wide = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed(on, "_on")
-    salted = left.withColumn("_salt", F.pmod(F.col("k1"), F.lit(salts)).cast("int"))
-    return salted.join(wide, salted[on].eqNullSafe(wide["_on"]) & (salted["_salt"] == wide["_salt"]), "left").drop(wide["_salt"]).drop("_on", "_salt")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, gram_hashes, hash_strings, materialize, mix, salted_join, slices, split_words
+from graphloom.llm.common import U64, gram_hashes, hash_strings, materialize, mix, slices, split_words
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
@@ -105,5 +105,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", host: str = "source",
     one host. Repeated rows count each time. An empty table gives an empty result. Columns besides id, host and text aren't read.
     """
     rows = materialize(document_rules(measured(docs, id_col, host, text)))
-    joined = salted_join(rows.withColumn("k1", F.xxhash64("doc_id", "n_words", "word_chars")), host_verdicts(rows, limit), "host")
-    return joined.withColumn("kept", ~F.col("rule_failed") & ~F.col("host_blocked")).drop("k1")
+    # written, so that the join is between two exchanges and AQE can split a hot host; few hosts are broadcast by their written size
+    hosts = materialize(host_verdicts(rows, limit)).withColumnRenamed("host", "_host")
+    joined = rows.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
+    return joined.withColumn("kept", ~F.col("rule_failed") & ~F.col("host_blocked"))
