@@ -158,8 +158,8 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, ratio: float = MOST_CHARS_PER_TOKEN) -> DataFrame:
-    """One row for each row of docs: doc_id, spans (kind, start, end, chars_per_token) and redacted, the text with its secrets replaced.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, ratio: float = MOST_CHARS_PER_TOKEN, with_redacted: bool = True) -> DataFrame:
+    """One row for each row of docs: doc_id, spans (kind, start, end, chars_per_token) and, with with_redacted, redacted: the text with its secrets replaced.
 
     Null texts have no spans and stay null. Repeated rows are scanned each. An empty table gives an empty result. Other columns aren't read.
     Nothing is shuffled.
@@ -174,10 +174,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vo
                 texts = part.column("text").to_pylist()
                 found = [find_spans(x, vocabulary, ratio) for x in texts]
                 rows = [[{"kind": KINDS[k], "start": a, "end": b, "chars_per_token": r} for a, k, b, r in x] for x in found]
-                clean = [redact(x, y) if y else x for x, y in zip(texts, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, span), pa.array(clean, pa.string())], ["doc_id", "spans", "redacted"])
+                out = {"doc_id": part.column("doc_id"), "spans": pa.array(rows, span)}
+                if with_redacted:
+                    out["redacted"] = pa.array([redact(x, y) if y else x for x, y in zip(texts, found, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, spans array<struct<kind string, start long, end long, chars_per_token double>>, redacted string")
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, spans array<struct<kind string, start long, end long, chars_per_token double>>" + ", redacted string" * with_redacted)
 
 
 def redacted_documents(docs: DataFrame, text: str = "text", length: str = "n_chars", vocabulary: str | None = None) -> DataFrame:
