@@ -60,13 +60,14 @@ def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return features, pairs // max(1, len(features)), pairs % max(1, len(features))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text and _label of the labelled rows that the model is fitted on."""
-    sample = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """text and _label of the labelled rows that the model is fitted on, one for each id: of repeated ids the greatest label and the least text count."""
+    sample = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     total = sample.count()
     share = int(min(1.0, SAMPLE_ROWS / max(1, total)) * 2**64) - 2**63  # as large a part of all hashes; a sort would send SAMPLE_ROWS of every partition to the driver
-    sample = sample.filter(F.xxhash64("doc_id") <= min(share, 2**63 - 1)).limit(SAMPLE_ROWS)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "_label")  # SAMPLE_ROWS narrow rows at most
+    sample = sample.filter(F.xxhash64("_id") <= min(share, 2**63 - 1)).limit(SAMPLE_ROWS)
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id")  # SAMPLE_ROWS narrow rows at most
+    return found.groupBy("_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label")).select("text", "_label")
 
 
 def screened(sample: DataFrame) -> dict[int, float]:
@@ -122,7 +123,9 @@ def sample_rows(sample: DataFrame, kept: dict[int, float]) -> tuple[np.ndarray,
 
 
 def severity_grades(toxic: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Grades 0 to 3 from yes-or-no labels: a toxic text is graded by its number of marker words, those that are far more frequent in toxic texts."""
+    """Grades 0 to 3 from yes-or-no labels: a toxic text is graded by its number of marker words, those that are far more frequent in toxic texts.
+
+    This is a default for tables that have no grades, and a function of the features; labels that are graded are taken as they are (see `ordered`)."""
     return np.where(toxic, 1 + sum((marks >= k).astype(int) for k in GRADE_STEPS), 0)
 
 
@@ -156,9 +159,9 @@ def fit(grades: np.ndarray, rows: np.ndarray, flat: np.ndarray, names: np.ndarra
     return OrdinalModel(weights, x[len(names)] + np.concatenate(([0], np.cumsum(np.exp(x[len(names) + 1 :])))))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", ordered: bool = False) -> OrdinalModel:
-    """A model from labelled rows. `label` holds ordered grades from 0, or, unless `ordered`, 0 and 1, from which severity_grades makes grades."""
-    sample = labelled_sample(docs, labels, label)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", ordered: bool = False, id_col: str = "doc_id", text: str = "text") -> OrdinalModel:
+    """A model from labelled rows. `label` holds ordered grades from 0, or, unless `ordered`, 0 and 1, from which severity_grades makes grades. Null labels and ids don't count."""
+    sample = materialize(labelled_sample(docs, labels, label, id_col, text))
     kept = screened(sample)
     labelled, marks, rows, flat = sample_rows(sample, kept)
     return fit(labelled if ordered else severity_grades(labelled > 0, marks), rows, flat, np.array(sorted(kept), np.int64))
@@ -188,7 +191,12 @@ def scored(docs: DataFrame, model: OrdinalModel, text: str = "text", limit: floa
     return docs.mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: float = LIMIT) -> DataFrame:
-    """doc_id, severity, p_toxic and toxic for each row of docs, by a model fitted on the labelled ones."""
-    found = scored(docs.select("doc_id", "text"), fit_toxicity(docs, labels, label), limit=limit)
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: float = LIMIT, ordered: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, severity, p_toxic and toxic for each row of docs, by a model fitted on the labelled ones.
+
+    Null and empty texts get the severity of an empty text; repeated rows are scored each. Without both kinds of labels all texts get severity 0. An empty
+    table gives an empty result. Columns besides id and text aren't read, so their names don't matter.
+    """
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    found = scored(narrow, fit_toxicity(docs, labels, label, ordered, id_col, text), limit=limit)
     return found.select("doc_id", F.round("_score.severity", 6).alias("severity"), F.round("_score.p_toxic", 6).alias("p_toxic"), "_score.toxic")
