@@ -39,6 +39,16 @@ def pieces(path: str) -> pa.Array:
     return pa.array([(" " + (t.id_to_token(k) or "")).encode() for k in range(t.get_vocab_size(with_added_tokens=True))], pa.large_binary())
 
 
+def require_words(path: str) -> None:
+    """Raises unless the tokenizer parts texts at white space whatever else it does, and has no decoder: only then are a text's ids those of its words, and its decoded text their pieces."""
+    t = tokenizer(path)
+    probe = "The quick  brown\tfox\x0bjumped\x0cover\r\n12 lazy-dogs, wasn't it? "
+    ids = t.encode(probe, add_special_tokens=False).ids
+    words = [y for x in probe.split() for y in t.encode(x, add_special_tokens=False).ids]
+    if ids != words or t.decode(ids, skip_special_tokens=False) != " ".join(t.id_to_token(k) for k in ids):
+        raise ValueError(f"{path}: not a vocabulary of words without a decoder")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -110,9 +120,10 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     and with with_ids the ids and the decoded text themselves.
 
     Null and empty texts have no ids and decode to "". Strings of special tokens in a text become those tokens, as the library has it. Repeated rows are encoded
-    each; their words are not. An empty table gives an empty result. Other columns aren't read.
+    each; their words are not. An empty table gives an empty result. Other columns aren't read. Raises if the vocabulary isn't one of words, see require_words.
     """
     path = path or default_vocabulary()
+    require_words(path)
     # one exchange deals word buckets and documents; its files serve both the encoding and the filling in (ReusedExchange)
     coded = code_documents(docs, id_col, text).repartition(partitions(docs), "key")
     id_type = dict(coded.dtypes)["ids"].removeprefix("array<")[:-1]
