@@ -29,12 +29,12 @@ from graphloom.llm.common import materialize, slices, split_words
 from graphloom.llm.worddict import END, code_documents, fill_positions, pack, pack_words, unpack, unpack_words
 
 #: Frequent tokens and classes for each unit of the vocabulary's cube root, and symbols at most: their pairs, which are broadcast, take 64 MB then.
-TOP_ROOT, CLASS_ROOT, LEAST_CLASSES, MOST_SYMBOLS = 12.0, 0.8, 8, 4000
+TOP_ROOT, CLASS_ROOT, LEAST_CLASSES, MOST_SYMBOLS = 10.0, 0.7, 8, 4000
 #: Classes are folded from so many bins, which are counted before their number is known.
 CLASS_BINS = 4096
 WIDTH, NOISE, BATCH, RATE = 32, 24, 512, 0.1
 #: Parts of all training documents, by hash, that each pass takes; the last takes all.
-PASSES = (0.25, 1.0)
+PASSES = (0.125, 1.0)
 #: Tokens that a task shuffles and trains on at once, and how often it goes through fewer.
 FIT_TOKENS, MOST_EPOCHS = 400_000, 8
 
@@ -84,11 +84,13 @@ class LogBilinear:
     def normalisers(self, contexts: np.ndarray) -> np.ndarray:
         """log of the sum of exp(s) over all symbols, for contexts far * (symbols + 1) + near."""
         out = np.empty(len(contexts), np.float32)
-        for at in range(0, len(contexts), 2048):
-            c = contexts[at : at + 2048]
-            s = (self.far[c // (self.symbols + 1)] + self.near[c % (self.symbols + 1)]) @ self.target.T + self.bias
+        for at in range(0, len(contexts), 128):  # which stay in the processor's cache
+            c = contexts[at : at + 128]
+            s = (self.far[c // (self.symbols + 1)] + self.near[c % (self.symbols + 1)]) @ self.target.T
+            s += self.bias
             top = s.max(1)
-            out[at : at + 2048] = top + np.log(np.exp(s - top[:, None]).sum(1))
+            s -= top[:, None]
+            out[at : at + 128] = top + np.log(np.exp(s, out=s).sum(1))
         return out
 
 
@@ -115,48 +117,38 @@ def train(symbols: np.ndarray, first: np.ndarray, unigram: np.ndarray, model: Lo
     """Noise-contrastive estimation: tells each token from NOISE draws of the unigram distribution. Updates by Adagrad. Goes on from a model, which stays as it is."""
     n = len(unigram)
     rng = np.random.default_rng(seed)
-    log_p = np.log(unigram).astype(np.float32)
-    near, far, target, bias = (x.copy() for x in model.tables())
-    sums = [x.copy() for x in model.sums]
+    every, total = np.concatenate(model.tables()[:3]), np.concatenate(model.sums[:3]).ravel()  # one table, so that a batch's gradients are summed at once
+    near, far, target = np.split(every, [n + 1, 2 * n + 2])
+    bias, bias_total = model.bias.copy(), model.sums[3].ravel().copy()
+    shift = np.log(unigram * NOISE).astype(np.float32)
     c = contexts_of(symbols, first, n)
     a, b = c // (n + 1), c % (n + 1)
     wheel = np.cumsum(unigram)
     wheel /= wheel[-1]
-
-    def added(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct rows, and the sum of each one's gradients."""
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        first_of = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        return ordered[first_of], np.add.reduceat(grad[order], first_of)
-
-    def step(table: np.ndarray, total: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        kinds, g = added(rows, grad)
-        total[kinds] += (g * g).mean(1, keepdims=True)
-        table[kinds] += RATE * g / np.sqrt(total[kinds])
-
     for _ in range(epochs):
         order = rng.permutation(len(symbols))
-        for at in range(0, len(order), BATCH):
+        draws = np.searchsorted(wheel, rng.random((-(-len(order) // BATCH), NOISE))).clip(0, n - 1)  # one draw for the batch: dense products
+        for noise, at in zip(draws, range(0, len(order), BATCH), strict=True):
             t = order[at : at + BATCH]
-            noise = np.searchsorted(wheel, rng.random(NOISE)).clip(0, n - 1)  # one draw for the batch: dense products
-            q = near[b[t]] + far[a[t]]
             w = symbols[t]
-            true = np.einsum("ij,ij->i", q, target[w]) + bias[w] - log_p[w] - np.log(NOISE)
-            false = q @ target[noise].T + bias[noise] - log_p[noise] - np.log(NOISE)
-            up = (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32)
-            down = (-1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32)
-            dq = up[:, None] * target[w] + down @ target[noise]
-            rows = np.concatenate([w, noise])
-            dt, db = np.concatenate([up[:, None] * q, down.T @ q]), np.concatenate([up, down.sum(0)])
-            step(near, sums[0], b[t], dq)
-            step(far, sums[1], a[t], dq)
-            kinds, g = added(rows, np.concatenate([dt, db[:, None]], 1))
-            sums[2][kinds] += (g[:, :-1] ** 2).mean(1, keepdims=True)
-            target[kinds] += RATE * g[:, :-1] / np.sqrt(sums[2][kinds])
-            sums[3][kinds] += g[:, -1:] ** 2
-            bias[kinds] += RATE * g[:, -1] / np.sqrt(sums[3][kinds, 0])
-    return LogBilinear(near, far, target, bias, sums)
+            q, own, other = near[b[t]] + far[a[t]], target[w], target[noise]
+            true = np.einsum("ij,ij->i", q, own) + (bias[w] - shift[w])
+            false = q @ other.T + (bias[noise] - shift[noise])
+            up = 1 / (1 + np.exp(np.minimum(true, 30)))
+            down = -1 / (1 + np.exp(np.minimum(-false, 30)))
+            dq = up[:, None] * own + down @ other
+            rows = np.concatenate([b[t], a[t] + (n + 1), w + (2 * n + 2), noise + (2 * n + 2)]).astype(np.uint16)  # 3 * MOST_SYMBOLS at most, which sort fast
+            grad = np.concatenate([dq, dq, up[:, None] * q, down.T @ q])
+            by = np.argsort(rows, kind="stable")
+            ordered = rows[by]
+            begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            kinds, g = ordered[begin], np.add.reduceat(grad[by], begin)
+            total[kinds] += np.einsum("ij,ij->i", g, g) / WIDTH
+            every[kinds] += g * (RATE / np.sqrt(total[kinds]))[:, None]
+            db = (np.bincount(w, up, n) + np.bincount(noise, down.sum(0), n)).astype(np.float32)
+            bias_total += db * db
+            bias += RATE * db / np.sqrt(bias_total)
+    return LogBilinear(near, far, target, bias, [*np.split(total[:, None], [n + 1, 2 * n + 2]), bias_total[:, None]])
 
 
 @dataclass
@@ -399,7 +391,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     coded = materialize(code_documents(narrow.withColumn("counted", ~held_out(F.col("doc_id"))), fold=True, end=True, counted="counted"), "lz4")
     learnt = learn(narrow, coded)
     shared = spark.sparkContext.broadcast(learnt.model)
-    table = normaliser_table(spark, shared, (learnt.model.symbols + 1) ** 2, max(48, min(1024, learnt.model.symbols)))
+    table = normaliser_table(spark, shared, (learnt.model.symbols + 1) ** 2, max(48, learnt.model.symbols // 16))
     id_type = dict(coded.dtypes)["ids"].removeprefix("array<")[:-1]
     score = _Score(shared, spark.sparkContext.broadcast(table), (learnt.tokens, learnt.kinds), learnt.mass)
     out = fill_positions(coded.filter("kind = 1"), word_values(coded, learnt.counts, learnt.symbols), score, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
