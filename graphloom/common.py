@@ -8,11 +8,15 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Compressed bytes of input for each shuffle partition at most.
-TASK_BYTES = 64 << 20
+#: Compressed bytes of input for each shuffle partition at most, and bytes of text that a Python worker turns into objects at once.
+TASK_BYTES, SLICE_BYTES = 64 << 20, 4 << 20
 
 
 def scratch(spark) -> str:
@@ -34,6 +38,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of rows of at most limit bytes of a text column, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def scanned_bytes(df: DataFrame) -> int:
     """Bytes of all files that df's plan reads; rows made in Python, whose bytes are unknown, count as none."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -32,8 +32,17 @@ def is_hot(access_count: Column, more_than: int = 10) -> Column:
     return access_count > more_than
 
 
-def can_write(permission: Column, expires_at: Column, now: Column) -> Column:
-    return permission & (expires_at.isNull() | (expires_at > now))
+def is_expired(expires_at: Column, now: Column) -> Column:
+    """A scope without an end doesn't expire; one that ends now hasn't yet."""
+    return F.coalesce(now > expires_at, F.lit(False))
+
+
+def can_write(permissions: Column, expires_at: Column, now: Column) -> Column:
+    return permissions["write"] & ~is_expired(expires_at, now)
+
+
+def can_delete(permissions: Column, expires_at: Column, now: Column) -> Column:
+    return permissions["delete"] & ~is_expired(expires_at, now)
 
 
 def thing_id(thing: Column) -> Column:
@@ -103,5 +112,15 @@ def split_members(members: Column, parts: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.array_intersect(p, members)), lambda p: F.size(p) > 0)
 
 
+def add_member(members: Column, member: Column) -> Column:
+    return F.when(F.array_contains(members, member), members).otherwise(F.array_append(members, member))
+
+
+def remove_member(members: Column, member: Column) -> Column:
+    """Without the first such member."""
+    at = F.array_position(members, member).cast("int")
+    return F.when(at == 0, members).otherwise(F.concat(F.slice(members, F.lit(1), at - 1), F.slice(members, at + 1, F.size(members))))
+
+
 def is_pdf(content: Column, most_bytes: int = 100 << 20) -> Column:
     return (F.hex(F.substring(content, 1, 4)) == "25504446") & (F.octet_length(content) <= most_bytes)

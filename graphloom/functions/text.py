@@ -66,6 +66,16 @@ def domain(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("HOST"))
 
 
+def percent_encoded(text: Column) -> Column:
+    """UTF-8 bytes as %XX but for letters, digits and - . _ ~."""
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def search_url(base: Column, query: Column) -> Column:
+    """The address that asks a search service for its first page of results as JSON."""
+    return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/search?q="), percent_encoded(query), F.lit("&format=json&pageno=1"))
+
+
 def search_query(content: Column) -> Column:
     """The first ten words of the first hundred characters."""
     words = F.filter(F.split(F.substring(content, 1, 100), r"(?U)\s+"), lambda x: x != "")

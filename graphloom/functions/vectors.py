@@ -19,6 +19,20 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+#: Embedding models with their dimension (0: to be given) and whether they take images.
+EMBEDDING_MODELS = {"nomic-ai/nomic-embed-text-v1.5": (768, False), "BAAI/bge-small-en-v1.5": (384, False), "sentence-transformers/all-MiniLM-L6-v2": (384, False), "openai/clip-vit-base-patch32": (512, True)}
+
+
+def model_dimension(name: Column) -> Column:
+    """The dimension of a known embedding model, 0 for others."""
+    return F.coalesce(F.create_map(*(F.lit(x) for k, (n, _) in EMBEDDING_MODELS.items() for x in (k, n)))[name], F.lit(0))
+
+
+def takes_images(name: Column) -> Column:
+    """Whether an embedding model takes images; unknown ones may."""
+    return F.coalesce(F.create_map(*(F.lit(x) for k, (_, y) in EMBEDDING_MODELS.items() for x in (k, y)))[name], F.lit(True))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.common import byte_slices
+
 # Break patterns in the order they are tried, the bytes before and behind the target where they are looked for, and abbreviations.
 BREAKS = (b". ", b".\n", b"! ", b"!\n", b"? ", b"?\n", b"\n\n", b"\n", b" ")
 LOOK_BACK, LOOK_AHEAD, LEAST_CHUNK = 100, 50, 50
@@ -95,9 +97,10 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [cut(x or "", size, overlap, least) for x in batch.column("text").to_pylist()]
-            rows = [[dict(zip(names, (k, len(c), *x), strict=True)) for k, x in enumerate(c)] for c in found]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(item))], ["id", "chunks"])
+            for part in byte_slices(batch, "text"):
+                found = [cut(x or "", size, overlap, least) for x in part.column("text").to_pylist()]
+                rows = [[dict(zip(names, (k, len(c), *x), strict=True)) for k, x in enumerate(c)] for c in found]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, pa.list_(item))], ["id", "chunks"])
 
     out = source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, chunks {CHUNK}")
     return out.select(F.col("id").alias(id_col), F.explode("chunks").alias("c")).select(id_col, F.col("c.index").alias("chunk_index"), "c.total", "c.content", "c.start_offset", "c.end_offset")

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from graphloom.common import partitions
+from graphloom.common import partitions, written
 from graphloom.functions.vectors import cosine_to, euclidean
 
-#: Queries that are sent to the executors at once, and vectors in a block of the all-pairs product.
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 2048
+#: Queries in a block, and vectors in one of the all-pairs product.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 2048
 
 
 def top_k(rows: DataFrame, query: list[float], k: int, id_col: str = "node_id", vector: str = "vector", least: float | None = None) -> DataFrame:
@@ -40,52 +40,62 @@ def _unit(vectors: pa.Array, dimension: int) -> np.ndarray:
 
 
 def top_k_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", vector: str = "vector", query_id: str = "query_id", group: str | None = None) -> DataFrame:
-    """query_id, id, similarity and rank of the k nearest rows of every query, ties by id.
+    """query_id, id, similarity and rank of the k nearest rows of every query, ties by id. With group, a query meets only rows of its own group.
 
-    Queries are a stated set: they go to the executors in blocks of QUERY_BLOCK, each against all rows in one pass. A batch of rows gives at
-    most k candidates for each query. With group, a query meets only rows of its own group.
+    Rows and queries are dealt into blocks; a block of each is one task's matrix product, and at most k candidates for each query leave it. Neither side goes through the driver. Spark
+    keeps the k best of each partition before candidates are shuffled, so a query's candidates aren't gathered either. Null vectors of rows are at similarity 0; rows of another
+    dimension than a query's as well.
     """
-    kind = dict(rows.dtypes)[id_col]
-    q_kind = dict(queries.dtypes)[query_id]
-    out, block = None, []
-    for row in queries.select(query_id, vector, *([group] if group else [])).toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            part = _candidates(rows, block, k, id_col, vector, query_id, kind, q_kind, group)
-            out, block = part if out is None else out.unionByName(part), []
-    if block or out is None:
-        part = _candidates(rows, block, k, id_col, vector, query_id, kind, q_kind, group)
-        out = part if out is None else out.unionByName(part)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col(id_col)))), 1, k)
-    # at most k candidates of each batch meet here, in a group of one query
-    return out.groupBy(query_id).agg(best.alias("best")).select(query_id, F.posexplode("best").alias("rank", "b")).select(query_id, F.col(f"b.{id_col}").alias(id_col), (-F.col("b.s")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
-
-
-def _candidates(rows, block, k, id_col, vector, query_id, kind, q_kind, group) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast([(r[query_id], list(r[vector] or []), r[group] if group else None) for r in block])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [x[0] for x in shared.value]
-        dimension = max((len(x[1]) for x in shared.value), default=0)
-        q = _unit(pa.array([x[1] for x in shared.value], pa.list_(pa.float64())), dimension)
-        groups = np.array([x[2] for x in shared.value], object)
-        for batch in batches:
-            own = batch.column(0).to_pylist()
-            s = np.round(q @ _unit(batch.column(1), dimension).T, 6)
-            if group:
-                s[groups[:, None] != np.array(batch.column(2).to_pylist(), object)[None, :]] = -np.inf
-            found = []
-            names = np.argsort(np.array(own)) if own else []
-            rank = np.empty(len(own), np.int64)
-            rank[names] = np.arange(len(own))
-            for i in range(len(ids)):
-                best = np.lexsort((rank, -s[i]))[:k]
-                found += [(ids[i], own[j], float(s[i, j])) for j in best if s[i, j] > -np.inf]
-            columns = zip(*found, strict=True) if found else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [q_type, batch.schema.field(0).type, pa.float64()], strict=True)], [query_id, id_col, "similarity"])
-
-    q_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[q_kind]
-    return rows.select(id_col, vector, *([group] if group else [])).mapInArrow(run, f"{query_id} {q_kind}, {id_col} {kind}, similarity double")
+    kinds, q_kind = dict(rows.dtypes), dict(queries.dtypes)[query_id]
+    own = F.col(group) if group else F.lit("")
+    left = rows.select(F.col(id_col).alias("id"), own.alias("group"), F.col(vector).alias("vector"))
+    right = queries.select(F.col(query_id).alias("query"), own.alias("group"), F.col(vector).alias("vector"))
+    blocks = lambda df, size, name: df.groupBy(F.col("group").alias("own")).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = blocks(left, VECTOR_BLOCK, "x").join(blocks(right, QUERY_BLOCK, "y"), "own")  # groups that have both
+    deal = lambda df, key, mine, n, other, m: df.join(sizes, F.col("group") == F.col("own")).select(key, "group", "vector", F.pmod(F.xxhash64(key), n).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if a.num_rows and b.num_rows:
+            ids = np.array(a.column("id").to_pylist())
+            order = np.argsort(ids)  # ties by id: the first of equal scores
+            wanted = b.column("vector").combine_chunks()
+            lengths = pc.fill_null(pc.list_value_length(wanted), 0).to_numpy(zero_copy_only=False)
+            names = b.column("query").to_pylist()
+            for dimension in np.unique(lengths).tolist():  # one, as a rule
+                at = np.flatnonzero(lengths == dimension)
+                unit = _unit(a.column("vector").combine_chunks(), dimension)[order]
+                s = np.round(_unit(wanted.take(pa.array(at)), dimension) @ unit.T, 6)
+                many = min(k, s.shape[1])
+                least = -np.partition(-s, many - 1, axis=1)[:, many - 1 : many]  # each query's k-th best score
+                for i, q in enumerate(at.tolist()):
+                    above, same = np.flatnonzero(s[i] > least[i]), np.flatnonzero(s[i] == least[i])
+                    for j in [*above.tolist(), *same[: many - len(above)].tolist()]:
+                        found.append((names[q], ids[order[j]].item(), float(s[i, j])))
+        columns = zip(*found, strict=True) if found else [[], [], []]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, [b.schema.field("query").type, a.schema.field("id").type, pa.float64()], strict=True)], ["query", "id", "similarity"])
+
+    keys, n = ["group", "i", "j"], partitions(rows)
+    dealt = deal(left, "id", "i", F.col("x"), "j", "y").repartition(n, *keys).groupBy(*keys)
+    asked = deal(right, "query", "j", F.col("y"), "i", "x").repartition(n, *keys).groupBy(*keys)
+    best = dealt.cogroup(asked).applyInArrow(compare, f"query {q_kind}, id {kinds[id_col]}, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query").alias(query_id), F.col("id").alias(id_col), "similarity", "rank")
+
+
+def _pairs_of(table: pa.Table, left: np.ndarray, right: np.ndarray, least: float, half: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smaller and greater id and the similarity of pairs of rows at or above a threshold, one from each side; half: of one side with itself, each pair once."""
+    ids = np.array(table.column("id").to_pylist())
+    dimension = max((len(x) for x in table.column("vector").to_pylist()), default=0)
+    unit = _unit(table.column("vector").combine_chunks(), dimension)
+    s = np.round(unit[left] @ unit[right].T, 6)
+    hit = s >= least
+    if half:
+        hit &= ids[left][:, None] < ids[right][None, :]
+    x, y = np.nonzero(hit)
+    a, b = ids[left[x]], ids[right[y]]
+    swap = a > b
+    return np.where(swap, b, a), np.where(swap, a, b), s[x, y]
 
 
 def similar_pairs(rows: DataFrame, least: float, group: str | None = None, id_col: str = "node_id", vector: str = "vector") -> DataFrame:
@@ -102,24 +112,41 @@ def similar_pairs(rows: DataFrame, least: float, group: str | None = None, id_co
     kind = dict(rows.dtypes)[id_col]
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, mine = np.array(table.column("id").to_pylist()), table.column("mine").to_numpy()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        dimension = max(len(x) for x in table.column("vector").to_pylist())
-        unit = _unit(table.column("vector").combine_chunks(), dimension)
-        a, b = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        s = np.round(unit[a] @ unit[b].T, 6)
-        hit = s >= least
-        if i == j:
-            hit &= ids[a][:, None] < ids[b][None, :]
-        x, y = np.nonzero(hit)
-        left, right = ids[a[x]], ids[b[y]]
-        swap = left > right
-        left, right = np.where(swap, right, left), np.where(swap, left, right)
-        return pa.table({"a": pa.array(left.tolist(), table.schema.field("id").type), "b": pa.array(right.tolist(), table.schema.field("id").type), "group": pa.array([table.column("group")[0].as_py()] * len(x), pa.string()), "similarity": pa.array(s[x, y])})
+        mine, i, j = table.column("mine").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        a, b, s = _pairs_of(table, np.flatnonzero(mine == i), np.flatnonzero(mine == j), least, i == j)
+        return pa.table({"a": pa.array(a.tolist(), table.schema.field("id").type), "b": pa.array(b.tolist(), table.schema.field("id").type), "group": pa.array([table.column("group")[0].as_py()] * len(a), pa.string()), "similarity": pa.array(s)})
 
     return dealt.repartition(partitions(rows), "group", "i", "j").groupBy("group", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, `group` string, similarity double")
 
 
+def similar_across(rows: DataFrame, least: float, group: str = "namespace", id_col: str = "node_id", vector: str = "vector") -> DataFrame:
+    """a, b and similarity of all pairs a < b of rows of different groups at or above a threshold: pairs of blocks of two groups, so that pairs within one are never made. Null vectors and groups are in none."""
+    base = rows.filter(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(id_col).alias("id"), F.col(group).alias("group"), F.col(vector).alias("vector"))
+    sizes = base.groupBy("group").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))
+    blocks = sizes.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    blocks = written(blocks.select("group", "block", F.lit(1).alias("one")))
+    work = blocks.join(blocks.select(F.col("group").alias("group2"), F.col("block").alias("block2"), "one"), "one").filter("group < group2")  # rows / VECTOR_BLOCK each: the list of products
+    pair = F.xxhash64("group", "block", "group2", "block2").alias("pair")
+    sides = work.select(pair, F.posexplode(F.array(F.struct("group", "block"), F.struct(F.col("group2").alias("group"), F.col("block2").alias("block")))).alias("side", "at")).select("pair", "side", "at.group", "at.block")
+    placed = base.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).join(sides, ["group", "block"]).select("pair", "side", "id", "vector")
+    kind = dict(rows.dtypes)[id_col]
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        a, b, s = _pairs_of(table, np.flatnonzero(side == 0), np.flatnonzero(side == 1), least, False)
+        return pa.table({"a": pa.array(a.tolist(), table.schema.field("id").type), "b": pa.array(b.tolist(), table.schema.field("id").type), "similarity": pa.array(s)})
+
+    return placed.repartition(partitions(rows), "pair").groupBy("pair").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+
+
+def similarity_matrix(rows: DataFrame, group: str | None = None, id_col: str = "node_id", vector: str = "vector", least: float = -1.0) -> DataFrame:
+    """a, b and similarity of the whole matrix of a group: both halves, and 1 on the diagonal. As large as the square of the rows: for small groups."""
+    half = similar_pairs(rows, least, group, id_col, vector)
+    own = F.col(group) if group else F.lit("")
+    one = rows.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("a"), F.col(id_col).alias("b"), own.alias("group"), F.lit(1.0).alias("similarity"))
+    return half.unionByName(half.withColumns({"a": F.col("b"), "b": F.col("a")})).unionByName(one)
+
+
 def similarity_edges(rows: DataFrame, least: float = 0.5, group: str = "namespace", id_col: str = "node_id") -> DataFrame:
     """Semantic edges of all pairs within a group: weight 1 / similarity, confidence 0.8."""
     pairs = similar_pairs(rows, least, group, id_col)

@@ -4,23 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.common import written
+from graphloom.config import IngestionSettings, RemSettings
 from graphloom.functions import text as t
-from graphloom.functions.rules import GLOBAL, edge_weight, health
+from graphloom.functions.rules import GLOBAL, edge_weight, health, is_pdf
 from graphloom.functions.vectors import mock_embedding
 from graphloom.operators.chunk import chunked
 from graphloom.operators.cluster import ClusterConfig, hierarchy, sibling_edges, tree_nodes, tree_stats
 from graphloom.operators.paths import fused_rank
-from graphloom.operators.search import similar_pairs, top_k_each
+from graphloom.operators.search import similar_across, top_k_each
+from graphloom.sources.repository import Repository
 
 #: Defaults of search and ask, and the answers without a chat model.
 SEARCH_LIMIT, SEARCH_LEAST, ASK_LIMIT, ASK_LEAST = 10, 0.5, 5, 0.4
 NOTHING_FOUND = "No relevant information found in the knowledge base."
 #: Sites of the mock search provider.
 MOCK_SITES = (("Wikipedia", "https://en.wikipedia.org"), ("Stack Overflow", "https://stackoverflow.com"), ("GitHub", "https://github.com"), ("Documentation", "https://docs.rs"), ("Blog Post", "https://medium.com"))
+#: What a mock result says before and behind the query, and the parts of a synthesized text before the question, the sources and what they say.
+MOCK_SNIPPET = ("This is a mock search result for '", "'. It contains relevant information about the topic and provides context for the REM phase synthesis.")
+SYNTHESIS = ("# Synthesized Knowledge\n\n**Original Query:** ", "\n\n**Sources:**\n", "\n\n**Combined Information:**\n")
 
 Embedder = Callable[[Column], Column]
 
@@ -56,8 +62,9 @@ def node_key(*parts: Column | str) -> Column:
 def ingest_documents(docs: DataFrame, embedder: Embedder | None = None, namespace: str = GLOBAL, chunk: bool = True, size: int = 1000, overlap: int = 200, least: int = 100) -> DataFrame:
     """Leaf nodes of documents (doc_id, text, source), one for each chunk; blank ones are left out, equal contents of a namespace are one node."""
     full = docs.filter(F.trim("text") != "")
-    if chunk:
-        parts = chunked(full, "doc_id", "text", size, overlap, least).join(full.select("doc_id", "source"), "doc_id")
+    if chunk:  # id and source go through together: joined back by id, rows that share one would multiply
+        both = full.select(F.struct("doc_id", "source").alias("row"), "text")
+        parts = chunked(both, "row", "text", size, overlap, least).select("row.doc_id", "row.source", "chunk_index", "total", "content", "start_offset", "end_offset")
     else:
         parts = full.select("doc_id", F.lit(0).alias("chunk_index"), F.lit(1).alias("total"), F.col("text").alias("content"), F.lit(0).alias("start_offset"), F.octet_length("text").alias("end_offset"), "source")
     tag = F.concat(F.lit("chunk:"), (F.col("chunk_index") + 1).cast("string"), F.lit("/"), F.col("total").cast("string"))
@@ -66,16 +73,40 @@ def ingest_documents(docs: DataFrame, embedder: Embedder | None = None, namespac
     return out.withColumn("vector", (embedder or default_embedder())(F.col("content")))
 
 
+def file_tags(tags: Column) -> Column:
+    """Tags as a form sends them: a JSON array of texts, or one tag."""
+    return F.when(F.trim(tags) == "", F.array().cast("array<string>")).otherwise(F.coalesce(F.from_json(tags, "array<string>"), F.array(tags)))
+
+
+def file_gates(files: DataFrame, settings: IngestionSettings = IngestionSettings()) -> DataFrame:
+    """files (path, length) with `refused`: why a file isn't taken, null if it is."""
+    extension = F.lower(F.regexp_extract("path", r"[.]([^./]+)$", 1))
+    allowed = [x.strip() for x in settings.allowed.split(",")]
+    return files.withColumn("refused", F.when(F.col("length") < 1, "empty").when(F.col("length") > settings.max_file_size, "too large").when(~extension.isin(*allowed), "type not allowed"))
+
+
 def ingest_files(files: DataFrame, embedder: Embedder | None = None, namespace: str = GLOBAL, most_bytes: int = 50 << 20, decoders: dict[str, Callable[[Column], Column]] | None = None, **chunking) -> tuple[DataFrame, DataFrame]:
-    """Nodes of a binaryFile source, and a report: path, file_type, warning. Text is decoded here; PDF and images by `decoders` where given, else they get a warning and no nodes."""
+    """Nodes of a binaryFile source, and a report: path, file_type, warning. Text is decoded here; PDF and images by `decoders` where given, else they get a warning and no nodes. A
+    PDF decoder gets only what begins as a PDF. Of columns that a form adds, tags (see file_tags) go before the chunk's own tag, and language is kept."""
     typed = files.filter(F.col("length").between(1, most_bytes)).withColumn("file_type", t.file_type(F.col("path")))
+    typed = typed.filter((F.col("file_type") != "pdf") | is_pdf(F.col("content")) | F.lit("pdf" not in (decoders or {})))
     text = typed.filter("file_type = 'text'").withColumn("d", t.decode_bytes(F.col("content"))).select("path", "file_type", t.squeeze(t.unix_lines(F.col("d.text"))).alias("text"), F.when(F.col("d.lossy"), "some characters could not be decoded").alias("warning"))
     for kind, decode in (decoders or {}).items():
         own = typed.filter(F.col("file_type") == kind).select("path", "file_type", t.clean_extracted(decode(F.col("content")), kind == "image").alias("text"), F.lit(None).cast("string").alias("warning"))
         text = text.unionByName(own)
     left = typed.filter(~F.col("file_type").isin("text", *(decoders or {}))).select("path", "file_type", F.lit("no decoder for this type").alias("warning"))
     report = text.select("path", "file_type", "warning").unionByName(left)
-    return ingest_documents(text.select(F.col("path").alias("doc_id"), "text", F.col("path").alias("source")), embedder, namespace, **chunking), report
+    nodes = ingest_documents(text.select(F.col("path").alias("doc_id"), "text", F.col("path").alias("source")), embedder, namespace, **chunking)
+    asked = [c for c in ("tags", "language") if c in files.columns]
+    if asked:
+        own = files.select(F.col("path").alias("doc_id"), *(F.col(c).alias(f"_{c}") for c in asked))
+        nodes = nodes.join(own, "doc_id", "left")
+        if "tags" in asked:
+            nodes = nodes.withColumn("tags", F.concat(F.coalesce(file_tags(F.col("_tags")), F.array().cast("array<string>")), "tags"))
+        if "language" in asked:
+            nodes = nodes.withColumn("language", F.col("_language"))
+        nodes = nodes.drop(*(f"_{c}" for c in asked))
+    return nodes, report
 
 
 def remember(turns: DataFrame, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
@@ -110,38 +141,62 @@ def mock_search(queries: DataFrame, most: int = 5) -> DataFrame:
     """query_id, position, title, url, snippet, score and domain of the mock provider for each query (query_id, query); blank queries find nothing."""
     sites = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(u).alias("base")) for n, u in MOCK_SITES[:most]))
     rows = queries.filter(F.trim("query") != "").select("query_id", "query", F.posexplode(sites).alias("position", "s"))
-    snippet = F.concat(F.lit("This is a mock search result for '"), F.col("query"), F.lit("'. It contains relevant information about the topic and provides context for the REM phase synthesis."))
+    snippet = F.concat(F.lit(MOCK_SNIPPET[0]), F.col("query"), F.lit(MOCK_SNIPPET[1]))
     return rows.select("query_id", "position", F.concat("s.name", F.lit(" - "), "query").alias("title"), F.concat("s.base", F.lit("/search?q="), F.replace("query", F.lit(" "), F.lit("+"))).alias("url"), snippet.alias("snippet"), F.round(0.9 - 0.1 * F.col("position"), 6).alias("score"), F.replace("s.base", F.lit("https://"), F.lit("")).alias("domain"))
 
 
+def search_responses(responses: DataFrame, most: int = 10) -> DataFrame:
+    """Results of a search service's answers (query_id, json): at most so many each, in their order: position, title, url, snippet, score, domain and published_date.
+
+    A score that isn't given falls with the position from 0.95 by 0.05; scores are held to 0 ... 1. An empty snippet is replaced. An answer that is no JSON has no results."""
+    item = "struct<title:string,url:string,content:string,score:double,publishedDate:string>"
+    results = F.slice(F.from_json("json", f"struct<results:array<{item}>>")["results"], 1, most)
+    rows = responses.select("query_id", F.posexplode(results).alias("position", "r"))
+    score = F.coalesce("r.score", 0.95 - 0.05 * F.col("position"))
+    return rows.select(
+        "query_id", "position", "r.title", "r.url", F.when(F.coalesce("r.content", F.lit("")) == "", t.NO_SNIPPET).otherwise(F.col("r.content")).alias("snippet"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("score"), t.domain(F.col("r.url")).alias("domain"), F.col("r.publishedDate").alias("published_date")
+    )
+
+
 def synthesize(incomplete: DataFrame, provider: Callable[[DataFrame], DataFrame] = mock_search) -> DataFrame:
     """A global leaf for each incomplete node (node_id, content) that a search finds something for: the question, its sources and what they say."""
     asked = incomplete.select(F.col("node_id").alias("query_id"), "content", t.search_query(F.col("content")).alias("query"))
     found = provider(asked.select("query_id", "query"))
     line = t.snippet_line(F.col("title"), F.col("url"), F.col("snippet"))
     said = found.groupBy("query_id").agg(t.ordered_text(F.col("position"), F.concat(F.lit("- "), F.col("url")), "\n").alias("sources"), t.ordered_text(F.col("position"), line, t.PART_BREAK).alias("snippets"), F.count("*").alias("n_sources"))
-    text = F.concat(F.lit("# Synthesized Knowledge\n\n**Original Query:** "), "content", F.lit("\n\n**Sources:**\n"), "sources", F.lit("\n\n**Combined Information:**\n"), "snippets")
+    text = F.concat(F.lit(SYNTHESIS[0]), "content", F.lit(SYNTHESIS[1]), "sources", F.lit(SYNTHESIS[2]), "snippets")
     return asked.join(said, "query_id").select(F.col("query_id").alias("related_to"), text.alias("content"), "n_sources", F.lit(GLOBAL).alias("namespace"), F.lit("synthetic").alias("source_type"))
 
 
 def cross_links(nodes: DataFrame, least: float = 0.7) -> DataFrame:
     """Edges between similar nodes of different namespaces, with the similarity as confidence."""
-    pairs = similar_pairs(nodes, least)
-    names = nodes.select("node_id", "namespace")
-    both = pairs.join(names.select(F.col("node_id").alias("a"), F.col("namespace").alias("x")), "a").join(names.select(F.col("node_id").alias("b"), F.col("namespace").alias("y")), "b")
-    return both.filter("x != y").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("crossnamespace").alias("edge_type"), F.round(edge_weight(F.col("similarity")), 6).alias("weight"), "similarity", F.col("similarity").alias("confidence"))
+    pairs = similar_across(nodes, least)
+    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("crossnamespace").alias("edge_type"), F.round(edge_weight(F.col("similarity")), 6).alias("weight"), "similarity", F.col("similarity").alias("confidence"))
+
+
+def run_once(incomplete: DataFrame, settings: RemSettings = RemSettings(), provider: Callable[[DataFrame], DataFrame] = mock_search) -> tuple[DataFrame, DataFrame]:
+    """One run over incomplete nodes (node_id, content): the max_nodes first by id are taken, and the batch_size first of those are searched for. Synthesized nodes, and one row of counts."""
+    taken = written(incomplete.orderBy("node_id").limit(settings.max_nodes))
+    new = synthesize(taken.orderBy("node_id").limit(settings.batch_size).select("node_id", "content"), provider)
+    counts = taken.agg(F.count("*").alias("nodes_processed")).join(new.agg(F.count("*").alias("nodes_synthesized"), F.coalesce(F.sum("n_sources"), F.lit(0)).cast("long").alias("sources")))  # one row each
+    return new, counts
 
 
 def consolidate(nodes: DataFrame, config: ClusterConfig = ClusterConfig(), most_nodes: int | None = None, link_least: float = 0.7, provider: Callable[[DataFrame], DataFrame] = mock_search) -> dict[str, DataFrame]:
-    """Nightly consolidation: answers for incomplete nodes, new hierarchies, links across namespaces, and a row of counts for each namespace. most_nodes bounds the reported number of processed nodes."""
-    new = synthesize(nodes.filter("status = 'incomplete'").select("node_id", "content"), provider)
+    """Nightly consolidation: answers for incomplete nodes, new hierarchies, links across namespaces, and a row of counts for each namespace. most_nodes: so many leaves of each namespace, the first
+    by id, are clustered, and so many incomplete ones asked for; none: all."""
+    asked = nodes.filter("status = 'incomplete'")
+    if most_nodes is not None:
+        first = Window.partitionBy("namespace").orderBy("node_id")  # ids alone are ranked; Spark keeps the first of each partition before it shuffles
+        taken = written(nodes.filter("depth_level = 0").select("node_id", "namespace").withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= most_nodes).select("node_id"))
+        nodes, asked = nodes.join(taken, "node_id", "left_semi"), asked.orderBy("node_id").limit(most_nodes)
+    new = synthesize(asked.select("node_id", "content"), provider)
     parents, edges, stats = build_hierarchy(nodes, config, 3)
     links = cross_links(nodes, link_least)
     leaves = nodes.filter("depth_level = 0").groupBy("namespace").agg(F.count("*").alias("n"))
     count = lambda df, name: df.filter("namespace is not null").groupBy("namespace").agg(F.count("*").alias(name))
     report = leaves.join(count(parents, "parents"), "namespace", "left").join(count(edges, "edges"), "namespace", "left")
-    processed = F.col("n") if most_nodes is None else F.least("n", F.lit(most_nodes))
-    report = report.select("namespace", processed.alias("nodes_processed"), F.coalesce("parents", F.lit(0)).alias("parents_created"), F.coalesce("edges", F.lit(0)).alias("edges_created"))
+    report = report.select("namespace", F.col("n").alias("nodes_processed"), F.coalesce("parents", F.lit(0)).alias("parents_created"), F.coalesce("edges", F.lit(0)).alias("edges_created"))
     return {"synthesized": new, "parents": parents, "edges": edges, "cross_links": links, "stats": stats, "report": report}
 
 
@@ -153,10 +208,46 @@ def namespace_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "namespace", "full").select("namespace", F.coalesce("node_count", zero).alias("node_count"), F.coalesce("edge_count", zero).alias("edge_count"))
 
 
-def system_health(nodes: DataFrame, has_model: bool = True) -> DataFrame:
-    """status and its components; the database is there if a scan of the nodes can be planned."""
-    there = F.lit(nodes.schema is not None)
-    return nodes.sparkSession.range(1).select(health(there, F.lit(has_model)).alias("status"), there.alias("database"), F.lit(has_model).alias("llm"), F.lit(True).alias("cache"))
+def system_health(spark: SparkSession, store: Repository | None = None, has_model: bool = True) -> DataFrame:
+    """status and its components; the database is there if the store answers, or, without one, if a job runs."""
+    there = store.healthy() if store is not None else spark.range(1).count() == 1
+    return spark.range(1).select(health(F.lit(there), F.lit(has_model)).alias("status"), F.lit(there).alias("database"), F.lit(has_model).alias("llm"), F.lit(True).alias("cache"))
+
+
+def store_hierarchy(store: Repository, nodes: DataFrame, config: ClusterConfig = ClusterConfig(), least_nodes: int = 5) -> DataFrame:
+    """Builds the hierarchy and stores its parents and edges; parents that are built again replace themselves, and their edges are those of the new build. Returns the statistics."""
+    parents, edges, stats = build_hierarchy(nodes, config, least_nodes)
+    parents, edges = written(parents), written(edges)
+    now = F.current_timestamp()
+    vector = F.struct(F.col("vector").cast("array<float>").alias("vector"), F.lit("mean").alias("model"), F.size("vector").alias("dimension"))
+    meta = F.struct(F.col("source"), F.lit("synthetic").alias("source_type"), F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("string").alias("author"), F.col("tags"), F.lit(None).cast("string").alias("language"), F.lit(0).cast("bigint").alias("access_count"))
+    store.upsert("nodes", parents.select("node_id", "node_type", "status", "content", vector.alias("embedding"), "depth_level", "confidence", "namespace", meta.alias("metadata"), now.alias("created_at"), now.alias("updated_at")), "node_id")
+    ids = written(parents.select("node_id"))
+    old = store.read("edges")
+    before = old.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").unionByName(old.join(edges.select("src", "dst"), ["src", "dst"], "left_semi")).select("src", "dst").distinct()
+    kept = old.join(before, ["src", "dst"], "left_anti").select(*old.columns)
+    new = edges.select("src", "dst", "edge_type", "weight", "similarity", "confidence", now.alias("created_at"), now.alias("updated_at"))
+    store.replace("edges", kept.unionByName(new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in old.schema))))
+    return stats
+
+
+def store_models(store: Repository, files: DataFrame, dimension: int = 768) -> DataFrame:
+    """Converts model files and stores models and their nodes; a file that is converted again replaces its model. Returns path, status and error."""
+    status, nodes = convert_models(files, dimension)
+    status, nodes = written(status), written(nodes)
+    now = F.current_timestamp()
+    shape = F.struct(*(F.col(f"architecture.{c}").cast("string" if c == "model_type" else "int").alias(c) for c in ("model_type", "n_layers", "embedding_dim", "vocab_size", "n_heads", "ffn_dim")))
+    roots = nodes.filter("parent_id is null").groupBy("model_id").agg(F.min("id").alias("root_node_id"))
+    models = status.join(roots, F.col("path") == F.col("model_id"), "left")
+    done = F.when(F.col("status") == "ready", 100.0).otherwise(0.0)
+    store.upsert("models", models.select(F.col("path").alias("id"), F.element_at(F.split("path", "/"), -1).alias("name"), shape.alias("architecture"), "root_node_id", "status", F.col("path").alias("file_path"), done.alias("conversion_progress"), now.alias("created_at"), now.alias("updated_at")), "id")
+    kinds = F.struct(*(F.lit(None).cast("int").alias(c) for c in ("layer_start", "layer_end")), F.col("layer_type"), *(F.lit(None).cast("string").alias(c) for c in ("summary", "metadata")))
+    below = nodes.filter("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list(F.col("id"))).alias("children_ids"))  # a third of a model's groups at most
+    old = store.read("model_nodes")
+    kept = old.join(status.select(F.col("path").alias("model_id")), "model_id", "left_anti").select(*old.columns)
+    new = nodes.join(below, "id", "left").select("id", "model_id", F.col("vector").cast("array<float>").alias("embedding"), kinds.alias("layer_info"), "parent_id", F.coalesce("children_ids", F.array().cast("array<string>")).alias("children_ids"), "level")
+    store.replace("model_nodes", kept.unionByName(new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in old.schema))))
+    return status.select("path", "status", "error")
 
 
 def search_stats(searches: DataFrame) -> DataFrame:

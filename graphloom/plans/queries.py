@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.common import written
 from graphloom.functions import rules, text, vectors
 from graphloom.operators import cluster, paths, search
 from graphloom.operators.chunk import chunked
 from graphloom.operators import chunk
 from graphloom.plans import api, oracles
+from graphloom.plans.registered import Registered
 from graphloom.sources import tables
 from graphloom.sources.tables import table
 from graphloom.streaming import cache, uploads
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
+query = Registered()
 
 #: Thresholds for the test vectors, which are nearly orthogonal: links, hierarchies and searches.
 LINK, FIND = 0.3, 0.2
@@ -45,22 +43,12 @@ ROUNDS = 40
 REACHED = f"{BOTH}, {oracles.shortest('lengths', 'starts', 'found', ROUNDS)}"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+def queries() -> dict:
+    return dict(query.queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(query.sql)
 
 
 def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
@@ -390,11 +378,6 @@ def chunk_documents(spark, d):
     return chunked(table(spark, d, "documents"))
 
 
-@query()
-def chunk_by_sentences(spark, d):
-    return chunked(table(spark, d, "documents"), by_sentence=True)
-
-
 @query("SELECT lang, count(*) AS n, CAST(sum(strlen(text)) // count(*) AS BIGINT) AS average_size FROM documents WHERE trim(text) <> '' GROUP BY 1")
 def average_sizes(spark, d):
     full = table(spark, d, "documents").filter(F.trim("text") != "")
@@ -522,13 +505,37 @@ def path_measures(spark, d):
 # --- pipelines -------------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+def _built(least: int) -> str:
+    return f"""{NODES}, {oracles.tree(LINK, least_nodes=least)}, {oracles.DOWN}, {oracles.SIBLINGS.format(least=LINK)}, links AS (SELECT src, dst, namespace, edge_type, similarity, round(1 / similarity, 6) AS weight, 1.0::DOUBLE AS confidence FROM down
+  UNION ALL SELECT src, dst, NULL, edge_type, similarity, weight, 0.8 FROM siblings)"""
+
+
+FUSED = f"""{_built(5)}, everything AS (SELECT node_id, namespace, v, 'leaf' AS node_type FROM nodes UNION ALL SELECT cluster_id, grp, v, 'parent' FROM tree WHERE depth > 0),
+  scored AS (SELECT q.doc_id AS query_id, n.node_id, n.node_type, round(list_cosine_similarity(q.v, n.v), 6) AS similarity FROM nodes q JOIN everything n ON q.namespace = n.namespace WHERE q.doc_id % 20 = 0),
+  hits AS (SELECT * FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, node_id) <= 20) WHERE similarity >= 0.15),
+  above AS (SELECT h.query_id, d.src AS node_id, min({{'dst': d.dst, 's': d.similarity}}).s * 0.9 AS similarity FROM hits h JOIN down d ON d.dst = h.node_id WHERE NOT EXISTS (SELECT 1 FROM hits x WHERE x.query_id = h.query_id AND x.node_id = d.src) GROUP BY 1, 2),
+  known AS (SELECT query_id, node_id, similarity FROM hits UNION ALL SELECT query_id, node_id, similarity FROM above),
+  pairs AS (SELECT a.node_id AS src, b.node_id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM nodes a JOIN nodes b ON a.namespace = b.namespace AND a.node_id <> b.node_id),
+  graph AS (SELECT src, dst, similarity FROM pairs WHERE similarity >= {LINK} UNION ALL SELECT src, dst, similarity FROM down),
+  inside AS (SELECT a.query_id AS q, g.src, g.dst, 1 / g.similarity AS length FROM graph g JOIN known a ON a.node_id = g.src JOIN known b ON b.node_id = g.dst AND b.query_id = a.query_id),
+  begins AS (SELECT query_id AS q, max({{'s': similarity, 'n': node_id}}).n AS node FROM hits WHERE node_type = 'leaf' AND query_id IN (SELECT query_id FROM known GROUP BY 1 HAVING count(*) > 1) GROUP BY 1),
+  {oracles.settled('inside', 'begins', 'near', 10)},
+  ranks AS (SELECT k.query_id, k.node_id, k.similarity, n.distance, n.path, CASE WHEN b.q IS NULL THEN k.similarity ELSE 0.7 * k.similarity + coalesce(0.3 / (1 + n.distance), 0) END AS score
+    FROM known k LEFT JOIN begins b ON b.q = k.query_id LEFT JOIN near n ON n.q = k.query_id AND n.node = k.node_id)"""
+
+
+@query(f"""WITH RECURSIVE {FUSED} SELECT r.query_id, row_number() OVER (PARTITION BY r.query_id ORDER BY round(score, 9) DESC, r.node_id) AS rank, r.node_id, e.namespace, e.node_type, round(similarity, 6) AS similarity, round(score, 6) AS score, round(distance, 6) AS distance, array_to_string(path, '>') AS path
+FROM ranks r JOIN everything e ON e.node_id = r.node_id QUALIFY rank <= 10""")
 def search_fused(spark, d):
-    nodes = tables.nodes(spark, d)
-    edges = _edges(spark, d)
-    both = edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
-    found = api.search(nodes, both, _stated(nodes), limit=10, least=0.15)
-    return found.select("query_id", "rank", "node_id", "namespace", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"), "path")
+    """Searches over leaves and the parents of a hierarchy, along similar leaves and from parents to children."""
+    leaves = tables.nodes(spark, d)
+    parents, down, _ = api.build_hierarchy(leaves, CLUSTERING)
+    parents = written(parents.select("node_id", "node_type", "vector", "namespace", "content", "source", "depth_level"))
+    edges = _edges(spark, d).select("src", "dst", "edge_type", "similarity")
+    both = edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")})).unionByName(down.filter("edge_type = 'parentchild'").select("src", "dst", "edge_type", "similarity"))
+    nodes = leaves.select(*parents.columns).withColumn("vector", F.col("vector").cast("array<double>")).unionByName(parents)
+    found = api.search(nodes, written(both), _stated(leaves), limit=10, least=0.15)
+    return found.select("query_id", "rank", "node_id", "namespace", "node_type", *(F.round(c, 6).alias(c) for c in ("similarity", "score", "distance")), F.array_join("path", ">").alias("path"))
 
 
 ASKED = f"""{NODES}, hits AS (SELECT q.doc_id AS query_id, n.node_id, n.content, n.source, round(list_cosine_similarity(q.v, n.v), 6) AS similarity FROM nodes q JOIN nodes n ON q.namespace = n.namespace WHERE q.doc_id % 20 = 0),
@@ -583,11 +590,6 @@ def synthesize(spark, d):
     return api.synthesize(rows).select("related_to", "n_sources")
 
 
-def _built(least: int) -> str:
-    return f"""{NODES}, {oracles.tree(LINK, least_nodes=least)}, {oracles.DOWN}, {oracles.SIBLINGS.format(least=LINK)}, links AS (SELECT src, dst, namespace, edge_type, similarity, round(1 / similarity, 6) AS weight, 1.0::DOUBLE AS confidence FROM down
-  UNION ALL SELECT src, dst, NULL, edge_type, similarity, weight, 0.8 FROM siblings)"""
-
-
 @query(f"""WITH RECURSIVE {_built(3)}, p AS (SELECT grp AS namespace, count(*) AS parents FROM tree WHERE depth > 0 GROUP BY 1), e AS (SELECT namespace, count(*) AS made FROM links WHERE namespace IS NOT NULL GROUP BY 1)
 SELECT namespace, count(*) AS nodes_processed, coalesce(any_value(parents), 0) AS parents_created, coalesce(any_value(made), 0) AS edges_created FROM nodes LEFT JOIN p USING (namespace) LEFT JOIN e USING (namespace) GROUP BY namespace""")
 def consolidate(spark, d):
@@ -599,11 +601,6 @@ def build_hierarchy(spark, d):
     return api.build_hierarchy(tables.nodes(spark, d), CLUSTERING)[1]
 
 
-@query("SELECT 'healthy' AS status, true AS database, true AS llm, true AS cache")
-def health_stats(spark, d):
-    return api.system_health(tables.nodes(spark, d))
-
-
 @query("SELECT count(*) AS performed, count(*) FILTER (WHERE event_id % 5 <> 0) AS successful, sum(CASE WHEN event_id % 5 <> 0 THEN event_id % 7 END)::BIGINT AS total_results, CAST(floor(sum(CASE WHEN event_id % 5 <> 0 THEN user_id END) / count(*) FILTER (WHERE event_id % 5 <> 0)) AS BIGINT) AS average_latency_ms FROM events")
 def search_stats(spark, d):
     rows = table(spark, d, "events").select((F.col("event_id") % 5 != 0).alias("ok"), (F.col("event_id") % 7).alias("results"), F.col("user_id").alias("latency_ms"))
@@ -636,12 +633,3 @@ def paths_to_targets(spark, d):
 SELECT grp AS "group", cluster_id, similarity FROM scored QUALIFY row_number() OVER (PARTITION BY grp ORDER BY similarity DESC, cluster_id) = 1""")
 def similar_leaf(spark, d):
     return cluster.similar_leaf(_tree(spark, d), _vector(spark, d))
-
-
-@query("SELECT c_custkey, list_distinct([c_nationkey, c_custkey % 5, c_custkey % 3]) IS NOT NULL AS merged, CAST((c_custkey % 2 = 0)::INTEGER + 1 AS INTEGER) AS parts FROM customer")
-def cluster_merge_split(spark, d):
-    k = F.col("c_custkey")
-    merged = rules.merge_members(F.array(F.col("c_nationkey").cast("long"), k % 5), F.array(k % 5, k % 3))
-    members = F.array(F.lit(1), F.when(k % 2 == 0, 2).otherwise(1), F.lit(3))
-    parts = rules.split_members(members, F.array(F.array(F.lit(1)), F.array(F.lit(2)), F.array(F.lit(9))))
-    return table(spark, d, "customer").select("c_custkey", (F.size(merged) > 0).alias("merged"), F.size(parts).alias("parts"))

@@ -1,17 +1,31 @@
-"""A folder of Parquet tables as the store: create, read, replace, delete. Every write replaces whole files, so a failed job leaves the table as it was."""
+"""A folder of Parquet tables as the store: create, read, upsert, delete.
+
+A table is a log of versions; each names the folders of Parquet files that are the table then. A write adds its files first and then the next version, by a rename that fails if
+the version is there already. So a crash leaves the table as it was, readers keep the files they began with, appends add files and rewrite nothing, and of two writers
+the later one begins again (an append) or gets a Conflict. Files that no late version names are deleted by vacuum alone.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from graphloom.errors import Conflict, NotFound
 from graphloom.sources.tables import DDL, schema
 
+#: Versions that vacuum keeps, for readers that still use them, and times that an append is tried.
+KEPT_VERSIONS, TRIES = 10, 20
+#: The column that identifies a row, for tables that have one.
+KEYS = {"nodes": "node_id", "models": "id", "model_nodes": "id", "upload_sessions": "upload_id", "namespaces": "name"}
+
 
 class Repository:
-    """Tables below `base`, with the schemas of the knowledge model; a table's current version is named by the file `CURRENT` beside its versions."""
+    """Tables below `base`, a folder that all executors reach, with the schemas of the knowledge model."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
@@ -22,56 +36,135 @@ class Repository:
     def _fs(self):
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _current(self, name: str) -> str | None:
-        at = self._path(name, "CURRENT")
-        if not self._fs().exists(at):
-            return None
-        stream = self._fs().open(at)
+    def versions(self, name: str) -> list[int]:
+        at, fs = self._path(name, "log"), self._fs()
+        if not fs.exists(at):
+            return []
+        return sorted(int(x.getPath().getName().removesuffix(".json")) for x in fs.listStatus(at) if x.getPath().getName().endswith(".json"))
+
+    def _folders(self, name: str, version: int) -> list[str]:
+        stream = self._fs().open(self._path(name, "log", f"{version:012d}.json"))
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def _commit(self, name: str, version: int, folders: list[str]) -> bool:
+        """Writes the log entry of a version; False if another writer was faster."""
+        fs, jvm = self._fs(), self.spark._jvm
+        made, final = self._path(name, "log", f"{uuid.uuid4().hex}.tmp"), self._path(name, "log", f"{version:012d}.json")
+        stream = fs.create(made, True)
+        stream.write(bytearray(json.dumps(folders).encode()))
+        stream.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(made, final, self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except Py4JJavaError as e:
+            fs.delete(made, False)
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
+            return False
+
+    def _store(self, name: str, rows: DataFrame) -> str:
+        folder = f"f-{uuid.uuid4().hex}"
+        full = rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)))
+        full.write.parquet(f"{self.base}/{name}/{folder}")
+        return folder
+
     def initialise(self) -> None:
         """Empty tables where there are none, and the global namespace, once."""
         for name in DDL:
-            if self._current(name) is None:
-                self.replace(name, self.spark.createDataFrame([], schema(name)))
+            if not self.versions(name):
+                self._commit(name, 0, [])
         seed = self.spark.createDataFrame([("global_knowledge", "global", "Shared knowledge")], "name string, namespace_type string, description string").withColumn("created_at", F.current_timestamp())
-        self.append("namespaces", seed.join(self.read("namespaces").select("name"), "name", "left_anti").select(*schema("namespaces").names))
-
-    def read(self, name: str) -> DataFrame:
-        version = self._current(name)
-        if version is None:
+        new = seed.join(self.read("namespaces").select("name"), "name", "left_anti")
+        if not new.isEmpty():
+            self.append("namespaces", new)
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """The table as of its last version, or of an earlier one that vacuum has kept."""
+        known = self.versions(name)
+        if version is not None and version not in known:
+            raise NotFound(f"{name} has no version {version}")
+        folders = self._folders(name, known[-1] if version is None else version) if known else []
+        if not folders:
             return self.spark.createDataFrame([], schema(name))
-        return self.spark.read.schema(schema(name)).parquet(f"{self.base}/{name}/{version}")
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        version, fs = f"v-{uuid.uuid4().hex}", self._fs()
-        full = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(name)))
-        full.write.parquet(f"{self.base}/{name}/{version}")
-        before, at = self._current(name), self._path(name, "CURRENT")
-        stream = fs.create(at, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        if before:
-            fs.delete(self._path(name, before), True)
+        return self.spark.read.schema(schema(name)).parquet(*(f"{self.base}/{name}/{x}" for x in folders))
+
+    def get(self, name: str, key: str) -> DataFrame:
+        """The row with this id, or none. The filter reaches the scan."""
+        return self.read(name).filter(F.col(KEYS[name]) == key)
+
+    def exists(self, name: str) -> bool:
+        """Whether the table has any row, in any namespace."""
+        return not self.read(name).isEmpty()
 
     def append(self, name: str, rows: DataFrame) -> None:
-        missing = [f for f in schema(name) if f.name not in rows.columns]
-        self.replace(name, self.read(name).unionByName(rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(*schema(name).names)))
+        """Adds rows; what is there isn't read or rewritten."""
+        folder = self._store(name, rows)
+        for _ in range(TRIES):
+            known = self.versions(name)
+            before = self._folders(name, known[-1]) if known else []
+            if self._commit(name, known[-1] + 1 if known else 0, [*before, folder]):
+                return
+        raise Conflict(f"{name}: {TRIES} other writes came first")
+
+    def replace(self, name: str, rows: DataFrame, seen: int | None = None) -> None:
+        """The rows as the whole table. seen: the version that they were made from; a Conflict if there is a later one."""
+        known = self.versions(name)
+        last = known[-1] if known else -1
+        if seen is None:
+            seen = last
+        if seen != last or not self._commit(name, seen + 1, [self._store(name, rows)]):
+            raise Conflict(f"{name} was written meanwhile")
+
+    def compact(self, name: str) -> None:
+        """The same rows in one folder."""
+        known = self.versions(name)
+        if known and len(self._folders(name, known[-1])) > 1:
+            self.replace(name, self.read(name, known[-1]), known[-1])
+
+    def vacuum(self, name: str, keep: int = KEPT_VERSIONS) -> int:
+        """Deletes all but the last versions, and the folders that none of those names; returns the number of folders."""
+        known = self.versions(name)
+        late = known[-keep:]
+        needed = {x for v in late for x in self._folders(name, v)}
+        gone = {x for v in known[:-keep] for x in self._folders(name, v)} - needed
+        for version in known[:-keep]:
+            self._fs().delete(self._path(name, "log", f"{version:012d}.json"), False)
+        for folder in gone:
+            self._fs().delete(self._path(name, folder), True)
+        return len(gone)
 
     def upsert(self, name: str, rows: DataFrame, key: str) -> None:
-        kept = self.read(name).join(rows.select(key), key, "left_anti").select(*schema(name).names)
-        missing = [f for f in schema(name) if f.name not in rows.columns]
-        self.replace(name, kept.unionByName(rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).select(*schema(name).names)))
+        """Replaces rows with equal keys and adds the others. Of new rows with one key the last updated one counts, ties by hash."""
+        known = self.versions(name)
+        last = known[-1] if known else -1
+        order = [F.desc_nulls_last("updated_at")] if "updated_at" in rows.columns else []
+        place = F.row_number().over(Window.partitionBy(key).orderBy(*order, F.xxhash64(*rows.columns)))
+        new = rows.withColumn("_place", place).filter("_place = 1").drop("_place")
+        new = new.select(*((F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)))
+        kept = self.read(name).join(new.select(key), key, "left_anti").select(*schema(name).names)
+        self.replace(name, kept.unionByName(new), last)
+
+    def update(self, name: str, where: Column, **changes: Column) -> int:
+        """Sets columns of the rows for which a condition is true, and returns their number."""
+        known = self.versions(name)
+        rows = self.read(name)
+        changed = rows.filter(where).count()
+        if changed:
+            own = F.coalesce(where, F.lit(False))
+            self.replace(name, rows.select(*(F.when(own, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in rows.columns)), known[-1])
+        return changed
 
-    def delete(self, name: str, where) -> int:
+    def delete(self, name: str, where: Column) -> int:
         """Deletes the rows for which a condition is true, and returns their number."""
+        known = self.versions(name)
         rows = self.read(name)
         gone = rows.filter(where).count()
         if gone:
-            self.replace(name, rows.filter(~F.coalesce(where, F.lit(False))))
+            self.replace(name, rows.filter(~F.coalesce(where, F.lit(False))), known[-1])
         return gone
 
     def delete_model(self, model_id: str) -> int:
@@ -80,4 +173,8 @@ class Repository:
         return self.delete("model_nodes", F.col("model_id") == model_id)
 
     def healthy(self) -> bool:
-        return self.spark.range(1).count() == 1
+        """Whether the store answers: its folder can be listed, or created, and a job runs."""
+        try:
+            return bool(self._fs().exists(self._path()) or self._fs().mkdirs(self._path())) and self.spark.range(1).count() == 1
+        except Py4JJavaError:
+            return False

@@ -91,18 +91,24 @@ def _steps(state: LruState, rows: pd.DataFrame) -> None:
 
 
 def replay(ops: DataFrame, capacity: int = 1000, ttl: float | None = 3600.0) -> DataFrame:
-    """cache, hits, misses, evictions, expirations, size and hit_rate after all operations of each cache, in order of at, then seq."""
+    """cache, hits, misses, evictions, expirations, size and hit_rate after all operations of each cache, in order of at, then seq. Operations are read as a sorted stream; only the state is held."""
+    columns = ("cache", "at", "seq", "op", "key", "value", "ttl_seconds")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = LruState(capacity, ttl)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
         for rows in batches:
-            _steps(state, rows)
-        yield pd.DataFrame([{"cache": key[0]} | state.metrics()])
-
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return next(run(key, iter([rows])))
-
-    out = ops.groupBy("cache").applyInPandas(whole, "cache string, " + ", ".join(f"{k} long" for k in METRICS))
+            for name, part in rows.groupby("cache", sort=False, dropna=False):
+                name = None if pd.isna(name) else name
+                if state is not None and name != now:
+                    yield pd.DataFrame([{"cache": now} | state.metrics()])
+                    state = None
+                now, state = name, state or LruState(capacity, ttl)
+                _steps(state, part)
+        if state is not None:
+            yield pd.DataFrame([{"cache": now} | state.metrics()])
+
+    dealt = ops.select(*columns).repartition("cache").sortWithinPartitions("cache", "at", "seq")
+    out = dealt.mapInPandas(run, "cache string, " + ", ".join(f"{k} long" for k in METRICS))
     return out.withColumn("hit_rate", hit_rate())
 
 

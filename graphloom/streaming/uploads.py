@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.rules import ACTIVE_UPLOADS, upload_progress
+from graphloom.functions.rules import ACTIVE_UPLOADS, overall_progress, upload_progress
 
 SESSION_HOURS = 24
 #: Which status may follow which.
@@ -87,10 +87,67 @@ def arrival_stream(arrivals: DataFrame, total_chunks: int, timeout: str = "24 ho
     return arrivals.withWatermark("at", "10 minutes").groupBy("upload_id").applyInPandasWithState(run, "upload_id long, n_received long, progress double, status string", "chunks array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Stages behind which a task says no more.
+LAST_STAGES = ("complete", "failed")
+
+
+def progress_stream(events: DataFrame) -> DataFrame:
+    """A stream of task events as progress (task_id, stage, progress, last): one row for each task and micro-batch, by its last event, until a row with `last`. What comes
+    after a task's end says nothing. Output mode update."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    names = ("stage", "embedded", "persisted", "chunks")
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, ended = state.get if state.exists else (None, False)
+        if ended:
+            return
+        best = None
+        for rows in batches:
+            row = rows.loc[rows["at"].idxmax()]
+            final = rows[rows["stage"].isin(LAST_STAGES)]
+            row = final.loc[final["at"].idxmin()] if len(final) else row
+            if best is None or row["stage"] in LAST_STAGES or row["at"] > best["at"]:
+                best = row
+        if best is not None and (at is None or best["at"].timestamp() >= at):
+            ended = best["stage"] in LAST_STAGES
+            state.update((best["at"].timestamp(), ended))
+            yield pd.DataFrame([{"task_id": key[0], **{k: best[k] for k in names}, "last": ended}])
+
+    out = events.groupBy("task_id").applyInPandasWithState(run, "task_id string, stage string, embedded int, persisted int, chunks int, last boolean", "at double, ended boolean", "update", GroupStateTimeout.NoTimeout)
+    return out.select("task_id", "stage", overall_progress(F.col("stage"), F.col("embedded"), F.col("persisted"), F.col("chunks")).alias("progress"), "last")
+
+
+def partial_uploads(files: DataFrame) -> DataFrame:
+    """upload_id and bytes of each unfinished file of a listing (path, length): those that end in .part."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.filter(F.endswith(name, F.lit(".part"))).select(F.regexp_replace(name, "[.]part$", "").alias("upload_id"), "length")
+
+
+def size_matches(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """upload_id, length and whether a file has the size it should (expected: upload_id, total_size); false for files that aren't there."""
+    return expected.join(partial_uploads(files), "upload_id", "left").select("upload_id", "length", F.coalesce(F.col("length") == F.col("total_size"), F.lit(False)).alias("whole"))
+
+
+def listing(spark, folder: str) -> DataFrame:
+    """path and length of the files of a folder and those below it; their contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+
+
+def delete_file(spark, path: str) -> bool:
+    """Deletes a file, through the file system that its path names; whether it was there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, False))
+
+
+def free_bytes(spark, path: str) -> int:
+    """Bytes that the file system of a path has left."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(at.getFileSystem(spark._jsc.hadoopConfiguration()).getStatus(at).getRemaining())
+
+
 def latest_progress(events: DataFrame) -> DataFrame:
     """The last event of each task (task_id, at, stage, embedded, persisted, chunks) with its overall progress."""
-    from graphloom.functions.rules import overall_progress
-
     last = events.groupBy("task_id").agg(F.max_by(F.struct("stage", "embedded", "persisted", "chunks"), "at").alias("e"), F.max("at").alias("at"))
     rows = last.select("task_id", "at", "e.*")
     return rows.withColumn("progress", overall_progress(F.col("stage"), F.col("embedded"), F.col("persisted"), F.col("chunks")))

@@ -140,6 +140,38 @@ def test_foreign_nodes_are_reached_but_not_passed(spark):
     assert got == {"A", "B"}
 
 
+def plain_search(graph, source, most_settled, spaces=None):
+    """Dijkstra's search with a list of all open nodes; of equally near ones the greatest id is settled first."""
+    best, done = {source: (0.0, [source])}, []
+    while len(done) < most_settled and (left := [x for x in best if x not in done]):
+        least = min(best[x][0] for x in left)
+        now = max(x for x in left if best[x][0] == least)
+        done.append(now)
+        if spaces and spaces.get(now) != spaces.get(source):
+            continue
+        for to, similarity in graph.get(now, []):
+            if to not in best or least + 1 / similarity < best[to][0]:
+                best[to] = (least + 1 / similarity, best[now][1] + [to])
+    return best
+
+
+@pytest.mark.parametrize("most, apart", [(1, False), (4, False), (10, True)])
+def test_capped_searches_equal_a_plain_one(spark, most, apart):
+    rng = random.Random(most)
+    rows = {(f"n{a}", f"n{b}"): rng.choice([0.25, 0.5, 1.0]) for a in range(30) for b in rng.sample(range(30), 3) if a != b}  # many ties
+    graph = {}
+    for (a, b), s in rows.items():
+        graph.setdefault(a, []).append((b, s))
+    spaces = {f"n{k}": "even" if k % 2 == 0 or k < 8 else "odd" for k in range(25)} if apart else None
+    sources = [f"n{k}" for k in range(0, 30, 4)]
+    given = spark.createDataFrame(list(spaces.items()), "node string, space string") if apart else None
+    got = {}
+    for r in paths.settle(spark.createDataFrame([(*k, v) for k, v in rows.items()], "src string, dst string, similarity double"), spark.createDataFrame([(x,) for x in sources], "source string"), most, given).collect():
+        got[r.source, r.node] = r.distance
+        assert r.path[0] == r.source and r.path[-1] == r.node and math.isclose(sum(1 / rows[x] for x in zip(r.path, r.path[1:], strict=False)), r.distance, abs_tol=1e-9)
+    assert got == {(s, n): d for s in sources for n, (d, _) in plain_search(graph, s, most, spaces).items()}
+
+
 def test_relaxation_equals_single_searches(spark):
     rng = random.Random(3)
     rows = {(f"n{a}", f"n{b}"): rng.choice([0.2, 0.5, 0.9, 1.0]) for a in range(12) for b in rng.sample(range(12), 3) if a != b}
@@ -149,7 +181,7 @@ def test_relaxation_equals_single_searches(spark):
         graph.setdefault(a, []).append((b, s))
     sources = [f"n{k}" for k in range(0, 12, 3)]
     frame = spark.createDataFrame([(x,) for x in sources], "source string")
-    want = {(s, n): d for s in sources for n, (d, _, _) in paths.shortest_paths(graph, s, 1000).items()}
+    want = {(s, n): d for s in sources for n, (d, _) in plain_search(graph, s, 1000).items()}
     got = {(r.source, r.node): r.distance for r in paths.relax(edges, frame).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
     cuts = paths.hopset(edges, 1.0)
@@ -167,6 +199,30 @@ def test_fused_rank(spark):
     assert got[2, "z"].score == 0.5 and got[1, "a"].rank == 1
 
 
+def test_top_k_each_equals_sorting(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"n{k}", rng.choice("gh"), [rng.choice([0.0, 1.0, 2.0]) for _ in range(3)] if k % 9 else None) for k in range(60)]
+    queries = [(k, rng.choice("ghx"), [rng.choice([1.0, -1.0, 0.5]) for _ in range(3)]) for k in range(12)]
+
+    def cosine(x, y):
+        x = x or [0.0, 0.0, 0.0]
+        length = math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(b * b for b in y))
+        return round(sum(a * b for a, b in zip(x, y, strict=True)) / length, 6) if length else 0.0
+
+    want = set()
+    for q, own, y in queries:
+        ranked = sorted((-cosine(x, y), n) for n, g, x in rows if g == own)[:4]
+        want |= {(q, n, round(-s, 5), k) for k, (s, n) in enumerate(ranked, 1)}
+    frames = spark.createDataFrame(rows, "node_id string, namespace string, vector array<double>"), spark.createDataFrame(queries, "query_id long, namespace string, vector array<double>")
+    for block in (1000, 7):
+        monkeypatch.setattr(search, "VECTOR_BLOCK", block)
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        assert {(r.query_id, r.node_id, round(r.similarity, 5), r["rank"]) for r in search.top_k_each(*frames, 4, group="namespace").collect()} == want
+    across = {(r.a, r.b) for r in search.similar_across(frames[0], 0.9).collect()}
+    by = {n: (g, x) for n, g, x in rows}
+    assert across == {(a, b) for a in by for b in by if a < b and by[a][0] != by[b][0] and by[a][1] and by[b][1] and cosine(by[a][1], by[b][1]) >= 0.9}
+
+
 LOREM = "Lorem ipsum dolor sit amet. " * 20
 
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__
-from graphloom.plans import queries
+from graphloom.plans import queries, store_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -31,7 +31,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql() | store_queries.oracle_sql()))
 def test_oracle(spark, duck, name):
     found = __spark_entry__.queries()[name](spark, SF)
     wanted = duck.sql(__spark_entry__.oracle_sql()[name])

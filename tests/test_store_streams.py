@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.errors import Conflict, NotFound
 from graphloom.plans import api
 from graphloom.sources import gguf
 from graphloom.sources.repository import Repository
@@ -104,6 +105,69 @@ def test_repository(spark, tmp_path):
     assert store.delete_model("m") == 2 and store.read("models").count() == 0 and [r.id for r in store.read("model_nodes").collect()] == ["z"]
 
 
+def test_repository_keeps_what_readers_use(spark, tmp_path):
+    store = Repository(spark, str(tmp_path / "log"))
+    store.initialise()
+    edge = lambda a, s: spark.createDataFrame([(a, "x", s)], "src string, dst string, similarity float")
+    store.append("edges", edge("a", 0.5))
+    files = set((tmp_path / "log" / "edges").glob("f-*/*.parquet"))
+    old = store.read("edges")
+    store.append("edges", edge("b", 0.6))
+    assert files < set((tmp_path / "log" / "edges").glob("f-*/*.parquet"))  # an append rewrites nothing
+    store.delete("edges", F.col("src") == "a")
+    assert [r.src for r in old.collect()] == ["a"] and [r.src for r in store.read("edges").collect()] == ["b"]
+    assert [store.read("edges", v).count() for v in store.versions("edges")] == [0, 1, 2, 1]
+    seen = store.versions("edges")[-1]
+    store.append("edges", edge("c", 0.7))
+    with pytest.raises(Conflict):
+        store.replace("edges", edge("d", 0.8), seen)
+    assert not store._commit("edges", store.versions("edges")[-1], [])  # a version is written once
+    store.compact("edges")
+    assert sorted(r.src for r in store.read("edges").collect()) == ["b", "c"] and store.vacuum("edges", 1) == 4
+    assert sorted(r.src for r in store.read("edges").collect()) == ["b", "c"]
+    (tmp_path / "log" / "edges" / "log" / "x.tmp").write_text("left by a crash")
+    assert store.read("edges").count() == 2
+    with pytest.raises(NotFound):
+        store.read("edges", 0)
+
+
+def test_progress_stream_ends_with_the_task(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("a", 0, "chunking"), ("a", 1, "embedding"), ("b", 0, "extracting"), ("a", 2, "complete"), ("b", 1, "failed"), ("a", 3, "embedding"), ("b", 2, "chunking"), ("c", 0, "persisting")]
+    schema = "task_id string, at timestamp, stage string, embedded int, persisted int, chunks int"
+    for k in range(0, 8, 3):
+        spark.createDataFrame([(t, at + dt.timedelta(minutes=m), s, 1, 1, 2) for t, m, s in rows[k : k + 3]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = uploads.progress_stream(source).writeStream.outputMode("update").format("memory").queryName("progress").option("checkpointLocation", str(tmp_path / "cp")).start()
+    run.processAllAvailable()
+    run.stop()
+    got = {}
+    for r in spark.table("progress").collect():
+        got.setdefault(r.task_id, []).append((r.stage, r.progress, r["last"]))
+    assert sorted(got["a"]) == [("complete", 100.0, True), ("embedding", 45.0, False)] and sorted(got["b"]) == [("extracting", 10.0, False), ("failed", 0.0, True)]
+    assert got["c"] == [("persisting", 82.5, False)]
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "u1.part").write_bytes(b"12345")
+    (tmp_path / "done.gguf").write_bytes(b"1")
+    found = uploads.listing(spark, str(tmp_path))
+    assert [(r.upload_id, r.length) for r in uploads.partial_uploads(found).collect()] == [("u1", 5)]
+    assert uploads.free_bytes(spark, str(tmp_path)) > 0
+    assert uploads.delete_file(spark, str(tmp_path / "done.gguf")) and not uploads.delete_file(spark, str(tmp_path / "done.gguf"))
+
+
+def test_consolidation_by_batches(spark, tmp_path):
+    from graphloom.streaming import schedule
+
+    seen = []
+    each = schedule.run_batch(lambda due: seen.append(sorted(r.namespace for r in due.collect())), 2, 5)
+    ticks = spark.createDataFrame([("x", dt.datetime(2024, 1, 1, 3)), ("y", dt.datetime(2024, 1, 1, 12)), ("x", dt.datetime(2024, 1, 1, 4))], "namespace string, at timestamp")
+    each(ticks, 0)
+    each(ticks.filter("namespace = 'y'"), 1)
+    assert seen == [["x"]]
+
+
 def text(x):
     return struct.pack("<Q", len(x)) + x.encode()
 
