@@ -510,32 +510,49 @@ def _built(least: int) -> str:
   UNION ALL SELECT src, dst, NULL, edge_type, similarity, weight, 0.8 FROM siblings)"""
 
 
-FUSED = f"""{_built(5)}, everything AS (SELECT node_id, namespace, v, 'leaf' AS node_type FROM nodes UNION ALL SELECT cluster_id, grp, v, 'parent' FROM tree WHERE depth > 0),
+def _fused(start: str, parents: str, down: str) -> str:
+    """Ranks of each query over leaves and parents (SQL of node_id, namespace, v, node_type), along similar leaves and from parents down."""
+    return f"""WITH RECURSIVE {start}, everything AS (SELECT node_id, namespace, v, 'leaf' AS node_type FROM nodes UNION ALL {parents}),
   scored AS (SELECT q.doc_id AS query_id, n.node_id, n.node_type, round(list_cosine_similarity(q.v, n.v), 6) AS similarity FROM nodes q JOIN everything n ON q.namespace = n.namespace WHERE q.doc_id % 20 = 0),
   hits AS (SELECT * FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, node_id) <= 20) WHERE similarity >= 0.15),
-  above AS (SELECT h.query_id, d.src AS node_id, min({{'dst': d.dst, 's': d.similarity}}).s * 0.9 AS similarity FROM hits h JOIN down d ON d.dst = h.node_id WHERE NOT EXISTS (SELECT 1 FROM hits x WHERE x.query_id = h.query_id AND x.node_id = d.src) GROUP BY 1, 2),
+  above AS (SELECT h.query_id, d.src AS node_id, min({{'dst': d.dst, 's': d.similarity}}).s * 0.9 AS similarity FROM hits h JOIN {down} d ON d.dst = h.node_id WHERE NOT EXISTS (SELECT 1 FROM hits x WHERE x.query_id = h.query_id AND x.node_id = d.src) GROUP BY 1, 2),
   known AS (SELECT query_id, node_id, similarity FROM hits UNION ALL SELECT query_id, node_id, similarity FROM above),
-  pairs AS (SELECT a.node_id AS src, b.node_id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM nodes a JOIN nodes b ON a.namespace = b.namespace AND a.node_id <> b.node_id),
-  graph AS (SELECT src, dst, similarity FROM pairs WHERE similarity >= {LINK} UNION ALL SELECT src, dst, similarity FROM down),
+  alike AS (SELECT a.node_id AS src, b.node_id AS dst, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM nodes a JOIN nodes b ON a.namespace = b.namespace AND a.node_id <> b.node_id),
+  graph AS (SELECT src, dst, similarity FROM alike WHERE similarity >= {LINK} UNION ALL SELECT src, dst, similarity FROM {down}),
   inside AS (SELECT a.query_id AS q, g.src, g.dst, 1 / g.similarity AS length FROM graph g JOIN known a ON a.node_id = g.src JOIN known b ON b.node_id = g.dst AND b.query_id = a.query_id),
   begins AS (SELECT query_id AS q, max({{'s': similarity, 'n': node_id}}).n AS node FROM hits WHERE node_type = 'leaf' AND query_id IN (SELECT query_id FROM known GROUP BY 1 HAVING count(*) > 1) GROUP BY 1),
   {oracles.settled('inside', 'begins', 'near', 10)},
   ranks AS (SELECT k.query_id, k.node_id, k.similarity, n.distance, n.path, CASE WHEN b.q IS NULL THEN k.similarity ELSE 0.7 * k.similarity + coalesce(0.3 / (1 + n.distance), 0) END AS score
-    FROM known k LEFT JOIN begins b ON b.q = k.query_id LEFT JOIN near n ON n.q = k.query_id AND n.node = k.node_id)"""
+    FROM known k LEFT JOIN begins b ON b.q = k.query_id LEFT JOIN near n ON n.q = k.query_id AND n.node = k.node_id)
+SELECT r.query_id, row_number() OVER (PARTITION BY r.query_id ORDER BY round(score, 9) DESC, r.node_id) AS rank, r.node_id, e.namespace, e.node_type, round(similarity, 6) AS similarity, round(score, 6) AS score, round(distance, 6) AS distance, array_to_string(path, '>') AS path
+FROM ranks r JOIN everything e ON e.node_id = r.node_id QUALIFY rank <= 10"""
 
 
-@query(f"""WITH RECURSIVE {FUSED} SELECT r.query_id, row_number() OVER (PARTITION BY r.query_id ORDER BY round(score, 9) DESC, r.node_id) AS rank, r.node_id, e.namespace, e.node_type, round(similarity, 6) AS similarity, round(score, 6) AS score, round(distance, 6) AS distance, array_to_string(path, '>') AS path
-FROM ranks r JOIN everything e ON e.node_id = r.node_id QUALIFY rank <= 10""")
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "rank", "node_id", "namespace", "node_type", *(F.round(c, 6).alias(c) for c in ("similarity", "score", "distance")), F.array_join("path", ">").alias("path"))
+
+
+def _both_ways(spark: SparkSession, d: str) -> DataFrame:
+    edges = _edges(spark, d).select("src", "dst", "edge_type", "similarity")
+    return written(edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")})))
+
+
+@query(_fused(f"{NODES}, down AS (SELECT node_id AS src, node_id AS dst, 0.5 AS similarity FROM nodes WHERE false)", "SELECT node_id, namespace, v, '' FROM nodes WHERE false", "down"))
 def search_fused(spark, d):
+    """Searches over leaves, along similar ones."""
+    nodes = tables.nodes(spark, d)
+    return _ranked(api.search(nodes, _both_ways(spark, d), _stated(nodes), limit=10, least=0.15))
+
+
+@query(_fused(_built(5), "SELECT cluster_id, grp, v, 'parent' FROM tree WHERE depth > 0", "down"))
+def search_fused_tree(spark, d):
     """Searches over leaves and the parents of a hierarchy, along similar leaves and from parents to children."""
     leaves = tables.nodes(spark, d)
     parents, down, _ = api.build_hierarchy(leaves, CLUSTERING)
     parents = written(parents.select("node_id", "node_type", "vector", "namespace", "content", "source", "depth_level"))
-    edges = _edges(spark, d).select("src", "dst", "edge_type", "similarity")
-    both = edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")})).unionByName(down.filter("edge_type = 'parentchild'").select("src", "dst", "edge_type", "similarity"))
+    both = _both_ways(spark, d).unionByName(down.filter("edge_type = 'parentchild'").select("src", "dst", "edge_type", "similarity"))
     nodes = leaves.select(*parents.columns).withColumn("vector", F.col("vector").cast("array<double>")).unionByName(parents)
-    found = api.search(nodes, written(both), _stated(leaves), limit=10, least=0.15)
-    return found.select("query_id", "rank", "node_id", "namespace", "node_type", *(F.round(c, 6).alias(c) for c in ("similarity", "score", "distance")), F.array_join("path", ">").alias("path"))
+    return _ranked(api.search(nodes, written(both), _stated(leaves), limit=10, least=0.15))
 
 
 ASKED = f"""{NODES}, hits AS (SELECT q.doc_id AS query_id, n.node_id, n.content, n.source, round(list_cosine_similarity(q.v, n.v), 6) AS similarity FROM nodes q JOIN nodes n ON q.namespace = n.namespace WHERE q.doc_id % 20 = 0),

@@ -194,6 +194,7 @@ def test_fused_rank(spark):
     edges = spark.createDataFrame([("a", "b", 0.5), ("q", "a", 0.6)], "src string, dst string, similarity double")
     parents = spark.createDataFrame([("q", "a", 0.6)], "src string, dst string, similarity double")
     got = {(r.query_id, r.node_id): r for r in paths.fused_rank(hits, edges, parents, 10).collect()}
+    assert {tuple(r) for r in paths.fused_rank(hits, edges, parents, 10, task_edges=0).withColumn("path", F.array_join("path", ">")).collect()} == {tuple(r.asDict().values())[:5] + (">".join(r.path) if r.path else None, r["rank"]) for r in got.values()}
     assert got[1, "a"].score == pytest.approx(0.7 * 0.9 + 0.3) and got[1, "b"].score == pytest.approx(0.7 * 0.8 + 0.3 / 3) and got[1, "b"].path == ["a", "b"]
     assert got[1, "p"].score == pytest.approx(0.49) and got[1, "q"].similarity == pytest.approx(0.54) and got[1, "q"].score == pytest.approx(0.378)
     assert got[2, "z"].score == 0.5 and got[1, "a"].rank == 1
