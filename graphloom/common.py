@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 #: Compressed bytes of input for each shuffle partition at most, and bytes of text that a Python worker turns into objects at once.
 TASK_BYTES, SLICE_BYTES = 64 << 20, 4 << 20
 
+#: Folders of tables that are to be deleted, see clear().
+_WRITTEN: list[str] = []
+
 
 def scratch(spark) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; only where it is unset and all runs in one process, as in tests, a temporary one."""
@@ -28,7 +31,18 @@ def scratch(spark) -> str:
         base = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/graphloom/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/graphloom/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear(spark) -> int:
+    """Deletes all tables that this process has written so far, and returns their number. Results that were made from them can't be read any more: call it when they are stored."""
+    paths, _WRITTEN[:] = list(_WRITTEN), []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def written(df: DataFrame) -> DataFrame:

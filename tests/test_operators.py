@@ -245,3 +245,15 @@ def test_sentences():
     got = chunk.packed_sentences("One two three. " * 20, 60, 10, 5)
     assert all(len(x) <= 60 for x, _, _ in got) and got[1][1] == got[0][2] - 10
     assert chunk.packed_sentences("Hi.", 100, 10, 50) == []
+
+
+def test_written_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from graphloom import common
+
+    path = common.scratch(spark)
+    spark.range(3).write.parquet(path)
+    kept, common._WRITTEN[:] = [x for x in common._WRITTEN if x != path], [path]
+    assert common.clear(spark) == 1 and not Path(path).exists() and common._WRITTEN == []
+    common._WRITTEN[:] = kept
