@@ -6,8 +6,8 @@ tasks give equal strings equal names without a dictionary of the corpus being sh
 
 A symbol of the last round also has the stretch of words that fixed it and its borders. A window that holds this stretch would give the same symbol in any other
 place: the interior symbols of equal windows agree. The window's anchor is the certified symbol with the least name, its key
-the words of its stretch. Shared keys reveal repeats, which exact comparison of the windows verifies. A window without such a symbol, as in a long
-run of one word, is its own anchor.
+the words of its stretch. Shared keys reveal repeats. Contexts of a shared anchor that are equal by two 64-bit hashes are copies; the windows of those that differ are compared
+word by word, or, where an anchor has more contexts than a task should hold, by 64-bit hashes. A window without such a symbol, as in a long run of one word, is its own anchor.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import U64, gram_hashes, hash_strings, mix, word_hashes
+from graphloom.llm.common import U64, gram_hashes, hash_strings, mix, split_words, word_hashes
 from graphloom.llm.repeats import PowerSums, cover, runs_of, with_hits
 
 ROUNDS, PLACE_BITS = 2, 26
@@ -124,11 +124,19 @@ class WordRepeats:
         return None
 
     def compare(self, group: np.ndarray, bodies: list[bytes], n: np.ndarray, m: np.ndarray) -> np.ndarray:
-        h, starts = word_hashes(pa.array(bodies, pa.binary()).cast(pa.string()))
+        """Windows are sorted into classes by hashes, and each is compared with the first of its class word by word."""
+        codes, words, starts = split_words(pa.array(bodies, pa.binary()).cast(pa.string()))
         ends = np.cumsum(n)
         start = np.repeat(starts[:-1], n) + np.arange(ends[-1]) - np.repeat(ends - n, n)
-        keys = gram_hashes(h, self.window)[start] ^ mix(np.repeat(group, n).astype(U64) + U64(1))
-        _, of = np.unique(keys, return_inverse=True)
+        own = np.repeat(group, n).astype(U64)
+        keys = gram_hashes(hash_strings(words)[codes], self.window)[start] ^ mix(own + U64(1))
+        _, first, of = np.unique(keys, return_index=True, return_inverse=True)
+        same = own == own[first[of]]
+        for k in range(self.window):
+            same &= codes[start + k] == codes[start[first[of]] + k]
+        for k in np.flatnonzero(~same):  # two different windows of one hash: none is expected
+            alike = np.flatnonzero(of == of[k])
+            of[k] = len(first) + next(int(j) for j in alike if own[j] == own[k] and (codes[start[j] : start[j] + self.window] == codes[start[k] : start[k] + self.window]).all())
         return np.bincount(of, np.repeat(m, n))[of] > 1
 
 
