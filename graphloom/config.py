@@ -97,3 +97,58 @@ class ModelSettings(Settings):
         self._need(0 <= self.temperature <= 2, "temperature lies in 0 to 2")
         self._need(0 <= self.top_p <= 1, "top_p lies in 0 to 1")
         self._need(self.provider in ("mock", "local") or bool(self.api_key), "a remote provider needs an api_key")
+
+
+@dataclass(frozen=True)
+class WebSearchSettings(Settings):
+    PREFIX = "WEB_SEARCH"
+    provider: str = "mock"
+    api_key: str = ""
+    base_url: str = ""
+    timeout_seconds: float = 30.0
+    max_results: int = 10
+
+    def check(self) -> None:
+        self._need(self.max_results > 0 and self.timeout_seconds > 0, "max_results and timeout_seconds must be positive")
+
+
+@dataclass(frozen=True)
+class EmbeddingSettings(Settings):
+    PREFIX = "EMBEDDING"
+    model: str = "nomic-ai/nomic-embed-text-v1.5"
+    batch_size: int = 32
+    normalize: bool = True
+
+    def check(self) -> None:
+        self._need(self.batch_size > 0, "batch_size must be positive")
+
+
+@dataclass(frozen=True)
+class ChatSettings(ModelSettings):
+    PREFIX = "CHAT"
+    max_tokens: int = 2048
+
+    def check(self) -> None:
+        super().check()
+        self._need(self.max_tokens > 0, "max_tokens must be positive")
+
+
+@dataclass(frozen=True)
+class SummarizerSettings(ChatSettings):
+    PREFIX = "SUMMARIZER"
+    temperature: float = 0.3
+    max_tokens: int = 512
+
+
+@dataclass(frozen=True)
+class StoreSettings(Settings):
+    """url: a folder that all executors reach; a store is namespace/database below it."""
+
+    PREFIX = "STORE"
+    url: str = ""
+    namespace: str = "graphloom"
+    database: str = "knowledge"
+
+    def check(self) -> None:
+        self._need(bool(self.url), "url is missing")
+        self._need(not set("/\\") & set(self.namespace + self.database) and bool(self.namespace and self.database), "namespace and database are names of folders")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import scratch, written
-from graphloom.config import IngestionSettings, RemSettings
+from graphloom.config import CacheSettings, ChatSettings, EmbeddingSettings, IngestionSettings, RemSettings, StoreSettings, SummarizerSettings, WebSearchSettings
 from graphloom.errors import Conflict, EngineError, InvalidRequest, NotFound, ProviderFailed, StoreFailed, TooLarge, Unavailable
 from graphloom.functions import rules, text, vectors
 from graphloom.operators import chunk, paths, search
@@ -385,6 +385,31 @@ def error_codes(spark, d):
     return spark.createDataFrame([(k.__name__, k.status, k("x").body()["error"]) for k in kinds], "name string, status int, code string")
 
 
+@query("""SELECT * FROM (VALUES ('CacheSettings', 'capacity', '7'), ('ChatSettings', 'max_tokens', '2048'), ('ChatSettings', 'temperature', '0.5'), ('EmbeddingSettings', 'normalize', 'False'), ('RemSettings', 'max_nodes', '100'), ('StoreSettings', 'database', 'knowledge'), ('StoreSettings', 'url', '/data'),
+('SummarizerSettings', 'temperature', '0.3'), ('WebSearchSettings', 'provider', 'mock')) t(kind, name, value)""")
+def settings_from_env(spark, d):
+    """Some settings of each kind, with a few set by the environment."""
+    env = {"CACHE_CAPACITY": "7", "CHAT_TEMPERATURE": "0.5", "EMBEDDING_NORMALIZE": "no", "STORE_URL": "/data"}
+    shown = {CacheSettings: ["capacity"], ChatSettings: ["max_tokens", "temperature"], EmbeddingSettings: ["normalize"], RemSettings: ["max_nodes"], StoreSettings: ["database", "url"], SummarizerSettings: ["temperature"], WebSearchSettings: ["provider"]}
+    rows = [(kind.__name__, name, str(getattr(kind.from_env(env), name))) for kind, names in shown.items() for name in names]
+    return spark.createDataFrame(rows, "kind string, name string, value string")
+
+
+@query("SELECT 'graphloom/knowledge' AS place, true AS healthy, true AS refused, CAST(1 AS BIGINT) AS namespaces")
+def store_connect(spark, d):
+    """A store by its settings, and one whose folder can't be."""
+    base = scratch(spark)
+    store = Repository.connect(spark, StoreSettings(url=base))
+    spark.range(1).coalesce(1).write.parquet(f"{base}/file")
+    file = next(r.path for r in uploads.listing(spark, f"{base}/file").collect() if r.path.endswith(".parquet"))
+    refused = False
+    try:
+        Repository.connect(spark, StoreSettings(url=file))
+    except StoreFailed:
+        refused = True
+    return spark.createDataFrame([(store.base.removeprefix(f"{base}/"), store.healthy(), refused, store.read("namespaces").count())], "place string, healthy boolean, refused boolean, namespaces long")
+
+
 @query("SELECT n_nationkey, n_nationkey * 10 > 0 AND n_nationkey % 7 * 30 < n_nationkey * 10 AND n_nationkey % 3 * 50 <= n_nationkey * 10 AS good FROM nation")
 def settings_checked(spark, d):
     """Which settings, as environment variables, are accepted."""

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.errors import Conflict, NotFound
+from graphloom.config import StoreSettings
+from graphloom.errors import Conflict, NotFound, StoreFailed
 from graphloom.sources.tables import DDL, schema
 
 #: Versions that vacuum keeps, for readers that still use them, and times that an append is tried.
@@ -30,6 +31,15 @@ class Repository:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
+    @classmethod
+    def connect(cls, spark: SparkSession, settings: StoreSettings) -> Repository:
+        """The store that the settings name, initialised; an error if it doesn't answer."""
+        store = cls(spark, f"{settings.url.rstrip('/')}/{settings.namespace}/{settings.database}")
+        if not store.healthy():
+            raise StoreFailed(f"{store.base} doesn't answer")
+        store.initialise()
+        return store
+
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.base, *parts)))
 
