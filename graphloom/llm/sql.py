@@ -61,6 +61,18 @@ kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS rest FROM mar
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
 """
 
+#: Texts as hex digits, two for each byte.
+SUFFIX_DEDUP = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT r, k, md5(substring(h, 2 * k - 1, 800)) AS g FROM (SELECT r, h, unnest(range(1, n - 398)) AS k FROM d WHERE n >= 400)),
+twice AS (SELECT r, k FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1),
+bytes AS (SELECT r, unnest(range(1, n + 1)) AS k, unnest(regexp_extract_all(h, '..')) AS x FROM d),
+marked AS (SELECT r, bytes.k, x, coalesce(max(twice.k) OVER (PARTITION BY r ORDER BY bytes.k) > bytes.k - 400, false) AS gone FROM bytes LEFT JOIN twice USING (r, k)),
+edges AS (SELECT r, k, x, gone, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY r ORDER BY k) AS begins FROM marked),
+kept AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, coalesce(string_agg(x, '' ORDER BY k) FILTER (WHERE NOT gone), '') AS rest FROM edges GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(from_hex(coalesce(rest, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
 NGRAM_JOIN = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("text")} AS w FROM documents),
 grams AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda k: w[k : k + 4]) END) AS g FROM d),
@@ -76,6 +88,7 @@ SELECT doc_id, class_id, coalesce(n, 0) AS n_links, doc_id = class_id AS kept FR
 ORACLES: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
     "op2_quality_rules": QUALITY,
+    "op3_suffix_dedup": SUFFIX_DEDUP,
     "op5_sharding": SHARDING,
     "op8_recompression": RECOMPRESSION,
     "op10_ngram_join": NGRAM_JOIN,
