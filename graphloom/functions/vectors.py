@@ -10,8 +10,7 @@ FLOAT_MAX = 3.4028234663852886e38
 HASH_START, HASH_FACTOR, VALUE_FACTOR, VALUE_RANGE = 5381, 33, 2654435761, 10000
 #: Fixed values of the 64-bit FNV-1a hash.
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
-#: Embedding models and their dimensions; 0 is unspecified.
-DIMENSIONS = {"nomic": 768, "bge-small": 384, "minilm": 384, "clip": 512, "custom": 0}
+FNV_LOW = FNV_PRIME - (1 << 40)
 TWO64 = 1 << 64
 
 
@@ -95,35 +94,43 @@ def _unsigned(x: int) -> Column:
     return F.lit(str(x)).cast("decimal(38,0)")
 
 
-def _bytes(text: Column) -> Column:
-    """The UTF-8 bytes of a text as decimals; none for an empty one."""
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    places = F.when(F.length(hexed) > 0, F.sequence(F.lit(1), F.length(hexed), F.lit(2))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(places, lambda p: F.conv(F.substring(hexed, p, F.lit(2)), 16, 10).cast("decimal(38,0)"))
-
-
 def _mod64(x: Column) -> Column:
     return (x % _unsigned(TWO64)).cast("decimal(38,0)")
 
 
+def _folded(text: Column, start: int, step) -> Column:
+    """A fold over the UTF-8 bytes of a text, in one pass, of an unsigned 64-bit number that is held as two halves of 32 bits, as decimal(38,0)."""
+    parts = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1))
+    high, low = divmod(start, 1 << 32)
+    begin = F.struct(F.lit(high).cast("long").alias("h"), F.lit(low).cast("long").alias("l"))
+    join = lambda s: (s["h"].cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + s["l"]).cast("decimal(38,0)")
+    return F.aggregate(parts, begin, lambda s, x: step(s["h"], s["l"], F.conv(x, 16, 10).cast("long")), join)
+
+
+def _halves(high: Column, low: Column) -> Column:
+    """Struct of the halves; what low has beyond 32 bits is carried."""
+    return F.struct((high + F.shiftright(low, 32)).bitwiseAND(0xFFFFFFFF).alias("h"), low.bitwiseAND(0xFFFFFFFF).alias("l"))
+
+
 def text_hash(text: Column) -> Column:
     """The unsigned 64-bit hash h = 33 h + byte of a text, as decimal(38,0)."""
-    return F.aggregate(_bytes(text), _unsigned(HASH_START), lambda h, b: _mod64((h * HASH_FACTOR).cast("decimal(38,0)") + b))
+    return _folded(text, HASH_START, lambda h, low, b: _halves(h * HASH_FACTOR, low * HASH_FACTOR + b))
 
 
 def fnv1a(text: Column) -> Column:
-    """The unsigned 64-bit FNV-1a hash of a text, as decimal(38,0). The XOR touches the low byte alone."""
+    """The unsigned 64-bit FNV-1a hash of a text, as decimal(38,0). The prime is 2^40 + FNV_LOW."""
 
-    def step(h: Column, b: Column) -> Column:
-        low = (h % 256).cast("int")
-        mixed = (h - low).cast("decimal(38,0)") + low.bitwiseXOR(b.cast("int")).cast("decimal(38,0)")
-        return _mod64((mixed.cast("decimal(20,0)") * F.lit(str(FNV_PRIME)).cast("decimal(13,0)")).cast("decimal(38,0)"))
+    def step(h: Column, low: Column, b: Column) -> Column:
+        mixed = low.bitwiseXOR(b)
+        return _halves(h * FNV_LOW + F.shiftleft(mixed, 8), mixed * FNV_LOW)
 
-    return F.aggregate(_bytes(text), _unsigned(FNV_OFFSET), step)
+    return _folded(text, FNV_OFFSET, step)
 
 
 def mock_embedding(text: Column, dimension: int) -> Column:
     """A deterministic unit vector of a text: component i is ((hash + i) * VALUE_FACTOR mod 2^64 mod 10000) / 10000 - 0.5, normalised."""
-    h = text_hash(text)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (_mod64((_mod64(h + i.cast("decimal(38,0)")).cast("decimal(20,0)") * F.lit(str(VALUE_FACTOR)).cast("decimal(10,0)")).cast("decimal(38,0)")) % VALUE_RANGE).cast("double") / VALUE_RANGE - 0.5)
-    return normalize(raw)
+    def values(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (_mod64((_mod64(h + i.cast("decimal(38,0)")).cast("decimal(20,0)") * F.lit(str(VALUE_FACTOR)).cast("decimal(10,0)")).cast("decimal(38,0)")) % VALUE_RANGE).cast("double") / VALUE_RANGE - 0.5)
+
+    # in an array, so that the hash is made once and not for each component
+    return F.transform(F.transform(F.array(text_hash(text)), values), normalize)[0]

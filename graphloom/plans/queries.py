@@ -355,21 +355,21 @@ def tag_format(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.sum("event_id").alias("n"), tag.alias("tag"))
 
 
-@query("SELECT item_id, CAST(list_reduce(list_prepend(5381::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS HUGEINT))), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT) AS VARCHAR) AS hash FROM benchmark")
+@query("SELECT doc_id, CAST(list_reduce(list_prepend(5381::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS HUGEINT))), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT) AS VARCHAR) AS hash FROM documents")
 def text_hash(spark, d):
-    return table(spark, d, "benchmark").select("item_id", vectors.text_hash(F.col("text")).cast("string").alias("hash"))
+    return table(spark, d, "documents").select("doc_id", vectors.text_hash(F.col("text")).cast("string").alias("hash"))
 
 
-@query("SELECT item_id, CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS VARCHAR) AS hash FROM benchmark")
+@query("SELECT doc_id, CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS VARCHAR) AS hash FROM documents")
 def fnv_hash(spark, d):
-    return table(spark, d, "benchmark").select("item_id", vectors.fnv1a(F.col("text")).cast("string").alias("hash"))
+    return table(spark, d, "documents").select("doc_id", vectors.fnv1a(F.col("text")).cast("string").alias("hash"))
 
 
-@query("""WITH h AS (SELECT item_id, list_reduce(list_prepend(5381::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS HUGEINT))), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT) AS h FROM benchmark),
-  raw AS (SELECT item_id, i, CAST((((h + i) % 18446744073709551616::HUGEINT) * 2654435761 % 18446744073709551616::HUGEINT) % 10000 AS DOUBLE) / 10000 - 0.5 AS x FROM h, range(0, 16) t(i))
-  SELECT item_id, CAST(i AS INTEGER) AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS x FROM raw""")
+@query("""WITH h AS (SELECT doc_id, list_reduce(list_prepend(5381::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS HUGEINT))), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT) AS h FROM documents),
+  raw AS (SELECT doc_id, i, CAST((((h + i) % 18446744073709551616::HUGEINT) * 2654435761 % 18446744073709551616::HUGEINT) % 10000 AS DOUBLE) / 10000 - 0.5 AS x FROM h, range(0, 16) t(i))
+  SELECT doc_id, CAST(i AS INTEGER) AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM raw""")
 def mock_embed(spark, d):
-    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(vectors.mock_embedding(F.col("text"), 16)).alias("place", "x"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(vectors.mock_embedding(F.col("text"), 16)).alias("place", "x"))
     return rows.withColumn("x", F.round("x", 6))
 
 
@@ -595,10 +595,13 @@ def ingest_nodes(spark, d):
     return found.agg(F.count_distinct("node_id").alias("nodes"), F.count_if(F.col("status") == "complete").alias("complete"))
 
 
-@query()
+@query(f"""WITH RECURSIVE chunks AS ({oracles.chunks(1000, 200, 100, chunk.LOOK_BACK, chunk.LOOK_AHEAD, chunk.BREAKS)}), whole AS (SELECT c.*, d.source FROM chunks c JOIN documents d USING (doc_id) WHERE trim(d.text) <> ''),
+once AS (SELECT content, min({{'doc_id': doc_id, 'chunk_index': chunk_index, 'total': total, 'source': source}}) AS p FROM whole GROUP BY 1)
+SELECT left(sha256(CAST(to_json({{'n': 'global_knowledge', 'c': content}}) AS VARCHAR)), 32) AS node_id, p.doc_id, p.source, 'chunk:' || (p.chunk_index + 1) || '/' || p.total AS tag, 4 AS dimension, md5(content) AS digest FROM once""")
 def ingest_chunked(spark, d):
-    docs = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("benchmark").alias("source"))
-    return api.ingest_documents(docs, api.default_embedder(16), size=200, overlap=40, least=20).select("node_id", "doc_id", "tags", F.size("vector").alias("dimension"), F.md5("content").alias("digest"))
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    found = api.ingest_documents(docs, lambda c: F.array_repeat(F.length(c).cast("double"), 4))
+    return found.select("node_id", "doc_id", "source", F.array_join("tags", ",").alias("tag"), F.size("vector").alias("dimension"), F.md5("content").alias("digest"))
 
 
 @query(f"WITH {NODES} SELECT node_id AS related_to, CAST(5 AS BIGINT) AS n_sources FROM nodes WHERE status = 'incomplete' AND trim(content) <> ''")
