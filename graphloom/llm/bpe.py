@@ -17,8 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from graphloom.common import partitions
-from graphloom.llm.worddict import code_documents, fill_positions, pack, unpack, unpack_words
+from graphloom.llm.worddict import code_documents, fill_positions, pack, tasks, unpack, unpack_words
 
 
 @functools.cache
@@ -125,7 +124,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     path = path or default_vocabulary()
     require_words(path)
     # one exchange deals word buckets and documents; its files serve both the encoding and the filling in (ReusedExchange)
-    coded = code_documents(docs, id_col, text).repartition(partitions(docs), "key")
+    coded = code_documents(docs, id_col, text).repartition(tasks(docs), "key")
     id_type = dict(coded.dtypes)["ids"].removeprefix("array<")[:-1]
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return fill_positions(coded, word_table(coded, path), _Ids(path, with_ids), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from graphloom.common import partitions
 from graphloom.llm.common import materialize, slices, split_words
-from graphloom.llm.worddict import END, code_documents, fill_positions, pack, pack_words, unpack, unpack_words
+from graphloom.llm.worddict import END, code_documents, fill_positions, pack, pack_words, tasks, unpack, unpack_words
 
 #: Frequent tokens and classes for each unit of the vocabulary's cube root, and symbols at most: their pairs, which are broadcast, take 64 MB then.
 TOP_ROOT, CLASS_ROOT, LEAST_CLASSES, MOST_SYMBOLS = 10.0, 0.7, 8, 4000
@@ -226,7 +226,7 @@ class _Score:
 
 def by_bucket(words: DataFrame, *order: str) -> DataFrame:
     """Rows dealt by bucket, those of a bucket together."""
-    return words.repartition(partitions(words), "bucket").sortWithinPartitions("bucket", *order)
+    return words.repartition(tasks(words), "bucket").sortWithinPartitions("bucket", *order)
 
 
 def word_counts(coded: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from graphloom.common import partitions
 from graphloom.llm.common import split_words
 
 #: Bytes of text in a chunk, and words in a packed run of documents; a longer document forms one of its own.
-CHUNK_BYTES, RUN_WORDS = 16 << 20, 1 << 18
+CHUNK_BYTES, RUN_WORDS = 8 << 20, 1 << 18
 #: Stands for the end of a text where one is asked for; no word is empty.
 END = ""
 
@@ -48,9 +48,14 @@ def unpack_words(data: bytes) -> list[str]:
     return zstandard.ZstdDecompressor().decompress(data).decode().split("\n")
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks that words and chunks are dealt to; their number grows with the input (see partitions). Twice the shuffle partitions, as some tasks get several chunks."""
+    return 2 * partitions(df)
+
+
 def word_buckets(df: DataFrame) -> int:
-    """Buckets of words: one for each shuffle partition, whose number grows with the input (see partitions); a bucket's distinct words are held by one task."""
-    return max(64, partitions(df))
+    """Buckets of words: one for each task, which holds the bucket's distinct words."""
+    return max(64, tasks(df))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
@@ -146,6 +151,6 @@ def fill_positions(coded: DataFrame, words: DataFrame, finish, schema: str) -> D
         return pa.Table.from_batches(out)
 
     empty = pa.Table.from_batches([], to_arrow_schema(T.StructType.fromDDL(schema)))
-    n = partitions(coded)
+    n = tasks(coded)
     left = coded.groupBy("key")
     return left.cogroup(words.withColumnRenamed("chunk", "key").repartition(n, "key").groupBy("key")).applyInArrow(run, schema)
