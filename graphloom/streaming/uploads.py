@@ -55,9 +55,8 @@ def verified(chunks: DataFrame) -> DataFrame:
 def reassembled(chunks: DataFrame) -> DataFrame:
     """upload_id, size, sha256 and content of each upload, its chunks in order, each once. A file is one row, so uploads must fit a task; larger ones are kept as chunk rows."""
     once = chunks.groupBy("upload_id", "chunk").agg(F.min("data").alias("data"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "data"))), lambda x: F.hex(x["data"]))
-    content = F.unhex(F.array_join(parts, ""))
-    return once.groupBy("upload_id").agg(content.alias("content")).select("upload_id", F.octet_length("content").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
+    whole = once.groupBy("upload_id").agg(F.expr("listagg(data) within group (order by chunk)").alias("content"))
+    return whole.select("upload_id", F.octet_length("content").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
 
 
 def arrival_stream(arrivals: DataFrame, total_chunks: int, timeout: str = "24 hours") -> DataFrame:
