@@ -383,6 +383,17 @@ def test_ngram_join_finds_pairs_between_dissimilar_ends(spark, monkeypatch, bloc
     assert sum(r.n_links for r in got) == 50
 
 
+def test_ngram_join_of_sets_that_share_many_shingles(spark):
+    """Texts that share 100 of 200 shingles with all others, about 0.33 alike, and pairs of 0.818 among them: all pairs are linked, and nothing else."""
+    from graphloom.llm import ngram_join as j
+
+    head = " ".join(f"p{k}" for k in range(104))
+    rows = [(i, f"{head} {' '.join(f'u{i}_{k}' for k in range(100))}") for i in range(1500)]
+    rows += [(1500 + i, f"{head} {' '.join(f'u{i}_{k}' for k in range(80))} {' '.join(f'v{i}_{k}' for k in range(20))}") for i in range(60)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i, int(i < 60)) for i in range(1500)} | {1500 + i: (i, 1) for i in range(60)}
+
+
 def test_runs_count_the_coordinates_that_agree():
     from graphloom.llm.ngram_join import COORDINATES, DEPTH, RECALL, runs_for
 
