@@ -77,6 +77,25 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "class_id", "n_links", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.conversations import damaged, report
+
+    rows = table(spark, sf_dir, "conversations")
+    return report(damaged(rows), conversations=rows)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"), most=8)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"), least=40, most_docs=5).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 

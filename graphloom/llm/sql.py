@@ -85,6 +85,58 @@ classes AS (SELECT reached.a AS r, min(d.doc_id) AS class_id FROM reached JOIN d
 SELECT doc_id, class_id, coalesce(n, 0) AS n_links, doc_id = class_id AS kept FROM d JOIN classes USING (r) LEFT JOIN (SELECT a AS r, count(*) AS n FROM links GROUP BY 1) USING (r)
 """
 
+LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS k, unnest(lines) AS line FROM d),
+keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+known AS (SELECT key, max(doc_id) AS stays FROM (SELECT DISTINCT key, doc_id FROM keyed WHERE length(key) >= 40) GROUP BY 1 HAVING count(*) >= 5),
+marked AS (SELECT r, k, line, stays IS NOT NULL AND doc_id IS DISTINCT FROM stays AS gone FROM keyed LEFT JOIN known USING (key)),
+kept AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text FROM marked GROUP BY 1)
+SELECT doc_id, n_lines, n_dropped, sha256(kept.text) AS kept_sha256 FROM d JOIN kept USING (r)
+"""
+
+#: Ways from a state into another: the state before, the row's role that they ask for, their cost, their edits and the lines that they write.
+WAYS = {
+    0: [(0, "", 4, "D", "''")],
+    1: [(1, "", 4, "D", "''"), (0, "s", 0, "K", "own")],
+    2: [(2, "", 4, "D", "''"), *((a, "u", 0, "K", "own") for a in (0, 1, 3)), *((a, "any", 3, "R", "told('user')") for a in (0, 1, 3)), (2, "u", 3, "IK", "'assistant:' || chr(10) || own"), (2, "any", 6, "IR", "'assistant:' || chr(10) || told('user')")],
+    3: [(3, "", 4, "D", "''"), (2, "a", 0, "K", "own"), (2, "any", 3, "R", "told('assistant')"), *((a, "a", 3, "IK", "'user:' || chr(10) || own") for a in (0, 1, 3)), *((a, "any", 6, "IR", "'user:' || chr(10) || told('assistant')") for a in (0, 1, 3))],
+}
+
+
+def _way(before: int, role: str, cost: int, edits: str, lines: str) -> str:
+    """A struct of cost with audit, and text so far; null where the way isn't open."""
+    lines = lines.replace("told('user')", "'user:' || text || chr(10)").replace("told('assistant')", "'assistant:' || text || chr(10)").replace("own", "role || ':' || text || chr(10)")
+    more = f"{cost} + 3 * CAST(truncated AS INTEGER)" if role else f"{cost}"
+    if_open = {"": "true", "any": "NOT gone"}.get(role, f"NOT gone AND role[1] = '{role}'")
+    return f"CASE WHEN s{before} IS NOT NULL AND {if_open} THEN {{'k': lpad(CAST(CAST(s{before}.k[1:12] AS BIGINT) + {more} AS VARCHAR), 12, '0') || s{before}.k[13:] || '{edits}', 't': s{before}.t || {lines}}} END"
+
+
+def _least(ways: list[str]) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+
+#: crc32 as in SHARDING. One row for each step of each conversation holds the best audit and text of each state.
+CONVERSATIONS = rf"""
+WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id) AS c,
+  xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, t.t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS part FROM conversations, t),
+hurt AS (SELECT c, turn, CASE WHEN part = 4 THEN 'user' ELSE role END AS role, CASE WHEN part = 1 THEN '' WHEN part = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM raw, range(0, 2) x(copy) WHERE part <> 0 AND (copy = 0 OR part = 3)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text)) AS k FROM hurt),
+placed AS (SELECT *, k > min(k) OVER (PARTITION BY c, role, text) AS again, NOT regexp_matches(text, '[^ 	-
+]') AS blank FROM numbered),
+f AS (SELECT *, again AND NOT blank AS duplicate, blank OR again AS gone, NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS truncated,
+  CASE WHEN k > 1 AND lag(role[1]) OVER (PARTITION BY c ORDER BY k) || role[1] NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS illegal FROM placed),
+walk AS (SELECT c, CAST(0 AS BIGINT) AS k, {{'k': '000000000000', 't': ''}} AS s0, CAST(NULL AS STRUCT(k VARCHAR, t VARCHAR)) AS s1, CAST(NULL AS STRUCT(k VARCHAR, t VARCHAR)) AS s2, CAST(NULL AS STRUCT(k VARCHAR, t VARCHAR)) AS s3 FROM (SELECT DISTINCT c FROM raw)
+  UNION ALL SELECT f.c, f.k, {", ".join(_least([_way(*x) for x in WAYS[j]]) for j in range(4))} FROM walk JOIN f ON f.c = walk.c AND f.k = walk.k + 1),
+last AS (SELECT c, {_least(["s0", "CASE WHEN s1 IS NOT NULL THEN {'k': lpad(CAST(CAST(s1.k[1:12] AS BIGINT) + 6 AS VARCHAR), 12, '0') || s1.k[13:] || 'II', 't': s1.t || 'user:' || chr(10) || 'assistant:' || chr(10)} END",
+  "CASE WHEN s2 IS NOT NULL THEN {'k': lpad(CAST(CAST(s2.k[1:12] AS BIGINT) + 3 AS VARCHAR), 12, '0') || s2.k[13:] || 'I', 't': s2.t || 'assistant:' || chr(10)} END", "s3"])} AS s FROM walk QUALIFY k = max(k) OVER (PARTITION BY c)),
+counts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated, sum(illegal) AS illegal FROM f GROUP BY 1)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(s.k[1:12] AS BIGINT) AS cost, s.k[13:] AS audit, sha256(s.t[1:-2]) AS repaired_sha256 FROM (SELECT DISTINCT c, conv_id FROM raw) ids JOIN last USING (c) LEFT JOIN counts USING (c)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": DECONTAMINATION,
     "op2_quality_rules": QUALITY,
@@ -92,4 +144,6 @@ ORACLES: dict[str, str] = {
     "op5_sharding": SHARDING,
     "op8_recompression": RECOMPRESSION,
     "op10_ngram_join": NGRAM_JOIN,
+    "op11_conversation_repair": CONVERSATIONS,
+    "op13_line_dedup": LINE_DEDUP,
 }
