@@ -5,8 +5,9 @@ the most frequent training tokens and classes of the others, by their last two l
 class has the class's probability times the token's share in it, (c + 1) / (N_class + V_class + 1), which leaves one share for all unseen tokens; the whole is normalised over tokens.
 As contexts are pairs of symbols, the normalisers of all contexts are computed once, by batched matrix products in Spark tasks.
 
-Counts cover every training document; they are joined to tokens by distinct words (see worddict). Embeddings are trained in passes over the training documents, the last of
-which takes all of them: each task goes through its part from the common model, and the tasks' results are averaged by tokens.
+Counts cover every training document; they are joined to tokens by distinct words (see worddict). Embeddings are trained on all training documents. A hash deals them into groups of
+GROUP_TOKENS tokens, and rounds take ever more groups: each group goes on from the common model, and the groups' models are averaged by tokens. So the result doesn't depend on files or
+tasks, and what is learnt one after another grows with the logarithm of the corpus.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ TOP_ROOT, CLASS_ROOT, LEAST_CLASSES, MOST_SYMBOLS = 10.0, 0.7, 8, 4000
 #: Classes are folded from so many bins, which are counted before their number is known.
 CLASS_BINS = 4096
 WIDTH, NOISE, BATCH, RATE = 32, 24, 512, 0.1
-#: Parts of all training documents, by hash, that each pass takes; the last takes all.
-PASSES = (0.125, 1.0)
-#: Tokens that a task shuffles and trains on at once, and how often it goes through fewer.
+#: Training tokens of a group of texts, which one task learns from in order, and how many times as many groups each round of averaging takes as the one before.
+GROUP_TOKENS, ROUND_GROWTH = 2_000_000, 4
+#: Tokens that a task shuffles and trains on at once, and how often it goes through them where there are fewer in all.
 FIT_TOKENS, MOST_EPOCHS = 400_000, 8
 
 
@@ -44,11 +45,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 7 == 2
 
 
-def symbol_numbers(kinds: int) -> tuple[int, int]:
-    """Frequent tokens and classes for a vocabulary of so many distinct tokens."""
+def symbol_numbers(kinds: int, most: int = MOST_SYMBOLS) -> tuple[int, int]:
+    """Frequent tokens and classes for a vocabulary of so many distinct tokens, `most` at most."""
     root = kinds ** (1 / 3)
-    classes = min(MOST_SYMBOLS // 10, max(LEAST_CLASSES, math.ceil(CLASS_ROOT * root)))
-    return min(MOST_SYMBOLS - classes, math.ceil(TOP_ROOT * root)), classes
+    classes = min(max(1, most // 10), max(LEAST_CLASSES, math.ceil(CLASS_ROOT * root)))
+    return min(most - classes, math.ceil(TOP_ROOT * root)), classes
 
 
 def word_bin(word: str) -> int:
@@ -137,7 +138,7 @@ def train(symbols: np.ndarray, first: np.ndarray, unigram: np.ndarray, model: Lo
             up = 1 / (1 + np.exp(np.minimum(true, 30)))
             down = -1 / (1 + np.exp(np.minimum(-false, 30)))
             dq = up[:, None] * own + down @ other
-            rows = np.concatenate([b[t], a[t] + (n + 1), w + (2 * n + 2), noise + (2 * n + 2)]).astype(np.uint16)  # 3 * MOST_SYMBOLS at most, which sort fast
+            rows = np.concatenate([b[t], a[t] + (n + 1), w + (2 * n + 2), noise + (2 * n + 2)]).astype(np.uint16 if 3 * n + 2 < 1 << 16 else np.int32)  # short ones sort fast
             grad = np.concatenate([dq, dq, up[:, None] * q, down.T @ q])
             by = np.argsort(rows, kind="stable")
             ordered = rows[by]
@@ -302,14 +303,14 @@ def word_values(coded: DataFrame, counts: DataFrame, symbols: Symbols) -> DataFr
     return by_bucket(first.unionByName(rows), "part").mapInArrow(run, "chunk long, items binary, value binary")
 
 
-def learn(narrow: DataFrame, coded: DataFrame) -> Learnt:
+def learn(narrow: DataFrame, coded: DataFrame, most_symbols: int = MOST_SYMBOLS, group_tokens: int = GROUP_TOKENS) -> Learnt:
     """Counts, symbols and a trained model of the rows (doc_id, text) that aren't held out; coded: their words and counts, see code_documents."""
     counts = word_counts(coded)
     n, v = np.zeros(CLASS_BINS, np.int64), np.zeros(CLASS_BINS, np.int64)
     for r in counts.select(F.explode("bins").alias("b")).select("b.*").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():  # CLASS_BINS rows
         n[r.bin], v[r.bin] = r.n, r.v
     tokens, kinds = int(n.sum()), int(v.sum())
-    wanted, classes = symbol_numbers(kinds)
+    wanted, classes = symbol_numbers(kinds, most_symbols)
     top = most_frequent(counts, wanted)
     for w, c in top:  # frequent tokens are symbols of their own
         n[word_bin(w)] -= c
@@ -319,36 +320,82 @@ def learn(narrow: DataFrame, coded: DataFrame) -> Learnt:
     unigram = np.concatenate([np.array([c for _, c in top], float), fold(n)]) + 0.5
     unigram /= unigram.sum()
     model = untrained(unigram)
-    for k, share in enumerate(PASSES):
-        model = one_pass(narrow, model, symbols, unigram, share, k)
+    groups = max(1, round(tokens / group_tokens))
+    texts = grouped_symbols(narrow, symbols, groups)
+    epochs = 1 if tokens >= FIT_TOKENS else min(MOST_EPOCHS, math.ceil(FIT_TOKENS / max(1, tokens)))
+    for first, last in rounds(groups):
+        model = one_round(texts.filter(F.col("group").between(first, last - 1)), model, unigram, first, last, epochs)
     return Learnt(model, symbols, counts, fold(n) + fold(v) + 1.0, tokens, kinds)
 
 
-def one_pass(docs: DataFrame, model: LogBilinear, symbols: Symbols, unigram: np.ndarray, share: float, number: int) -> LogBilinear:
-    """The model after a pass over a share of the training texts: each task goes on from it, and the tasks' numbers are averaged by their tokens, part by part."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, symbols, unigram))
-    slabs = min(4096, partitions(docs))
+def rounds(groups: int) -> list[tuple[int, int]]:
+    """Ranges of groups: the first round takes one, each ROUND_GROWTH times as many as the one before; what would not fill another round goes with the last."""
+    out, at, width = [], 0, 1
+    while at < groups:
+        to = groups if groups - at - width < width * (ROUND_GROWTH if len(out) else 1) // 2 else at + width
+        out.append((at, to))
+        at, width = to, width * ROUND_GROWTH
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own, unigram = shared.value
-        held, tokens, seen = [], 0, 0
 
-        def fit(now: LogBilinear) -> LogBilinear:
-            epochs = min(MOST_EPOCHS, math.ceil(FIT_TOKENS / tokens))
-            return train(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), unigram, now, seed=(number << 40) + seen, epochs=epochs)
+def grouped_symbols(docs: DataFrame, symbols: Symbols, groups: int) -> DataFrame:
+    """A written row for each training text: its group, its place in it, and its symbols. Both follow from a hash of id and text, whatever files or tasks the texts come from."""
+    shared = docs.sparkSession.sparkContext.broadcast(symbols)
+    kind = "<u2" if len(symbols.place) + symbols.classes < 1 << 16 else "<u4"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                held.append(own.texts(part.column("text")))
-                tokens += len(held[-1][0])
+                found, first = shared.value.texts(part.column("text"))
+                starts = np.append(np.flatnonzero(first), len(found)) * np.dtype(kind).itemsize
+                data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(starts.astype(np.int32).tobytes()), pa.py_buffer(found.astype(kind).tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("group"), part.column("place"), data], ["group", "place", "symbols"])
+
+    place = F.xxhash64("doc_id", "text")
+    texts = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
+    return materialize(texts.select("text", F.pmod(place, F.lit(groups)).cast("int").alias("group"), F.xxhash64("doc_id", "text", F.lit(1)).alias("place")).mapInArrow(run, "group int, place long, symbols binary"))
+
+
+def one_round(texts: DataFrame, model: LogBilinear, unigram: np.ndarray, first: int, last: int, epochs: int) -> LogBilinear:
+    """The model after a round: each group of texts goes on from it, in order of their places, and the groups' models are averaged by their tokens, part by part."""
+    shared = texts.sparkSession.sparkContext.broadcast((model, unigram))
+    kind = "<u2" if model.symbols < 1 << 16 else "<u4"
+    ways = min(last - first, max(partitions(texts), 8))
+    slabs = min(4096, ways)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, unigram = shared.value
+        total, weight = 0.0, 0
+        group, now, held, tokens, seen = None, common, [], 0, 0
+
+        def fit() -> None:
+            nonlocal now, held, tokens, seen
+            if tokens:
+                starts = np.zeros(tokens, bool)
+                starts[np.cumsum([0, *map(len, held[:-1])])] = True
+                now = train(np.concatenate(held).astype(np.int64), starts, unigram, now, seed=(group << 24) + seen // FIT_TOKENS, epochs=epochs)
+                held, tokens, seen = [], 0, seen + tokens
+
+        def close() -> None:
+            nonlocal total, weight, now, seen
+            fit()
+            if seen:
+                total, weight = total + now.flat().astype(float) * seen, weight + seen
+            now, seen = common, 0
+
+        for batch in batches:
+            for new, data in zip(batch.column("group").to_pylist(), batch.column("symbols").to_pylist(), strict=True):
+                if new != group:
+                    close()
+                    group = new
+                held.append(np.frombuffer(data, kind))
+                tokens += len(held[-1])
                 if tokens >= FIT_TOKENS:
-                    now, seen = fit(now), seen + tokens
-                    held, tokens = [], 0
-        if tokens:
-            now, seen = fit(now), seen + tokens
-        if seen:
-            parts = np.array_split(now.flat().astype(float) * seen, slabs)
-            yield pa.RecordBatch.from_arrays([pa.array(range(slabs), pa.int32()), pa.array([float(seen)] * slabs), pa.array([x.tobytes() for x in parts], pa.binary())], ["slab", "n", "part"])
+                    fit()
+        close()
+        if weight:
+            parts = np.array_split((total / weight).astype("<f4"), slabs)
+            yield pa.RecordBatch.from_arrays([pa.array(range(slabs), pa.int32()), pa.array([float(weight)] * slabs), pa.array([x.tobytes() for x in parts], pa.binary())], ["slab", "n", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
@@ -356,19 +403,17 @@ def one_pass(docs: DataFrame, model: LogBilinear, symbols: Symbols, unigram: np.
             for slab, n, part in zip(*(batch.column(c).to_pylist() for c in ("slab", "n", "part")), strict=True):
                 x = total.setdefault(slab, [0.0, 0.0])
                 x[0] += n
-                x[1] = x[1] + np.frombuffer(part)
+                x[1] = x[1] + np.frombuffer(part, "<f4").astype(float) * n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(x / n).astype("<f4").tobytes() for n, x in total.values()], pa.binary())], ["slab", "part"])
 
-    texts = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    if share < 1:
-        texts = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1000)) < round(1000 * share))
-    parts = texts.select("text").mapInArrow(run, "slab int, n double, part binary").repartition(slabs, "slab").sortWithinPartitions("slab", "n", F.xxhash64("part"))
+    dealt = texts.repartitionById(ways, F.pmod(F.col("group") - first, F.lit(ways)).cast("int")).sortWithinPartitions("group", "place")
+    parts = dealt.mapInArrow(run, "slab int, n double, part binary").repartition(slabs, "slab").sortWithinPartitions("slab", "n", F.xxhash64("part"))
     averaged = sorted(parts.mapInArrow(add, "slab int, part binary").collect())  # the model, in `slabs` rows
     return model.filled(np.concatenate([np.frombuffer(x.part, "<f4") for x in averaged])) if averaged else model
 
 
 def normaliser_table(spark: SparkSession, shared, contexts: int, tasks: int) -> np.ndarray:
-    """The normaliser of every context: (symbols + 1)^2 numbers, MOST_SYMBOLS^2 at most."""
+    """The normaliser of every context: (symbols + 1)^2 numbers, which the parameter most_symbols bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,16 +425,16 @@ def normaliser_table(spark: SparkSession, shared, contexts: int, tasks: int) ->
     return np.concatenate([np.frombuffer(x.z, "<f4") for x in found])
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most_symbols: int = MOST_SYMBOLS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10 of the text's probability.
 
     A null or empty text is its end token alone. Repeated rows count each time. With no training document, every token is unseen: counts are 0
-    and symbols equally likely. An empty table gives an empty result. Other columns aren't read.
+    and symbols equally likely. most_symbols bounds the table of all pairs of symbols, which is broadcast: 4 bytes for each. An empty table gives an empty result. Other columns aren't read.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     coded = materialize(code_documents(narrow.withColumn("counted", ~held_out(F.col("doc_id"))), fold=True, end=True, counted="counted"), "lz4")
-    learnt = learn(narrow, coded)
+    learnt = learn(narrow, coded, most_symbols, group_tokens)
     shared = spark.sparkContext.broadcast(learnt.model)
     table = normaliser_table(spark, shared, (learnt.model.symbols + 1) ** 2, max(48, learnt.model.symbols // 16))
     id_type = dict(coded.dtypes)["ids"].removeprefix("array<")[:-1]

@@ -10,11 +10,12 @@ for all such pairs of all groups at a time, in DataFrames of any size; where the
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import written
@@ -22,8 +23,8 @@ from graphloom.functions.text import PART_BREAK, SOURCE_BREAK, ordered_text
 from graphloom.functions.vectors import cosine, cosine_to
 from graphloom.operators.search import average_pairwise, centroids, similar_pairs
 
-#: Pairs of a group that one task scans at most.
-TASK_PAIRS = 2_000_000
+#: Pairs of a group that one task scans at most, and characters of a cluster's text.
+TASK_PAIRS, MOST_TEXT = 2_000_000, 4000
 
 
 @dataclass(frozen=True)
@@ -38,67 +39,79 @@ class ClusterConfig:
             raise ValueError("sizes, threshold or depth out of range")
 
 
-def scan_pairs(a: list, b: list, order: np.ndarray, sizes: dict, largest: int) -> tuple[dict, set]:
-    """One pass over pairs in order: what each joined node joined, and the dropped ones. sizes grow in place."""
+def scan_pairs(a: list, b: list, order: np.ndarray, sizes: dict, largest: int) -> list[tuple]:
+    """One pass over pairs in order: a decision (place of the pair, whether its second end joined, the size after) for each that is taken. sizes grow in place."""
     gone: set = set()
-    joined: dict = {}
+    made = []
     for k in order:
         i, j = a[k], b[k]
         if i in gone or j in gone:
             continue
         gone.add(j)
-        if sizes.get(i, 1) + sizes.get(j, 1) <= largest:
+        fits = sizes.get(i, 1) + sizes.get(j, 1) <= largest
+        if fits:
             sizes[i] = sizes.get(i, 1) + sizes.get(j, 1)
-            joined[j] = i
-    return joined, gone - set(joined)
+        made.append((k, fits, sizes.get(i, 1)))
+    return made
+
+
+def _log(kind: str) -> str:
+    return f"id {kind}, other {kind}, fits boolean, similarity double, size long"
 
 
 def _pass(pairs: DataFrame, largest: int) -> DataFrame:
     kind = dict(pairs.dtypes)["a"]
 
     def run(table: pa.Table) -> pa.Table:
-        a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
-        order = sorted(range(len(a)), key=lambda k, s=table.column("similarity").to_pylist(): (-s[k], a[k], b[k]))
-        joined, dropped = scan_pairs(a, b, order, {}, largest)
-        ends = [*joined, *dropped]
-        return pa.table({"id": pa.array(ends, table.schema.field("a").type), "into": pa.array([joined.get(x) for x in ends], table.schema.field("a").type)})
+        a, b, s = (table.column(c).to_pylist() for c in ("a", "b", "similarity"))
+        sizes = dict(zip(a + b, table.column("size_a").to_pylist() + table.column("size_b").to_pylist(), strict=True))
+        made = scan_pairs(a, b, sorted(range(len(a)), key=lambda k: (-s[k], a[k], b[k])), sizes, largest)
+        end = table.schema.field("a").type
+        columns = [[b[k] for k, _, _ in made], [a[k] for k, _, _ in made], [x for _, x, _ in made], [s[k] for k, _, _ in made], [x for _, _, x in made]]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (end, end, pa.bool_(), pa.float64(), pa.int64()), strict=True)], ["id", "other", "fits", "similarity", "size"])
 
-    return pairs.groupBy("group").applyInArrow(run, f"id {kind}, into {kind}")
+    return pairs.groupBy("group").applyInArrow(run, _log(kind))
 
 
 def _rounds(pairs: DataFrame, largest: int) -> DataFrame:
     """The same decisions by rounds: every pair that comes first at both its ends is decided, then pairs with a gone end are dropped."""
     left = written(pairs.select("a", "b", (-F.col("similarity")).alias("rank")))
-    sizes = written(left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("size", F.lit(1).cast("long")))
-    decided = None
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("size_a").alias("size")), F.struct(F.col("b").alias("id"), F.col("size_b").alias("size")))).alias("e"))
+    sizes = written(ends.select("e.*").distinct())
+    decided = pairs.sparkSession.createDataFrame([], _log(dict(pairs.dtypes)["a"]))
     while not left.isEmpty():
         key = F.struct("rank", "a", "b")
         ends = left.select(F.explode(F.array("a", "b")).alias("id"), key.alias("k")).groupBy("id").agg(F.min("k").alias("k"))
-        first = written(ends.groupBy("k").agg(F.count("*").alias("n")).filter("n = 2").select("k.a", "k.b"))
+        first = written(ends.groupBy("k").agg(F.count("*").alias("n")).filter("n = 2").select("k.a", "k.b", "k.rank"))
         now = first.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("x")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("y")), "b")
-        now = written(now.select("a", "b", (F.col("x") + F.col("y")).alias("size"), (F.col("x") + F.col("y") <= largest).alias("fits")))
-        step = now.select(F.col("b").alias("id"), F.when(F.col("fits"), F.col("a")).alias("into"))
-        decided = step if decided is None else decided.unionByName(step)
+        fits = F.col("x") + F.col("y") <= largest
+        now = written(now.select("a", "b", "rank", F.when(fits, F.col("x") + F.col("y")).otherwise(F.col("x")).alias("size"), fits.alias("fits")))
+        decided = decided.unionByName(now.select(F.col("b").alias("id"), F.col("a").alias("other"), "fits", (-F.col("rank")).alias("similarity"), "size"))
         grown = now.filter("fits").select(F.col("a").alias("id"), F.col("size").alias("new"))
         sizes = written(sizes.join(grown, "id", "left").select("id", F.coalesce("new", "size").alias("size")))
         gone = now.select(F.col("b").alias("g"))
         left = written(left.join(gone.withColumnRenamed("g", "a"), "a", "left_anti").join(gone.withColumnRenamed("g", "b"), "b", "left_anti"))
-    kind = dict(pairs.dtypes)["a"]
-    return decided if decided is not None else pairs.sparkSession.createDataFrame([], f"id {kind}, into {kind}")
+    return decided
 
 
 def decisions(pairs: DataFrame, largest: int, task_pairs: int = TASK_PAIRS) -> DataFrame:
-    """id and into of every node that is no cluster's first member: into is null for dropped ones."""
-    pairs = written(pairs)
-    most = pairs.groupBy("group").count().agg(F.max("count")).first()[0] or 0
-    return written(_pass(pairs, largest) if most <= task_pairs else _rounds(pairs, largest))
-
-
-def clusters(rows: DataFrame, config: ClusterConfig = ClusterConfig(), group: str = "namespace", id_col: str = "node_id", task_pairs: int = TASK_PAIRS) -> DataFrame:
-    """group, id and cluster (the id of its first member) of every member that a cluster keeps. Clusters below the least size keep their first member alone; members of dropped clusters are in none."""
-    decided = decisions(similar_pairs(rows, config.threshold, group, id_col), config.largest_size, task_pairs)
-    placed = rows.select(F.col(group).alias("group"), F.col(id_col).alias("id")).join(decided.withColumn("decided", F.lit(True)), "id", "left")
-    found = written(placed.select("group", "id", F.when(F.col("decided").isNull(), F.col("id")).otherwise(F.col("into")).alias("cluster")))
+    """A row for each node that is no cluster's first member any more: id, other (the first end of the deciding pair), fits (whether id joined it; else id is dropped), similarity, and the size of other's
+    cluster then. Pairs may bring sizes that their ends have already (size_a, size_b). Groups whose pairs fit a task are scanned in one each, larger ones by rounds."""
+    for c in ("size_a", "size_b"):
+        if c not in pairs.columns:
+            pairs = pairs.withColumn(c, F.lit(1).cast("long"))
+    pairs = written(pairs.select("a", "b", "group", "similarity", "size_a", "size_b"))
+    large = written(pairs.groupBy("group").count().filter(F.col("count") > task_pairs).select("group"))
+    if large.isEmpty():
+        return written(_pass(pairs, largest))
+    same = [pairs["group"].eqNullSafe(large["group"])]
+    return written(_pass(pairs.join(large, same, "left_anti"), largest).unionByName(_rounds(pairs.join(large, same, "left_semi"), largest)))
+
+
+def resolved(placed: DataFrame, decided: DataFrame, config: ClusterConfig) -> DataFrame:
+    """group, id and cluster of rows (group, id) by the decisions on them. Clusters below the least size keep their first member alone; members of dropped clusters are in none."""
+    into = decided.select("id", F.when(F.col("fits"), F.col("other")).alias("into"), F.lit(True).alias("decided"))
+    found = written(placed.join(into, "id", "left").select("group", "id", F.when(F.col("decided").isNull(), F.col("id")).otherwise(F.col("into")).alias("cluster")))
     while True:  # a cluster may have joined another in turn; dropped ones lead to null
         up = found.select(F.col("id").alias("cluster"), F.col("cluster").alias("next"))
         ahead = found.join(up, "cluster", "left")
@@ -111,36 +124,64 @@ def clusters(rows: DataFrame, config: ClusterConfig = ClusterConfig(), group: st
     return kept.join(sizes, "cluster").filter((F.col("members") >= config.least_size) | (F.col("id") == F.col("cluster"))).select("group", "id", "cluster")
 
 
+def clusters(rows: DataFrame, config: ClusterConfig = ClusterConfig(), group: str = "namespace", id_col: str = "node_id", task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """group, id and cluster (the id of its first member) of every member that a cluster keeps, see resolved()."""
+    decided = decisions(similar_pairs(rows, config.threshold, group, id_col), config.largest_size, task_pairs)
+    return resolved(rows.select(F.col(group).alias("group"), F.col(id_col).alias("id")), decided, config)
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """Rows of found (group, id, first) in clusters of two or more, as levels above the lowest have them."""
+    sizes = found.groupBy("first").agg(F.count("*").alias("n")).filter("n > 1")
+    return found.join(sizes.select("first"), "first", "left_semi")
+
+
+def described(items: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """The clusters of a level: group, first, cluster_id, depth, members, vector (their mean), text (the first MOST_TEXT characters of theirs), internal_similarity. items: group, id, vector, text."""
+    placed = items.join(found.select("id", "first"), "id")
+    texts = placed.groupBy("group", "first").agg(F.left(ordered_text(F.col("id"), F.coalesce("text", F.lit("")), PART_BREAK if depth == 0 else SOURCE_BREAK), F.lit(MOST_TEXT)).alias("text"), F.array_sort(F.collect_list("id")).alias("members"))
+    level = texts.join(centroids(placed, "first").select("first", "centroid"), "first").join(average_pairwise(placed, "first", "id").select("first", "average_similarity"), "first", "left")
+    name = F.concat(F.lit(f"{depth}:"), F.regexp_replace("first", r"^\d+:", "") if depth else F.col("first"))
+    return level.select("group", "first", name.alias("cluster_id"), F.lit(depth).alias("depth"), "members", F.col("centroid").alias("vector"), "text", F.coalesce("average_similarity", F.lit(1.0)).alias("internal_similarity"))
+
+
+def lowest_items(rows: DataFrame, group: str, id_col: str, content: str | None) -> DataFrame:
+    text = F.left(F.col(content), F.lit(MOST_TEXT)) if content else F.lit("")
+    return rows.select(F.col(group).alias("group"), F.col(id_col).cast("string").alias("id"), F.col("vector").cast("array<double>").alias("vector"), text.alias("text"))
+
+
+def next_items(level: DataFrame) -> DataFrame:
+    """A level's clusters as the items of the next one, in groups of more than one."""
+    alive = level.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
+    return level.join(alive.select("group"), "group", "left_semi").select("group", F.col("cluster_id").alias("id"), "vector", "text")
+
+
 def hierarchy(rows: DataFrame, config: ClusterConfig = ClusterConfig(), group: str = "namespace", id_col: str = "node_id", content: str | None = "content") -> DataFrame:
-    """The tree of each group: group, cluster_id (depth:first), depth, members, children, parent_id, centroid, combined_content, internal_similarity and is_root.
+    """The tree of each group: group, cluster_id (depth:first), depth, members, children, parent_id, vector (the mean), text (the beginning of all its members', MOST_TEXT characters), internal_similarity, is_root.
 
     Depth 0 holds clusters of nodes. Each level's clusters of two or more become the next level's nodes, whose vectors are the mean of their children's; single clusters fall out.
     Levels end at one cluster, at the depth limit (0: none), or where nothing merges; the last level's clusters are roots.
     """
-    level_rows = rows.select(F.col(group).alias("group"), F.col(id_col).cast("string").alias("id"), F.col("vector").cast("array<double>").alias("vector"), (F.col(content) if content else F.lit("")).alias("text"))
-    out, depth, alive = None, 0, None
+    items, levels, depth = lowest_items(rows, group, id_col, content), [], 0
     while True:
-        level_rows = written(level_rows)
-        found = clusters(level_rows, config, "group", "id").withColumnRenamed("cluster", "first")
-        if depth:
-            sizes = found.groupBy("first").agg(F.count("*").alias("n")).filter("n > 1")
-            found = found.join(sizes.select("first"), "first", "left_semi")
-        found = written(found.select("group", "id", "first"))
+        items = written(items)
+        found = clusters(items, config, "group", "id").withColumnRenamed("cluster", "first")
+        found = written((merged(found) if depth else found).select("group", "id", "first"))
         if found.isEmpty():
             break
-        placed = level_rows.join(found.select("id", "first"), "id")
-        texts = placed.groupBy("group", "first").agg(ordered_text(F.col("id"), F.coalesce("text", F.lit("")), PART_BREAK if depth == 0 else SOURCE_BREAK).alias("text"), F.array_sort(F.collect_list("id")).alias("members"))
-        level = texts.join(centroids(placed, "first").select("first", "centroid"), "first").join(average_pairwise(placed, "first", "id").select("first", "average_similarity"), "first", "left")
-        level = written(level.select("group", F.concat(F.lit(f"{depth}:"), F.regexp_replace("first", r"^\d+:", "") if depth else F.col("first")).alias("cluster_id"), F.lit(depth).alias("depth"), "members", F.col("centroid").alias("vector"), "text", F.coalesce("average_similarity", F.lit(1.0)).alias("internal_similarity")))
-        out = level if out is None else out.unionByName(level)
-        alive = level.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
-        level_rows = level.join(alive.select("group"), "group", "left_semi").select("group", F.col("cluster_id").alias("id"), "vector", "text")
+        levels.append(written(described(items, found, depth)))
+        items = next_items(levels[-1])
         depth += 1
-        if config.most_depth and depth > config.most_depth or level_rows.isEmpty():
+        if config.most_depth and depth > config.most_depth or items.isEmpty():
             break
-    if out is None:
-        return rows.sparkSession.createDataFrame([], "`group` string, cluster_id string, depth int, members array<string>, children array<string>, parent_id string, vector array<double>, text string, internal_similarity double, is_root boolean")
-    out = written(out)
+    return tree_of(rows.sparkSession, levels)
+
+
+def tree_of(spark: SparkSession, levels: list[DataFrame]) -> DataFrame:
+    """The tree of described levels; see hierarchy()."""
+    if not levels:
+        return spark.createDataFrame([], "`group` string, cluster_id string, depth int, members array<string>, children array<string>, parent_id string, vector array<double>, text string, internal_similarity double, is_root boolean")
+    out = written(functools.reduce(DataFrame.unionByName, levels))
     parents = out.filter("depth > 0").select(F.explode("members").alias("cluster_id"), F.col("cluster_id").alias("parent_id"))
     last = out.groupBy("group").agg(F.max("depth").alias("last"))
     none = F.expr("cast(array() as array<string>)")

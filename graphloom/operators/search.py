@@ -39,8 +39,9 @@ def _unit(vectors: pa.Array, dimension: int) -> np.ndarray:
     return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
 
-def top_k_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", vector: str = "vector", query_id: str = "query_id", group: str | None = None) -> DataFrame:
-    """query_id, id, similarity and rank of the k nearest rows of every query, ties by id. With group, a query meets only rows of its own group.
+def top_k_each(rows: DataFrame, queries: DataFrame, k: int | None, id_col: str = "node_id", vector: str = "vector", query_id: str = "query_id", group: str | None = None, least: float = -1.0) -> DataFrame:
+    """query_id, id, similarity and rank of the k nearest rows of every query, ties by id; without k, all rows at or above `least`, unranked. With group, a query meets only rows of its own group;
+    a query that is given for several groups meets the rows of all of them.
 
     Rows and queries are dealt into blocks; a block of each is one task's matrix product, and at most k candidates for each query leave it. Neither side goes through the driver. Spark
     keeps the k best of each partition before candidates are shuffled, so a query's candidates aren't gathered either. Null vectors of rows are at similarity 0; rows of another
@@ -66,10 +67,13 @@ def top_k_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "node_
                 at = np.flatnonzero(lengths == dimension)
                 unit = _unit(a.column("vector").combine_chunks(), dimension)[order]
                 s = np.round(_unit(wanted.take(pa.array(at)), dimension) @ unit.T, 6)
+                if k is None:
+                    found += [(names[at[i]], ids[order[j]].item(), float(s[i, j])) for i, j in zip(*np.nonzero(s >= least), strict=True)]
+                    continue
                 many = min(k, s.shape[1])
-                least = -np.partition(-s, many - 1, axis=1)[:, many - 1 : many]  # each query's k-th best score
+                last = -np.partition(-s, many - 1, axis=1)[:, many - 1 : many]  # each query's k-th best score
                 for i, q in enumerate(at.tolist()):
-                    above, same = np.flatnonzero(s[i] > least[i]), np.flatnonzero(s[i] == least[i])
+                    above, same = np.flatnonzero(s[i] > last[i]), np.flatnonzero(s[i] == last[i])
                     for j in [*above.tolist(), *same[: many - len(above)].tolist()]:
                         found.append((names[q], ids[order[j]].item(), float(s[i, j])))
         columns = zip(*found, strict=True) if found else [[], [], []]
@@ -79,6 +83,8 @@ def top_k_each(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "node_
     dealt = deal(left, "id", "i", F.col("x"), "j", "y").repartition(n, *keys).groupBy(*keys)
     asked = deal(right, "query", "j", F.col("y"), "i", "x").repartition(n, *keys).groupBy(*keys)
     best = dealt.cogroup(asked).applyInArrow(compare, f"query {q_kind}, id {kinds[id_col]}, similarity double")
+    if k is None:
+        return best.select(F.col("query").alias(query_id), F.col("id").alias(id_col), "similarity")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query").alias(query_id), F.col("id").alias(id_col), "similarity", "rank")
 

@@ -231,9 +231,9 @@ def store_hierarchy(store: Repository, nodes: DataFrame, config: ClusterConfig =
     return stats
 
 
-def store_models(store: Repository, files: DataFrame, dimension: int = 768) -> DataFrame:
-    """Converts model files and stores models and their nodes; a file that is converted again replaces its model. Returns path, status and error."""
-    status, nodes = convert_models(files, dimension)
+def store_models(store: Repository, folder: str, dimension: int = 768) -> DataFrame:
+    """Converts the model files of a folder and stores models and their nodes; a file that is converted again replaces its model. Returns path, status and error."""
+    status, nodes = convert_models(store.spark, folder, dimension)
     status, nodes = written(status), written(nodes)
     now = F.current_timestamp()
     shape = F.struct(*(F.col(f"architecture.{c}").cast("string" if c == "model_type" else "int").alias(c) for c in ("model_type", "n_layers", "embedding_dim", "vocab_size", "n_heads", "ffn_dim")))
@@ -258,14 +258,14 @@ def search_stats(searches: DataFrame) -> DataFrame:
     return searches.agg(F.count("*").alias("performed"), good.alias("successful"), F.coalesce(F.sum(F.when(ok, F.col("results"))), F.lit(0)).cast("long").alias("total_results"), latency.cast("long").alias("average_latency_ms"))
 
 
-def convert_models(files: DataFrame, dimension: int = 768, compat: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Model files (a binaryFile source) as trees: status of each file, and model nodes: id, model_id, parent_id, level, layer_type, vector and whether it is the root's child.
+def convert_models(spark: SparkSession, folder: str, dimension: int = 768, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The model files of a folder as trees: status of each file, and model nodes: id, model_id, parent_id, level, layer_type, vector and whether it is the root's child.
 
     A leaf is a group of layers. Clusters join at a similarity of 0.55, of at most a third of the groups or four, four levels high. A file that can't be read is failed, and has no nodes.
     """
     from graphloom.sources.gguf import group_vectors, layer_groups, read_models
 
-    tensors = written(read_models(files, compat))
+    tensors = written(read_models(spark, folder, compat))
     status = tensors.groupBy("path").agg(F.max("error").alias("error"), F.first("architecture", ignorenulls=True).alias("architecture"))
     status = status.select("path", F.when(F.col("error").isNull(), "ready").otherwise("failed").alias("status"), "error", "architecture")
     groups = written(group_vectors(layer_groups(tensors), dimension))
@@ -277,7 +277,7 @@ def convert_models(files: DataFrame, dimension: int = 768, compat: bool = False)
         tree = hierarchy(own, ClusterConfig(2, row.largest, 0.55, 4), content=None)
         trees = tree if trees is None else trees.unionByName(tree)
     if trees is None:
-        return status, files.sparkSession.createDataFrame([], "id string, model_id string, parent_id string, level int, layer_type string, vector array<double>")
+        return status, spark.createDataFrame([], "id string, model_id string, parent_id string, level int, layer_type string, vector array<double>")
     trees = written(trees)
     first = F.col("members")[0]
     named = trees.join(leaves.select(F.col("node_id").alias("first"), "layer_type"), F.when(F.col("depth") == 0, first) == F.col("first"), "left")

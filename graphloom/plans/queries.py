@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.common import written
+from graphloom.common import scratch, written
 from graphloom.functions import rules, text, vectors
 from graphloom.operators import cluster, paths, search
 from graphloom.operators.chunk import chunked
@@ -255,10 +255,14 @@ def chunk_checksums(spark, d):
     return uploads.verified(rows).groupBy("upload_id").agg(F.count("*").alias("arrivals"), F.sum(F.col("valid").cast("long")).alias("valid"))
 
 
-@query("SELECT l_orderkey AS upload_id, strlen(string_agg(c, '' ORDER BY k)) AS size, sha256(string_agg(c, '' ORDER BY k)) AS sha256 FROM (SELECT DISTINCT l_orderkey, l_linenumber AS k, 'chunk-' || l_linenumber AS c FROM lineitem) GROUP BY 1")
+@query("SELECT CAST(l_orderkey // 256 AS VARCHAR) AS upload_id, strlen(string_agg(c, '' ORDER BY k)) AS size, sha256(string_agg(c, '' ORDER BY k)) AS sha256 FROM (SELECT DISTINCT l_orderkey, 16 * l_orderkey + l_linenumber AS k, 'chunk-' || l_linenumber || ' of ' || l_orderkey || chr(10) AS c FROM lineitem) GROUP BY 1")
 def reassemble_uploads(spark, d):
-    rows = tables.chunk_arrivals(spark, d).select("upload_id", "chunk", F.concat(F.lit("chunk-"), (F.col("chunk") + 1).cast("string")).cast("binary").alias("data"))
-    return uploads.reassembled(rows).select("upload_id", F.col("size").cast("long").alias("size"), "sha256")
+    """Chunks of the uploads written as files, in their places, and the files' digests."""
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    text = F.concat(F.lit("chunk-"), line.cast("string"), F.lit(" of "), order.cast("string"), F.lit("\n"))
+    folder = scratch(spark)
+    uploads.assemble(table(spark, d, "lineitem").select(F.floor(order / 256).cast("string").alias("upload_id"), (16 * order + line).alias("chunk"), text.cast("binary").alias("data")), folder)
+    return uploads.digests(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("upload_id"), "size", "sha256")
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE stage WHEN 0 THEN 10.0 WHEN 1 THEN 20.0 WHEN 2 THEN 20 + 0.5 * p WHEN 3 THEN 70 + 0.25 * p WHEN 4 THEN 100.0 ELSE 0.0 END AS progress FROM (SELECT l_orderkey, l_linenumber, l_linenumber - 1 AS stage, round(l_quantity / 50 * 100, 6) AS p FROM lineitem)")
@@ -406,7 +410,7 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
     return cluster.hierarchy(tables.nodes(spark, d), CLUSTERING)
 
 
-@query(f"WITH RECURSIVE {TREE} SELECT grp AS \"group\", cluster_id, depth, CAST(len(members) AS INTEGER) AS members, CAST(len(children) AS INTEGER) AS children, parent_id, round(internal_similarity, 6) AS internal_similarity, is_root, md5(text) AS content_digest FROM tree")
+@query(f"WITH RECURSIVE {TREE} SELECT grp AS \"group\", cluster_id, depth, CAST(len(members) AS INTEGER) AS members, CAST(len(children) AS INTEGER) AS children, parent_id, round(internal_similarity, 6) AS internal_similarity, is_root, md5(left(text, {cluster.MOST_TEXT})) AS content_digest FROM tree")
 def hierarchy_levels(spark, d):
     return _tree(spark, d).select("group", "cluster_id", "depth", F.size("members").alias("members"), F.size("children").alias("children"), "parent_id", F.round("internal_similarity", 6).alias("internal_similarity"), "is_root", F.md5("text").alias("content_digest"))
 

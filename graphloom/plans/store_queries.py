@@ -191,18 +191,29 @@ def _file(region: int) -> bytes:
     return head + b"\0" * (-len(head) % 32) + values * len(names)
 
 
-def _model_files(spark: SparkSession, d: str) -> DataFrame:
+def _model_files(spark: SparkSession, d: str) -> str:
+    """The folder of the regions' model files, which arrive in chunks of 1,000 bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([f"m{k}.gguf" for k in keys], pa.string()), pa.array([_file(k) for k in keys], pa.binary())], ["path", "content"])
+            for k in batch.column(0).to_pylist():
+                data = _file(k)
+                parts = [data[at : at + 1000] for at in range(0, len(data), 1000)]
+                yield pa.RecordBatch.from_arrays([pa.array([f"m{k}"] * len(parts)), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["upload_id", "chunk", "data"])
+
+    folder = scratch(spark)
+    uploads.assemble(table(spark, d, "region").select("r_regionkey").mapInArrow(run, "upload_id string, chunk long, data binary"), folder, 1000, ".gguf")
+    return folder
+
 
-    return table(spark, d, "region").select("r_regionkey").mapInArrow(run, "path string, content binary")
+def _tensors(spark: SparkSession, d: str) -> DataFrame:
+    """The tensors of the regions' model files, files by their names."""
+    return gguf.read_models(spark, _model_files(spark, d), tensors=10).withColumn("path", F.element_at(F.split("path", "/"), -1))
 
 
 @query("SELECT 'm' || r_regionkey || '.gguf' AS path, CASE WHEN r_regionkey = 3 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN r_regionkey = 3 THEN NULL ELSE 12 + r_regionkey END AS n_layers, CASE WHEN r_regionkey = 3 THEN NULL ELSE 32000 END AS vocab_size, CASE WHEN r_regionkey = 3 THEN 0 ELSE 2 * (12 + r_regionkey) + 1 END AS tensors, CASE WHEN r_regionkey = 3 THEN NULL ELSE (2 * (12 + r_regionkey) + 1) * 4 * (r_regionkey + 1) END AS total_params FROM region")
 def gguf_models(spark, d):
-    rows = gguf.read_models(_model_files(spark, d))
+    rows = _tensors(spark, d)
     size = F.aggregate("dimensions", F.lit(1).cast("long"), lambda a, x: a * x)
     status = F.when(F.max("error").isNull(), "ready").otherwise("failed")
     found = rows.groupBy("path").agg(status.alias("status"), F.max("architecture.n_layers").alias("n_layers"), F.max("architecture.vocab_size").alias("vocab_size"), F.count("tensor").alias("tensors"), F.sum(size).alias("total_params"))
@@ -216,7 +227,7 @@ groups AS (SELECT 'm' || r || '.gguf' AS path, k // (layers // 6) * (layers // 6
 
 @query(f"WITH {LAYERS} SELECT path, CAST(layer_start AS INTEGER) AS layer_start, CAST(layer_end AS INTEGER) AS layer_end, layer_type, CAST(tensors AS BIGINT) AS tensors, CAST(total_params AS BIGINT) AS total_params FROM groups")
 def gguf_layer_groups(spark, d):
-    found = gguf.layer_groups(gguf.read_models(_model_files(spark, d)))
+    found = gguf.layer_groups(_tensors(spark, d))
     return found.select("path", "layer_start", "layer_end", "layer_type", "tensors", "total_params")
 
 
@@ -229,7 +240,7 @@ u AS (SELECT r, grp, spot, x / sqrt(sum(x * x) OVER (PARTITION BY r, grp)) AS x
 SELECT 'm' || r || '.gguf' AS path, CAST(CASE WHEN grp < 0 THEN 0 ELSE grp * ((12 + r) // 6) END AS INTEGER) AS layer_start, CASE WHEN grp < 0 THEN 'embedding' ELSE 'transformer' END AS layer_type, CAST(spot AS INTEGER) AS place, round(x, 6) AS x FROM u WHERE abs(x) > 1e-9""")
 def gguf_folded(spark, d):
     """The folded samples of each group of layers."""
-    found = gguf.group_vectors(gguf.layer_groups(gguf.read_models(_model_files(spark, d))), 16)
+    found = gguf.group_vectors(gguf.layer_groups(_tensors(spark, d)), 16)
     return found.select("path", "layer_start", "layer_type", F.posexplode("vector").alias("place", "x")).withColumn("x", F.round("x", 6)).filter("abs(x) > 1e-9")
 
 
@@ -239,11 +250,60 @@ def model_convert(spark, d):
     store, files = _store(spark), _model_files(spark, d)
     for _ in range(2):
         api.store_models(store, files, 64)
-    nodes = store.read("model_nodes")
+    nodes = store.read("model_nodes").withColumn("model_id", F.element_at(F.split("model_id", "/"), -1))
     up = nodes.select(F.col("id").alias("up"), F.col("model_id").alias("m"))
     linked = nodes.join(up, (F.col("parent_id") == F.col("up")) & (F.col("model_id") == F.col("m")), "left").groupBy("model_id").agg(F.bool_or(F.col("parent_id").isNull()).alias("has_root"), (F.bool_and(F.col("parent_id").isNull() | F.col("up").isNotNull()) & (F.count("*") == F.count_distinct("id"))).alias("all_linked"))
-    found = store.read("models").join(linked, F.col("id") == F.col("model_id"), "left")
-    return found.select("id", "status", F.col("conversion_progress").cast("double").alias("progress"), F.coalesce("has_root", F.lit(False)).alias("has_root"), F.coalesce("all_linked", F.lit(False)).alias("all_linked"))
+    found = store.read("models").join(linked, F.col("name") == F.col("model_id"), "left")
+    return found.select(F.col("name").alias("id"), "status", F.col("conversion_progress").cast("double").alias("progress"), F.coalesce("has_root", F.lit(False)).alias("has_root"), F.coalesce("all_linked", F.lit(False)).alias("all_linked"))
+
+
+#: Types of the parts' tensors: F32, F16, BF16, blocks of 8 and of 4 bits.
+PART_TYPES, PART_BYTES = (0, 1, 30, 8, 2), (128, 64, 64, 64, 32)
+
+
+def _part_models(spark: SparkSession, d: str) -> str:
+    """The folder of model files of 200 parts each, a tensor of 32 values for each part, of five types; the values follow from the part's size. The header is a chunk, and each 50 tensors are one."""
+
+    def data(kind: int, size: int) -> bytes:
+        v = (size + np.arange(32)) % 16 - 8
+        if kind == 8:
+            out = struct.pack("<e", 0.5) + v.astype(np.int8).tobytes()
+        elif kind == 2:
+            out = struct.pack("<e", 2.0) + ((v[::2] + 8) | (v[1::2] + 8) << 4).astype(np.uint8).tobytes()
+        elif kind == 30:
+            out = (v.astype("<f4").view("<u4") >> 16).astype("<u2").tobytes()
+        else:
+            out = v.astype("<f2" if kind == 1 else "<f4").tobytes()
+        return out.ljust(PART_BYTES[PART_TYPES.index(kind)], b"\0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for model, parts in zip(batch.column("model").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                head = _TEXT("general.architecture") + struct.pack("<I", 8) + _TEXT("llama") + b"".join(_TEXT(f"llama.{k}") + struct.pack("<II", 4, 40) for k in ("block_count", "embedding_length", "attention.head_count", "feed_forward_length"))
+                at = 0
+                for p in parts:
+                    kind = p["p_partkey"] % 5
+                    head += _TEXT(f"blk.{p['p_partkey'] % 40}.part{p['p_partkey']}") + struct.pack("<I", 1) + struct.pack("<Q", 32) + struct.pack("<IQ", PART_TYPES[kind], at)
+                    at += PART_BYTES[kind]
+                head = b"GGUF" + struct.pack("<IQQ", 3, len(parts), 5) + head
+                chunks = [head + b"\0" * (-len(head) % 32)] + [b"".join(data(PART_TYPES[p["p_partkey"] % 5], p["p_size"]) for p in parts[k : k + 50]) for k in range(0, len(parts), 50)]
+                yield pa.RecordBatch.from_arrays([pa.array([f"parts{model}"] * len(chunks)), pa.array(range(len(chunks)), pa.int64()), pa.array(chunks, pa.binary())], ["upload_id", "chunk", "data"])
+
+    grouped = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 200).alias("model")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("parts"))  # 200 at most
+    folder = scratch(spark)
+    uploads.assemble(grouped.mapInArrow(run, "upload_id string, chunk long, data binary"), folder, suffix=".gguf")
+    return folder
+
+
+@query("""WITH v AS (SELECT p_partkey, CAST(p_partkey % 5 AS INTEGER) AS kind, i, (p_size + i) % 16 - 8 AS v FROM part, range(0, 32) x(i)),
+s AS (SELECT p_partkey, kind, i, CASE kind WHEN 3 THEN 0.5 WHEN 4 THEN 2.0 ELSE 1.0 END * v AS x FROM v WHERE kind < 3 OR i < 8)
+SELECT 'parts' || (p_partkey // 200) || '.gguf' AS path, 'blk.' || (p_partkey % 40) || '.part' || p_partkey AS tensor, CAST(CASE any_value(kind) WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 30 WHEN 3 THEN 8 ELSE 2 END AS BIGINT) AS tensor_type, CAST(count(*) AS INTEGER) AS samples, CAST(sum(x) AS DOUBLE) AS total, CAST(sum(x * i) AS DOUBLE) AS weighted FROM s GROUP BY p_partkey""")
+def gguf_quantized(spark, d):
+    """Samples of tensors of five types, in files that were uploaded in chunks and are read by ranges of tensors."""
+    x = F.transform("samples", lambda v, i: v * i)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    rows = gguf.read_models(spark, _part_models(spark, d), tensors=64)
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("path"), "tensor", "tensor_type", F.size("samples").alias("samples"), total("samples").alias("total"), total(x).alias("weighted"))
 
 
 @query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN n_nationkey WHEN 1 THEN n_nationkey WHEN 2 THEN n_nationkey WHEN 3 THEN NULL ELSE 7 END AS layer FROM nation")

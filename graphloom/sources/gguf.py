@@ -1,14 +1,19 @@
-"""Model files in the GGUF format, version 3, as rows: header values, tensors, architecture, and sampled tensor values."""
+"""Model files in the GGUF format, version 3, as a data source of rows: architecture, tensors and sampled tensor values."""
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow.fs import FileSelector, FileSystem, LocalFileSystem
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Fixed values of the format: magic, alignment of tensor data, and the struct code of each scalar value type by its number.
 MAGIC, ALIGNMENT = b"GGUF", 32
@@ -18,52 +23,74 @@ STRING, ARRAY = 8, 9
 F32, F16, BF16 = 0, 1, 30
 Q4_TYPES, Q8_TYPES, BLOCK, Q4_BYTES, Q8_BYTES = (2, 3, 12), (8, 9, 15), 32, 18, 34
 MOST_SAMPLES, MOST_BLOCKS, DEFAULT_VOCABULARY = 256, 64, 32000
+#: Items of a header's array that are kept, tensors of a task, and bytes that are read at once for samples that lie near each other.
+MOST_ITEMS, RANGE_TENSORS, MOST_SPAN = 64, 64, 1 << 20
 
 
 class Reader:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+    """Values of a header, read on from where a file stands."""
+
+    def __init__(self, file: BinaryIO, size: int):
+        self.file, self.size = file, size
+
+    def bytes(self, n: int) -> bytes:
+        if self.file.tell() + n > self.size:
+            raise ValueError("a value runs beyond the file")
+        return self.file.read(n)
 
     def take(self, code: str):
-        (value,) = struct.unpack_from("<" + code, self.data, self.at)
-        self.at += struct.calcsize("<" + code)
-        return value
+        return struct.unpack("<" + code, self.bytes(struct.calcsize("<" + code)))[0]
 
     def text(self) -> str:
-        size = self.take("Q")
-        if self.at + size > len(self.data):
-            raise ValueError("a string runs beyond the file")
-        self.at += size
-        return self.data[self.at - size : self.at].decode()
+        return self.bytes(self.take("Q")).decode()
 
     def value(self, kind: int):
+        """A value; of an array, which may be a vocabulary, its first MOST_ITEMS."""
         if kind == STRING:
             return self.text()
         if kind == ARRAY:
             inner, size = self.take("I"), self.take("Q")
-            return [self.value(inner) for _ in range(size)]
+            held = [self.value(inner) for _ in range(min(size, MOST_ITEMS))]
+            if inner in SCALARS and size > MOST_ITEMS:
+                self.skip((size - MOST_ITEMS) * struct.calcsize("<" + SCALARS[inner]))
+            else:
+                for _ in range(size - len(held)):
+                    self.skip(self.take("Q")) if inner == STRING else self.value(inner)
+            return held
         if kind not in SCALARS:
             raise ValueError(f"no value type {kind}")
         return self.take(SCALARS[kind])
 
+    def skip(self, n: int) -> None:
+        if self.file.tell() + n > self.size:
+            raise ValueError("a value runs beyond the file")
+        self.file.seek(n, io.SEEK_CUR)
+
 
-def parse(data: bytes) -> dict:
-    """Version, metadata as key: (type, value), tensors (name, dimensions, type, offset) and where their data begins."""
-    if data[:4] != MAGIC:
+def counts(file: BinaryIO, size: int) -> tuple[int, int, int]:
+    """Version, tensors and metadata values, from the first 24 bytes."""
+    if file.read(4) != MAGIC:
         raise ValueError("not a GGUF file")
-    r = Reader(data)
-    r.at = 4
-    version, tensors, values = r.take("I"), r.take("Q"), r.take("Q")
+    r = Reader(file, size)
+    return r.take("I"), r.take("Q"), r.take("Q")
+
+
+def parse(file: BinaryIO, size: int, first: int = 0, last: int | None = None) -> dict:
+    """Version, metadata as key: (type, value), tensors (name, dimensions, type, offset) first to last of all, and where their data begins."""
+    version, tensors, values = counts(file, size)
+    r = Reader(file, size)
     metadata = {}
     for _ in range(values):
         key, kind = r.text(), r.take("I")
         metadata[key] = (kind, r.value(kind))
     found = []
-    for _ in range(tensors):
+    for place in range(tensors):
         name = r.text()
         dimensions = [r.take("Q") for _ in range(r.take("I"))]
-        found.append({"name": name, "dimensions": dimensions, "type": r.take("I"), "offset": r.take("Q")})
-    return {"version": version, "metadata": metadata, "tensors": found, "data_offset": -(-r.at // ALIGNMENT) * ALIGNMENT}
+        tensor = {"place": place, "name": name, "dimensions": dimensions, "type": r.take("I"), "offset": r.take("Q")}
+        if first <= place and (last is None or place < last):
+            found.append(tensor)
+    return {"version": version, "metadata": metadata, "tensors": found, "data_offset": -(-file.tell() // ALIGNMENT) * ALIGNMENT}
 
 
 def architecture(metadata: dict) -> dict:
@@ -85,22 +112,30 @@ def architecture(metadata: dict) -> dict:
     return out | {"vocab_size": next(x for x in words if x is not None)}
 
 
-def sample(data: bytes, tensor: dict, data_offset: int, compat: bool = False) -> np.ndarray:
+def gather(file: BinaryIO, size: int, places: np.ndarray, width: int) -> np.ndarray:
+    """Rows of width bytes at ascending places; those that run beyond the file are left out. Near places are read at once, far ones each by itself."""
+    places = places[places + width <= size]
+    if not len(places):
+        return np.zeros((0, width), np.uint8)
+    if (span := int(places[-1]) + width - int(places[0])) <= MOST_SPAN:
+        file.seek(int(places[0]))
+        return np.frombuffer(file.read(span), np.uint8)[(places - places[0])[:, None] + np.arange(width)]
+    rows = np.empty((len(places), width), np.uint8)
+    for k, at in enumerate(places.tolist()):
+        file.seek(at)
+        rows[k] = np.frombuffer(file.read(width), np.uint8)
+    return rows
+
+
+def sample(file: BinaryIO, size: int, tensor: dict, data_offset: int, compat: bool = False) -> np.ndarray:
     """Up to MOST_SAMPLES values of a tensor at even steps; finite ones only. compat reads BF16 as F16, as some tools do."""
-    begin, size = data_offset + tensor["offset"], int(np.prod(tensor["dimensions"], dtype=np.uint64)) if tensor["dimensions"] else 1
-    if begin >= len(data) or size == 0:
+    begin, values = data_offset + tensor["offset"], int(np.prod(tensor["dimensions"], dtype=np.uint64)) if tensor["dimensions"] else 1
+    if begin >= size or values == 0:
         return np.zeros(0)
-    many = min(MOST_SAMPLES, size)
-    step = max(1, size // many)
+    many = min(MOST_SAMPLES, values)
+    step = max(1, values // many)
     kind = tensor["type"]
-
-    def strided(dtype: str, count: int, bytes_apart: int) -> np.ndarray:
-        width = np.dtype(dtype).itemsize
-        places = begin + np.arange(count) * bytes_apart
-        places = places[places + width <= len(data)]
-        raw = np.frombuffer(data, np.uint8)[places[:, None] + np.arange(width)]
-        return np.ascontiguousarray(raw).view(dtype).ravel()
-
+    strided = lambda dtype, count, apart: np.ascontiguousarray(gather(file, size, begin + np.arange(count, dtype=np.int64) * apart, np.dtype(dtype).itemsize)).view(dtype).ravel()
     if kind == F32:
         x = strided("<f4", many, 4 * step).astype(float)
         return x[np.isfinite(x) & (np.abs(x) < 1e6)]
@@ -109,11 +144,9 @@ def sample(data: bytes, tensor: dict, data_offset: int, compat: bool = False) ->
         x = raw.view(np.float16).astype(float) if kind == F16 or compat else (raw.astype(np.uint32) << 16).view(np.float32).astype(float)
         return x[np.isfinite(x)]
     if kind in Q4_TYPES or kind in Q8_TYPES:
-        width, values = (Q4_BYTES, 4) if kind in Q4_TYPES else (Q8_BYTES, 8)
-        blocks = np.arange(0, -(-size // BLOCK), max(1, step // BLOCK))[:MOST_BLOCKS]
-        places = begin + blocks * width
-        places = places[places + width <= len(data)]
-        rows = np.frombuffer(data, np.uint8)[places[:, None] + np.arange(2 + values)]
+        width, many = (Q4_BYTES, 4) if kind in Q4_TYPES else (Q8_BYTES, 8)
+        blocks = np.arange(0, -(-values // BLOCK), max(1, step // BLOCK))[:MOST_BLOCKS]
+        rows = gather(file, size - (width - 2 - many), begin + blocks * width, 2 + many)  # whole blocks only
         scale = np.ascontiguousarray(rows[:, :2]).view("<f2").astype(float)
         packed = rows[:, 2:]
         quants = np.stack([packed & 15, packed >> 4], 2).reshape(len(rows), -1).astype(int) - 8 if kind in Q4_TYPES else np.ascontiguousarray(packed).view(np.int8).astype(int)
@@ -134,24 +167,101 @@ def fold(samples: list[tuple[str, np.ndarray]], dimension: int) -> np.ndarray:
     return out / length if length > 1e-8 else out
 
 
-def read_models(files: DataFrame, compat: bool = False) -> DataFrame:
-    """A row for each tensor of each file of a binaryFile source: path, architecture, tensor, and its samples. A file that can't be read gives one row with its error."""
-    shape = pa.struct([("model_type", pa.string()), *((k, pa.int64()) for k in ("n_layers", "embedding_dim", "vocab_size", "n_heads", "ffn_dim"))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "architecture", "place", "tensor", "dimensions", "tensor_type", "samples", "error"]
-        kinds = [pa.string(), shape, pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.float64()), pa.string()]
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                try:
-                    model = parse(content)
-                    arch = architecture(model["metadata"])
-                    rows = [(path, arch, k, t["name"], t["dimensions"], t["type"], sample(content, t, model["data_offset"], compat).tolist(), None) for k, t in enumerate(model["tensors"])]
-                except (ValueError, struct.error, UnicodeDecodeError) as e:
-                    rows = [(path, None, None, None, None, None, None, str(e))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds], names)
-
-    return files.select("path", "content").mapInArrow(run, "path string, architecture struct<model_type:string,n_layers:long,embedding_dim:long,vocab_size:long,n_heads:long,ffn_dim:long>, place long, tensor string, dimensions array<long>, tensor_type long, samples array<double>, error string")
+ARCHITECTURE = ("n_layers", "embedding_dim", "vocab_size", "n_heads", "ffn_dim")
+SCHEMA = f"path string, architecture struct<model_type:string,{','.join(f'{k}:long' for k in ARCHITECTURE)}>, place long, tensor string, dimensions array<long>, tensor_type long, samples array<double>, error string"
+
+
+@dataclass
+class TensorRange(InputPartition):
+    """Tensors first to last of a file; error: why its beginning can't be read."""
+
+    path: str
+    size: int
+    first: int
+    last: int
+    error: str | None = None
+
+
+class GgufReader(DataSourceReader):
+    def __init__(self, options: dict):
+        if not options.get("path"):
+            raise ValueError("load() needs the path of a file or folder")
+        self.path, self.tensors, self.compat = options["path"], int(options.get("tensors", RANGE_TENSORS)), options.get("compat", "false").lower() == "true"
+
+    def partitions(self) -> list[TensorRange]:
+        """Ranges of all files. Of each, 24 bytes are read here; each task reads on in the header to its own range."""
+        system, root = FileSystem.from_uri(self.path) if "://" in self.path else (LocalFileSystem(), self.path.removeprefix("file:"))
+        info = system.get_file_info(root)
+        files = [info] if info.is_file else [x for x in system.get_file_info(FileSelector(root)) if x.is_file and not x.base_name.startswith((".", "_"))]
+        out = []
+        for x in sorted(files, key=lambda x: x.path):
+            try:
+                with system.open_input_file(x.path) as file:
+                    n = counts(file, x.size)[1]
+                out += [TensorRange(x.path, x.size, k, min(n, k + self.tensors)) for k in range(0, max(1, n), self.tensors)]
+            except (ValueError, struct.error) as e:
+                out.append(TensorRange(x.path, x.size, 0, 0, str(e)))
+        return out or [TensorRange("", 0, 0, 0)]
+
+    def read(self, part: TensorRange) -> Iterator[pa.RecordBatch]:
+        if not part.path:
+            return
+        rows: list[tuple] = []
+        try:
+            if part.error:
+                raise ValueError(part.error)
+            system = FileSystem.from_uri(self.path)[0] if "://" in self.path else LocalFileSystem()
+            with system.open_input_file(part.path) as file:
+                model = parse(BufferedHeader(file), part.size, part.first, part.last)
+                arch = architecture(model["metadata"])
+                for t in model["tensors"]:
+                    rows.append((part.path, arch, t["place"], t["name"], t["dimensions"], t["type"], sample(file, part.size, t, model["data_offset"], self.compat).tolist(), None))
+        except (ValueError, struct.error, UnicodeDecodeError) as e:
+            rows = [(part.path, None, None, None, None, None, None, str(e))] * (part.first == 0)
+        kinds = [pa.string(), pa.struct([("model_type", pa.string()), *((k, pa.int64()) for k in ARCHITECTURE)]), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.float64()), pa.string()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "architecture", "place", "tensor", "dimensions", "tensor_type", "samples", "error"])
+
+
+class BufferedHeader:
+    """A file's beginning read by blocks: a header has many small values."""
+
+    def __init__(self, file, block: int = 1 << 16):
+        self.file, self.block, self.at, self.held, self.begin = file, block, 0, b"", 0
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, n: int, whence: int = io.SEEK_CUR) -> None:
+        self.at = self.at + n if whence == io.SEEK_CUR else n
+
+    def read(self, n: int) -> bytes:
+        if not self.begin <= self.at <= self.at + n <= self.begin + len(self.held):
+            self.file.seek(self.at)
+            self.begin, self.held = self.at, self.file.read(max(n, self.block))
+        out = self.held[self.at - self.begin : self.at - self.begin + n]
+        self.at += n
+        return out
+
+
+class Gguf(DataSource):
+    """spark.read.format("gguf").load(path): a row for each tensor of the files of a folder, with its samples, or one with the error of a file that can't be read. A task has `tensors` tensors of
+    one file, whose samples it seeks; no file is held, so their size has no bound. Paths are those of pyarrow's file systems. Option compat: see sample()."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "gguf"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> GgufReader:
+        return GgufReader(self.options)
+
+
+def read_models(spark: SparkSession, path: str, compat: bool = False, tensors: int | None = None) -> DataFrame:
+    spark.dataSource.register(Gguf)
+    return spark.read.format("gguf").option("compat", str(compat).lower()).option("tensors", tensors or RANGE_TENSORS).load(path)
 
 
 def layer_groups(tensors: DataFrame) -> DataFrame:

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.window import Window
 
+from graphloom.common import partitions
 from graphloom.functions.rules import ACTIVE_UPLOADS, overall_progress, upload_progress
 
 SESSION_HOURS = 24
@@ -52,11 +60,104 @@ def verified(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"sha256": sha, "valid": F.coalesce(sha == F.lower("checksum"), F.lit(True))})
 
 
-def reassembled(chunks: DataFrame) -> DataFrame:
-    """upload_id, size, sha256 and content of each upload, its chunks in order, each once. A file is one row, so uploads must fit a task; larger ones are kept as chunk rows."""
-    once = chunks.groupBy("upload_id", "chunk").agg(F.min("data").alias("data"))
-    whole = once.groupBy("upload_id").agg(F.expr("listagg(data) within group (order by chunk)").alias("content"))
-    return whole.select("upload_id", F.octet_length("content").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
+@dataclass
+class Written(WriterCommitMessage):
+    """Bytes that a task wrote of each upload, and where the last of them end."""
+
+    parts: dict[str, tuple[int, int]]
+
+
+class UploadWriter(DataSourceArrowWriter):
+    def __init__(self, options: dict):
+        folder, self.suffix = options.get("path", ""), options.get("suffix", "")
+        if "://" in folder and not folder.startswith("file://"):
+            raise ValueError("parts are written by position, which this file system can't")
+        self.folder = folder.removeprefix("file://").removeprefix("file:")
+
+    def _path(self, upload: str, end: str) -> str:
+        if not upload or "/" in upload or upload.startswith("."):
+            raise ValueError(f"no name for an upload: {upload!r}")
+        return os.path.join(self.folder, upload + end)
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        """Puts each part at its place in the upload's unfinished file. A task that runs again writes the same bytes to the same places."""
+        os.makedirs(self.folder, exist_ok=True)
+        parts: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            for upload, at, data in zip(batch.column("upload_id"), batch.column("position"), batch.column("data"), strict=True):
+                upload, at, data = str(upload.as_py()), at.as_py(), data.as_buffer()
+                file = os.open(self._path(upload, ".part"), os.O_WRONLY | os.O_CREAT, 0o644)
+                try:
+                    done = 0
+                    while done < data.size:
+                        done += os.pwrite(file, data.slice(done), at + done)
+                finally:
+                    os.close(file)
+                size, end = parts.get(upload, (0, 0))
+                parts[upload] = size + data.size, max(end, at + data.size)
+        return Written(parts)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        """Gives all uploads their names, if none has a hole; else all stay unfinished."""
+        total: dict[str, tuple[int, int]] = {}
+        for message in messages:
+            for upload, (size, end) in (message.parts if message else {}).items():
+                a, b = total.get(upload, (0, 0))
+                total[upload] = a + size, max(b, end)
+        short = sorted(upload for upload, (size, end) in total.items() if size != end)
+        if short:
+            raise ValueError(f"parts are missing or given twice: {', '.join(short[:5])}")
+        for upload, (_, end) in total.items():
+            os.truncate(self._path(upload, ".part"), end)
+            os.replace(self._path(upload, ".part"), self._path(upload, self.suffix))
+
+    def abort(self, messages: list[Written | None]) -> None:
+        """Unfinished files stay, as a later write may complete them; see partial_uploads."""
+
+
+class Uploads(DataSource):
+    """df.write.format("uploads").save(folder): rows (upload_id, position, data) as files, each part put to its place by the task that has it, so that neither a file nor its parts meet in a task.
+    The folder is one that all executors share. Option suffix: the end of the files' names."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "uploads"
+
+    def writer(self, schema, overwrite: bool) -> UploadWriter:
+        return UploadWriter(self.options)
+
+
+def assemble(chunks: DataFrame, folder: str, chunk_size: int | None = None, suffix: str = "") -> None:
+    """Writes chunk rows (upload_id, chunk, data) as files. Of a chunk that arrives again the one of the least digest counts. With chunk_size, a chunk's place is its number times that, and holes are refused; without,
+    places add up over the sizes of the chunks before."""
+    spark = chunks.sparkSession
+    spark.dataSource.register(Uploads)
+    digest = F.sha2("data", 256)
+    rows = chunks.groupBy("upload_id", "chunk").agg(F.min_by("data", digest).alias("data"))
+    if chunk_size is None:
+        sizes = chunks.groupBy("upload_id", "chunk").agg(F.min(F.struct(digest.alias("d"), F.octet_length("data").alias("size"))).alias("f")).select("upload_id", "chunk", "f.size")
+        place = F.sum("size").over(Window.partitionBy("upload_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))  # of numbers, not of data
+        rows = rows.join(sizes.select("upload_id", "chunk", F.coalesce(place, F.lit(0)).alias("position")), ["upload_id", "chunk"])
+    else:
+        rows = rows.withColumn("position", F.col("chunk").cast("long") * chunk_size)
+    rows.select(F.col("upload_id").cast("string"), F.col("position").cast("long"), F.col("data").cast("binary")).write.format("uploads").option("suffix", suffix).mode("append").save(folder)
+
+
+def digests(spark, folder: str, most_bytes: int = 4 << 20) -> DataFrame:
+    """path, size and sha256 of each file of a folder. A digest is of one stream: a task reads its files in order, most_bytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                digest, size = hashlib.sha256(), 0
+                with FileSystem.from_uri(path)[0].open_input_stream(FileSystem.from_uri(path)[1]) as file:
+                    while data := file.read(most_bytes):
+                        digest.update(data)
+                        size += len(data)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([digest.hexdigest()])], ["path", "size", "sha256"])
+
+    uri = F.regexp_replace("path", "^file:/+", "file:///")
+    return listing(spark, folder).select(uri.alias("path")).repartition(partitions(listing(spark, folder)), "path").mapInArrow(run, "path string, size long, sha256 string")
 
 
 def arrival_stream(arrivals: DataFrame, total_chunks: int, timeout: str = "24 hours") -> DataFrame:

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__
-from graphloom.plans import queries, store_queries
+from graphloom.plans import index_queries, queries, store_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -46,7 +46,7 @@ def answers(spark, request):
     pool.shutdown(cancel_futures=True)
 
 
-@pytest.mark.parametrize("name", sorted(queries.oracle_sql() | store_queries.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql() | store_queries.oracle_sql() | index_queries.oracle_sql()))
 def test_oracle(answers, duck, name):
     found, rows = answers[name].result()
     wanted = duck.sql(__spark_entry__.oracle_sql()[name])

@@ -55,7 +55,7 @@ def test_cache_replay_and_stream_agree(spark, tmp_path):
     assert len(got) == 3 and {k: max(r[k] for r in got) for k in ("hits", "misses")} == {k: whole[k] for k in ("hits", "misses")}
 
 
-def test_upload_sessions(spark):
+def test_upload_sessions(spark, tmp_path):
     now = dt.datetime(2024, 1, 3)
     sessions = spark.createDataFrame([(1, 10, "uploading", now), (2, 2, "uploading", now - dt.timedelta(hours=30)), (3, 0, "ready", now)], "upload_id long, total_chunks long, status string, created_at timestamp")
     arrivals = spark.createDataFrame([(1, 0), (1, 2), (1, 4), (1, 4), (2, 0), (2, 1)], "upload_id long, chunk long")
@@ -67,8 +67,9 @@ def test_upload_sessions(spark):
     data = [(1, 1, bytearray(b"lo"), None), (1, 0, bytearray(b"hel"), hashlib.sha256(b"hel").hexdigest().upper()), (1, 0, bytearray(b"hel"), "bad")]
     chunks = spark.createDataFrame(data, "upload_id long, chunk long, data binary, checksum string")
     assert sorted(r.valid for r in uploads.verified(chunks).collect()) == [False, True, True]
-    whole = uploads.reassembled(chunks).first()
-    assert bytes(whole.content) == b"hello" and whole.sha256 == hashlib.sha256(b"hello").hexdigest() and whole.size == 5
+    uploads.assemble(chunks, str(tmp_path), suffix=".bin")
+    whole = uploads.digests(spark, str(tmp_path)).first()
+    assert (tmp_path / "1.bin").read_bytes() == b"hello" and whole.sha256 == hashlib.sha256(b"hello").hexdigest() and whole.size == 5
 
 
 def test_arrival_stream(spark, tmp_path):
@@ -191,16 +192,16 @@ def test_gguf(spark, tmp_path):
     tensors = [("token_embd.weight", [4], 0, np.array([1, 2, np.inf, 4], "<f4").tobytes()), ("blk.0.attn_q.weight", [2, 3], 1, half.tobytes()), ("blk.1.ffn_up.weight", [4], 30, brain.tobytes()), ("blk.2.attn_k", [32], 8, q8), ("blk.2.mlp", [32], 2, struct.pack("<e", 2.0) + bytes(range(16)))]
     (tmp_path / "m.gguf").write_bytes(gguf_file(tensors, {}))
     (tmp_path / "bad.gguf").write_bytes(b"GGUF123")
-    files = spark.read.format("binaryFile").load(str(tmp_path))
-    rows = gguf.read_models(files).collect()
+    read = lambda: gguf.read_models(spark, str(tmp_path), tensors=2)
+    rows = read().collect()
     assert sum(r.error is not None for r in rows) == 1
     got = {r.tensor: r for r in rows if r.tensor}
     assert got["token_embd.weight"].architecture.asDict() == {"model_type": "llama", "n_layers": 12, "embedding_dim": 8, "vocab_size": 32000, "n_heads": 2, "ffn_dim": 16}
     assert got["token_embd.weight"].samples == [1, 2, 4] and got["blk.0.attn_q.weight"].samples == list(range(6)) and got["blk.1.ffn_up.weight"].samples == [0, 1, 2, 3]
     assert got["blk.2.attn_k"].samples == [0.5 * k for k in range(8)] and got["blk.2.mlp"].samples[:4] == [-16, -16, -14, -16]
-    groups = {(r.layer_start, r.layer_end, r.layer_type): r for r in gguf.layer_groups(gguf.read_models(files)).collect()}
+    groups = {(r.layer_start, r.layer_end, r.layer_type): r for r in gguf.layer_groups(read()).collect()}
     assert set(groups) == {(0, 0, "embedding"), (0, 1, "transformer"), (2, 3, "transformer")} and groups[0, 1, "transformer"].total_params == 10
-    vectors = gguf.group_vectors(gguf.layer_groups(gguf.read_models(files)), 16).collect()
+    vectors = gguf.group_vectors(gguf.layer_groups(read()), 16).collect()
     assert all(abs(sum(x * x for x in r.vector) - 1) < 1e-9 for r in vectors)
     with pytest.raises(ValueError):
         gguf.architecture({"general.architecture": (8, "llama")})
@@ -212,7 +213,7 @@ def test_convert_models(spark, tmp_path):
     tensors = [(f"blk.{k}.attn_q", [64], 0, (shared + rng.normal(size=64) * 0.1).astype("<f4").tobytes()) for k in range(12)]
     (tmp_path / "m.gguf").write_bytes(gguf_file(tensors, {}))
     (tmp_path / "bad.gguf").write_bytes(b"nothing")
-    status, nodes = api.convert_models(spark.read.format("binaryFile").load(str(tmp_path)), 32)
+    status, nodes = api.convert_models(spark, str(tmp_path), 32)
     assert sorted(r.status for r in status.collect()) == ["failed", "ready"]
     got = nodes.collect()
     roots = [r for r in got if r.parent_id is None]
