@@ -537,6 +537,25 @@ def test_lm_learns_from_all_training_documents(spark):
     assert sum(r.score for r in got) > 0.4 * sum(r.base_score for r in got)
 
 
+def test_lm_scores_do_not_depend_on_the_layout(spark):
+    """Texts in 2 and in 13 partitions, in another order; several groups and rounds."""
+    from graphloom.llm import lm
+
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words[k % 7 :: 7]) for _ in range(rng.randrange(20, 60))) for k in range(600)]
+    rows = list(enumerate(texts))
+    scores = []
+    for parts, order in ((2, rows), (13, rng.sample(rows, len(rows)))):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        scores.append({r.doc_id: r.score for r in lm.score_documents(df, group_tokens=3000, most_symbols=50).collect()})
+    assert len(scores[0]) == 600 and max(abs(scores[0][k] - scores[1][k]) for k in scores[0]) < 1e-2
+    assert [lm.rounds(n) for n in (1, 2, 6, 22, 60)] == [[(0, 1)], [(0, 1), (1, 2)], [(0, 1), (1, 6)], [(0, 1), (1, 5), (5, 22)], [(0, 1), (1, 5), (5, 21), (21, 60)]]
+    for n in range(1, 400):
+        ranges = lm.rounds(n)
+        assert ranges[0][0] == 0 and ranges[-1][1] == n and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
 def test_lm_symbols_grow_with_the_vocabulary():
     from graphloom.llm.lm import MOST_SYMBOLS, symbol_numbers
 
