@@ -23,6 +23,8 @@ from graphloom.llm.common import U64, gram_hashes, hash_strings, mix, split_word
 from graphloom.llm.repeats import PowerSums, cover, runs_of, with_hits
 
 ROUNDS, PLACE_BITS = 2, 26
+#: Words that are named at once; longer texts are cut. Their symbols fit PLACE_BITS.
+PIECE_WORDS = 1 << 24
 
 
 def name_symbols(h: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +83,19 @@ class WordRepeats:
         self.body_bytes = 18 * window
 
     def occurrences(self, texts: pa.Array):
-        w = self.window
         h, starts = word_hashes(texts)
+        if len(h) <= PIECE_WORDS:
+            return self._piece(h, starts, 0)
+        out = []  # a window's anchor depends on the window alone, so that pieces that overlap by all but one of its words have the same anchors
+        for row, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+            for at in range(a, max(a + 1, b - self.window + 1), PIECE_WORDS):
+                to = min(b, at + PIECE_WORDS + self.window - 1)
+                rows, key, ckey, s, n = self._piece(h[at:to], np.array([0, to - at]), row)
+                out.append((rows, key, ckey, s + (at - a), n))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _piece(self, h: np.ndarray, starts: np.ndarray, first: int):
+        w = self.window
         windows = np.maximum(np.diff(starts) - w + 1, 0)
         total = int(windows.sum())
         if not total:
@@ -111,7 +124,7 @@ class WordRepeats:
         at = np.maximum(c, 0)
         shift = 2 * row[edge]
         key = sums.of(np.where(c >= 0, lo[at] - shift, s), np.where(c >= 0, hi[at] - shift, s + w)) ^ mix((c >= 0).astype(U64) + U64(7))
-        return row[edge], key, ckey, s - starts[row[edge]], n
+        return row[edge] + first, key, ckey, s - starts[row[edge]], n
 
     def bodies(self, text: str, at: np.ndarray, n: np.ndarray) -> list[bytes]:
         words = text.encode().split()
@@ -144,7 +157,7 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text: str = "
     """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256, and with with_kept the text of the words that are left.
 
     Every word covered by a window of `window` words that starts anywhere else as well is removed. Null texts have no words; texts shorter than
-    the window lose nothing. Repeated rows are copies of each other. An empty table gives an empty result. Other columns aren't read.
+    the window lose nothing; texts longer than PIECE_WORDS are cut into overlapping pieces. Repeated rows are copies of each other. An empty table gives an empty result. Other columns aren't read.
     """
     kinds = dict(docs.dtypes)
     schema = f"doc_id {kinds[id_col]}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_kept

@@ -35,6 +35,8 @@ MOST_CHARS_PER_TOKEN = 2.0
 WORD_CHARS_PER_TOKEN = 2.5
 #: Most that the mean logarithm of the places of its pairs of letters is in a word of an unknown language; 9.1 in random letters.
 WORD_PAIR_RANK = 8.25
+#: A name that a key may be glued to: its length at most, and its characters per token at least; and the rank of pairs above which what follows is no word.
+NAME_MOST, NAME_CHARS_PER_TOKEN, NOISE_PAIR_RANK, NEAR_LEAST = 48, 3.5, 8.4, 1.15
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 WITHIN_UUID = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern.removeprefix('(?i)')}(?![A-Za-z0-9])", re.IGNORECASE)
@@ -87,6 +89,22 @@ def is_known(run: str, vocabulary: str) -> bool:
     return is_identifier(run, vocabulary)
 
 
+def is_name(text: str, vocabulary: str) -> bool:
+    """Whether a run's beginning is a name as programs have them: words that the vocabulary knows, each a token or nearly so."""
+    pieces = PIECE.findall(text)
+    return text.isascii() and text.isalpha() and all(len(x) >= 2 for x in pieces) and len(text) >= NAME_CHARS_PER_TOKEN * sum(len(encoding(vocabulary).encode_ordinary(x)) for x in pieces)
+
+
+def is_noise(text: str, vocabulary: str, ratio: float) -> bool:
+    """Whether the rest of such a run is no word of any language and takes many tokens."""
+    if is_known(text, vocabulary) or chars_per_token(text, vocabulary) > ratio:
+        return False
+    letters = [x for x in PIECE.findall(text) if not x[0].isdigit()]
+    rank = pair_ranks(vocabulary)
+    pairs = [rank.get(x[k : k + 2], rank[""]) for x in map(str.lower, letters) for k in range(len(x) - 1)]
+    return not pairs or sum(pairs) > NOISE_PAIR_RANK * len(pairs) or 4 * len(letters) > len(text)
+
+
 def random_stretches(run: str, vocabulary: str, ratio: float) -> list[tuple[int, int, float]]:
     """(start, end, characters per token) of what is random in a run without base spans.
 
@@ -100,6 +118,15 @@ def random_stretches(run: str, vocabulary: str, ratio: float) -> list[tuple[int,
         per_token = chars_per_token(part, vocabulary)
         return [(a, b, per_token)] if per_token <= ratio else []
 
+    def behind_name(a: int, b: int) -> list[tuple[int, int, float]]:
+        """What is random behind a name of cheap words that it is glued to: of all such places the first that leaves hardly more characters per token than any."""
+        tries = []
+        for at in range(a + WORD_LEAST, min(b - RUN_LEAST, a + NAME_MOST) + 1):
+            if is_name(run[a:at], vocabulary) and is_noise(run[at:b], vocabulary, ratio):
+                tries.append((chars_per_token(run[at:b], vocabulary), at))
+        near = [(at, b, x) for x, at in tries if x <= NEAR_LEAST * min(tries)[0]]
+        return near[:1]
+
     def is_cut(part: str) -> bool:
         if len(part) in DIGEST_LENGTHS and re.fullmatch("(?i)[0-9a-f]+", part):
             return True
@@ -117,6 +144,8 @@ def random_stretches(run: str, vocabulary: str, ratio: float) -> list[tuple[int,
     for x in filter(None, stretches):
         end = x[-1][1] + len(re.match("=*", run[x[-1][1] :])[0])  # padding
         found += test(x[0][0], end) or [y for a, b in x for y in test(a, b)]
+    if not found:
+        found = [y for a, b in parts for y in behind_name(a, len(run)) or behind_name(a, b)]
     return found or (test(0, len(run)) if not whole else [])
 
 

@@ -631,3 +631,26 @@ def test_anchors_of_texts_cut_into_pieces(monkeypatch):
     whole = anchors()
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     assert anchors() == whole and len(whole) > 7000
+
+
+def test_word_windows_of_texts_cut_into_pieces(monkeypatch):
+    """A text of many pieces has the anchors that it has whole, window by window."""
+    from graphloom.llm import recompression
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(30)]
+    texts = pa.array([prose_of(rng, n, words) for n in (900, 20, 0, 35, 36)] + ["the " * 200, None])
+
+    def anchors():
+        rows, key, _, s, n = recompression.WordRepeats().occurrences(texts)
+        return {(r, at): k for r, k, a, m in zip(rows.tolist(), key.tolist(), s.tolist(), n.tolist(), strict=True) for at in range(a, a + m)}
+
+    whole = anchors()
+    assert len(whole) == 866 + 1 + 2 + 166
+    for size in (1, 50, 100, 866):
+        monkeypatch.setattr(recompression, "PIECE_WORDS", size)
+        assert anchors() == whole
+
+
+def prose_of(rng, n, words):
+    return " ".join(rng.choice(words) for _ in range(n))
