@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.common import written
 from graphloom.operators.cluster import ClusterConfig, decisions, described, lowest_items, merged, next_items, resolved, tree_of
-from graphloom.operators.search import top_k_each
+from graphloom.operators.search import similar_pairs, top_k_each
 
 ITEMS, PAIRS, LOG, FOUND = "`group` string, id string, vector array<double>, text string", "a string, b string, `group` string, similarity double", "id string, other string, fits boolean, similarity double, size long", "`group` string, id string, first string"
 CLUSTERS = "`group` string, first string, cluster_id string, depth int, members array<string>, vector array<double>, text string, internal_similarity double"
@@ -81,6 +81,13 @@ def cuts(pairs: DataFrame, changed: DataFrame) -> DataFrame:
 
 def grow_level(old: Level, added: DataFrame, gone: DataFrame, depth: int, config: ClusterConfig) -> tuple[Level, DataFrame, tuple[int, int, int]]:
     """The level after some ids are gone and items are added (one that changes is both); the first members of clusters that were described again or fell away; its work."""
+    if old.found.isEmpty() and old.pairs.isEmpty():  # nothing that could stand
+        pairs = written(similar_pairs(added, config.threshold, "group", "id").select("a", "b", "group", "similarity"))
+        log = decisions(pairs, config.largest_size)
+        found = resolved(added.select("group", "id"), log, config).withColumnRenamed("cluster", "first")
+        found = written((merged(found) if depth else found).select("group", "id", "first"))
+        size = pairs.count()
+        return Level(added, pairs, log, found, written(described(added, found, depth))), found.select("first").distinct(), (depth, size, size)
     without = lambda df, *ends: df.join(gone.withColumnRenamed("id", ends[0]), ends[0], "left_anti") if len(ends) == 1 else without(without(df, ends[0]), ends[1])
     items = written(without(old.items, "id").unionByName(added))
     kept = written(without(old.pairs, "a", "b"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.common import partitions, written
+from graphloom.common import partitions
 from graphloom.functions.vectors import cosine_to, euclidean
 
 #: Queries in a block, and vectors in one of the all-pairs product.
@@ -89,8 +89,8 @@ def top_k_each(rows: DataFrame, queries: DataFrame, k: int | None, id_col: str =
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query").alias(query_id), F.col("id").alias(id_col), "similarity", "rank")
 
 
-def _pairs_of(table: pa.Table, left: np.ndarray, right: np.ndarray, least: float, half: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The smaller and greater id and the similarity of pairs of rows at or above a threshold, one from each side; half: of one side with itself, each pair once."""
+def _pairs_of(table: pa.Table, left: np.ndarray, right: np.ndarray, least: float, half: bool, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smaller and greater id and the similarity of pairs of rows at or above a threshold, one from each side; half: of one side with itself, each pair once; apart: only pairs that differ in this."""
     ids = np.array(table.column("id").to_pylist())
     dimension = max((len(x) for x in table.column("vector").to_pylist()), default=0)
     unit = _unit(table.column("vector").combine_chunks(), dimension)
@@ -98,6 +98,8 @@ def _pairs_of(table: pa.Table, left: np.ndarray, right: np.ndarray, least: float
     hit = s >= least
     if half:
         hit &= ids[left][:, None] < ids[right][None, :]
+    if apart is not None:
+        hit &= apart[left][:, None] != apart[right][None, :]
     x, y = np.nonzero(hit)
     a, b = ids[left[x]], ids[right[y]]
     swap = a > b
@@ -126,23 +128,21 @@ def similar_pairs(rows: DataFrame, least: float, group: str | None = None, id_co
 
 
 def similar_across(rows: DataFrame, least: float, group: str = "namespace", id_col: str = "node_id", vector: str = "vector") -> DataFrame:
-    """a, b and similarity of all pairs a < b of rows of different groups at or above a threshold: pairs of blocks of two groups, so that pairs within one are never made. Null vectors and groups are in none."""
+    """a, b and similarity of all pairs a < b of rows of different groups at or above a threshold. Null vectors and groups are in none. Rows are dealt into blocks by a hash of their ids, whatever their group, and
+    each row goes to the products of its block with every other; pairs within a group are masked there."""
     base = rows.filter(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(id_col).alias("id"), F.col(group).alias("group"), F.col(vector).alias("vector"))
-    sizes = base.groupBy("group").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))
-    blocks = sizes.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    blocks = written(blocks.select("group", "block", F.lit(1).alias("one")))
-    work = blocks.join(blocks.select(F.col("group").alias("group2"), F.col("block").alias("block2"), "one"), "one").filter("group < group2")  # rows / VECTOR_BLOCK each: the list of products
-    pair = F.xxhash64("group", "block", "group2", "block2").alias("pair")
-    sides = work.select(pair, F.posexplode(F.array(F.struct("group", "block"), F.struct(F.col("group2").alias("group"), F.col("block2").alias("block")))).alias("side", "at")).select("pair", "side", "at.group", "at.block")
-    placed = base.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).join(sides, ["group", "block"]).select("pair", "side", "id", "vector")
+    blocks = max(1, -(-base.count() // VECTOR_BLOCK))
+    mine = base.withColumn("mine", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "group", "vector", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     kind = dict(rows.dtypes)[id_col]
 
     def compare(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        a, b, s = _pairs_of(table, np.flatnonzero(side == 0), np.flatnonzero(side == 1), least, False)
+        own, i, j = table.column("mine").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        groups = table.column("group").combine_chunks().dictionary_encode().indices.to_numpy()
+        a, b, s = _pairs_of(table, np.flatnonzero(own == i), np.flatnonzero(own == j), least, i == j, groups)
         return pa.table({"a": pa.array(a.tolist(), table.schema.field("id").type), "b": pa.array(b.tolist(), table.schema.field("id").type), "similarity": pa.array(s)})
 
-    return placed.repartition(partitions(rows), "pair").groupBy("pair").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    return dealt.repartition(partitions(rows), "i", "j").groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def similarity_matrix(rows: DataFrame, group: str | None = None, id_col: str = "node_id", vector: str = "vector", least: float = -1.0) -> DataFrame:

@@ -85,17 +85,18 @@ def file_gates(files: DataFrame, settings: IngestionSettings = IngestionSettings
     return files.withColumn("refused", F.when(F.col("length") < 1, "empty").when(F.col("length") > settings.max_file_size, "too large").when(~extension.isin(*allowed), "type not allowed"))
 
 
-def ingest_files(files: DataFrame, embedder: Embedder | None = None, namespace: str = GLOBAL, most_bytes: int = 50 << 20, decoders: dict[str, Callable[[Column], Column]] | None = None, **chunking) -> tuple[DataFrame, DataFrame]:
-    """Nodes of a binaryFile source, and a report: path, file_type, warning. Text is decoded here; PDF and images by `decoders` where given, else they get a warning and no nodes. A
-    PDF decoder gets only what begins as a PDF. Of columns that a form adds, tags (see file_tags) go before the chunk's own tag, and language is kept."""
-    typed = files.filter(F.col("length").between(1, most_bytes)).withColumn("file_type", t.file_type(F.col("path")))
-    typed = typed.filter((F.col("file_type") != "pdf") | is_pdf(F.col("content")) | F.lit("pdf" not in (decoders or {})))
+def ingest_files(files: DataFrame, embedder: Embedder | None = None, namespace: str = GLOBAL, settings: IngestionSettings = IngestionSettings(), decoders: dict[str, Callable[[Column], Column]] | None = None, **chunking) -> tuple[DataFrame, DataFrame]:
+    """Nodes of a binaryFile source, and a report: path, file_type, warning. Files that the settings refuse (see file_gates) have only a warning. Text is decoded here; PDF and images by `decoders`
+    where given, else they get a warning and no nodes. A PDF decoder gets only what begins as a PDF. Of columns that a form adds, tags (see file_tags) go before the chunk's own tag, and language
+    is kept."""
+    gated = file_gates(files, settings).withColumn("file_type", t.file_type(F.col("path")))
+    typed = gated.filter("refused is null").filter((F.col("file_type") != "pdf") | is_pdf(F.col("content")) | F.lit("pdf" not in (decoders or {})))
     text = typed.filter("file_type = 'text'").withColumn("d", t.decode_bytes(F.col("content"))).select("path", "file_type", t.squeeze(t.unix_lines(F.col("d.text"))).alias("text"), F.when(F.col("d.lossy"), "some characters could not be decoded").alias("warning"))
     for kind, decode in (decoders or {}).items():
         own = typed.filter(F.col("file_type") == kind).select("path", "file_type", t.clean_extracted(decode(F.col("content")), kind == "image").alias("text"), F.lit(None).cast("string").alias("warning"))
         text = text.unionByName(own)
     left = typed.filter(~F.col("file_type").isin("text", *(decoders or {}))).select("path", "file_type", F.lit("no decoder for this type").alias("warning"))
-    report = text.select("path", "file_type", "warning").unionByName(left)
+    report = text.select("path", "file_type", "warning").unionByName(left).unionByName(gated.filter("refused is not null").select("path", "file_type", F.col("refused").alias("warning")))
     nodes = ingest_documents(text.select(F.col("path").alias("doc_id"), "text", F.col("path").alias("source")), embedder, namespace, **chunking)
     asked = [c for c in ("tags", "language") if c in files.columns]
     if asked:

@@ -347,9 +347,9 @@ def results_above_score(spark, d):
     return tables.search_results(spark, d).filter("score >= 0.7").select("page_id", "score")
 
 
-@query("SELECT item_id AS query_id, p AS position, round(0.9 - 0.1 * p, 6) AS score, s || ' - ' || q AS title FROM (SELECT item_id, replace(substring(text, 1, 20), chr(10), ' ') AS q FROM benchmark), (SELECT unnest(['Wikipedia', 'Stack Overflow', 'GitHub', 'Documentation', 'Blog Post']) AS s, unnest([0, 1, 2, 3, 4]) AS p) WHERE trim(q) <> ''")
+@query("SELECT item_id AS query_id, p AS position, round(0.9 - 0.1 * p, 6) AS score, s || ' - ' || q AS title FROM (SELECT item_id, replace(text, chr(10), ' ') AS q FROM benchmark), (SELECT unnest(['Wikipedia', 'Stack Overflow', 'GitHub', 'Documentation', 'Blog Post']) AS s, unnest([0, 1, 2, 3, 4]) AS p) WHERE trim(q) <> ''")
 def mock_search(spark, d):
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.replace(F.substring("text", 1, 20), F.lit("\n"), F.lit(" ")).alias("query"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("query"))
     return api.mock_search(asked).select("query_id", "position", "score", "title")
 
 
@@ -388,6 +388,15 @@ def average_sizes(spark, d):
     return full.groupBy("lang").agg(F.count("*").alias("n"), F.floor(F.sum(F.octet_length("text").cast("long")) / F.count("*")).alias("average_size"))
 
 
+@query(f"""WITH RECURSIVE chunks AS ({oracles.chunks(1000, 200, 100, chunk.LOOK_BACK, chunk.LOOK_AHEAD, chunk.BREAKS)})
+SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS documents, CAST(sum(strlen(content)) // count(*) AS BIGINT) AS average_size, CAST(max(strlen(content)) AS BIGINT) AS largest FROM chunks JOIN documents USING (doc_id) GROUP BY 1""")
+def average_chunk_sizes(spark, d):
+    docs = table(spark, d, "documents")
+    size = F.octet_length("content").cast("long")
+    parts = chunked(docs).join(docs.select("doc_id", "lang"), "doc_id")
+    return parts.groupBy("lang").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"), F.floor(F.sum(size) / F.count("*")).alias("average_size"), F.max(size).alias("largest"))
+
+
 # --- clusters and paths ----------------------------------------------------------------------------------------------------------------
 
 
@@ -608,10 +617,17 @@ def ingest_chunked(spark, d):
     return found.select("node_id", "doc_id", "source", F.array_join("tags", ",").alias("tag"), F.size("vector").alias("dimension"), F.md5("content").alias("digest"))
 
 
-@query(f"WITH {NODES} SELECT node_id AS related_to, CAST(5 AS BIGINT) AS n_sources FROM nodes WHERE status = 'incomplete' AND trim(content) <> ''")
+#: The mock provider's answers to a question q, put together: addresses, and what is said of each.
+SITES = "sites AS (SELECT unnest(['Wikipedia', 'Stack Overflow', 'GitHub', 'Documentation', 'Blog Post']) AS site, unnest(['https://en.wikipedia.org', 'https://stackoverflow.com', 'https://github.com', 'https://docs.rs', 'https://medium.com']) AS base, unnest([0, 1, 2, 3, 4]) AS p)"
+
+
+@query(rf"""WITH {NODES}, {SITES}, asked AS (SELECT node_id, content, array_to_string(list_slice(list_filter(regexp_split_to_array(substring(content, 1, 100), '\s+'), lambda x: x <> ''), 1, 10), ' ') AS q FROM nodes WHERE status = 'incomplete'),
+told AS (SELECT node_id, content, q, site, p, base || '/search?q=' || replace(q, ' ', '+') AS url FROM asked, sites WHERE trim(q) <> '')
+SELECT node_id AS related_to, count(*) AS n_sources, md5('# Synthesized Knowledge' || chr(10) || chr(10) || '**Original Query:** ' || any_value(content) || chr(10) || chr(10) || '**Sources:**' || chr(10) || string_agg('- ' || url, chr(10) ORDER BY p) || chr(10) || chr(10) || '**Combined Information:**' || chr(10)
+  || string_agg('• ' || site || ' - ' || q || ' (' || url || ')' || chr(10) || 'This is a mock search result for ' || chr(39) || q || chr(39) || '. It contains relevant information about the topic and provides context for the REM phase synthesis.', chr(10) || chr(10) ORDER BY p)) AS digest FROM told GROUP BY 1""")
 def synthesize(spark, d):
     rows = tables.nodes(spark, d).filter("status = 'incomplete'").select("node_id", "content")
-    return api.synthesize(rows).select("related_to", "n_sources")
+    return api.synthesize(rows).select("related_to", "n_sources", F.md5("content").alias("digest"))
 
 
 @query(f"""WITH RECURSIVE {_built(3)}, p AS (SELECT grp AS namespace, count(*) AS parents FROM tree WHERE depth > 0 GROUP BY 1), e AS (SELECT namespace, count(*) AS made FROM links WHERE namespace IS NOT NULL GROUP BY 1)

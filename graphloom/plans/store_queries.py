@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import scratch, written
-from graphloom.config import CacheSettings, ChatSettings, EmbeddingSettings, IngestionSettings, RemSettings, StoreSettings, SummarizerSettings, WebSearchSettings
+from graphloom.config import CacheSettings, ChatSettings, EmbeddingSettings, IngestionSettings, RemSettings, StoreSettings
 from graphloom.errors import Conflict, EngineError, InvalidRequest, NotFound, ProviderFailed, StoreFailed, TooLarge, Unavailable
 from graphloom.functions import rules, text, vectors
 from graphloom.operators import chunk, paths, search
@@ -52,9 +52,11 @@ def _node_rows(spark: SparkSession, d: str) -> DataFrame:
 # --- store -----------------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'global_knowledge' AS name, 'global' AS namespace_type, CAST(1 AS BIGINT) AS n, true AS healthy, CAST(0 AS BIGINT) AS nodes FROM region LIMIT 1")
+@query(f"WITH {NODES} SELECT 'global_knowledge' AS name, 'global' AS namespace_type, CAST(1 AS BIGINT) AS n, true AS healthy, count(*) AS nodes FROM nodes")
 def store_initialised(spark, d):
+    """A store that is initialised again after nodes were added: they stay, and the global namespace is there once."""
     store = _store(spark)
+    store.append("nodes", _node_rows(spark, d))
     store.initialise()
     healthy, nodes = store.healthy(), store.read("nodes").count()
     return store.read("namespaces").groupBy("name", "namespace_type").agg(F.count("*").alias("n")).withColumns({"healthy": F.lit(healthy), "nodes": F.lit(nodes).cast("long")})
@@ -142,7 +144,7 @@ def health_states(spark, d):
     return table(spark, d, "nation").select(k.cast("int").alias("k"), rules.health(k % 2 == 0, k % 3 == 0).alias("status"))
 
 
-@query("SELECT 'no' AS store, 'healthy' AS status, true AS database, true AS llm UNION ALL SELECT 'good', 'degraded', true, false UNION ALL SELECT 'bad', 'degraded', false, true")
+@query(f"WITH {NODES}, h AS (SELECT 'no' AS store, 'healthy' AS status, true AS database, true AS llm UNION ALL SELECT 'good', 'degraded', true, false UNION ALL SELECT 'bad', 'degraded', false, true) SELECT h.*, CASE WHEN store = 'good' THEN (SELECT count(*) FROM nodes) END AS nodes FROM h")
 def store_health(spark, d):
     """Health with a store that answers, and with one below a file, which can't."""
     good, base = Repository(spark, scratch(spark)), scratch(spark)
@@ -150,7 +152,10 @@ def store_health(spark, d):
     file = next(x.getPath().toString() for x in good._path(base).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(base)) if x.getPath().getName().endswith(".parquet"))
     rows = [("no", None, True), ("good", good, False), ("bad", Repository(spark, f"{file}/below"), True)]
     found = [api.system_health(spark, s, m).select(F.lit(n).alias("store"), "status", "database", "llm") for n, s, m in rows]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    good.initialise()
+    good.append("nodes", _node_rows(spark, d))
+    held = good.read("nodes").agg(F.lit("good").alias("store"), F.count("*").alias("nodes"))
+    return found[0].unionByName(found[1]).unionByName(found[2]).join(held, "store", "left")
 
 
 @query("""WITH s AS (SELECT c_custkey, c_custkey % 2 = 0 AS w, c_custkey % 3 = 0 AS d, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 11 AS INTEGER)) END AS ends FROM customer),
@@ -327,17 +332,17 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     """Pages as uploaded files of five kinds: text with odd white space, Markdown, PDF, a kind that isn't allowed, and empty ones."""
     k = F.col("page_id") % 5
     name = F.concat(F.lit("in/"), F.col("page_id").cast("string"), F.when(k == 0, ".txt").when(k == 1, ".MD").when(k == 2, ".pdf").when(k == 3, ".zip").otherwise(".txt"))
-    body = F.when(k == 4, "").otherwise(F.concat(F.substring("html", 1, 700), F.lit("\r\n\t end")))
+    body = F.when(k == 4, "").otherwise(F.concat("html", F.lit("\r\n\t end")))
     tags = F.when(F.col("page_id") % 3 == 0, '["a","b"]').when(F.col("page_id") % 3 == 1, "one").otherwise("")
     return table(spark, d, "pages").select(name.alias("path"), F.octet_length(body).cast("long").alias("length"), F.encode(body, "UTF-8").alias("content"), tags.alias("tags"), F.lit("en").alias("language"))
 
 
-FILES = """files AS (SELECT page_id, 'in/' || page_id || CASE page_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '.pdf' WHEN 3 THEN '.zip' ELSE '.txt' END AS path, CASE WHEN page_id % 5 = 4 THEN '' ELSE substring(html, 1, 700) || chr(13) || chr(10) || chr(9) || ' end' END AS body FROM pages)"""
+FILES = """files AS (SELECT page_id, 'in/' || page_id || CASE page_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '.pdf' WHEN 3 THEN '.zip' ELSE '.txt' END AS path, CASE WHEN page_id % 5 = 4 THEN '' ELSE html || chr(13) || chr(10) || chr(9) || ' end' END AS body FROM pages)"""
 
 
-@query(f"WITH {FILES} SELECT path, CASE WHEN body = '' THEN 'empty' WHEN strlen(body) > 600 THEN 'too large' WHEN page_id % 5 = 3 THEN 'type not allowed' END AS refused FROM files")
+@query(f"WITH {FILES} SELECT path, CASE WHEN body = '' THEN 'empty' WHEN strlen(body) > 4000 THEN 'too large' WHEN page_id % 5 = 3 THEN 'type not allowed' END AS refused FROM files")
 def file_gates(spark, d):
-    return api.file_gates(_files(spark, d), IngestionSettings(max_file_size=600)).select("path", "refused")
+    return api.file_gates(_files(spark, d), IngestionSettings(max_file_size=4000)).select("path", "refused")
 
 
 SQUEEZED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace({}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[^\S\n]+', ' ', 'g'), '\n\s*', chr(10), 'g'), '^\s+', '', 'g'), '\s+$', '', 'g')"
@@ -345,13 +350,13 @@ SQUEEZED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace
 
 @query(f"WITH {FILES}, t AS (SELECT *, {SQUEEZED.format('body')} AS text FROM files WHERE page_id % 5 < 2), n AS (SELECT text, min(path) AS path FROM t GROUP BY 1) SELECT n.path, md5(n.text) AS digest, CASE page_id % 3 WHEN 0 THEN 'a,b,' WHEN 1 THEN 'one,' ELSE '' END || 'chunk:1/1' AS tags, 'en' AS language FROM n JOIN t USING (path)")
 def ingest_files(spark, d):
-    nodes, _ = api.ingest_files(_files(spark, d), api.default_embedder(4), size=2000)
+    nodes, _ = api.ingest_files(_files(spark, d), api.default_embedder(4), size=1 << 20)
     return nodes.select(F.col("source").alias("path"), F.md5("content").alias("digest"), F.array_join("tags", ",").alias("tags"), "language")
 
 
-@query(f"WITH {FILES} SELECT path, CASE page_id % 5 WHEN 2 THEN 'pdf' WHEN 3 THEN 'unknown' ELSE 'text' END AS file_type, CASE WHEN page_id % 5 IN (2, 3) THEN 'no decoder for this type' END AS warning FROM files WHERE body <> ''")
+@query(f"WITH {FILES} SELECT path, CASE page_id % 5 WHEN 2 THEN 'pdf' WHEN 3 THEN 'unknown' ELSE 'text' END AS file_type, CASE WHEN body = '' THEN 'empty' WHEN page_id % 5 = 3 THEN 'type not allowed' WHEN page_id % 5 = 2 THEN 'no decoder for this type' END AS warning FROM files")
 def ingest_report(spark, d):
-    return api.ingest_files(_files(spark, d), api.default_embedder(4), size=2000)[1]
+    return api.ingest_files(_files(spark, d), api.default_embedder(4), size=1 << 20)[1]
 
 
 MAGICS = "magics AS (SELECT page_id, page_id % 7 AS k FROM pages)"
@@ -365,10 +370,10 @@ def sniffed_types(spark, d):
     return table(spark, d, "pages").select("page_id", text.sniff_image(head).alias("image"), rules.is_pdf(head).alias("pdf"))
 
 
-@query(r"""WITH t AS (SELECT page_id, chr(7) || substring(html, 1, 300) || chr(65533) || chr(27) || ' x  y ' AS body FROM pages)
+@query(r"""WITH t AS (SELECT page_id, chr(7) || html || chr(65533) || chr(27) || ' x  y ' AS body FROM pages)
 SELECT page_id, md5(regexp_replace(""" + SQUEEZED.format("body").replace("replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10))", "body") + r""", '[\x00-\x08\x0b-\x1f\x7f-\x{9f}]', '', 'g')) AS pdf, md5(replace(regexp_replace(""" + SQUEEZED.format("body").replace("replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10))", "body") + r""", '[\x00-\x08\x0b-\x1f\x7f-\x{9f}]', '', 'g'), chr(65533), '')) AS ocr FROM t""")
 def cleaned_extracts(spark, d):
-    body = F.concat(F.lit("\x07"), F.substring("html", 1, 300), F.lit("�\x1b x  y "))
+    body = F.concat(F.lit("\x07"), "html", F.lit("�\x1b x  y "))
     return table(spark, d, "pages").select("page_id", F.md5(text.clean_extracted(body)).alias("pdf"), F.md5(text.clean_extracted(body, True)).alias("ocr"))
 
 
@@ -419,15 +424,15 @@ def search_urls(spark, d):
 @query("SELECT item_id AS query_id, CAST(5 AS BIGINT) AS n FROM benchmark WHERE trim(text) <> ''")
 def search_by_name(spark, d):
     """An unknown provider's name gives the fallback."""
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 20).alias("query"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return SEARCHES.get("unknown")(asked).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 8 END AS dimension, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END AS summary FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR trim(text) = '' THEN NULL ELSE 8 END AS dimension, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END AS summary FROM documents")
 def embedded_texts(spark, d):
     brain = Brain(dimension=8)
     brain.check(spark)
-    body = F.when(F.col("doc_id") % 9 == 0, "  ").otherwise(F.substring("text", 1, 40))
+    body = F.when(F.col("doc_id") % 9 == 0, "  ").otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.size(brain.embed(body)).alias("dimension"), text.shorten(F.col("text"), 40).alias("summary"))
 
 
@@ -438,24 +443,45 @@ def embedding_models(spark, d):
     return table(spark, d, "nation").select("n_nationkey", vectors.model_dimension(name).alias("dimension"), vectors.takes_images(name).alias("images"))
 
 
-@query("""SELECT unnest(['Conflict', 'EngineError', 'InvalidRequest', 'NotFound', 'ProviderFailed', 'StoreFailed', 'TooLarge', 'Unavailable']) AS name, unnest([409, 500, 400, 404, 502, 500, 413, 503]) AS status,
-unnest(['conflict', 'internal_error', 'invalid_request', 'not_found', 'provider_error', 'database_error', 'payload_too_large', 'unavailable']) AS code""")
+@query("""SELECT n_nationkey, kinds[n_nationkey % 8 + 1] AS name, codes[n_nationkey % 8 + 1] AS code, statuses[n_nationkey % 8 + 1] AS status, n_name AS message FROM nation, (SELECT ['Conflict', 'EngineError', 'InvalidRequest', 'NotFound', 'ProviderFailed', 'StoreFailed', 'TooLarge', 'Unavailable'] AS kinds, [409, 500, 400, 404, 502, 500, 413, 503] AS statuses,
+['conflict', 'internal_error', 'invalid_request', 'not_found', 'provider_error', 'database_error', 'payload_too_large', 'unavailable'] AS codes)""")
 def error_codes(spark, d):
-    kinds = (Conflict, EngineError, InvalidRequest, NotFound, ProviderFailed, StoreFailed, TooLarge, Unavailable)
-    return spark.createDataFrame([(k.__name__, k.status, k("x").body()["error"]) for k in kinds], "name string, status int, code string")
+    """Errors of each kind raised in tasks, as a caller gets them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (Conflict, EngineError, InvalidRequest, NotFound, ProviderFailed, StoreFailed, TooLarge, Unavailable)
+        for batch in batches:
+            rows = []
+            for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    raise kinds[key % 8](name)
+                except EngineError as e:
+                    rows.append((key, type(e).__name__, e.body()["error"], e.status, e.body()["message"]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["n_nationkey", "name", "code", "status", "message"])
 
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return rows.mapInArrow(run, f"n_nationkey {dict(rows.dtypes)['n_nationkey']}, name string, code string, status int, message string")
 
-@query("""SELECT * FROM (VALUES ('CacheSettings', 'capacity', '7'), ('ChatSettings', 'max_tokens', '2048'), ('ChatSettings', 'temperature', '0.5'), ('EmbeddingSettings', 'normalize', 'False'), ('RemSettings', 'max_nodes', '100'), ('StoreSettings', 'database', 'knowledge'), ('StoreSettings', 'url', '/data'),
-('SummarizerSettings', 'temperature', '0.3'), ('WebSearchSettings', 'provider', 'mock')) t(kind, name, value)""")
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 1000 ELSE c_custkey END AS capacity, CASE WHEN c_custkey % 3 = 0 THEN 0.5 ELSE 0.7 END AS temperature, c_custkey % 2 = 1 AS normalize, 'knowledge' AS database, '/data/' || c_custkey AS url FROM customer""")
 def settings_from_env(spark, d):
-    """Some settings of each kind, with a few set by the environment."""
-    env = {"CACHE_CAPACITY": "7", "CHAT_TEMPERATURE": "0.5", "EMBEDDING_NORMALIZE": "no", "STORE_URL": "/data"}
-    shown = {CacheSettings: ["capacity"], ChatSettings: ["max_tokens", "temperature"], EmbeddingSettings: ["normalize"], RemSettings: ["max_nodes"], StoreSettings: ["database", "url"], SummarizerSettings: ["temperature"], WebSearchSettings: ["provider"]}
-    rows = [(kind.__name__, name, str(getattr(kind.from_env(env), name))) for kind, names in shown.items() for name in names]
-    return spark.createDataFrame(rows, "kind string, name string, value string")
+    """Settings as each customer's environment has them, some left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k in batch.column(0).to_pylist():
+                env = {"EMBEDDING_NORMALIZE": ("no", "yes")[k % 2], "STORE_URL": f"/data/{k}"} | ({"CACHE_CAPACITY": str(k)} if k % 4 else {}) | ({} if k % 3 else {"CHAT_TEMPERATURE": "0.5"})
+                store = StoreSettings.from_env(env)
+                rows.append((k, CacheSettings.from_env(env).capacity, ChatSettings.from_env(env).temperature, EmbeddingSettings.from_env(env).normalize, store.database, store.url))
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["c_custkey", "capacity", "temperature", "normalize", "database", "url"])
 
+    rows = table(spark, d, "customer").select("c_custkey")
+    return rows.mapInArrow(run, f"c_custkey {dict(rows.dtypes)['c_custkey']}, capacity long, temperature double, normalize boolean, database string, url string")
 
-@query("SELECT 'graphloom/knowledge' AS place, true AS healthy, true AS refused, CAST(1 AS BIGINT) AS namespaces")
+
+@query(f"WITH {NODES} SELECT 'graphloom/knowledge' AS place, true AS healthy, true AS refused, namespace, count(*) AS nodes FROM nodes GROUP BY namespace")
 def store_connect(spark, d):
     """A store by its settings, and one whose folder can't be."""
     base = scratch(spark)
@@ -467,7 +493,9 @@ def store_connect(spark, d):
         Repository.connect(spark, StoreSettings(url=file))
     except StoreFailed:
         refused = True
-    return spark.createDataFrame([(store.base.removeprefix(f"{base}/"), store.healthy(), refused, store.read("namespaces").count())], "place string, healthy boolean, refused boolean, namespaces long")
+    store.append("nodes", _node_rows(spark, d))
+    found = Repository.connect(spark, StoreSettings(url=base)).read("nodes")
+    return found.groupBy("namespace").agg(F.count("*").alias("nodes")).withColumns({"place": F.lit(store.base.removeprefix(f"{base}/")), "healthy": F.lit(store.healthy()), "refused": F.lit(refused)})
 
 
 @query("SELECT n_nationkey, n_nationkey * 10 > 0 AND n_nationkey % 7 * 30 < n_nationkey * 10 AND n_nationkey % 3 * 50 <= n_nationkey * 10 AS good FROM nation")
@@ -481,8 +509,12 @@ def settings_checked(spark, d):
             return False
         return True
 
-    keys = [r.n_nationkey for r in table(spark, d, "nation").select("n_nationkey").collect()]  # 25 rows
-    return spark.createDataFrame([(k, good(k)) for k in keys], "n_nationkey int, good boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([good(k) for k in batch.column(0).to_pylist()])], ["n_nationkey", "good"])
+
+    rows = table(spark, d, "nation").select("n_nationkey")
+    return rows.mapInArrow(run, f"n_nationkey {dict(rows.dtypes)['n_nationkey']}, good boolean")
 
 
 # --- schedules -------------------------------------------------------------------------------------------------------------------------

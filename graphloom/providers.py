@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.errors import NotFound, ProviderFailed
 from graphloom.functions.text import shorten
 from graphloom.functions.vectors import mock_embedding
+from graphloom.operators.summary import central
 
 
 @dataclass
@@ -40,6 +41,7 @@ SUMMARIZERS = Registry("summarizer")
 SEARCHES = Registry("search provider", fallback="mock")
 EMBEDDERS.add("mock", lambda text, dimension=768: mock_embedding(text, dimension), local=True)
 SUMMARIZERS.add("first", lambda text, most=500: shorten(text, most), local=True)
+SUMMARIZERS.add("central", lambda text, most=500: central(text, most), local=True)
 
 
 def _mock_search(queries):

@@ -3,6 +3,9 @@
 A table is a log of versions; each names the folders of Parquet files that are the table then. A write adds its files first and then the next version, by a rename that fails if
 the version is there already. So a crash leaves the table as it was, readers keep the files they began with, appends add files and rewrite nothing, and of two writers
 the later one begins again (an append) or gets a Conflict. Files that no late version names are deleted by vacuum alone.
+
+Tables with a key are written in ranges of it, and beside each write lies an index: the least and greatest key of each file and a Bloom filter of its keys. An append is checked against the
+files whose ranges meet its own, and a row is looked up in those that may hold its key.
 """
 
 from __future__ import annotations
@@ -10,6 +13,9 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +31,34 @@ KEPT_VERSIONS, TRIES = 10, 20
 KEYS = {"nodes": "node_id", "models": "id", "model_nodes": "id", "upload_sessions": "upload_id", "namespaces": "name"}
 
 
+#: Bits for each key of a file's Bloom filter, at least, and bits that a key sets.
+BLOOM_BITS, BLOOM_HASHES = 10, 5
+
+
+def _hashes(key: Column) -> list[Column]:
+    return [F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b")]
+
+
+def _places(bits: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = a.view(np.uint64), b.view(np.uint64) | np.uint64(1)
+    return np.stack([(a + np.uint64(k) * b) % np.uint64(bits) for k in range(BLOOM_HASHES)])
+
+
+def _may_hold(bloom: bytes, a: int, b: int) -> bool:
+    filled = np.frombuffer(bloom, np.uint8)
+    at = _places(8 * len(filled), np.array([a]), np.array([b]))[:, 0].astype(np.int64)
+    return bool(((filled[at >> 3] >> (7 - (at & 7))) & 1).all())
+
+
+def _file_index(table: pa.Table) -> pa.Table:
+    """The row of one file's keys: null keys aside, least, greatest, and their filter."""
+    bits = 8 * max(1, -(-BLOOM_BITS * table.num_rows // 8))
+    filled = np.zeros(bits, bool)
+    filled[_places(bits, table.column("a").to_numpy(), table.column("b").to_numpy()).ravel().astype(np.int64)] = True
+    ends = pc.min_max(table.column("key"))
+    return pa.table([table.column("file").slice(0, 1).combine_chunks(), pa.array([ends["min"].as_py()], pa.string()), pa.array([ends["max"].as_py()], pa.string()), pa.array([np.packbits(filled).tobytes()])], ["file", "low", "high", "bloom"])
+
+
 class Repository:
     """Tables below `base`, a folder that all executors reach, with the schemas of the knowledge model."""
 
@@ -79,9 +113,42 @@ class Repository:
     def _store(self, name: str, rows: DataFrame) -> str:
         folder = f"f-{uuid.uuid4().hex}"
         full = rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)))
-        full.write.parquet(f"{self.base}/{name}/{folder}")
+        path, key = f"{self.base}/{name}/{folder}", KEYS.get(name)
+        if not key:
+            full.write.parquet(path)
+            return folder
+        full.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+        files = self.spark.read.schema(full.schema).parquet(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col(key).alias("key"), *_hashes(F.col(key)))
+        files.groupBy("file").applyInArrow(_file_index, "file string, low string, high string, bloom binary").write.parquet(f"{self.base}/{name}/index/{folder}")
         return folder
 
+    def _index(self, name: str, folders: list[str]) -> DataFrame:
+        """folder, file, low, high and bloom of all files of these writes."""
+        rows = self.spark.read.schema("file string, low string, high string, bloom binary").parquet(*(f"{self.base}/{name}/index/{x}" for x in folders))
+        return rows.withColumn("folder", F.element_at(F.split(F.input_file_name(), "/"), -2))
+
+    def _now(self, name: str) -> list[str]:
+        known = self.versions(name)
+        return self._folders(name, known[-1]) if known else []
+
+    def files_of(self, name: str, key: str) -> list[str]:
+        """The files that may hold a key."""
+        folders = self._now(name)
+        if not folders:
+            return []
+        near = self._index(name, folders).filter((F.col("low") <= key) & (F.col("high") >= key)).withColumns({"a": _hashes(F.lit(key))[0], "b": _hashes(F.lit(key))[1]}).collect()  # a row for each file whose range has the key
+        return sorted(f"{self.base}/{name}/{r.folder}/{r.file}" for r in near if _may_hold(bytes(r.bloom), r.a, r.b))
+
+    def _check_new(self, name: str, rows: DataFrame, folders: list[str]) -> None:
+        """Raises a Conflict if a key of rows is in these folders."""
+        key = KEYS[name]
+        ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+        if not folders or ends.low is None:
+            return
+        near = [f"{self.base}/{name}/{r.folder}/{r.file}" for r in self._index(name, folders).filter((F.col("low") <= ends.high) & (F.col("high") >= ends.low)).select("folder", "file").collect()]
+        if near and (clash := self.spark.read.schema(schema(name)).parquet(*near).select(key).join(rows.select(key), key, "left_semi").first()):
+            raise Conflict(f"{name} has {clash[0]} already")
+
     def initialise(self) -> None:
         """Empty tables where there are none, and the global namespace, once."""
         for name in DDL:
@@ -103,19 +170,27 @@ class Repository:
         return self.spark.read.schema(schema(name)).parquet(*(f"{self.base}/{name}/{x}" for x in folders))
 
     def get(self, name: str, key: str) -> DataFrame:
-        """The row with this id, or none. The filter reaches the scan."""
-        return self.read(name).filter(F.col(KEYS[name]) == key)
+        """The row with this id, or none, from the files that may hold it."""
+        files = self.files_of(name, key)
+        rows = self.spark.read.schema(schema(name)).parquet(*files) if files else self.spark.createDataFrame([], schema(name))
+        return rows.filter(F.col(KEYS[name]) == key)
 
     def exists(self, name: str) -> bool:
         """Whether the table has any row, in any namespace."""
         return not self.read(name).isEmpty()
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Adds rows; what is there isn't read or rewritten."""
+        """Adds rows; what is there isn't rewritten. Of a table with a key, a Conflict if a key comes twice or is there already."""
+        key, checked = KEYS.get(name), set()
+        if key and (twice := rows.groupBy(key).count().filter((F.col("count") > 1) & F.col(key).isNotNull()).first()):
+            raise Conflict(f"{name} gets {twice[0]} twice")
         folder = self._store(name, rows)
         for _ in range(TRIES):
             known = self.versions(name)
             before = self._folders(name, known[-1]) if known else []
+            if key:
+                self._check_new(name, self.spark.read.schema(schema(name)).parquet(f"{self.base}/{name}/{folder}"), [x for x in before if x not in checked])
+                checked.update(before)
             if self._commit(name, known[-1] + 1 if known else 0, [*before, folder]):
                 return
         raise Conflict(f"{name}: {TRIES} other writes came first")
@@ -145,6 +220,7 @@ class Repository:
             self._fs().delete(self._path(name, "log", f"{version:012d}.json"), False)
         for folder in gone:
             self._fs().delete(self._path(name, folder), True)
+            self._fs().delete(self._path(name, "index", folder), True)
         return len(gone)
 
     def upsert(self, name: str, rows: DataFrame, key: str) -> None:

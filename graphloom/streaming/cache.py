@@ -1,6 +1,6 @@
-"""An LRU cache with lifetimes as a stateful operator: the same steps replayed in batch and kept as state of a stream.
+"""Caches: a table of embeddings with lifetimes, and an LRU cache as a stateful operator, the same steps replayed in batch and kept as state of a stream.
 
-Operations are rows of cache, at (timestamp), op (get, put, remove, cleanup), key, value and ttl_seconds (null: the cache's default; negative: none). Eviction is global to a cache, so all of a
+Operations of the latter are rows of cache, at (timestamp), op (get, put, remove, cleanup), key, value and ttl_seconds (null: the cache's default; negative: none). Eviction is global to a cache, so all of a
 cache's operations pass through one state: what can be spread is the number of caches. The state holds at most `capacity` entries.
 """
 
@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import json
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.common import written
+from graphloom.functions.vectors import fnv1a
+
 METRICS = ("hits", "misses", "evictions", "expirations", "size")
 
 
@@ -131,6 +135,57 @@ def stream(ops: DataFrame, capacity: int = 1000, ttl: float | None = 3600.0) ->
     return ops.groupBy("cache").applyInPandasWithState(run, "cache string, " + ", ".join(f"{k} long" for k in METRICS), "state string", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Texts that an embedder gets at once, and how long their vectors are good.
+EMBED_BATCH, EMBED_HOURS = 32, 24
+
+
+class EmbeddingCache:
+    """Vectors of texts, kept in a folder of Parquet files: key (FNV-1a of the text), digest (a second hash, as keys may clash), model, vector, expires. Only distinct texts that are unknown or expired
+    are embedded, in batches; what they give is appended, so that runs one after another share it. Of several vectors of a text the last to expire counts."""
+
+    SCHEMA = "key decimal(20,0), digest long, model string, vector array<double>, expires timestamp"
+
+    def __init__(self, spark: SparkSession, folder: str, model: str, embed: Callable[[list[str]], list[list[float]]], hours: float = EMBED_HOURS, batch: int = EMBED_BATCH):
+        self.spark, self.folder, self.model, self.embed, self.hours, self.batch = spark, folder, model, embed, hours, batch
+
+    def rows(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+
+    def live(self, now: Column) -> DataFrame:
+        """key, digest and vector of what hasn't expired."""
+        good = self.rows().filter((F.col("model") == self.model) & (F.col("expires") > now))
+        return good.groupBy("key", "digest").agg(F.max_by("vector", "expires").alias("vector"))
+
+    def vectors(self, texts: DataFrame, now: Column, id_col: str = "id", text: str = "text") -> tuple[DataFrame, int]:
+        """id and vector of each text that isn't blank, and how many texts had to be embedded."""
+        key, digest = fnv1a(F.col(text)).cast("decimal(20,0)"), F.xxhash64(text)
+        asked = written(texts.filter(F.trim(text) != "").select(F.col(id_col).alias("id"), F.col(text).alias("text"), key.alias("key"), digest.alias("digest")))
+        wanted = asked.join(self.live(now).select("key", "digest"), ["key", "digest"], "left_anti").groupBy("key", "digest").agg(F.min("text").alias("text"))
+        embed, size = self.embed, self.batch
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for at in range(0, rows.num_rows, size):
+                    part = rows.slice(at, size)
+                    found = pa.array(embed(part.column("text").to_pylist()), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([part.column("key"), part.column("digest"), found], ["key", "digest", "vector"])
+
+        made = written(wanted.mapInArrow(run, "key decimal(20,0), digest long, vector array<double>"))
+        count = made.count()
+        if count:
+            life = F.make_dt_interval(hours=F.lit(int(self.hours)), mins=F.lit(round(self.hours % 1 * 60)))
+            made.select("key", "digest", F.lit(self.model).alias("model"), "vector", (now + life).cast("timestamp").alias("expires")).write.mode("append").parquet(self.folder)
+        return asked.select("id", "key", "digest").join(self.live(now), ["key", "digest"]).select(F.col("id").alias(id_col), "vector"), count
+
+    def swept(self, now: Column) -> DataFrame:
+        """The rows that a cleanup keeps: one for each live text."""
+        good = self.rows().filter(F.col("expires") > now)
+        return good.groupBy("key", "digest", "model").agg(F.max_by("vector", "expires").alias("vector"), F.max("expires").alias("expires"))
+
+
 def unseen(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't materialised yet: what a cache of computed columns still has to compute, each key once."""
     return rows.join(known.select(key), key, "left_anti").dropDuplicates([key])

@@ -14,6 +14,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window
 
 from graphloom.common import partitions
@@ -191,30 +192,46 @@ def arrival_stream(arrivals: DataFrame, total_chunks: int, timeout: str = "24 ho
 LAST_STAGES = ("complete", "failed")
 
 
-def progress_stream(events: DataFrame) -> DataFrame:
-    """A stream of task events as progress (task_id, stage, progress, last): one row for each task and micro-batch, by its last event, until a row with `last`. What comes
-    after a task's end says nothing. Output mode update."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class TaskProgress(StatefulProcessor):
+    """State of each task: the time of the last event told, and whether the task has ended. A timer removes it `linger` after the task's end, and `silence` after its last event where the end never comes."""
 
-    names = ("stage", "embedded", "persisted", "chunks")
+    def __init__(self, linger: dt.timedelta, silence: dt.timedelta):
+        self.waits = {True: int(linger.total_seconds() * 1000), False: int(silence.total_seconds() * 1000)}
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, ended = state.get if state.exists else (None, False)
-        if ended:
-            return
+    def init(self, handle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "at double, ended boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, ended = self.last.get() if self.last.exists() else (None, False)
         best = None
-        for rows in batches:
-            row = rows.loc[rows["at"].idxmax()]
-            final = rows[rows["stage"].isin(LAST_STAGES)]
+        for batch in rows:
+            row = batch.loc[batch["at"].idxmax()]
+            final = batch[batch["stage"].isin(LAST_STAGES)]
             row = final.loc[final["at"].idxmin()] if len(final) else row
             if best is None or row["stage"] in LAST_STAGES or row["at"] > best["at"]:
                 best = row
-        if best is not None and (at is None or best["at"].timestamp() >= at):
+        if not ended and best is not None and (at is None or best["at"].timestamp() >= at):
             ended = best["stage"] in LAST_STAGES
-            state.update((best["at"].timestamp(), ended))
-            yield pd.DataFrame([{"task_id": key[0], **{k: best[k] for k in names}, "last": ended}])
-
-    out = events.groupBy("task_id").applyInPandasWithState(run, "task_id string, stage string, embedded int, persisted int, chunks int, last boolean", "at double, ended boolean", "update", GroupStateTimeout.NoTimeout)
+            self.last.update((best["at"].timestamp(), ended))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max(int(best["at"].timestamp() * 1000) + self.waits[ended], timerValues.getCurrentWatermarkInMs() + 1))
+            yield pd.DataFrame([{"task_id": key[0], **{k: best[k] for k in ("stage", "embedded", "persisted", "chunks")}, "last": ended}])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def progress_stream(events: DataFrame, late: str = "1 minute", linger: str = "5 minutes", silence: str = "24 hours") -> DataFrame:
+    """A stream of task events as progress (task_id, stage, progress, last): one row for each task and micro-batch, by its last event, until a row with `last`. What comes after a task's end says
+    nothing. State is kept of running tasks, and `linger` longer of ended ones, by event time; events that come `late` after that are dropped by the watermark. Output mode update. The session
+    needs the RocksDB state store."""
+    wait = lambda x: dt.timedelta(seconds=pd.Timedelta(x).total_seconds())
+    out = events.withWatermark("at", late).groupBy("task_id").transformWithStateInPandas(TaskProgress(wait(linger), wait(silence)), "task_id string, stage string, embedded int, persisted int, chunks int, last boolean", "update", "eventTime")
     return out.select("task_id", "stage", overall_progress(F.col("stage"), F.col("embedded"), F.col("persisted"), F.col("chunks")).alias("progress"), "last")
 
 

@@ -29,7 +29,7 @@ def data():
 def test_batches_equal_one_build(spark, data, tmp_path):
     order = random.Random(1).sample(data, len(data))
     grown, so_far = None, []
-    for at, to in ((0, 40), (40, 55), (55, 61), (61, 62)):
+    for at, to in ((0, 45), (45, 61), (61, 62)):
         grown = incremental.grow(spark, frame(spark, order[at:to]), grown, CONFIG)
         so_far += order[at:to]
         assert shape(grown.tree(spark)) == shape(cluster.hierarchy(frame(spark, so_far), CONFIG))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.config import IngestionSettings
 from graphloom.errors import Conflict, NotFound
 from graphloom.plans import api
 from graphloom.sources import gguf
@@ -134,19 +135,29 @@ def test_repository_keeps_what_readers_use(spark, tmp_path):
 
 def test_progress_stream_ends_with_the_task(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
-    rows = [("a", 0, "chunking"), ("a", 1, "embedding"), ("b", 0, "extracting"), ("a", 2, "complete"), ("b", 1, "failed"), ("a", 3, "embedding"), ("b", 2, "chunking"), ("c", 0, "persisting")]
+    rows = [("a", 0, "chunking"), ("a", 1, "embedding"), ("b", 0, "extracting"), ("a", 2, "complete"), ("b", 1, "failed"), ("a", 3, "embedding"), ("b", 2, "chunking"), ("c", 3, "persisting")]
+    rows += [("d", 30, "chunking"), ("c", 31, "persisting"), ("e", 32, "complete"), ("d", 60, "embedding"), ("d", 61, "embedding")]
     schema = "task_id string, at timestamp, stage string, embedded int, persisted int, chunks int"
-    for k in range(0, 8, 3):
+    for k in range(0, len(rows), 3):
         spark.createDataFrame([(t, at + dt.timedelta(minutes=m), s, 1, 1, 2) for t, m, s in rows[k : k + 3]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = uploads.progress_stream(source).writeStream.outputMode("update").format("memory").queryName("progress").option("checkpointLocation", str(tmp_path / "cp")).start()
-    run.processAllAvailable()
-    run.stop()
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        run = uploads.progress_stream(source).writeStream.outputMode("update").format("memory").queryName("progress").option("checkpointLocation", str(tmp_path / "cp")).start()
+        run.processAllAvailable()
+        kept = [x["stateOperators"][0]["numRowsTotal"] for x in run.recentProgress if x["stateOperators"]]
+        run.stop()
+    finally:
+        spark.conf.set(key, before)
     got = {}
     for r in spark.table("progress").collect():
         got.setdefault(r.task_id, []).append((r.stage, r.progress, r["last"]))
     assert sorted(got["a"]) == [("complete", 100.0, True), ("embedding", 45.0, False)] and sorted(got["b"]) == [("extracting", 10.0, False), ("failed", 0.0, True)]
-    assert got["c"] == [("persisting", 82.5, False)]
+    assert got["c"] == [("persisting", 82.5, False)] * 2 and got["e"] == [("complete", 100.0, True)] and len(got["d"]) == 2
+    live = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "cp"))
+    assert sorted(r.key.task_id for r in live.collect()) == ["c", "d"] and max(kept) > kept[-1]  # ended tasks are forgotten, live ones stay
 
 
 def test_files_of_a_folder(spark, tmp_path):
@@ -251,6 +262,8 @@ def test_ingest_files(spark, tmp_path):
     got = {r.content: r for r in nodes.collect()}
     assert set(got) == {"Hello there.\nTwo sentences here. And one more.", "bad � byte"} and all(len(r.vector) == 8 for r in got.values())
     assert {r.path.rsplit("/")[-1]: r.warning for r in report.collect()} == {"a.txt": None, "b.md": "some characters could not be decoded", "c.pdf": "no decoder for this type"}
+    refused = api.ingest_files(spark.read.format("binaryFile").load(str(tmp_path)), api.default_embedder(8), settings=IngestionSettings(max_file_size=20, allowed="txt,pdf"))
+    assert {r.path.rsplit("/")[-1]: r.warning for r in refused[1].collect()} == {"a.txt": "too large", "b.md": "type not allowed", "c.pdf": "no decoder for this type"} and refused[0].count() == 0
 
 
 def test_ingest_is_idempotent(spark):
