@@ -244,6 +244,20 @@ def test_secrets_query_digests(spark, tmp_path):
         assert [x for x in r.spans.split(",") if x and not x.startswith("inefficient")] == [x for x in line.split(",") if x]
 
 
+@pytest.mark.parametrize("name", ["myServiceKey", "productionDatabaseAccess", "apiClientHandler"])
+def test_secrets_glued_to_a_name(name):
+    from graphloom.llm.secrets import default_vocabulary, find_spans
+
+    rng, v = random.Random(5), default_vocabulary()
+    for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for size in (20, 32):
+            keys = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(40)]
+            covered = [max((min(e, 4 + len(name) + size) - max(a, 4 + len(name)) for a, _, e, _ in find_spans(f"see {name}{k} end", v)), default=0) for k in keys]
+            assert sum(x >= 0.8 * size for x in covered) >= 34
+    for clean in ("getUserAccountInformationFromDatabase", "AbstractSingletonProxyFactoryBean", "com/example/service/handler/RequestDispatcher", "Donaudampfschifffahrtsgesellschaft", "readUnsignedIntegerLittleEndian"):
+        assert find_spans(clean, v) == [], clean
+
+
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
 
 
