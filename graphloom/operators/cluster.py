@@ -101,9 +101,10 @@ def decisions(pairs: DataFrame, largest: int, task_pairs: int = TASK_PAIRS) -> D
         if c not in pairs.columns:
             pairs = pairs.withColumn(c, F.lit(1).cast("long"))
     pairs = written(pairs.select("a", "b", "group", "similarity", "size_a", "size_b"))
-    large = written(pairs.groupBy("group").count().filter(F.col("count") > task_pairs).select("group"))
-    if large.isEmpty():
+    sizes = pairs.groupBy("group").count()
+    if (sizes.agg(F.max("count")).first()[0] or 0) <= task_pairs:
         return written(_pass(pairs, largest))
+    large = written(sizes.filter(F.col("count") > task_pairs).select("group"))
     same = [pairs["group"].eqNullSafe(large["group"])]
     return written(_pass(pairs.join(large, same, "left_anti"), largest).unionByName(_rounds(pairs.join(large, same, "left_semi"), largest)))
 
@@ -194,24 +195,32 @@ def tree_stats(tree: DataFrame) -> DataFrame:
     return tree.groupBy("group", "depth").agg(F.count("*").alias("clusters"), F.round(F.avg(size), 6).alias("average_size"), F.round(F.avg("internal_similarity"), 6).alias("average_internal_similarity"))
 
 
+def _recursive(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """The rows of a recursive query, written: one plan for all levels, whose rows have no limit."""
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        return written(spark.sql(text, **tables))
+    finally:
+        spark.conf.set(limit, before)
+
+
 def path_to_root(tree: DataFrame) -> DataFrame:
-    """cluster_id and path, the ids from it up to its root, by following parents level by level."""
-    walk = tree.select("cluster_id", F.array("cluster_id").alias("path"), F.col("parent_id").alias("next"))
-    up = tree.select(F.col("cluster_id").alias("next"), F.col("parent_id").alias("after"))
-    while not walk.filter("next is not null").isEmpty():
-        walk = written(walk.join(up, "next", "left").select("cluster_id", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"), F.col("after").alias("next")))
-    return walk.select("cluster_id", "path")
+    """cluster_id and path, the ids from it up to its root."""
+    walk = """WITH RECURSIVE walk AS (SELECT cluster_id, array(cluster_id) AS path, parent_id AS next FROM {edges}
+      UNION ALL SELECT w.cluster_id, concat(w.path, array(e.cluster_id)), e.parent_id FROM walk w JOIN {edges} e ON e.cluster_id = w.next)
+    SELECT cluster_id, path FROM walk WHERE next IS NULL"""
+    return _recursive(tree.sparkSession, walk, edges=written(tree.select("cluster_id", "parent_id")))
 
 
 def traverse(tree: DataFrame, query: list[float], least: float) -> DataFrame:
     """Clusters reached from the roots through clusters that are similar to the query at or above a threshold."""
-    scored = written(tree.withColumn("similarity", F.round(cosine_to(F.col("vector"), query), 6)).filter(F.col("similarity") >= least))
-    found = step = scored.filter("is_root")
-    while not step.isEmpty():
-        below = step.select(F.explode("children").alias("cluster_id"))
-        step = written(scored.join(below, "cluster_id", "left_semi"))
-        found = found.unionByName(step)
-    return found.select("group", "cluster_id", "depth", "similarity")
+    scored = written(tree.withColumn("similarity", F.round(cosine_to(F.col("vector"), query), 6)).filter(F.col("similarity") >= least).select("group", "cluster_id", "parent_id", "depth", "similarity", "is_root"))
+    walk = """WITH RECURSIVE walk AS (SELECT `group`, cluster_id, depth, similarity FROM {scored} WHERE is_root
+      UNION ALL SELECT s.`group`, s.cluster_id, s.depth, s.similarity FROM walk w JOIN {scored} s ON s.parent_id = w.cluster_id)
+    SELECT `group`, cluster_id, depth, similarity FROM walk"""
+    return _recursive(tree.sparkSession, walk, scored=scored)
 
 
 def sibling_edges(tree: DataFrame, least: float = 0.5) -> DataFrame:

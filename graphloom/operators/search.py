@@ -32,9 +32,10 @@ def nearest(rows: DataFrame, query: list[float], k: int, id_col: str = "node_id"
 def _unit(vectors: pa.Array, dimension: int) -> np.ndarray:
     """Rows of unit length; null vectors and those of another dimension are zero, so that their cosine is 0."""
     out = np.zeros((len(vectors), dimension))
-    for k, x in enumerate(vectors.to_pylist()):
-        if x is not None and len(x) == dimension:
-            out[k] = x
+    sound = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vectors), dimension), False).to_numpy(zero_copy_only=False))
+    if dimension and len(sound):
+        own = vectors if len(sound) == len(vectors) else vectors.take(pa.array(sound))
+        out[sound] = own.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
     length = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
@@ -92,7 +93,7 @@ def top_k_each(rows: DataFrame, queries: DataFrame, k: int | None, id_col: str =
 def _pairs_of(table: pa.Table, left: np.ndarray, right: np.ndarray, least: float, half: bool, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The smaller and greater id and the similarity of pairs of rows at or above a threshold, one from each side; half: of one side with itself, each pair once; apart: only pairs that differ in this."""
     ids = np.array(table.column("id").to_pylist())
-    dimension = max((len(x) for x in table.column("vector").to_pylist()), default=0)
+    dimension = pc.max(pc.list_value_length(table.column("vector"))).as_py() or 0
     unit = _unit(table.column("vector").combine_chunks(), dimension)
     s = np.round(unit[left] @ unit[right].T, 6)
     hit = s >= least

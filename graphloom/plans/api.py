@@ -43,15 +43,18 @@ def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, limit: int =
     return ranked.join(nodes.select("node_id", "namespace", "node_type", "content", "source", "depth_level"), "node_id")
 
 
-def ask(nodes: DataFrame, questions: DataFrame, limit: int = ASK_LIMIT, least: float = ASK_LEAST, by_namespace: bool = True) -> DataFrame:
-    """query_id, n_sources, context and answer of each question, the answer being what is said without a chat model. At most `limit` of twice as many nearest nodes."""
+def ask(nodes: DataFrame, questions: DataFrame, limit: int = ASK_LIMIT, least: float = ASK_LEAST, by_namespace: bool = True, chat: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """query_id, n_sources, context and answer of each question. At most `limit` of twice as many nearest nodes are sources. chat makes the answer of a question (the column `question`, then needed) and its
+    context, where it has sources; without, the answer is the context, and where chat gives null as well."""
     hits = top_k_each(nodes, questions, 2 * limit, "node_id", "vector", "query_id", "namespace" if by_namespace else None).filter((F.col("similarity") >= least) & (F.col("rank") <= limit))
     told = hits.join(nodes.select("node_id", "content", "source"), "node_id")
     line = t.source_line(F.col("rank"), F.col("source"), F.col("similarity"), F.col("content"))
     context = told.groupBy("query_id").agg(F.count("*").alias("n_sources"), t.ordered_text(F.col("rank"), line, t.SOURCE_BREAK).alias("context"))
-    out = questions.select("query_id").join(context, "query_id", "left").select("query_id", F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"), F.coalesce("context", F.lit("")).alias("context"))
+    asked = questions.select("query_id", *["question"] * (chat is not None))
+    out = asked.join(context, "query_id", "left").withColumns({"n_sources": F.coalesce("n_sources", F.lit(0)).cast("long"), "context": F.coalesce("context", F.lit(""))})
     found = F.concat(F.lit("Found "), F.col("n_sources").cast("string"), F.lit(" relevant sources:\n\n"), F.col("context"))
-    return out.withColumn("answer", F.when(F.col("n_sources") == 0, NOTHING_FOUND).otherwise(found))
+    found = found if chat is None else F.coalesce(chat(F.col("question"), F.col("context")), found)
+    return out.withColumn("answer", F.when(F.col("n_sources") == 0, NOTHING_FOUND).otherwise(found)).select("query_id", "n_sources", "context", "answer")
 
 
 def node_key(*parts: Column | str) -> Column:

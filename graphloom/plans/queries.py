@@ -578,6 +578,16 @@ def ask_context(spark, d):
     return api.ask(nodes, _stated(nodes), least=FIND).select("query_id", "n_sources", F.md5("context").alias("context_digest"))
 
 
+@query(f"""WITH {ASKED}, told AS (SELECT query_id, string_agg('[Source ' || rank || '] (from: ' || source || ', relevance: ' || printf('%.1f', similarity * 100) || '%)' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n FROM kept GROUP BY 1)
+SELECT q.doc_id AS query_id, md5(CASE WHEN context IS NULL THEN 'No relevant information found in the knowledge base.' WHEN n > 3 THEN 'Found ' || n || ' relevant sources:' || chr(10) || chr(10) || context ELSE q.content || ' -> ' || left(context, 200) END) AS answer FROM nodes q LEFT JOIN told ON told.query_id = q.doc_id WHERE q.doc_id % 20 = 0""")
+def ask_with_chat(spark, d):
+    """Answers by a model that repeats the question and the beginning of its context, and has nothing to say of long ones."""
+    nodes = tables.nodes(spark, d)
+    questions = nodes.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector", "namespace", F.col("content").alias("question"))
+    chat = lambda question, context: F.when(F.size(F.split(context, r"(?m)^\[Source \d+\] ")) <= 4, F.concat(question, F.lit(" -> "), F.left(context, F.lit(200))))
+    return api.ask(nodes, questions, least=FIND, chat=chat).select("query_id", F.md5("answer").alias("answer"))
+
+
 @query("SELECT 'turn_' || conv_id || '_' || turn AS node_id, 'user_' || conv_id AS namespace FROM conversations WHERE trim(text) <> ''")
 def remember_episodes(spark, d):
     return api.remember(tables.episodes(spark, d))[0].select("node_id", "namespace")

@@ -594,6 +594,12 @@ def chunk_sentences(spark, d):
     return chunk.chunked(table(spark, d, "documents"), by_sentence=True)
 
 
-@query("SELECT doc_id, CAST(to_json({'lang': lang, 'source': source, 'n_chars': n_chars, 'tags': [lang, source]}) AS VARCHAR) AS metadata FROM documents")
+@query("SELECT doc_id, CAST(to_json({'lang': lang, 'source': source, 'n_chars': n_chars, 'tags': [lang, source]}) AS VARCHAR) AS metadata, lang, n_chars, source AS last_tag, doc_id % 7 = 0 AS broken FROM documents")
 def metadata_json(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.to_json(F.struct("lang", "source", "n_chars", F.array("lang", "source").alias("tags"))).alias("metadata"))
+    """Metadata as JSON, and read back from it; JSON that was cut off reads as nothing."""
+    metadata = F.to_json(F.struct("lang", "source", "n_chars", F.array("lang", "source").alias("tags")))
+    rows = table(spark, d, "documents").select("doc_id", metadata.alias("metadata"))
+    kind = "struct<lang:string,source:string,n_chars:long,tags:array<string>>"
+    cut = F.when(F.col("doc_id") % 7 == 0, F.substring("metadata", 1, 9)).otherwise(F.col("metadata"))
+    back = rows.select("doc_id", "metadata", F.from_json("metadata", kind).alias("m"), F.from_json(cut, kind)["n_chars"].isNull().alias("broken"))
+    return back.select("doc_id", "metadata", "m.lang", "m.n_chars", F.element_at("m.tags", -1).alias("last_tag"), "broken")

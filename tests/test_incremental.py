@@ -23,13 +23,13 @@ def shape(tree):
 def data():
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(9, 5))
-    return [(f"n{k:03d}", f"g{k % 2}", (centres[k % 9] + 0.45 * rng.normal(size=5)).tolist()) for k in range(60)] + [("n900", "g0", None), ("n901", "g2", [1.0] * 5)]
+    return [(f"n{k:03d}", f"g{k % 2}", (centres[k % 9] + 0.45 * rng.normal(size=5)).tolist()) for k in range(40)] + [("n900", "g0", None), ("n901", "g2", [1.0] * 5)]
 
 
 def test_batches_equal_one_build(spark, data, tmp_path):
     order = random.Random(1).sample(data, len(data))
     grown, so_far = None, []
-    for at, to in ((0, 45), (45, 61), (61, 62)):
+    for at, to in ((0, 30), (30, 41), (41, 42)):
         grown = incremental.grow(spark, frame(spark, order[at:to]), grown, CONFIG)
         so_far += order[at:to]
         assert shape(grown.tree(spark)) == shape(cluster.hierarchy(frame(spark, so_far), CONFIG))

@@ -79,7 +79,7 @@ def literal_clusters(data, threshold, least, largest):
     return {(k, c) for c in active for k in (members[c] if len(members[c]) >= least else [c])}
 
 
-@pytest.mark.parametrize("task_pairs", [cluster.TASK_PAIRS, 0])
+@pytest.mark.parametrize("task_pairs", [cluster.TASK_PAIRS, 24, 0])  # in the middle, some groups go by rounds
 def test_clusters_equal_the_literal_loop(spark, task_pairs):
     rng = np.random.default_rng(5)
     groups = {f"g{g}": [(f"{g}{k:02d}", np.round(rng.normal(size=2), 1)) for k in range(14)] for g in range(4)}
