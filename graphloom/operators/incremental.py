@@ -81,7 +81,7 @@ def cuts(pairs: DataFrame, changed: DataFrame) -> DataFrame:
 
 def grow_level(old: Level, added: DataFrame, gone: DataFrame, depth: int, config: ClusterConfig) -> tuple[Level, DataFrame, tuple[int, int, int]]:
     """The level after some ids are gone and items are added (one that changes is both); the first members of clusters that were described again or fell away; its work."""
-    if old.found.isEmpty() and old.pairs.isEmpty():  # nothing that could stand
+    if old.items.isEmpty():  # nothing that could stand
         pairs = written(similar_pairs(added, config.threshold, "group", "id").select("a", "b", "group", "similarity"))
         log = decisions(pairs, config.largest_size)
         found = resolved(added.select("group", "id"), log, config).withColumnRenamed("cluster", "first")
