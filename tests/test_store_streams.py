@@ -155,7 +155,7 @@ def test_progress_stream_ends_with_the_task(spark, tmp_path):
     for r in spark.table("progress").collect():
         got.setdefault(r.task_id, []).append((r.stage, r.progress, r["last"]))
     assert sorted(got["a"]) == [("complete", 100.0, True), ("embedding", 45.0, False)] and sorted(got["b"]) == [("extracting", 10.0, False), ("failed", 0.0, True)]
-    assert got["c"] == [("persisting", 82.5, False)] * 2 and got["e"] == [("complete", 100.0, True)] and len(got["d"]) == 2
+    assert got["c"] == [("persisting", 82.5, False)] * 2 and got["e"] == [("complete", 100.0, True)] and len(got["d"]) == 3
     live = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "cp"))
     assert sorted(r.key.task_id for r in live.collect()) == ["c", "d"] and max(kept) > kept[-1]  # ended tasks are forgotten, live ones stay
 
