@@ -93,6 +93,16 @@ def test_clusters_equal_the_literal_loop(spark, task_pairs):
         assert got == want
 
 
+def test_pairs_of_one_node_are_decided_at_once(spark, monkeypatch):
+    """A node whose pairs all come one after the other took a round for each of them."""
+    tables = []
+    monkeypatch.setattr(cluster, "written", lambda df, real=cluster.written: tables.append(1) or real(df))
+    pairs = spark.createDataFrame([("a", f"b{k:02}", "g", 0.9 - k / 100) for k in range(15)], "a string, b string, group string, similarity double")
+    got = {r.id: (r.other, r.fits, r.size) for r in cluster.decisions(pairs, 10, 0).collect()}
+    assert got == {f"b{k:02}": ("a", k < 9, min(k + 2, 10)) for k in range(15)}
+    assert len(tables) < 20
+
+
 def test_hierarchy(spark):
     rows = frame(spark, [("n1", (1, 0)), ("n2", (0.9, 0.1)), ("n3", (0, 1)), ("n4", (0.1, 0.9))]).withColumn("content", F.col("node_id"))
     tree = cluster.hierarchy(rows, ClusterConfig(2, 10, 0.1, 5))
