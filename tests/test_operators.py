@@ -103,6 +103,12 @@ def test_pairs_of_one_node_are_decided_at_once(spark, monkeypatch):
     assert len(tables) < 20
 
 
+def test_texts_of_clusters_are_whole_where_asked(spark):
+    rows = frame(spark, [("n1", (1, 0)), ("n2", (1, 0.1))]).withColumn("content", F.repeat("node_id", 3000))
+    text = lambda **kw: cluster.hierarchy(rows, ClusterConfig(), **kw).first().text
+    assert text(most_text=None) == "n1" * 3000 + "\n\n" + "n2" * 3000 and len(text()) == cluster.MOST_TEXT and text(content=None).strip() == ""
+
+
 def test_hierarchy(spark):
     rows = frame(spark, [("n1", (1, 0)), ("n2", (0.9, 0.1)), ("n3", (0, 1)), ("n4", (0.1, 0.9))]).withColumn("content", F.col("node_id"))
     tree = cluster.hierarchy(rows, ClusterConfig(2, 10, 0.1, 5))
