@@ -156,6 +156,31 @@ def test_foreign_nodes_are_reached_but_not_passed(spark):
     assert got == {"A", "B"}
 
 
+def test_searches_keep_what_they_can_settle(spark, monkeypatch):
+    """The tables between rounds hold as many nodes of a search as it settles, however many edges a node has; they held all that was reached."""
+    rng = random.Random(3)
+    rows = [("s", f"n{k:02}", 0.3 + k / 100) for k in range(40)] + [(f"n{k:02}", f"m{k:02}", 0.9) for k in range(40)]
+    rng.shuffle(rows)
+    edges = paths.clean_edges(spark.createDataFrame(rows, "src string, dst string, similarity double"), both_ways=True)
+    assert edges.count() == 160
+    source = spark.createDataFrame([("s",)], "source string")
+    everything = paths.k_nearest(paths.relax(edges, source), 4).select("source", "node", "distance", "rank").collect()
+    plain = {(r.node, r.distance) for r in paths.relax(edges, source, 2).collect()}
+    assert {(r.node, r.distance) for r in paths.relax(edges, source, 2, with_paths=False).collect()} == plain
+    sizes = []
+
+    def counted(df, real=paths.written):
+        out = real(df)
+        if "distance" in df.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "written", counted)
+    assert sorted(paths.nearest_nodes(edges, source, 4).collect()) == sorted(everything)
+    assert paths.settle(edges, source, 3).count() == 43  # s, its 40 neighbours and those of the two nearest
+    assert max(sizes) <= 4
+
+
 def plain_search(graph, source, most_settled, spaces=None):
     """Dijkstra's search with a list of all open nodes; of equally near ones the greatest id is settled first."""
     best, done = {source: (0.0, [source])}, []
