@@ -38,6 +38,18 @@ def test_hashes(spark, x):
     assert int(got["h"]) == h and int(got["f"]) == f and got["v"] == pytest.approx([y / n for y in raw])
 
 
+def test_hashes_of_long_texts(spark):
+    """Texts of several pieces; a fold in the JVM made an object of each of their bytes."""
+    data = ("aé日 " * 30000).encode()
+    assert len(data) > 3 * vectors.PIECE
+    h = 5381
+    for b in data:
+        h = (h * 33 + b) % 2**64
+    assert vectors.hash_bytes(data) == h
+    rows = spark.createDataFrame([(data.decode(),), (None,)], "t string").select(vectors.text_hash(F.col("t")).alias("h"), vectors.fnv1a(F.col("t")).alias("f")).collect()
+    assert int(rows[0].h) == h and int(rows[0].f) == vectors.fnv1a_bytes(data) and rows[1].h is None and rows[1].f is None
+
+
 def test_text(spark):
     got = one(spark, lines=text.unix_lines(F.lit("Line 1\r\nLine 2\rLine 3\nLine 4")), squeezed=text.squeeze(F.lit("  a \t b\n\n  c  \n d ")), clean=text.clean_extracted(F.lit("a\x00b�c"), True), q=text.search_query(F.lit(" one  two\nthree " + "x " * 200)), cut=text.shorten(F.lit("abcdef"), 3), dom=text.domain(F.lit("https://a.b.example/x?y")), none=text.domain(F.lit("not a url")))
     assert got["lines"] == "Line 1\nLine 2\nLine 3\nLine 4" and got["squeezed"] == "a b\nc \nd" and got["clean"] == "abc"
