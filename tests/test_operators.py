@@ -1,8 +1,10 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,20 @@ def test_similar_pairs_in_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_pairs_of_a_block_make_no_objects():
+    """All pairs of a block: ids of pairs were lists of strings, which took some 150 bytes a pair."""
+    rng = np.random.default_rng(4)
+    table = pa.table({"id": [f"n{k}" for k in range(600)] + ["n7"], "vector": pa.array(list(rng.normal(size=(601, 4))), pa.list_(pa.float64()))})
+    every = np.arange(601)
+    tracemalloc.start()
+    a, b, s = search._pairs_of(table, every, every, -1.0, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert isinstance(a, pa.Array) and len(a) == len(b) == len(s) == 600 * 599 // 2 + 599  # the repeated id pairs with all others
+    assert all(x < y for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True))
+    assert peak < 60 * len(s)
+
+
 def test_centroid_and_mean_similarity(spark):
     rows = frame(spark, [("a", (1, 0, 0)), ("b", (0, 1, 0))])
     assert search.centroids(rows, "namespace").first().centroid == [0.5, 0.5, 0]
