@@ -109,6 +109,20 @@ def test_clusters_equal_the_literal_loop(spark, task_pairs):
         assert got == want
 
 
+def test_links_of_large_groups_are_not_written(spark, monkeypatch):
+    """All links of a group were written before the first was dropped: they grow with the square of its rows. What the blocks leave now decides the same clusters."""
+    rng = np.random.default_rng(6)
+    data = [(f"{k:03d}", np.round(rng.normal(size=3), 1)) for k in range(60)] + [(f"{k:03d}", [1.0, 1.0, 0.0]) for k in range(60, 75)]  # ties, and copies
+    rows = frame(spark, data).unionByName(frame(spark, [("x", (1, 2, 3)), ("y", (1, 2, 3.1))], "h"))
+    every = search.similar_pairs(rows, 0.2, "namespace").count()
+    for name, value in (("NARROW_ROWS", 0), ("VECTOR_BLOCK", 9), ("STRIP", 4)):
+        monkeypatch.setattr(search, name, value)
+    assert search.deciding_pairs(rows, 0.2, "namespace").count() < 4 * len(data) < every
+    for config in (ClusterConfig(2, 4, 0.2), ClusterConfig(2, 10, 0.8)):
+        got = {(r.id, r.cluster) for r in cluster.clusters(rows, config).collect()}
+        assert got == literal_clusters(data, config.threshold, 2, config.largest_size) | {("x", "x"), ("y", "x")}
+
+
 def test_pairs_of_one_node_are_decided_at_once(spark, monkeypatch):
     """A node whose pairs all come one after the other took a round for each of them."""
     tables = []
