@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from graphloom.common import register
+
 #: Fixed values of the format: magic, alignment of tensor data, and the struct code of each scalar value type by its number.
 MAGIC, ALIGNMENT = b"GGUF", 32
 SCALARS = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}
@@ -260,7 +262,7 @@ class Gguf(DataSource):
 
 
 def read_models(spark: SparkSession, path: str, compat: bool = False, tensors: int | None = None) -> DataFrame:
-    spark.dataSource.register(Gguf)
+    register(spark, Gguf)
     return spark.read.format("gguf").option("compat", str(compat).lower()).option("tensors", tensors or RANGE_TENSORS).load(path)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window
 
-from graphloom.common import partitions
+from graphloom.common import partitions, register
 from graphloom.functions.rules import ACTIVE_UPLOADS, overall_progress, upload_progress
 
 SESSION_HOURS = 24
@@ -132,7 +132,7 @@ def assemble(chunks: DataFrame, folder: str, chunk_size: int | None = None, suff
     """Writes chunk rows (upload_id, chunk, data) as files. Of a chunk that arrives again the one of the least digest counts. With chunk_size, a chunk's place is its number times that, and holes are refused; without,
     places add up over the sizes of the chunks before."""
     spark = chunks.sparkSession
-    spark.dataSource.register(Uploads)
+    register(spark, Uploads)
     digest = F.sha2("data", 256)
     rows = chunks.groupBy("upload_id", "chunk").agg(F.min_by("data", digest).alias("data"))
     if chunk_size is None:

@@ -100,3 +100,12 @@ def test_uploads_with_holes_stay_unfinished(spark, tmp_path):
         uploads.assemble(spark.createDataFrame([("../x", 0, b"z")], "upload_id string, chunk long, data binary"), str(tmp_path), 2)
     with pytest.raises(Exception, match="by position"):
         uploads.assemble(more, "s3://bucket/x", 2)
+
+
+def test_sources_are_found_in_a_thread_without_session(spark, tmp_path):
+    """Data sources are looked up in the calling thread's active session; queries that run beside each other in threads had none, or one that another test left."""
+    chunks = spark.createDataFrame([("a", 0, header([]))], "upload_id string, chunk long, data binary")
+    spark._jvm.org.apache.spark.sql.classic.SparkSession.clearActiveSession()
+    uploads.assemble(chunks, str(tmp_path), 1 << 20, ".gguf")
+    spark._jvm.org.apache.spark.sql.classic.SparkSession.clearActiveSession()
+    assert [r.error for r in gguf.read_models(spark, str(tmp_path)).collect()] == []
