@@ -64,3 +64,23 @@ def test_bound(spark):
         assert cos(q, x) <= (1 if c >= s else c * s + np.sqrt((1 - c * c) * (1 - s * s))) + 1e-9
     row = spark.range(1).select(metric.bound(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)), F.lit(0.8)).alias("b"), metric.bound(F.array(F.lit(1.0)), F.array(F.lit(0.0), F.lit(1.0)), F.lit(0.8)).alias("other")).first()
     assert abs(row.b - 0.6) < 1e-9 and row.other == 1.0
+
+
+def test_no_row_for_a_query_and_a_leaf(spark, monkeypatch):
+    """Where nothing can be skipped, a search wrote a row, with the query's vector, for each query and leaf."""
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(f"{k:04d}", rng.normal(size=32).tolist()) for k in range(600)], "node_id string, vector array<double>")
+    queries = rows.filter("cast(node_id as int) % 10 = 0").select(F.col("node_id").alias("query_id"), "vector")
+    index, most = metric.build(rows, leaf_rows=4, fanout=4), []
+
+    def counted(df, real=metric.written):
+        out = real(df)
+        most.append(out.count() if "query" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(metric, "written", counted)
+    found, cost = metric.indexed_top_k(index, queries, 3)
+    assert key(found) == key(search.top_k_each(rows, queries, 3))
+    seen = cost.agg(F.sum("compared").alias("n")).first().n
+    leaves = index.balls.filter("level = 1").count()
+    assert seen > 0.9 * 60 * 600 and max(most) < 60 * leaves / 4
