@@ -33,6 +33,8 @@ KEYS = {"nodes": "node_id", "models": "id", "model_nodes": "id", "upload_session
 
 #: Bits for each key of a file's Bloom filter, at least, and bits that a key sets.
 BLOOM_BITS, BLOOM_HASHES = 10, 5
+#: Keys whose places in a filter are worked out at once.
+INDEX_SLICE = 1 << 16
 
 
 def _hashes(key: Column) -> list[Column]:
@@ -54,7 +56,9 @@ def _file_index(table: pa.Table) -> pa.Table:
     """The row of one file's keys: null keys aside, least, greatest, and their filter."""
     bits = 8 * max(1, -(-BLOOM_BITS * table.num_rows // 8))
     filled = np.zeros(bits, bool)
-    filled[_places(bits, table.column("a").to_numpy(), table.column("b").to_numpy()).ravel().astype(np.int64)] = True
+    a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+    for k in range(0, len(a), INDEX_SLICE):
+        filled[_places(bits, a[k : k + INDEX_SLICE], b[k : k + INDEX_SLICE]).ravel().astype(np.int64)] = True
     ends = pc.min_max(table.column("key"))
     return pa.table([table.column("file").slice(0, 1).combine_chunks(), pa.array([ends["min"].as_py()], pa.string()), pa.array([ends["max"].as_py()], pa.string()), pa.array([np.packbits(filled).tobytes()])], ["file", "low", "high", "bloom"])
 

@@ -59,3 +59,23 @@ def test_embedding_cache(spark, tmp_path):
     assert made == 34 and again.count() == 36 and cache.rows().count() == 69 and cache.swept(at(2)).count() == 35
     other = EmbeddingCache(spark, str(tmp_path / "v"), "other", embed, batch=4)
     assert other.vectors(rows.limit(1), at(0))[1] == 1 and cache.vectors(rows.limit(0), at(0))[1] == 0
+
+
+def test_a_files_filter_is_filled_by_slices():
+    """All places of a file's keys were held at once: 98 bytes for each key, with the filter."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.sources import repository
+
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(-(1 << 62), 1 << 62, (2, 300_000))
+    table = pa.table({"file": pa.array(["x"]).take(pa.array(np.zeros(300_000, int))), "key": pa.array(a).cast("string"), "a": a, "b": b})
+    tracemalloc.start()
+    row = repository._file_index(table).to_pylist()[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 300_000
+    assert all(repository._may_hold(row["bloom"], int(a[k]), int(b[k])) for k in range(0, 300_000, 9973))
