@@ -2,7 +2,7 @@
 
 Rows are dealt to balls from above: pivots of each level, drawn by a hash, divide the rows of the ball above them, each row going to the most similar one. A ball keeps its pivot, its size and
 its spread, the least cosine of any of its rows to the pivot. Angles between vectors obey the triangle inequality, so no row of a ball can be more similar to a query than its bound, and
-balls whose bound is below what a query still wants are skipped with all that is below them. Building and searching are joins of one level with the next, and comparisons go by blocks, so
+balls whose bound is below what a query still wants are skipped with all that is below them. Building is a join of one level with the next, and queries meet balls and rows by blocks, so
 neither a level nor a ball has to fit a task.
 """
 
