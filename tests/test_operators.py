@@ -328,3 +328,23 @@ def test_written_tables_can_be_cleared(spark):
     kept, common._WRITTEN[:] = [x for x in common._WRITTEN if x != path], [path]
     assert common.clear(spark) == 1 and not Path(path).exists() and common._WRITTEN == []
     common._WRITTEN[:] = kept
+
+
+def test_relaxation_by_blocks_equals_joins(spark, tmp_path):
+    """Two spaces, many equal lengths: blocks and joins give the same paths, and candidates of a round are no rows."""
+    import random
+
+    rng = random.Random(5)
+    ends = [("a", f"a{x}", f"a{y}") for x in range(70) for y in range(x) if rng.random() < 0.15] + [("b", f"b{x}", f"b{y}") for x in range(9) for y in range(x) if (x + y) % 3]
+    rows = [(s, *p, rng.choice([1.0, 0.5, 0.4, 1 / 3, 0.3])) for s, x, y in ends for p in ((x, y), (y, x))]
+    edges = spark.createDataFrame([r[1:] for r in rows], "src string, dst string, similarity double")
+    spaces = spark.createDataFrame(sorted({(r[1], r[0]) for r in rows} | {("c", "c")}), "node string, space string")
+    sources = spark.createDataFrame([("a1",), ("a5",), ("a60",), ("b2",), ("c",)], "source string")
+    told = lambda found: sorted((r.source, r.node, r.distance, r.hops, *map(tuple, r[4:])) for r in found.collect())
+    joined, apart, mixed = (told(paths.relax(edges, sources, 3, with_similarities=True, spaces=spaces, block_edges=n)) for n in (0, 10**6, 100))
+    assert joined == apart == mixed
+    assert [r[:4] for r in joined] == told(paths.relax(edges, sources, 3, with_paths=False))
+    assert max(r[3] for r in joined) == 3 and [r[4] for r in joined if r[0] == "c"] == [("c",)]
+    found = paths.relax(edges, sources, 3, with_similarities=True, spaces=spaces)
+    product = lambda rows: {(r.source, r.node): (round(r.product, 9), round(r.cost, 9)) for r in paths.path_product(edges, rows).collect()}
+    assert product(found) == product(found.drop("similarities"))
