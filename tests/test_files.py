@@ -75,6 +75,18 @@ def test_headers(spark, tmp_path):
     assert gguf.read_models(spark, str(tmp_path / "void")).count() == 0
 
 
+def test_many_small_model_files_are_few_tasks(spark, tmp_path):
+    """Ranges of many files are dealt into tasks by their tensors; each range was a task of its own."""
+    for k in range(300):
+        (tmp_path / f"m{k:03d}.gguf").write_bytes(header([(f"blk.{j}.x", 1, 0, 32 * j) for j in range(3)]) + b"".join(struct.pack("<f", 10 * k + j).ljust(32, b"\0") for j in range(3)))
+    (tmp_path / "n.gguf").write_bytes(b"no model")
+    rows = gguf.read_models(spark, str(tmp_path), tensors=2)
+    assert rows.rdd.getNumPartitions() <= 2 * gguf.LEAST_TASKS
+    found = rows.collect()
+    assert sorted((os.path.basename(r.path), r.tensor, r.samples) for r in found if r.error is None) == [(f"m{k:03d}.gguf", f"blk.{j}.x", [10.0 * k + j]) for k in range(300) for j in range(3)]
+    assert [os.path.basename(r.path) for r in found if r.error] == ["n.gguf"]
+
+
 def test_an_upload_larger_than_its_tasks_hold(spark, tmp_path):
     """400 MB in chunks of 1 MB that arrive in any order and in all tasks, some twice."""
     rows = spark.range(0, 420, 1, 12).select(F.lit("u").alias("upload_id"), F.pmod(F.col("id") * 7, F.lit(400)).alias("chunk"))
