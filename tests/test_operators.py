@@ -123,6 +123,31 @@ def test_links_of_large_groups_are_not_written(spark, monkeypatch):
         assert got == literal_clusters(data, config.threshold, 2, config.largest_size) | {("x", "x"), ("y", "x")}
 
 
+def test_products_find_all_pairs_at_the_bounds(monkeypatch):
+    """Candidates are found in 32 bits by strips, with bounds by the smaller or the greater id, and each pair is given once."""
+    monkeypatch.setattr(search, "STRIP", 4)
+    monkeypatch.setattr(search, "HITS", 5)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(40, 8))
+    vectors[7] = vectors[3]
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    every = {(a, b): round(float(unit[a] @ unit[b]), 6) for a in range(40) for b in range(a + 1, 40)}
+    asked = {3, 11, 12, 30}
+    whole = [(k, True, True, True) for k in range(40)]
+    some = [(k, True, False, True) for k in asked] + [(k, False, True, k in asked) for k in range(40)]
+    for sides, wanted in ((whole, every), (some, {x: s for x, s in every.items() if asked & set(x)})):
+        sides = [sides[k] for k in rng.permutation(len(sides))]
+        ids, left, right, once = zip(*sides, strict=True)
+        table = pa.table({"id": [f"{k:02d}" for k in ids], "vector": [vectors[k].tolist() for k in ids], "left": left, "right": right, "once": once})
+        product = search._Product(table, 0.1)
+        bound = rng.choice([-np.inf, 0.2, 0.5], 40)
+        for greater in (False, True):
+            found = [(int(a), int(b), s) for x in product.pairs(bound, greater) for a, b, s in zip(*x, strict=True)]
+            assert len(found) == len({x[:2] for x in found})
+            got = {(a, b): round(float(s), 6) for a, b, s in found}
+            assert all(got[x] == s for x, s in wanted.items() if s >= max(0.1, bound[x[greater]])) and all(wanted[x] == s >= 0.1 for x, s in got.items())
+
+
 def test_pairs_of_one_node_are_decided_at_once(spark, monkeypatch):
     """A node whose pairs all come one after the other took a round for each of them."""
     tables = []
